@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: So many edges (16 bytes each) are joined by one task; more go by stars.
+FEW_EDGES = 500_000
+
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (node, least node of its component) that connect what the edges a-b connect."""
@@ -37,8 +40,7 @@ def _forests(batches):
     held, size = [], 0
 
     def out():
-        a, b = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-        u, v = forest(a, b)
+        u, v = forest(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["a", "b"])
 
     for batch in batches:
@@ -51,10 +53,13 @@ def _forests(batches):
         yield out()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, few_edges: int = FEW_EDGES) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a, b: long, never null); root is the least node."""
     edges = edges.select("a", "b").where("a <> b")
-    edges = written(edges.mapInArrow(_forests, "a long, b long").distinct(), "edges")
+    edges = written(edges.mapInArrow(_forests, "a long, b long"), "edges")
+    if edges.count() <= few_edges:
+        roots = written(edges.repartition(1).mapInArrow(_forests, "a long, b long"), "roots")
+        return roots.toDF("node", "root").union(roots.select("b", "b").distinct())
     before = None
     while True:
         both = edges.union(edges.select("b", "a")).toDF("u", "v")

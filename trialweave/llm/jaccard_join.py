@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, written
 from .graph import components
-from .shingles import digest, shingle_sets
+from .shingles import digest, mix, shingle_sets
 
 #: Bits of the map of cells that occur at least twice (sent to all executors: 8 MB).
 SEEN_BITS = 26
@@ -71,6 +71,19 @@ def _texts(batch):
     return batch.column(0).to_pylist()
 
 
+def _gaps(cells: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers as the first one and the gaps that follow, of 16 bits where they fit."""
+    gaps = np.diff(cells)
+    small = not len(gaps) or gaps.max() < 65536
+    return bytes([int(small)]) + cells[:1].tobytes() + gaps.astype(np.uint16 if small else np.uint32).tobytes()
+
+
+def _from_gaps(blob: bytes) -> np.ndarray:
+    first = np.frombuffer(blob[1:5], np.uint32)
+    gaps = np.frombuffer(blob[5:], np.uint16 if blob[0] else np.uint32)
+    return np.cumsum(np.concatenate((first, gaps.astype(np.uint32))), dtype=np.uint32)
+
+
 def _count_cells(buckets, width):
     def run(batches):
         seen, held, size = _Distinct(), [], 0
@@ -80,7 +93,7 @@ def _count_cells(buckets, width):
             bucket = (cells.astype(np.uint64) * np.uint64(buckets)) >> np.uint64(32)
             cut = np.searchsorted(bucket, np.arange(buckets + 1))
             once = counts == 1
-            blobs = [(k, cells[a:b][once[a:b]].tobytes(), cells[a:b][~once[a:b]].tobytes(), counts[a:b][~once[a:b]].astype(np.uint32).tobytes()) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+            blobs = [(k, _gaps(cells[a:b][once[a:b]]), _gaps(cells[a:b][~once[a:b]]), counts[a:b][~once[a:b]].astype(np.uint32).tobytes()) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*blobs), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "once", "cells", "counts"])
 
         for batch in batches:
@@ -104,7 +117,8 @@ def _joined(table, name, dtype):
 def _sum_cells(buckets):
     def run(table: pa.Table) -> pa.Table:
         k = table.column("bucket")[0].as_py()
-        once, cells, counts = (_joined(table, n, np.uint32) for n in ("once", "cells", "counts"))
+        once, cells = (np.concatenate([_from_gaps(x.as_py()) for x in table.column(n)]) for n in ("once", "cells"))
+        counts = _joined(table, "counts", np.uint32)
         every = np.concatenate((once, cells))
         weight = np.concatenate((np.ones(len(once), np.uint32), counts))
         order = np.argsort(every, kind="stable")
@@ -188,10 +202,11 @@ def _list_entries(buckets, width, num, den, sent):
     return run
 
 
-_PAIRS = "a long, b long, na long, nb long, met long, star int"
+_PAIR_BLOBS = "task int, a binary, b binary, na binary, nb binary, met binary, star binary"
+_PAIR_TYPES = {"a": np.int64, "b": np.int64, "na": np.uint32, "nb": np.uint32, "met": np.uint32, "star": np.uint8}
 
 
-def _scan_lists(num, den):
+def _scan_lists(num, den, tasks):
     def run(table: pa.Table) -> pa.Table:
         tok, dig, n, place = (_joined(table, c, t) for c, t in (("token", np.uint32), ("digest", np.int64), ("n", np.uint32), ("place", np.uint16)))
         by = np.lexsort((dig, n, tok))
@@ -227,7 +242,29 @@ def _scan_lists(num, den):
         start = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.empty(0, int)
         met = np.diff(np.concatenate((start, [len(a)])))
         most = np.maximum.reduceat(star, start) if len(start) else star[:0]
-        return pa.table([a[start], b[start], na[start], nb[start], met.astype(np.int64), most], names=["a", "b", "na", "nb", "met", "star"])
+        columns = [x.astype(t) for x, t in zip((a[start], b[start], na[start], nb[start], met, most), _PAIR_TYPES.values())]
+        task = mix(columns[0].astype(np.uint64) ^ (columns[1].astype(np.uint64) << np.uint64(1))) % np.uint64(tasks)
+        by = np.argsort(task, kind="stable")  # within a task's pairs, still by a and b
+        cut = np.searchsorted(task[by], np.arange(tasks + 1))
+        rows = [(k, *(x[by[lo:hi]].tobytes() for x in columns)) for k, (lo, hi) in enumerate(zip(cut[:-1], cut[1:])) if hi > lo]
+        return pa.table([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(zip(*rows) if rows else [()] * 7)], names=["task", *_PAIR_TYPES])
+
+    return run
+
+
+def _meet(num, den):
+    """Pairs that meet often enough within their prefixes, or in a long list."""
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b, na, nb, met, star = (_joined(table, c, t).astype(np.int64) for c, t in _PAIR_TYPES.items())
+        by = np.lexsort((b, a))
+        start = np.flatnonzero(np.concatenate(([True], (a[by][1:] != a[by][:-1]) | (b[by][1:] != b[by][:-1]))))
+        met, star = np.add.reduceat(met[by], start), np.maximum.reduceat(star[by], start)
+        a, b, na, nb = (x[by][start] for x in (a, b, na, nb))
+        # Beyond its prefix a set has ceil(t*n)-1 shingles: the rest of the overlap must lie within the prefixes.
+        beyond = np.maximum(_need(na, num, den), _need(nb, num, den)) - 1
+        keep = (star == 1) | ((met + beyond) * (num + den) >= num * (na + nb))
+        return pa.table([x[keep] for x in (a, b, na, nb)], names=["a", "b", "na", "nb"])
 
     return run
 
@@ -328,10 +365,8 @@ def linked_classes(docs: DataFrame, num: int = 75, den: int = 100, width: int =
     order = spark.sparkContext.broadcast(_order(texts, width))
     buckets = 2 * shuffle_partitions(spark)
     lists = texts.mapInArrow(_list_entries(buckets, width, num, den, order), "bucket int, token binary, digest binary, n binary, place binary")
-    pairs = lists.groupBy("bucket").applyInArrow(_scan_lists(num, den), _PAIRS).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("met").alias("met"), F.max("star").alias("star"))
-    # Beyond its prefix a set has ceil(t*n)-1 shingles: the rest of the overlap must lie within the prefixes.
-    beyond = F.greatest(*(F.expr(f"(n{x} * {num} + {den} - 1) div {den} - 1") for x in "ab"))
-    pairs = written(pairs.where((F.col("star") == 1) | ((F.col("met") + beyond) * (num + den) >= num * (F.col("na") + F.col("nb")))).select("a", "b", "na", "nb"), "pairs")
+    pairs = lists.groupBy("bucket").applyInArrow(_scan_lists(num, den, buckets), _PAIR_BLOBS).groupBy("task").applyInArrow(_meet(num, den), "a long, b long, na long, nb long")
+    pairs = written(pairs, "pairs")
     sizes = pairs.select("a", "na").union(pairs.select("b", "nb")).toDF("digest", "n").distinct()
     member = components(pairs).toDF("digest", "cluster").join(sizes, "digest")
     blocks = member.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_HASHES).alias("blocks"))
