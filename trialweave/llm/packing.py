@@ -146,7 +146,7 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[
 
 
 def _pack(size, last):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], ignore_index=True)
         lengths = pdf["length"].to_numpy()
         bins = best_fit(lengths, size)
@@ -160,7 +160,7 @@ def _pack(size, last):
         end = np.cumsum(n)
         first = np.concatenate(([True], number[1:] != number[:-1]))
         out["offset"] = end - n - np.repeat((end - n)[first], np.bincount(number))
-        out["sequence_id"] = key[0] * (1 << 32) + number
+        out["sequence_id"] = (int(key[0]) * (1 << 17) + number) * 2 + 1
         full = np.bincount(number, n) == size
         out["done"] = last | full[number]
         return out[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "done"]]
@@ -171,7 +171,7 @@ def _pack(size, last):
 def packed(parts: DataFrame, size: int = 1024, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """parts (as of pieces()) with sequence_id and offset: each sequence holds at most ``size`` tokens without a gap."""
     parts = written(parts, "pieces")
-    full = parts.where(F.col("length") == size).withColumn("sequence_id", F.monotonically_increasing_id() + F.lit(1 << 62)).withColumn("offset", F.lit(0).cast("long"))
+    full = parts.where(F.col("length") == size).withColumn("sequence_id", F.monotonically_increasing_id() * 2).withColumn("offset", F.lit(0).cast("long"))
     rest = parts.where(F.col("length") < size)
     left = rest.count()
     shards, level, levels = -(-left // shard_pieces), 0, [full]

@@ -160,3 +160,14 @@ def scored(features: DataFrame, model: PUModel) -> DataFrame:
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in others) + "score double, predicted int"
     return features.select("features", *[f.name for f in others]).mapInArrow(run, schema)
+
+
+def kept(docs: DataFrame, model: PUModel, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs (with a column text) whose score reaches the threshold."""
+
+    def run(batches):
+        for batch in batches:
+            s = model.score(features(batch.column("text").to_pylist()))
+            yield batch.filter(pa.array(s >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
