@@ -1,0 +1,88 @@
+"""Benchmark specs (YAML mappings) checked on the driver and turned into tables of tasks and cases."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping
+from pathlib import Path
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..functions.templates import variables
+from ..functions.values import canonical_json
+
+TASK_KEYS = {"id", "description", "prompt", "cases", "scoring", "tags", "params", "pass_threshold"}
+CASE_KEYS = {"id", "vars", "tags", "scoring"}
+TASKS = "task_id string, description string, system string, messages array<struct<role: string, content: string>>, tags array<string>, params string, scoring string, pass_threshold double, source string"
+CASES = "task_id string, ordinal long, case_id string, vars string, tags array<string>, scoring string"
+
+
+class SpecError(ValueError):
+    """What is wrong with a spec, and where."""
+
+    def __init__(self, where: str, what: str):
+        super().__init__(f"{where}: {what}")
+
+
+def _closed(where: str, value: Any, keys: set[str]) -> Mapping[str, Any]:
+    if not isinstance(value, Mapping):
+        raise SpecError(where, "a mapping is needed")
+    if unknown := sorted(set(value) - keys):
+        raise SpecError(where, f"unknown key {unknown[0]!r}; there are {', '.join(sorted(keys))}")
+    return value
+
+
+def _messages(where: str, prompt: Any) -> tuple[str | None, list[tuple[str, str]]]:
+    prompt = _closed(where, {"user": prompt} if isinstance(prompt, str) else prompt, {"system", "user", "messages"})
+    if ("user" in prompt) == ("messages" in prompt):
+        raise SpecError(where, "one of user and messages is needed")
+    said = [("user", prompt["user"])] if "user" in prompt else [(m.get("role"), m.get("content")) for m in prompt["messages"]]
+    if not said or any(role not in ("user", "assistant") for role, _ in said) or said[-1][0] != "user":
+        raise SpecError(where, "messages are of user and assistant, the last of user")
+    return prompt.get("system"), said
+
+
+def parse_task(raw: Any, source: str) -> tuple[tuple, list[tuple]]:
+    """(a row of TASKS, rows of CASES) of one task's mapping."""
+    task = _closed(source, raw, TASK_KEYS)
+    for key in ("id", "prompt", "cases"):
+        if not task.get(key):
+            raise SpecError(source, f"{key} is missing")
+    where = f"{source}: {task['id']}"
+    system, messages = _messages(f"{where}.prompt", task["prompt"])
+    threshold = task.get("pass_threshold")
+    if threshold is not None and (isinstance(threshold, bool) or not 0 <= float(threshold) <= 1):
+        raise SpecError(f"{where}.pass_threshold", "a number from 0 to 1 is needed")
+    needed = {v for text in [system or "", *(c for _, c in messages)] for v in variables(text)}
+    cases = []
+    for i, raw_case in enumerate(task["cases"]):
+        case = _closed(f"{where}.cases[{i}]", raw_case, CASE_KEYS)
+        given = case.get("vars") or {}
+        if lacking := sorted(needed - set(given)):
+            raise SpecError(f"{where}.cases[{i}]", f"no value for {', '.join(lacking)}")
+        scoring = canonical_json(case["scoring"]) if "scoring" in case else None
+        cases.append((task["id"], i, str(case.get("id") or f"case-{i:03d}"), canonical_json(given), list(case.get("tags") or []), scoring))
+    ids = [c[2] for c in cases]
+    if twice := next((c for c in ids if ids.count(c) > 1), None):
+        raise SpecError(where, f"case {twice!r} appears twice")
+    row = (task["id"], task.get("description") or "", system, messages, list(task.get("tags") or []), canonical_json(task.get("params") or {}), canonical_json(task.get("scoring") or []), None if threshold is None else float(threshold), source)
+    return row, cases
+
+
+def load_tasks(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
+    """Tables of tasks and cases of YAML files: one task each, a list, or ``tasks: [...]``."""
+    import yaml
+
+    tasks, cases = [], []
+    for path in sorted(paths):
+        raw = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+        if raw is None:
+            raise SpecError(path, "the file is empty")
+        for item in raw.get("tasks", [raw]) if isinstance(raw, Mapping) else raw:
+            row, more = parse_task(item, path)
+            tasks.append(row)
+            cases += more
+    ids = [t[0] for t in tasks]
+    if twice := next((t for t in ids if ids.count(t) > 1), None):
+        raise SpecError("suite", f"task {twice!r} appears twice")
+    return spark.createDataFrame(tasks, TASKS), spark.createDataFrame(cases, CASES)
