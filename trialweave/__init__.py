@@ -1,0 +1 @@
+"""Evaluation runs of language models as Spark tables, and the operators on them."""

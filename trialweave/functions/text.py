@@ -21,7 +21,7 @@ FENCE = r"(?s)^\s*```[a-zA-Z0-9_+-]*\s*\n?(.*?)\n?\s*```\s*$"
 THINKING = r"(?is)<(think|thinking|scratchpad|reasoning)>.*?</\1>"
 BOXED = r"\\boxed\{([^{}]*)\}"
 ANSWER = r"(?iU)^(?:the\s+)?(?:final\s+)?answer\s*(?:is|:)\s*"
-CHOICE = r"\b([A-Ja-j])\b(?=[).:,\s]|$)"
+CHOICE = r"(?U)\b([A-Ja-j])\b(?=[).:,\s]|$)"
 EMPHASIS = r"(?s)(\*{1,3}|_{1,3})(.+?)\1"
 LINE_END = r"\r\n|[\n\r\u000B\u000C\u001C\u001D\u001E\u0085\u2028\u2029]"
 QUOTES = ('""', "''", "“”", "‘’")
@@ -115,13 +115,14 @@ def extract_choice(x: Column) -> Column:
     return F.coalesce(F.upper(last(line)), F.upper(last(x)), strip(x))
 
 
-@F.pandas_udf("string")
-def _nfkc(x: pd.Series) -> pd.Series:
-    return x.str.normalize("NFKC")
+def normalize_unicode(x: Column) -> Column:
+    """NFKC, which Spark has no function for."""
 
+    @F.pandas_udf("string")
+    def nfkc(texts: pd.Series) -> pd.Series:
+        return texts.str.normalize("NFKC")
 
-def normalize_unicode(x: Column) -> Column:
-    return _nfkc(x)
+    return nfkc(x)
 
 
 NORMALIZERS: dict[str, Callable[[Column], Column]] = {

@@ -1,9 +1,832 @@
-"""The registered queries of the evaluation operators, each with its DuckDB SQL."""
+"""The registered queries of the evaluation operators, each with its DuckDB SQL.
 
+The tables stand for an evaluation: events are trial records, documents are responses,
+benchmark items are targets, labels are paired outcomes, conversations are prompts, lineitem
+rows are judge polls, orders are a response cache, and region, nation and part are a plan.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import templates
+from .functions import text as T
+from .functions import values as V
+from .operators import bootstrap, compare, judge, outcomes, scorers
+from .plans import trials
+from .sources import cache
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *views: str):
+    """Registers a query; views: names of _VIEWS that its SQL builds on."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = ("WITH " + ", ".join(_VIEWS[v] for v in views) + " " if views else "") + sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _r(c) -> F.Column:
+    return F.round(c, 10)
+
+
+# --- views -----------------------------------------------------------------------------
+
+_VIEWS = {
+    "rec": """rec AS (SELECT *, row_number() OVER (PARTITION BY model_id, task_id, case_id ORDER BY event_id) - 1 AS sample_index FROM (
+SELECT event_id, 'run-events' AS run_id, CASE WHEN event_id % 2 = 0 THEN 'baseline' ELSE 'candidate' END AS model_id,
+ 'task-' || lpad(CAST(k % 12 AS VARCHAR), 2, '0') AS task_id, 'case-' || lpad(CAST(user_id % 40 AS VARCHAR), 3, '0') AS case_id,
+ CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status,
+ CASE WHEN event_type <> 'error' THEN least(value / CAST(100 AS DOUBLE), CAST(1 AS DOUBLE)) END AS score,
+ CASE WHEN event_type <> 'error' THEN value >= 50 END AS passed, event_type = 'view' AS cached, CAST(1 + event_id % 3 AS BIGINT) AS attempts,
+ value AS latency_ms, CAST(50 + event_id % 450 AS BIGINT) AS input_tokens, CAST(5 + event_id % 95 AS BIGINT) AS output_tokens,
+ CASE WHEN event_type = 'view' THEN CAST(0 AS DOUBLE) ELSE CAST((50 + event_id % 450) * 3 + (5 + event_id % 95) * 15 AS DOUBLE) / 1000000 END AS cost_usd,
+ 'group-' || CAST(k % 3 AS VARCHAR) AS task_tag, 'seg-' || CAST(user_id % 4 AS VARCHAR) AS case_tag
+FROM (SELECT *, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS k FROM events)))""",
+    "outc": """outc AS (SELECT model_id, task_id, case_id, avg(CASE WHEN status = 'ok' THEN coalesce(score, 0) ELSE CAST(0 AS DOUBLE) END) AS score,
+ avg(CASE WHEN status = 'ok' AND passed THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS passed, count(*) AS samples, count(*) FILTER (status <> 'ok') AS errors,
+ min(task_tag) AS task_tag FROM rec GROUP BY ALL)""",
+    "outx": """outx AS (SELECT model_id, task_id, case_id, avg(score) AS score, avg(CASE WHEN passed THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS passed, count(*) AS samples
+ FROM rec WHERE status = 'ok' GROUP BY ALL)""",
+    "clu": """clu AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY cluster) - 1 AS i, count(*) OVER (PARTITION BY model_id) AS k FROM (
+SELECT model_id, task_id AS cluster, sum(score) AS total, count(*) AS n FROM outc GROUP BY ALL))""",
+    "pairs": """pairs AS (SELECT a.task_id || '/' || a.case_id AS unit, a.task_id AS cluster, a.score AS value_a, b.score AS value_b, a.score - b.score AS delta
+FROM outc a JOIN outc b ON a.task_id = b.task_id AND a.case_id = b.case_id AND a.model_id = 'candidate' AND b.model_id = 'baseline')""",
+    "lab": """lab AS (SELECT source || '/' || CAST(doc_id AS VARCHAR) AS unit, source AS cluster, CAST(quality AS DOUBLE) AS value_a, CAST(1 - toxic AS DOUBLE) AS value_b FROM labels JOIN documents USING (doc_id))""",
+    "plan": """plan AS (SELECT r_name AS model_id, n_name AS task_id, 'part-' || CAST(p_partkey AS VARCHAR) AS case_id, CAST(p_partkey AS BIGINT) AS ordinal, s.i AS sample_index, p_brand AS case_tag
+FROM region, part JOIN nation ON p_partkey % 25 = n_nationkey, (SELECT unnest([0, 1, 2]) AS i) s)""",
+    "cache": """cache AS (SELECT sha256(CAST(o_orderkey AS VARCHAR)) AS key, CASE WHEN o_orderkey % 50 = 0 THEN 0 ELSE 1 END AS schema_version, o_orderpriority AS provider, o_orderstatus AS model,
+ CAST(o_orderkey AS VARCHAR) AS payload, CAST(epoch(o_orderdate) AS DOUBLE) AS created_at, CAST(o_custkey % 7 AS BIGINT) AS hits FROM orders)""",
+    "polls": """polls AS (SELECT l_orderkey AS trial, l_returnflag AS criterion, CAST(l_quantity AS BIGINT) % 7 - 1 AS score, CASE WHEN l_returnflag = 'A' THEN CAST(2 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS weight, 4 AS scale FROM lineitem)""",
+    "crit": """crit AS (SELECT trial, criterion, median(greatest(0, least(4, score))) AS median, CAST(max(greatest(0, least(4, score))) - min(greatest(0, least(4, score))) AS DOUBLE) AS spread, max(weight) AS weight, count(*) AS samples FROM polls GROUP BY ALL)""",
+}
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trial records made of events: two models, 12 tasks of 40 cases."""
+    e = _table(spark, sf_dir, "events").withColumn("k", F.regexp_extract("props", '"k": *([0-9]+)', 1).cast("long"))
+    failed = F.col("event_type") == "error"
+    tokens_in, tokens_out = (F.lit(50) + F.col("event_id") % 450).cast("long"), (F.lit(5) + F.col("event_id") % 95).cast("long")
+    by = Window.partitionBy("model_id", "task_id", "case_id").orderBy("event_id")
+    return e.select(
+        "event_id",
+        "ts",
+        F.lit("run-events").alias("run_id"),
+        F.when(F.col("event_id") % 2 == 0, "baseline").otherwise("candidate").alias("model_id"),
+        F.concat(F.lit("task-"), F.lpad((F.col("k") % 12).cast("string"), 2, "0")).alias("task_id"),
+        F.concat(F.lit("case-"), F.lpad((F.col("user_id") % 40).cast("string"), 3, "0")).alias("case_id"),
+        F.when(failed, "error").otherwise("ok").alias("status"),
+        F.when(~failed, F.least(F.col("value") / 100, F.lit(1.0))).alias("score"),
+        F.when(~failed, F.col("value") >= 50).alias("passed"),
+        (F.col("event_type") == "view").alias("cached"),
+        (F.lit(1) + F.col("event_id") % 3).cast("long").alias("attempts"),
+        F.col("value").alias("latency_ms"),
+        tokens_in.alias("input_tokens"),
+        tokens_out.alias("output_tokens"),
+        V.cost_usd(tokens_in, tokens_out, F.lit(3.0), F.lit(15.0), F.col("event_type") == "view").alias("cost_usd"),
+        V.tag_union(F.array(F.concat(F.lit("group-"), (F.col("k") % 3).cast("string"))), F.array(F.concat(F.lit("seg-"), (F.col("user_id") % 4).cast("string")))).alias("tags"),
+    ).withColumn("sample_index", F.row_number().over(by).cast("long") - 1)
+
+
+def _documents(spark, sf_dir):
+    return _table(spark, sf_dir, "documents")
+
+
+def _sides(spark, sf_dir):
+    obs = outcomes.observations(outcomes.collapse_cases(records(spark, sf_dir)))
+    return obs.where("model_id = 'candidate'"), obs.where("model_id = 'baseline'")
+
+
+def _pairs(spark, sf_dir):
+    return compare.paired(*_sides(spark, sf_dir))
+
+
+def _labels(spark, sf_dir):
+    rows = _table(spark, sf_dir, "labels").join(_documents(spark, sf_dir).select("doc_id", "source"), "doc_id")
+    both = rows.select(V.unit_id(F.col("source"), F.col("doc_id").cast("string")).alias("unit"), F.col("source").alias("cluster"), F.col("quality").cast("double").alias("value_a"), (1 - F.col("toxic")).cast("double").alias("value_b"))
+    return both.withColumn("delta", F.col("value_a") - F.col("value_b"))
+
+
+def _plan_cases(spark, sf_dir):
+    nation = _table(spark, sf_dir, "nation")
+    part = _table(spark, sf_dir, "part").withColumn("n_nationkey", F.col("p_partkey") % 25)
+    return part.join(nation.select("n_nationkey", "n_name", "n_regionkey"), "n_nationkey").select(
+        F.col("n_name").alias("task_id"),
+        F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("case_id"),
+        F.col("p_partkey").cast("long").alias("ordinal"),
+        F.array(F.concat(F.lit("region-"), F.col("n_regionkey").cast("string"))).alias("task_tags"),
+        F.array("p_brand").alias("case_tags"),
+    )
+
+
+def _models(spark, sf_dir):
+    return _table(spark, sf_dir, "region").select(F.col("r_name").alias("model_id"))
+
+
+def _plan(spark, sf_dir):
+    return trials.expand(_models(spark, sf_dir), _plan_cases(spark, sf_dir), 3)
+
+
+def _cache(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders")
+    return o.select(
+        F.sha2(F.col("o_orderkey").cast("string"), 256).alias("key"),
+        F.when(F.col("o_orderkey") % 50 == 0, 0).otherwise(1).alias("schema_version"),
+        F.col("o_orderpriority").alias("provider"),
+        F.col("o_orderstatus").alias("model"),
+        F.lit("candidate").alias("role"),
+        F.col("o_orderkey").cast("string").alias("payload"),
+        F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).cast("double").alias("created_at"),
+        (F.col("o_custkey") % 7).cast("long").alias("hits"),
+    )
+
+
+def _polls(spark, sf_dir):
+    li = _table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_orderkey").alias("trial"), F.col("l_returnflag").alias("criterion"), (F.col("l_quantity").cast("long") % 7 - 1).alias("score"), F.when(F.col("l_returnflag") == "A", 2.0).otherwise(1.0).alias("weight"), F.lit(4).alias("scale"))
+
+
+def _chat(spark, sf_dir):
+    c = _table(spark, sf_dir, "conversations")
+    said = F.transform(F.sort_array(F.collect_list(F.when(F.col("role") != "system", F.struct("turn", "role", F.col("text").alias("content"))))), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    return c.groupBy("conv_id").agg(F.max(F.when(F.col("role") == "system", F.col("text"))).alias("system"), said.alias("messages"))
+
+
+# --- outcomes --------------------------------------------------------------------------
+
+_BOARD = """SELECT t.*, o.cases, round(o.score, 10) AS score, round(o.pass_rate, 10) AS pass_rate FROM (
+SELECT model_id, count(*) AS trials, count(*) FILTER (status <> 'ok') AS errors, round(sum(cost_usd), 8) AS cost_usd, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
+ count(*) FILTER (cached) AS cache_hits, round(quantile_cont(latency_ms, 0.5) FILTER (status = 'ok' AND NOT cached), 8) AS latency_p50_ms, round(quantile_cont(latency_ms, 0.95) FILTER (status = 'ok' AND NOT cached), 8) AS latency_p95_ms,
+ CAST(sum(attempts - 1) AS BIGINT) AS retries, round(count(*) FILTER (status <> 'ok') / count(*), 10) AS error_rate, round(count(*) FILTER (cached) / count(*), 10) AS cache_hit_rate FROM rec GROUP BY model_id) t
+JOIN (SELECT model_id, count(*) AS cases, avg(score) AS score, avg(passed) AS pass_rate FROM {view} GROUP BY model_id) o USING (model_id)"""
+
+
+def _board(spark, sf_dir, errors):
+    rounding = {c: _r(c) for c in ("score", "pass_rate", "error_rate", "cache_hit_rate")} | {c: F.round(c, 8) for c in ("cost_usd", "latency_p50_ms", "latency_p95_ms")}
+    return outcomes.leaderboard(records(spark, sf_dir), errors).withColumns(rounding)
+
+
+@query(_BOARD.format(view="outc"), "rec", "outc")
+def leaderboard_zero(spark, sf_dir):
+    return _board(spark, sf_dir, "zero")
+
+
+@query(_BOARD.format(view="outx"), "rec", "outx")
+def leaderboard_exclude(spark, sf_dir):
+    return _board(spark, sf_dir, "exclude")
+
+
+@query("SELECT model_id, task_id, case_id, round(score, 10) AS score, round(passed, 10) AS passed, samples, errors FROM outc", "rec", "outc")
+def collapse_zero(spark, sf_dir):
+    return outcomes.collapse_cases(records(spark, sf_dir)).drop("tags").withColumns({c: _r(c) for c in ("score", "passed")})
+
+
+@query("SELECT model_id, task_id, case_id, round(score, 10) AS score, round(passed, 10) AS passed, samples FROM outx", "rec", "outx")
+def collapse_exclude(spark, sf_dir):
+    return outcomes.collapse_cases(records(spark, sf_dir), "exclude").drop("tags", "errors").withColumns({c: _r(c) for c in ("score", "passed")})
+
+
+@query("SELECT model_id, task_id, case_id, string_agg(tag, ',' ORDER BY tag) AS tags FROM (SELECT DISTINCT model_id, task_id, case_id, unnest([task_tag, case_tag]) AS tag FROM rec) GROUP BY ALL", "rec")
+def case_tags(spark, sf_dir):
+    return outcomes.collapse_cases(records(spark, sf_dir)).select("model_id", "task_id", "case_id", F.array_join("tags", ",").alias("tags"))
+
+
+@query("SELECT model_id, task_id || '/' || case_id AS unit, task_id || '/' || case_id AS cluster, round(passed, 10) AS value FROM outc", "rec", "outc")
+def observations_by_case(spark, sf_dir):
+    return outcomes.observations(outcomes.collapse_cases(records(spark, sf_dir)), "pass", "case").withColumn("value", _r("value"))
+
+
+@query("SELECT o.model_id, o.task_id, o.cases, round(o.score, 10) AS score, round(o.pass_rate, 10) AS pass_rate, coalesce(e.errors, 0) AS errors FROM (SELECT model_id, task_id, count(*) AS cases, avg(score) AS score, avg(passed) AS pass_rate FROM outc GROUP BY ALL) o LEFT JOIN (SELECT model_id, task_id, count(*) AS errors FROM rec WHERE status <> 'ok' GROUP BY ALL) e USING (model_id, task_id)", "rec", "outc")
+def task_stats(spark, sf_dir):
+    return outcomes.task_stats(records(spark, sf_dir)).withColumns({c: _r(c) for c in ("score", "pass_rate")})
+
+
+@query("SELECT model_id, tag, count(*) AS cases, round(avg(score), 10) AS score FROM outc JOIN (SELECT DISTINCT model_id, task_id, case_id, unnest([task_tag, case_tag]) AS tag FROM rec) USING (model_id, task_id, case_id) GROUP BY ALL", "rec", "outc")
+def tag_stats(spark, sf_dir):
+    return outcomes.tag_stats(records(spark, sf_dir)).withColumn("score", _r("score"))
+
+
+@query("SELECT coalesce(model_id, 'run') AS model_id, count(*) AS trials, count(*) FILTER (status <> 'ok') AS errors, round(sum(cost_usd), 8) AS cost_usd FROM rec GROUP BY ROLLUP (model_id)", "rec")
+def run_totals(spark, sf_dir):
+    return outcomes.run_totals(records(spark, sf_dir)).withColumns({"model_id": F.coalesce("model_id", F.lit("run")), "cost_usd": F.round("cost_usd", 8)})
+
+
+@query("SELECT model_id, task_id, round(coalesce(quantile_cont(latency_ms, 0.5) FILTER (status = 'ok' AND NOT cached), 0), 8) AS latency_p50_ms, round(coalesce(quantile_cont(latency_ms, 0.95) FILTER (status = 'ok' AND NOT cached), 0), 8) AS latency_p95_ms FROM rec GROUP BY ALL", "rec")
+def latency_percentiles(spark, sf_dir):
+    return outcomes.trial_stats(records(spark, sf_dir), "model_id", "task_id").select("model_id", "task_id", F.round("latency_p50_ms", 8).alias("latency_p50_ms"), F.round("latency_p95_ms", 8).alias("latency_p95_ms"))
+
+
+@query("SELECT model_id, CASE WHEN count(*) FILTER (status <> 'ok') / count(*) > 0.05 THEN 'many_errors' WHEN count(*) FILTER (status <> 'ok') > 0 THEN 'errors' ELSE 'none' END AS note FROM rec GROUP BY ALL", "rec")
+def error_rate_notes(spark, sf_dir):
+    return outcomes.notes(records(spark, sf_dir))
+
+
+@query("SELECT *, score = max(score) OVER () AND max(score) OVER () > 0 AND count(*) OVER () > 1 AS best FROM (SELECT model_id, round(avg(score), 10) AS score FROM outc GROUP BY ALL)", "rec", "outc")
+def best_model(spark, sf_dir):
+    board = outcomes.collapse_cases(records(spark, sf_dir)).groupBy("model_id").agg(_r(F.avg("score")).alias("score"))
+    return outcomes.best_models(board)
+
+
+@query("SELECT event_id, model_id, task_id, case_id, sample_index, status FROM rec WHERE status <> 'ok' OR NOT coalesce(passed, FALSE)", "rec")
+def show_failures(spark, sf_dir):
+    return records(spark, sf_dir).where(outcomes.failures(None)).select("event_id", "model_id", "task_id", "case_id", "sample_index", "status")
+
+
+@query("SELECT event_id, model_id, task_id, case_id, sample_index FROM rec WHERE status <> 'ok'", "rec")
+def show_errors_only(spark, sf_dir):
+    return records(spark, sf_dir).where(outcomes.failures(None, errors_only=True)).select("event_id", "model_id", "task_id", "case_id", "sample_index")
+
+
+@query("SELECT 'run-events' AS run_id, round(max(score), 10) AS best_score FROM (SELECT model_id, avg(score) AS score FROM outc GROUP BY ALL)", "rec", "outc")
+def ls_best_score(spark, sf_dir):
+    board = outcomes.collapse_cases(records(spark, sf_dir), "zero", "run_id", "model_id", "task_id", "case_id").groupBy("run_id", "model_id").agg(F.avg("score").alias("score"))
+    return board.groupBy("run_id").agg(_r(F.max("score")).alias("best_score"))
+
+
+@query("SELECT DISTINCT model_id FROM rec", "rec")
+def distinct_models(spark, sf_dir):
+    return records(spark, sf_dir).select("model_id").distinct()
+
+
+@query("SELECT model_id, count(*) AS below FROM (SELECT model_id, avg(score) AS score FROM outc GROUP BY ALL) WHERE score < 0.5 GROUP BY ALL", "rec", "outc")
+def gate_fail_under(spark, sf_dir):
+    board = outcomes.collapse_cases(records(spark, sf_dir)).groupBy("model_id").agg(F.avg("score").alias("score"))
+    return board.where("score < 0.5").groupBy("model_id").agg(F.count("*").alias("below"))
+
+
+@query("SELECT model_id, task_id, case_id, samples + coalesce(more, 0) AS samples, round((score * samples) / (samples + coalesce(more, 0)), 10) AS score FROM outc LEFT JOIN (SELECT model_id, task_id, case_id, count(*) AS more FROM rec WHERE status <> 'ok' GROUP BY ALL) USING (model_id, task_id, case_id)", "rec", "outc")
+def resume_append_union(spark, sf_dir):
+    """A resumed run appends a row for each error trial; old rows stay and count."""
+    rows = records(spark, sf_dir)
+    again = rows.where("status <> 'ok'").withColumn("attempts", F.col("attempts") + 1)
+    got = outcomes.collapse_cases(rows.unionByName(again))
+    return got.select("model_id", "task_id", "case_id", "samples", _r("score").alias("score"))
+
+
+@query("SELECT model_id, task_id, case_id, count(*) AS trials FROM rec GROUP BY ALL", "rec")
+def resume_latest(spark, sf_dir):
+    """The same with each trial's last row alone."""
+    rows = records(spark, sf_dir)
+    again = rows.where("status <> 'ok'").withColumn("event_id", F.col("event_id") + 10**12)
+    return outcomes.latest(rows.unionByName(again), "event_id").groupBy("model_id", "task_id", "case_id").agg(F.count("*").alias("trials"))
+
+
+# --- plans -----------------------------------------------------------------------------
+
+_PLAN_SQL = "SELECT model_id, task_id, count(*) AS trials, count(DISTINCT case_id) AS cases FROM {source} GROUP BY ALL"
+
+
+def _plan_counts(df):
+    return df.groupBy("model_id", "task_id").agg(F.count("*").alias("trials"), F.countDistinct("case_id").alias("cases"))
+
+
+@query(_PLAN_SQL.format(source="plan"), "plan")
+def trial_plan_cross(spark, sf_dir):
+    return _plan_counts(_plan(spark, sf_dir))
+
+
+@query("SELECT count(DISTINCT model_id) AS models, count(DISTINCT task_id) AS tasks, count(DISTINCT (task_id, case_id)) AS cases, count(*) AS trials FROM plan", "plan")
+def plan_totals(spark, sf_dir):
+    return trials.totals(_plan(spark, sf_dir))
+
+
+@query("SELECT model_id, task_id, case_id FROM (SELECT DISTINCT model_id, task_id, case_id, ordinal FROM plan) QUALIFY row_number() OVER (PARTITION BY model_id, task_id ORDER BY ordinal) <= 3", "plan")
+def plan_limit_per_task(spark, sf_dir):
+    """The first three cases of each task: the limit is the feature."""
+    first = trials.first_cases(_plan_cases(spark, sf_dir), 3)
+    return trials.expand(_models(spark, sf_dir), first, 1).select("model_id", "task_id", "case_id")
+
+
+@query(_PLAN_SQL.format(source="plan WHERE (task_id LIKE 'U%' OR task_id LIKE '%IN_A') AND model_id LIKE 'A%A'"), "plan")
+def plan_glob_filter(spark, sf_dir):
+    cases = trials.match_globs(_plan_cases(spark, sf_dir), "task_id", ["U*", "*IN?A"])
+    return _plan_counts(trials.expand(trials.match_globs(_models(spark, sf_dir), "model_id", ["A*A"]), cases, 3))
+
+
+@query("SELECT task_id, case_id FROM (SELECT DISTINCT task_id, case_id FROM plan) JOIN (SELECT DISTINCT task_id FROM plan JOIN nation ON n_name = task_id WHERE case_tag = 'Brand#11' OR n_regionkey = 2) USING (task_id)", "plan")
+def plan_tag_filter(spark, sf_dir):
+    return trials.with_tags(_plan_cases(spark, sf_dir), ["Brand#11", "region-2"]).select("task_id", "case_id")
+
+
+@query("SELECT task_id, case_id, format('case-{:03d}', row_number() OVER (PARTITION BY task_id ORDER BY ordinal) - 1) AS default_id FROM (SELECT DISTINCT task_id, case_id, ordinal FROM plan)", "plan")
+def default_case_ids(spark, sf_dir):
+    cases = _plan_cases(spark, sf_dir)
+    named = trials.default_case_ids(cases.withColumn("own_id", F.col("case_id")).withColumn("case_id", F.lit(None).cast("string")))
+    return named.select("task_id", F.col("own_id").alias("case_id"), F.col("case_id").alias("default_id"))
+
+
+@query("SELECT t.model_id, t.task_id, t.case_id, t.sample_index FROM (SELECT DISTINCT model_id, task_id, case_id, s.i AS sample_index FROM rec, (SELECT unnest(range(0, 8)) AS i) s) t ANTI JOIN (SELECT * FROM rec WHERE status = 'ok') r USING (model_id, task_id, case_id, sample_index)", "rec")
+def resume_anti(spark, sf_dir):
+    """Of eight repeats of each case, those without an ok record."""
+    rows = records(spark, sf_dir)
+    wanted = trials.expand(rows.select("model_id").distinct(), rows.select("task_id", "case_id").distinct(), 8)
+    present = rows.select("model_id", "task_id", "case_id").distinct()
+    return trials.remaining(wanted.join(present, ["model_id", "task_id", "case_id"], "left_semi"), rows).select(*trials.KEY)
+
+
+@query("SELECT task_id, case_id, CASE WHEN ordinal % 10 = 0 THEN '[\"own\"]' ELSE '[\"' || task_id || '\"]' END AS scoring FROM (SELECT DISTINCT task_id, case_id, ordinal FROM plan)", "plan")
+def scoring_override(spark, sf_dir):
+    cases = _plan_cases(spark, sf_dir).withColumn("case_scoring", F.when(F.col("ordinal") % 10 == 0, F.lit('["own"]')))
+    tasks = cases.select("task_id").distinct().withColumn("task_scoring", F.to_json(F.array("task_id")))
+    return trials.scoring_of(cases, tasks).select("task_id", "case_id", "scoring")
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) > 1")
+def duplicate_ids(spark, sf_dir):
+    return trials.duplicates(_table(spark, sf_dir, "orders"), "o_custkey")
+
+
+@query("SELECT subject, advice FROM (SELECT task_id AS subject, 'few cases' AS advice FROM (SELECT DISTINCT task_id, case_id FROM plan) GROUP BY task_id HAVING count(*) < 80 UNION ALL SELECT r_name, 'no price' FROM region WHERE r_regionkey % 2 = 1)", "plan")
+def validate_advisories(spark, sf_dir):
+    tasks = _plan_cases(spark, sf_dir).groupBy("task_id").agg(F.count("*").alias("cases"))
+    models = _table(spark, sf_dir, "region").select(F.col("r_name").alias("model_id"), F.lit("http").alias("provider"), (F.col("r_regionkey") % 2 == 0).alias("priced"))
+    return trials.advisories(tasks, models, few_cases=80)
+
+
+@query("SELECT source AS model_id, count(*) AS trials, count(o_orderkey) AS cached_trials, CAST(sum(CASE WHEN length(text) = 0 THEN 0 ELSE (length(text) + 3) // 4 END) AS BIGINT) AS input_tokens, count(*) * 512 AS max_output_tokens, round(sum(CASE WHEN o_orderkey IS NULL THEN (CASE WHEN length(text) = 0 THEN 0 ELSE (length(text) + 3) // 4 END * CAST(3 AS DOUBLE) + 512 * CAST(15 AS DOUBLE)) / 1000000 ELSE 0 END), 8) AS cost_usd FROM documents LEFT JOIN orders ON o_orderkey = doc_id GROUP BY ALL")
+def dry_run_cost(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    requests = docs.select(F.col("source").alias("model_id"), F.sha2(F.col("doc_id").cast("string"), 256).alias("cache_key"), F.col("text").alias("prompt"), F.lit(None).cast("long").alias("max_tokens"), F.lit(3.0).alias("input_per_mtok"), F.lit(15.0).alias("output_per_mtok"))
+    return trials.estimate(requests, _cache(spark, sf_dir)).withColumn("cost_usd", F.round("cost_usd", 8))
+
+
+# --- cache -----------------------------------------------------------------------------
+
+_NOW = 915148800.0
+
+
+@query("SELECT doc_id, payload, payload IS NOT NULL AS cached FROM documents LEFT JOIN cache ON key = sha256(CAST(doc_id AS VARCHAR))", "cache")
+def cache_lookup(spark, sf_dir):
+    requests = _documents(spark, sf_dir).select("doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("cache_key"))
+    return cache.look_up(requests, _cache(spark, sf_dir)).select("doc_id", "payload", "cached")
+
+
+@query("SELECT count(o_orderkey) AS hits, count(*) - count(o_orderkey) AS misses, round(count(o_orderkey) / count(*), 10) AS hit_rate FROM documents LEFT JOIN orders ON o_orderkey = doc_id")
+def cache_run_stats(spark, sf_dir):
+    requests = _documents(spark, sf_dir).select(F.sha2(F.col("doc_id").cast("string"), 256).alias("cache_key"))
+    return cache.run_stats(cache.look_up(requests, _cache(spark, sf_dir))).withColumn("hit_rate", _r("hit_rate"))
+
+
+@query(f"SELECT key, created_at FROM cache WHERE schema_version = 1 AND {_NOW} - created_at <= 86400 * 700", "cache")
+def cache_ttl(spark, sf_dir):
+    return cache.valid(_cache(spark, sf_dir), _NOW, 86400 * 700).select("key", "created_at")
+
+
+@query(f"SELECT key FROM cache WHERE created_at >= {_NOW} - 86400 * 1000", "cache")
+def cache_prune(spark, sf_dir):
+    return cache.pruned(_cache(spark, sf_dir), _NOW, 86400 * 1000).select("key")
+
+
+@query("SELECT count(*) AS entries, min(created_at) AS oldest, max(created_at) AS newest, CAST(sum(hits) AS BIGINT) AS hits FROM cache", "cache")
+def cache_summary(spark, sf_dir):
+    return cache.summary(_cache(spark, sf_dir))
+
+
+@query("SELECT provider, model, count(*) AS entries FROM cache GROUP BY ALL ORDER BY entries DESC, provider, model LIMIT 20", "cache")
+def cache_summary_top20(spark, sf_dir):
+    return cache.by_model(_cache(spark, sf_dir))
+
+
+@query("SELECT key, payload, created_at, hits FROM (SELECT key, CASE WHEN CAST(payload AS BIGINT) % 3 = 0 THEN payload || '-new' ELSE payload END AS payload, CASE WHEN CAST(payload AS BIGINT) % 3 = 0 THEN created_at + 60 ELSE created_at END AS created_at, hits FROM cache)", "cache")
+def cache_upsert(spark, sf_dir):
+    """Every third row is written again a minute later; its hits stay."""
+    old = _cache(spark, sf_dir)
+    new = old.where(F.col("payload").cast("long") % 3 == 0).withColumns({"payload": F.concat("payload", F.lit("-new")), "created_at": F.col("created_at") + 60, "hits": F.lit(0).cast("long")})
+    return cache.upsert(old, new).select("key", "payload", "created_at", "hits")
+
+
+# --- templates and values ---------------------------------------------------------------
+
+
+@query("SELECT item_id, 'Item ' || CAST(item_id AS VARCHAR) || ': ' || replace(upper(text), 'ẞ', 'SS') || ' ({{ ' || CAST(length(text) AS VARCHAR) || ')' AS prompt FROM benchmark")
+def render_prompt(spark, sf_dir):
+    prompt = templates.render("Item {{ id }}: {{ text | upper }} (\\{{ {{ text | len }})", {"id": F.col("item_id"), "text": F.col("text")})
+    return _table(spark, sf_dir, "benchmark").select("item_id", prompt.alias("prompt"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'lang,source' ELSE 'lang' END AS needed, CASE WHEN doc_id % 2 = 0 THEN 'source' ELSE '' END AS missing FROM documents")
+def missing_vars(spark, sf_dir):
+    template = F.when(F.col("doc_id") % 2 == 0, "{{ source | upper }} in {{lang}} {{ lang }}").otherwise("in {{ lang }} \\{{ not }}")
+    needed = templates.variables_of(template)
+    return _documents(spark, sf_dir).select("doc_id", F.array_join(needed, ",").alias("needed"), F.array_join(templates.missing(needed, F.array(F.lit("lang"), F.lit("text"))), ",").alias("missing"))
+
+
+@query("SELECT conv_id, md5(concat_ws(E'\\n\\n', nullif(max(text) FILTER (role = 'system'), ''), coalesce(string_agg(role || ': ' || text, E'\\n\\n' ORDER BY turn) FILTER (role <> 'system'), ''))) AS prompt_md5 FROM conversations GROUP BY conv_id")
+def prompt_text(spark, sf_dir):
+    return _chat(spark, sf_dir).select("conv_id", F.md5(V.prompt_text(F.col("system"), F.col("messages")).cast("binary")).alias("prompt_md5"))
+
+
+@query("SELECT doc_id, CAST(CASE WHEN length(text) = 0 THEN 0 ELSE (length(text) + 3) // 4 END AS BIGINT) AS tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", V.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("""SELECT doc_id, sha256('{"model":"' || lang || '","params":"{}","role":"candidate","sample":' || CAST(doc_id % 3 AS VARCHAR) || ',"system":null}') AS key FROM documents""")
+def request_cache_key(spark, sf_dir):
+    fields = {"role": F.lit("candidate"), "model": F.col("lang"), "sample": F.col("doc_id") % 3, "system": F.lit(None).cast("string"), "params": F.lit("{}")}
+    return _documents(spark, sf_dir).select("doc_id", V.cache_key(fields).alias("key"))
+
+
+@query("""SELECT n_regionkey, sha256('["' || string_agg(sha256(n_name), '","' ORDER BY sha256(n_name)) || '"]') AS fingerprint FROM nation GROUP BY ALL""")
+def suite_fingerprint(spark, sf_dir):
+    return _table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(V.suite_fingerprint(F.sha2("n_name", 256)).alias("fingerprint"))
+
+
+@query("SELECT c_custkey, 'max=' || CASE WHEN c_custkey % 3 = 0 THEN '50' ELSE '100' END || ',t=' || CASE WHEN c_custkey % 2 = 0 THEN '0' ELSE '1' END AS params FROM customer")
+def params_merge(spark, sf_dir):
+    suite = F.create_map(F.lit("t"), F.lit("1"), F.lit("max"), F.lit("100"))
+    none = F.create_map().cast("map<string,string>")
+    task = F.when(F.col("c_custkey") % 3 == 0, F.create_map(F.lit("max"), F.lit("50"))).otherwise(none)
+    model = F.when(F.col("c_custkey") % 2 == 0, F.create_map(F.lit("t"), F.lit("0"))).otherwise(none)
+    entries = F.array_sort(F.transform(F.map_entries(V.merge_params(suite, task, model)), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return _table(spark, sf_dir, "customer").select("c_custkey", F.array_join(entries, ",").alias("params"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size / CAST(100 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS threshold FROM part")
+def threshold_resolve(spark, sf_dir):
+    own = F.when(F.col("p_size") % 2 == 0, F.col("p_size") / 100)
+    return _table(spark, sf_dir, "part").select("p_partkey", F.coalesce(own, F.lit(0.5)).alias("threshold"))
+
+
+@query("SELECT event_id, CASE WHEN s < 400 THEN 'ok' WHEN s = 429 THEN 'rate_limited' WHEN s IN (408, 409, 425, 500, 502, 503, 504, 529) THEN 'transient' ELSE 'fatal' END AS outcome FROM (SELECT event_id, 200 + event_id % 400 AS s FROM events)")
+def status_taxonomy(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", V.http_outcome(F.lit(200) + F.col("event_id") % 400).alias("outcome"))
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN CAST(event_id AS DOUBLE) WHEN 1 THEN event_id * CAST(60 AS DOUBLE) WHEN 2 THEN event_id * CAST(3600 AS DOUBLE) WHEN 3 THEN event_id * CAST(86400 AS DOUBLE) END AS seconds FROM events")
+def duration_parse(spark, sf_dir):
+    unit = F.get(F.array(F.lit(""), F.lit("m"), F.lit(" H "), F.lit("d"), F.lit("y")), (F.col("event_id") % 5).cast("int"))
+    return _table(spark, sf_dir, "events").select("event_id", V.duration_seconds(F.concat(F.col("event_id").cast("string"), unit)).alias("seconds"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(event_id AS DOUBLE) WHEN 1 THEN event_id / CAST(1000 AS DOUBLE) WHEN 2 THEN CAST(event_id AS DOUBLE) END AS seconds FROM events")
+def retry_after_parse(spark, sf_dir):
+    unit = F.get(F.array(F.lit(""), F.lit("ms"), F.lit("s"), F.lit(" GMT")), (F.col("event_id") % 4).cast("int"))
+    return _table(spark, sf_dir, "events").select("event_id", V.retry_after_seconds(F.concat(F.col("event_id").cast("string"), unit)).alias("seconds"))
+
+
+@query("SELECT doc_id, regexp_replace(left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 32), '^-+|-+$', '', 'g') AS slug FROM documents")
+def slugify(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", T.slug(F.col("text")).alias("slug"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 80 THEN left(text, 80) || ' ...[+' || CAST(length(text) - 80 AS VARCHAR) || ' chars]' ELSE text END AS short FROM documents")
+def truncate_text(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", T.truncate(F.col("text"), 80).alias("short"))
+
+
+@query("SELECT event_id, left('run-2026-' || CAST(ts AS DATE) || '-events', 22) || ':' || event_type AS label, task_id || '/' || case_id AS unit FROM events JOIN rec USING (event_id)", "rec")
+def labels_of_sides(spark, sf_dir):
+    run = F.concat(F.lit("run-2026-"), F.date_format("ts", "yyyy-MM-dd"), F.lit("-events"))
+    e = _table(spark, sf_dir, "events").select("event_id", V.side_label(run, F.col("event_type")).alias("label"))
+    return e.join(records(spark, sf_dir).select("event_id", V.unit_id(F.col("task_id"), F.col("case_id")).alias("unit")), "event_id")
+
+
+@query("SELECT event_id, round(cost_usd, 10) AS cost_usd FROM rec", "rec")
+def trial_cost(spark, sf_dir):
+    return records(spark, sf_dir).select("event_id", _r("cost_usd").alias("cost_usd"))
+
+
+@query("SELECT conv_id, md5(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS text_md5 FROM conversations GROUP BY ALL")
+def text_block_flatten(spark, sf_dir):
+    blocks = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda b: F.struct(F.when(b["role"] == "assistant", "text").otherwise("tool").alias("type"), b["text"].alias("text")))
+    return _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(blocks.alias("b")).select("conv_id", F.md5(V.text_blocks(F.col("b")).cast("binary")).alias("text_md5"))
+
+
+@query("SELECT conv_id, min(text) FILTER (turn = first_turn) AS expected FROM (SELECT *, min(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS first_turn FROM conversations) GROUP BY ALL")
+def expected_answer(spark, sf_dir):
+    return _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by(F.when(F.col("role") == "assistant", F.col("text")), F.when(F.col("role") == "assistant", F.col("turn"))).alias("expected"))
+
+
+@query("""SELECT item_id, md5(concat_ws(E'\\n\\n', E'RESPONSE\\n' || text, E'RUBRIC\\n- accuracy: is right\\n- brevity: is short', E'SCALE\\nInteger scores from 0 to 4.', E'FORMAT\\n{"accuracy":"score","brevity":"score"}')) AS prompt_md5 FROM benchmark""")
+def judge_prompt(spark, sf_dir):
+    prompt = V.judge_prompt(F.col("text"), [("accuracy", "is right"), ("brevity", "is short")], 4)
+    return _table(spark, sf_dir, "benchmark").select("item_id", F.md5(prompt.cast("binary")).alias("prompt_md5"))
+
+
+# --- normalizers -----------------------------------------------------------------------
+
+_STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+_COLLAPSE = _STRIP.format(x=r"regexp_replace({x}, '\s+', ' ', 'g')")
+_THINK = "text"
+for _tag in ("think", "thinking", "scratchpad", "reasoning"):
+    _THINK = f"regexp_replace({_THINK}, '(?is)<{_tag}>.*?</{_tag}>', '', 'g')"
+_LINES = r"list_filter(list_transform(regexp_split_to_array(text, '\r\n|\n|\r'), lambda x: " + _STRIP.format(x="x") + "), lambda x: x <> '')"
+_NUMBERS = r"list_transform(regexp_extract_all(text, '[-+]?\d{1,3}(?:,\d{3})+(?:\.\d+)?|[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?'), lambda x: replace(x, ',', ''))"
+_QUOTED = _STRIP.format(x="text")
+_LETTERS = r"regexp_extract_all(regexp_replace({x}, '([^\p{{L}}\p{{N}}_])', '\1\1', 'g') || '  ', '(?:^|[^\p{{L}}\p{{N}}_])([A-Ja-j])[).:,\s]', 1)"
+_LAST = "list_extract({x}, -1)"
+_LINE = r"regexp_replace(coalesce(list_extract(" + _LINES + r", -1), ''), '(?i)^(?:the\s+)?(?:final\s+)?answer\s*(?:is|:)\s*', '')"
+_CHOICE_SQL = f"coalesce(upper({_LAST.format(x=_LETTERS.format(x=_LINE))}), upper({_LAST.format(x=_LETTERS.format(x='text'))}), {_QUOTED})"
+
+_NORMALIZED = {
+    "strip": _QUOTED,
+    "collapse_whitespace": _COLLAPSE.format(x="text"),
+    "lower": "lower(text)",
+    "upper": "replace(upper(text), 'ẞ', 'SS')",
+    "strip_punctuation": r"""regexp_replace(regexp_replace(text, '^[\s"''`(\[{<.,;:!?*_-]+', ''), '[\s"''`)\]}>.,;:!?*_-]+$', '')""",
+    "strip_articles": _COLLAPSE.format(x=r"array_to_string(list_transform(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+'), lambda x: CASE WHEN lower(x) IN ('a', 'an', 'the') THEN ' ' ELSE x END), '')"),
+    "strip_code_fence": r"CASE WHEN regexp_matches(" + _QUOTED + r", '(?s)^\s*```[a-zA-Z0-9_+-]*\s*\n?(.*?)\n?\s*```\s*$') THEN regexp_extract(" + _QUOTED + r", '(?s)^\s*```[a-zA-Z0-9_+-]*\s*\n?(.*?)\n?\s*```\s*$', 1) ELSE text END",
+    "strip_thinking": _STRIP.format(x=_THINK),
+    "strip_quotes": f"""CASE WHEN length({_QUOTED}) >= 2 AND (({_QUOTED} LIKE '"%"') OR ({_QUOTED} LIKE '''%''') OR ({_QUOTED} LIKE '“%”') OR ({_QUOTED} LIKE '‘%’')) THEN {_STRIP.format(x=f"substr({_QUOTED}, 2, length({_QUOTED}) - 2)")} ELSE {_QUOTED} END""",
+    "strip_answer_prefix": r"regexp_replace(" + _QUOTED + r", '(?i)^(?:the\s+)?(?:final\s+)?answer\s*(?:is|:)\s*', '')",
+    "strip_trailing_period": "CASE WHEN text LIKE '%.' THEN left(text, length(text) - 1) ELSE text END",
+    "first_line": f"coalesce(list_extract({_LINES}, 1), '')",
+    "last_line": f"coalesce(list_extract({_LINES}, -1), '')",
+    "extract_boxed": r"coalesce(" + _STRIP.format(x=r"list_extract(regexp_extract_all(text, '\\boxed\{([^{}]*)\}', 1), -1)") + ", text)",
+    "extract_last_number": f"coalesce(list_extract({_NUMBERS}, -1), text)",
+    "extract_first_number": f"coalesce(list_extract({_NUMBERS}, 1), text)",
+    "extract_choice": _CHOICE_SQL,
+}
+
+
+def _normalizer(name):
+    def run(spark, sf_dir):
+        return _documents(spark, sf_dir).select("doc_id", F.md5(T.NORMALIZERS[name](F.col("text")).cast("binary")).alias("text_md5"))
+
+    run.__name__ = f"normalize_{name}"
+    return run
+
+
+for _name, _sql in _NORMALIZED.items():
+    query(f"SELECT doc_id, md5({_sql}) AS text_md5 FROM documents")(_normalizer(_name))
+
+
+@query()
+def normalize_strip_markdown(spark, sf_dir):
+    return _normalizer("strip_markdown")(spark, sf_dir)
+
+
+@query("SELECT doc_id, md5(nfc_normalize(text)) AS text_md5 FROM documents")
+def normalize_unicode_nfkc(spark, sf_dir):
+    return _normalizer("normalize_unicode")(spark, sf_dir)
+
+
+# --- scorers ---------------------------------------------------------------------------
+
+
+def _scored(spark, sf_dir, score):
+    return _documents(spark, sf_dir).select("doc_id", score(F.col("text")).alias("s")).select("doc_id", _r("s.value").alias("value"), "s.passed")
+
+
+def _bool_sql(condition):
+    return f"SELECT doc_id, CASE WHEN c THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS value, c AS passed FROM (SELECT doc_id, {condition} AS c FROM documents)"
+
+
+@query(_bool_sql("lower(regexp_extract(text, '^[^ ]*')) IN ('the', 'la', 'der')"))
+def score_exact(spark, sf_dir):
+    return _scored(spark, sf_dir, lambda x: scorers.exact_match(F.regexp_extract(x, "^[^ ]*", 0), "The", ["La", "Der"], case_sensitive=False, normalize=()))
+
+
+@query("SELECT doc_id, round(CASE WHEN any_hit THEN share ELSE CAST(0 AS DOUBLE) END, 10) AS value, any_hit AND share = 1 AS passed FROM (SELECT doc_id, contains(lower(text), 'the') OR contains(lower(text), 'der') AS any_hit, (CAST(contains(lower(text), 'and') AS INT) + CAST(contains(lower(text), 'token') AS INT) + CAST(contains(lower(text), 'und') AS INT)) / CAST(3 AS DOUBLE) AS share FROM documents)")
+def score_contains(spark, sf_dir):
+    return _scored(spark, sf_dir, lambda x: scorers.contains(x, "The", ["Der"], ["and", "token", "und"]))
+
+
+@query("SELECT doc_id, 1 - round(share, 10) AS value, NOT share = 1 AS passed FROM (SELECT doc_id, (CAST(contains(lower(text), 'password') AS INT) + CAST(contains(lower(text), 'token') AS INT)) / CAST(2 AS DOUBLE) AS share FROM documents)")
+def score_not_contains(spark, sf_dir):
+    return _scored(spark, sf_dir, lambda x: scorers.not_contains(x, all_of=["password", "token"]))
+
+
+@query(_bool_sql("regexp_matches(text, '(?i)password=[0-9a-f]+')"))
+def score_regex(spark, sf_dir):
+    return _scored(spark, sf_dir, lambda x: scorers.regex(x, "password=(?P<secret>[0-9A-F]+)", ["i"]))
+
+
+@query(_bool_sql(f"list_has_any(list_transform({_NUMBERS}, lambda x: CASE WHEN abs(TRY_CAST(x AS DOUBLE) - 500) <= 100 THEN 1 ELSE 0 END), [1])"))
+def score_numeric(spark, sf_dir):
+    return _scored(spark, sf_dir, lambda x: scorers.numeric(x, 500, tolerance=100, extract="all"))
+
+
+@query(_bool_sql(f"CASE WHEN {_CHOICE_SQL} IN ('A', 'B', 'C', 'D') THEN {_CHOICE_SQL} ELSE upper(left({_CHOICE_SQL}, 1)) END = 'A'"))
+def score_choice(spark, sf_dir):
+    return _scored(spark, sf_dir, lambda x: scorers.choice(x, "A"))
+
+
+@query("SELECT event_id, CASE WHEN k = 7 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS value, k = 7 AS passed FROM (SELECT event_id, CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT) AS k FROM events)")
+def score_json(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    return e.select("event_id", scorers.json_match(F.concat(F.lit("Sure! "), "props", F.lit(" as asked")), {"k": 7}).alias("s")).select("event_id", "s.value", "s.passed")
+
+
+_COMPONENTS = """SELECT doc_id, round(least(1, greatest(0, mean)), 10) AS score, {passed} AS passed FROM (
+SELECT doc_id, sum(v * w) / sum(w) AS mean, bool_and(v > 0) FILTER (req) AS all_required FROM (
+SELECT doc_id, CAST(contains(lower(text), 'the') AS INT) AS v, CAST(3 AS DOUBLE) AS w, TRUE AS req FROM documents UNION ALL
+SELECT doc_id, CAST(contains(lower(text), 'und') AS INT), CAST(1 AS DOUBLE), FALSE FROM documents UNION ALL
+SELECT doc_id, CAST(regexp_matches(text, '[0-9]') AS INT), CAST(2 AS DOUBLE), FALSE FROM documents) GROUP BY doc_id)"""
+
+
+def _components(spark, sf_dir):
+    x = F.col("text")
+    parts = [(scorers.contains(x, "the"), 3.0, True), (scorers.contains(x, "und"), 1.0, False), (scorers.regex(x, "[0-9]"), 2.0, False)]
+    made = F.array(*(F.struct(s["value"].alias("value"), s["passed"].alias("passed"), F.lit(w).alias("weight"), F.lit(r).alias("required")) for s, w, r in parts))
+    return _documents(spark, sf_dir).select("doc_id", F.explode(made).alias("c")).select("doc_id", "c.*")
+
+
+@query(_COMPONENTS.format(passed="all_required AND mean >= CAST(0.6 AS DOUBLE)"))
+def verdict_weighted(spark, sf_dir):
+    return scorers.verdicts(_components(spark, sf_dir), ["doc_id"], 0.6).select("doc_id", _r("score").alias("score"), "passed")
+
+
+@query(_COMPONENTS.format(passed="all_required"))
+def verdict_required(spark, sf_dir):
+    return scorers.verdicts(_components(spark, sf_dir), ["doc_id"]).select("doc_id", _r("score").alias("score"), "passed")
+
+
+# --- generated answers ------------------------------------------------------------------
+
+_HASH = "CAST(CAST('0x' || left(sha256({x}), 16) AS UBIGINT) AS DOUBLE) / 18446744073709551616"
+
+
+@query(f"SELECT item_id, round({_HASH.format(x=chr(39) + 'difficulty' + chr(39) + ' || chr(31) || text')}, 12) AS difficulty FROM benchmark")
+def mock_unit_hash(spark, sf_dir):
+    return _table(spark, sf_dir, "benchmark").select("item_id", F.round(V.unit_hash("difficulty", F.col("text")), 12).alias("difficulty"))
+
+
+@query(
+    "SELECT model_id, count(*) AS trials, count(*) FILTER (draw < p) AS correct FROM (SELECT model_id, "
+    + _HASH.format(x="'draw' || chr(31) || model_id || chr(31) || CAST(item_id AS VARCHAR) || chr(31) || CAST(s AS VARCHAR)")
+    + " AS draw, least(1, greatest(0, ability + CAST(0.6 AS DOUBLE) * (CAST(0.5 AS DOUBLE) - "
+    + _HASH.format(x="'difficulty' || chr(31) || text")
+    + "))) AS p FROM benchmark, (SELECT unnest([0, 1, 2]) AS s) r, (VALUES ('baseline', CAST(0.4 AS DOUBLE)), ('candidate', CAST(0.9 AS DOUBLE))) m(model_id, ability)) GROUP BY ALL"
+)
+def mock_accuracy(spark, sf_dir):
+    """Answers of two pretended models: right where a hash falls below ability, less for harder items."""
+    models = F.explode(F.array(F.struct(F.lit("baseline").alias("model_id"), F.lit(0.4).alias("ability")), F.struct(F.lit("candidate").alias("model_id"), F.lit(0.9).alias("ability")))).alias("m")
+    rows = _table(spark, sf_dir, "benchmark").select("item_id", "text", models).select("item_id", "text", "m.*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("s"))
+    p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("ability") + F.lit(0.6) * (F.lit(0.5) - V.unit_hash("difficulty", F.col("text")))))
+    right = V.unit_hash("draw", F.col("model_id"), F.col("item_id"), F.col("s")) < p
+    return rows.withColumn("right", right).groupBy("model_id").agg(F.count("*").alias("trials"), F.count_if("right").alias("correct"))
+
+
+# --- statistics ------------------------------------------------------------------------
+
+_R, _SEED = 400, 7
+_DRAW = "CAST(floor(CAST(CAST('0x' || left(sha256('{seed}' || ':' || CAST(rep AS VARCHAR) || ':' || CAST(j AS VARCHAR)), 12) AS UBIGINT) AS DOUBLE) / 281474976710656 * k) AS BIGINT)"
+_REPS = f"reps AS (SELECT g.model_id, g.rep, sum(total) / sum(n) AS mean FROM (SELECT model_id, rep, {_DRAW.format(seed=_SEED)} AS i FROM (SELECT DISTINCT model_id, k FROM clu), (SELECT unnest(range(0, {_R})) AS rep) r, (SELECT unnest(range(0, 40)) AS j) d WHERE j < k) g JOIN clu USING (model_id, i) GROUP BY ALL)"
+_VIEWS["reps"] = _REPS
+_VIEWS["pclu"] = "pclu AS (SELECT *, row_number() OVER (ORDER BY cluster) - 1 AS i, count(*) OVER () AS k FROM (SELECT cluster, sum(delta) AS total, count(*) AS n FROM pairs GROUP BY ALL))"
+_VIEWS["preps"] = f"preps AS (SELECT g.rep, sum(total) / sum(n) AS mean FROM (SELECT rep, {_DRAW.format(seed=_SEED)} AS i FROM (SELECT DISTINCT k FROM pclu), (SELECT unnest(range(0, {_R})) AS rep) r, (SELECT unnest(range(0, 40)) AS j) d WHERE j < k) g JOIN pclu USING (i) GROUP BY ALL)"
+
+
+def _clusters(spark, sf_dir):
+    return bootstrap.clusters(outcomes.observations(outcomes.collapse_cases(records(spark, sf_dir))), "model_id")
+
+
+@query("SELECT model_id, rep, round(mean, 10) AS mean FROM reps", "rec", "outc", "clu", "reps")
+def boot_replicates(spark, sf_dir):
+    return bootstrap.replicates(_clusters(spark, sf_dir), _R, _SEED, "model_id").withColumn("mean", _r("mean"))
+
+
+@query("SELECT model_id, round(point, 10) AS point, round(low, 10) AS low, round(high, 10) AS high, round(std_error, 10) AS std_error, n_clusters FROM (SELECT model_id, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high, stddev_pop(mean) AS std_error FROM reps GROUP BY ALL) JOIN (SELECT model_id, sum(total) / sum(n) AS point, count(*) AS n_clusters FROM clu GROUP BY ALL) USING (model_id)", "rec", "outc", "clu", "reps")
+def boot_ci_percentile(spark, sf_dir):
+    got = bootstrap.percentile_intervals(_clusters(spark, sf_dir), _R, _SEED)
+    return got.select("model_id", *(_r(c).alias(c) for c in ("point", "low", "high", "std_error")), "n_clusters")
+
+
+@query()
+def boot_ci_bca_exact(spark, sf_dir):
+    """Intervals by the draws of Python's generator: a test holds them against a plain loop."""
+    obs = outcomes.observations(outcomes.collapse_cases(records(spark, sf_dir)))
+    return bootstrap.exact_bootstrap(obs.withColumn("ordinal", F.col("unit")), 500, 0)
+
+
+@query("SELECT model_id, cluster, round((sum(total) OVER w - total) / (sum(n) OVER w - n), 10) AS without FROM clu WINDOW w AS (PARTITION BY model_id)", "rec", "outc", "clu")
+def jackknife(spark, sf_dir):
+    return bootstrap.jackknife(_clusters(spark, sf_dir), "model_id").select("model_id", "cluster", _r("without").alias("without"))
+
+
+@query("SELECT unit, cluster, round(value_a, 10) AS value_a, round(value_b, 10) AS value_b, round(delta, 10) AS delta FROM pairs", "rec", "outc", "pairs")
+def paired_delta(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("unit", "cluster", *(_r(c).alias(c) for c in ("value_a", "value_b", "delta")))
+
+
+@query("SELECT rep, round(mean, 10) AS mean FROM preps", "rec", "outc", "pairs", "pclu", "preps")
+def paired_boot(spark, sf_dir):
+    return compare.paired_replicates(_pairs(spark, sf_dir), _R, _SEED).withColumn("mean", _r("mean"))
+
+
+_UNPAIRED = f"SELECT g.rep, sum(total) / sum(n) AS mean FROM (SELECT rep, {_DRAW} AS i FROM (SELECT DISTINCT k FROM clu WHERE model_id = '{{model}}'), (SELECT unnest(range(0, {_R})) AS rep) r, (SELECT unnest(range(0, 40)) AS j) d WHERE j < k) g JOIN (SELECT * FROM clu WHERE model_id = '{{model}}') USING (i) GROUP BY ALL"
+
+
+@query(f"SELECT rep, round(a.mean - b.mean, 10) AS mean FROM ({_UNPAIRED.format(seed=_SEED, model='candidate')}) a JOIN ({_UNPAIRED.format(seed=_SEED + 1, model='baseline')}) b USING (rep)", "rec", "outc", "clu")
+def unpaired_boot(spark, sf_dir):
+    return compare.unpaired_replicates(*_sides(spark, sf_dir), _R, _SEED).withColumn("mean", _r("mean"))
+
+
+@query("SELECT unit, side FROM (SELECT DISTINCT task_id || '/' || case_id AS unit, 'a' AS side FROM outc WHERE model_id = 'candidate' AND NOT (task_id = 'task-03') UNION ALL SELECT DISTINCT task_id || '/' || case_id, 'b' FROM outc WHERE model_id = 'baseline' AND NOT (task_id = 'task-05')) GROUP BY unit, side HAVING count(*) > 0 AND unit NOT IN (SELECT a.task_id || '/' || a.case_id FROM outc a JOIN outc b ON a.task_id = b.task_id AND a.case_id = b.case_id AND a.model_id = 'candidate' AND b.model_id = 'baseline' WHERE a.task_id NOT IN ('task-03', 'task-05'))", "rec", "outc")
+def only_in_sides(spark, sf_dir):
+    a, b = _sides(spark, sf_dir)
+    return compare.only_in(a.where("cluster <> 'task-03'"), b.where("cluster <> 'task-05'"))
+
+
+@query("SELECT count(*) AS n_paired, round(avg(value_a), 10) AS mean_a, round(avg(value_b), 10) AS mean_b, round(avg(delta), 10) AS delta, count(*) FILTER (delta > 0) AS wins, count(*) FILTER (delta < 0) AS losses, count(*) FILTER (delta = 0) AS ties FROM pairs", "rec", "outc", "pairs")
+def wins_losses_ties(spark, sf_dir):
+    return compare.sign_counts(_pairs(spark, sf_dir)).withColumns({c: _r(c) for c in ("mean_a", "mean_b", "delta")})
+
+
+_CHOOSE = "exp(lgamma(a + b + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) - (a + b) * ln(CAST(2 AS DOUBLE)))"
+
+
+@query(f"SELECT a AS only_a, b AS only_b, round(CASE WHEN a + b = 0 THEN CAST(1 AS DOUBLE) ELSE least(1, 2 * (SELECT sum({_CHOOSE}) FROM (SELECT unnest(range(0, 1001)) AS i) WHERE i <= least(a, b))) END, 8) AS p_value FROM (SELECT count(*) FILTER (value_a = 1 AND value_b = 0) AS a, count(*) FILTER (value_a = 0 AND value_b = 1) AS b FROM lab)", "lab")
+def mcnemar(spark, sf_dir):
+    return compare.discordant(_labels(spark, sf_dir)).withColumn("p_value", F.round("p_value", 8))
+
+
+_Z = 1.9599639845400545 + 0.8416212335729143
+
+
+@query(f"SELECT round({_Z!r} * stddev_pop(mean), 8) AS mde FROM preps", "rec", "outc", "pairs", "pclu", "preps")
+def mde(spark, sf_dir):
+    reps = compare.paired_replicates(_pairs(spark, sf_dir), _R, _SEED)
+    return reps.agg(F.stddev_pop("mean").alias("se")).select(F.round(bootstrap.mde(F.col("se")), 8).alias("mde"))
+
+
+@query(f"SELECT cluster, CASE WHEN abs(d) = 0 OR s = 0 THEN 0 ELSE CAST(greatest(1, ceil(pow({_Z!r} * s / abs(d), 2))) AS BIGINT) END AS cases FROM (SELECT cluster, round(stddev_pop(delta), 10) AS s, round(avg(delta), 10) AS d FROM pairs GROUP BY ALL)", "rec", "outc", "pairs")
+def required_cases(spark, sf_dir):
+    by = _pairs(spark, sf_dir).groupBy("cluster").agg(_r(F.stddev_pop("delta")).alias("s"), _r(F.avg("delta")).alias("d"))
+    return by.select("cluster", bootstrap.required_cases(F.col("s"), F.abs("d")).alias("cases"))
+
+
+@query("SELECT cluster, CASE WHEN count(*) < 2 THEN 'inconclusive' WHEN avg(delta) - 2 * stddev_pop(delta) / sqrt(count(*)) > 0 THEN 'improvement' WHEN avg(delta) + 2 * stddev_pop(delta) / sqrt(count(*)) < 0 THEN 'regression' ELSE 'no significant difference' END AS verdict FROM pairs GROUP BY ALL", "rec", "outc", "pairs")
+def verdict_label(spark, sf_dir):
+    half = 2 * F.stddev_pop("delta") / F.sqrt(F.count("*").cast("double"))
+    method = F.when(F.count("*") < 2, "degenerate").otherwise("percentile")
+    return _pairs(spark, sf_dir).groupBy("cluster").agg((F.avg("delta") - half).alias("low"), (F.avg("delta") + half).alias("high"), method.alias("method")).select("cluster", compare.verdict(F.col("low"), F.col("high"), F.col("method")).alias("verdict"))
+
+
+@query("SELECT unit, round(delta, 10) AS delta FROM (SELECT unit, delta FROM pairs WHERE delta <> 0 ORDER BY abs(delta) DESC, unit LIMIT 15)", "rec", "outc", "pairs")
+def case_deltas_topk(spark, sf_dir):
+    return compare.case_deltas(_pairs(spark, sf_dir)).select("unit", _r("delta").alias("delta"))
+
+
+@query("SELECT coalesce(a.n_name, b.n_name) AS task_id, CASE WHEN b.n_name IS NULL THEN 'removed' WHEN a.n_name IS NULL THEN 'added' ELSE 'changed' END AS change FROM (SELECT n_name, n_nationkey FROM nation WHERE n_nationkey % 7 <> 1) a FULL JOIN (SELECT n_name, n_nationkey FROM nation WHERE n_nationkey % 7 <> 2) b ON a.n_name = b.n_name WHERE a.n_name IS NULL OR b.n_name IS NULL OR b.n_nationkey % 5 = 0")
+def changed_tasks(spark, sf_dir):
+    n = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("task_id"), "n_nationkey", F.sha2("n_name", 256).alias("fingerprint"))
+    other = n.where("n_nationkey % 7 <> 2").withColumn("fingerprint", F.when(F.col("n_nationkey") % 5 == 0, F.reverse("fingerprint")).otherwise(F.col("fingerprint")))
+    return compare.changed_tasks(n.where("n_nationkey % 7 <> 1"), other)
+
+
+@query("SELECT CASE WHEN count(DISTINCT CASE WHEN r_regionkey > 1 THEN 'exclude' ELSE 'zero' END) = 1 THEN min(CASE WHEN r_regionkey > 1 THEN 'exclude' ELSE 'zero' END) ELSE 'zero' END AS errors FROM region")
+def error_policy(spark, sf_dir):
+    return compare.error_policy(_table(spark, sf_dir, "region").select(F.when(F.col("r_regionkey") > 1, "exclude").otherwise("zero").alias("errors")))
+
+
+@query("SELECT side, warning FROM (SELECT CASE WHEN model_id = 'candidate' THEN 'a' ELSE 'b' END AS side, 'many errors' AS warning FROM rec GROUP BY model_id HAVING count(*) FILTER (status <> 'ok') / count(*) > 0.05)", "rec")
+def comparability_warnings(spark, sf_dir):
+    rows = records(spark, sf_dir)
+    return compare.warnings(rows.where("model_id = 'candidate'"), rows.where("model_id = 'baseline'"))
+
+
+# --- judge -----------------------------------------------------------------------------
+
+
+@query("SELECT trial, criterion, median, spread, samples FROM crit", "polls", "crit")
+def judge_median_spread(spark, sf_dir):
+    return judge.criteria(_polls(spark, sf_dir), "trial").select("trial", "criterion", "median", "spread", "samples")
+
+
+_JUDGED = "SELECT trial, round(sum(median * weight) / sum(weight * 4), 10) AS score, sum(median * weight) / sum(weight * 4) >= CAST(0.6 AS DOUBLE) AS passed, max(spread / 4) AS disagreement FROM crit GROUP BY ALL"
+
+
+@query(_JUDGED, "polls", "crit")
+def judge_score(spark, sf_dir):
+    return judge.scores(judge.criteria(_polls(spark, sf_dir), "trial"), "trial").withColumn("score", _r("score"))
+
+
+@query(f"SELECT trial, score, disagreement FROM ({_JUDGED}) ORDER BY disagreement DESC, trial LIMIT 10", "polls", "crit")
+def judge_disagreement_topk(spark, sf_dir):
+    scored = judge.scores(judge.criteria(_polls(spark, sf_dir), "trial"), "trial")
+    return judge.most_disagreed(scored, "trial").select("trial", _r("score").alias("score"), "disagreement")
+
+
+@query("SELECT task_id, count(*) AS calls, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS tokens, count(*) FILTER (cached) AS cache_hits, round(sum(cost_usd), 8) AS cost_usd FROM rec GROUP BY ALL", "rec")
+def judge_cost(spark, sf_dir):
+    return judge.costs(records(spark, sf_dir), "task_id").withColumn("cost_usd", F.round("cost_usd", 8))
+
+
+@query("SELECT event_id, criterion, CASE WHEN criterion = 'k' THEN k END AS score FROM (SELECT event_id, CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS DOUBLE) AS k FROM events), (SELECT unnest(['k', 'z']) AS criterion) c")
+def judge_poll_parse(spark, sf_dir):
+    polls = _table(spark, sf_dir, "events").select("event_id", F.col("props").alias("reply"), F.explode(F.array(F.lit("k"), F.lit("z"))).alias("criterion"))
+    return judge.poll_scores(polls).select("event_id", "criterion", "score")
