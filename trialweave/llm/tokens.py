@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Pieces that a Python worker keeps, and bytes of text that are cut together.
-MOST_PIECES, CHUNK_BYTES = 500_000, 3 << 20
+MOST_PIECES, CHUNK_BYTES = 1_200_000, 3 << 20
 
 _LETTER, _POINT, _WHITE = (np.zeros(256, bool) for _ in range(3))
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
