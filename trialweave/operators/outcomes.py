@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-OK = F.expr("status = 'ok'")
+
+def ok() -> Column:
+    return F.col("status") == "ok"
 
 
 def collapse_cases(records: DataFrame, errors: str = "zero", *keys: str) -> DataFrame:
@@ -15,15 +17,15 @@ def collapse_cases(records: DataFrame, errors: str = "zero", *keys: str) -> Data
     """
     if errors not in ("zero", "exclude"):
         raise ValueError(f"errors is {errors!r}, not zero or exclude")
-    score = F.when(OK, F.coalesce("score", F.lit(0.0)))
-    passed = F.when(OK, F.coalesce(F.col("passed").cast("double"), F.lit(0.0)))
+    score = F.when(ok(), F.coalesce("score", F.lit(0.0)))
+    passed = F.when(ok(), F.coalesce(F.col("passed").cast("double"), F.lit(0.0)))
     if errors == "zero":
         score, passed = F.coalesce(score, F.lit(0.0)), F.coalesce(passed, F.lit(0.0))
     out = records.groupBy(*(keys or ("model_id", "task_id", "case_id"))).agg(
         F.avg(score).alias("score"),
         F.avg(passed).alias("passed"),
-        (F.count("*") if errors == "zero" else F.count_if(OK)).alias("samples"),
-        F.count_if(~OK).alias("errors"),
+        (F.count("*") if errors == "zero" else F.count_if(ok())).alias("samples"),
+        F.count_if(~ok()).alias("errors"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags"),
     )
     return out.where("samples > 0")
@@ -39,7 +41,7 @@ def observations(outcomes: DataFrame, metric: str = "score", cluster_by: str = "
 def task_stats(records: DataFrame, errors: str = "zero") -> DataFrame:
     """Cases, mean score, share passed, and error trials by model and task."""
     cases = collapse_cases(records, errors).groupBy("model_id", "task_id").agg(F.count("*").alias("cases"), F.avg("score").alias("score"), F.avg("passed").alias("pass_rate"))
-    failed = records.where(~OK).groupBy("model_id", "task_id").agg(F.count("*").alias("errors"))
+    failed = records.where(~ok()).groupBy("model_id", "task_id").agg(F.count("*").alias("errors"))
     return cases.join(failed, ["model_id", "task_id"], "left").withColumn("errors", F.coalesce("errors", F.lit(0)))
 
 
@@ -51,11 +53,11 @@ def tag_stats(records: DataFrame, errors: str = "zero") -> DataFrame:
 
 def trial_stats(records: DataFrame, *keys: str) -> DataFrame:
     """What is summed over trials: counts, tokens, cost, cache hits, retries, latency of answers not cached."""
-    live = F.when(OK & ~F.col("cached"), F.col("latency_ms"))
+    live = F.when(ok() & ~F.col("cached"), F.col("latency_ms"))
     n = F.count("*")
     return records.groupBy(*keys).agg(
         n.alias("trials"),
-        F.count_if(~OK).alias("errors"),
+        F.count_if(~ok()).alias("errors"),
         F.sum("cost_usd").alias("cost_usd"),
         F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"),
@@ -63,7 +65,7 @@ def trial_stats(records: DataFrame, *keys: str) -> DataFrame:
         F.coalesce(F.percentile(live, 0.5), F.lit(0.0)).alias("latency_p50_ms"),
         F.coalesce(F.percentile(live, 0.95), F.lit(0.0)).alias("latency_p95_ms"),
         F.sum(F.greatest(F.lit(0), F.col("attempts") - 1)).alias("retries"),
-        (F.count_if(~OK) / n).alias("error_rate"),
+        (F.count_if(~ok()) / n).alias("error_rate"),
         (F.count_if("cached") / n).alias("cache_hit_rate"),
     )
 
@@ -76,12 +78,12 @@ def leaderboard(records: DataFrame, errors: str = "zero") -> DataFrame:
 
 def run_totals(records: DataFrame) -> DataFrame:
     """Trials, errors and cost of each model and, with a null model, of the run."""
-    return records.rollup("model_id").agg(F.count("*").alias("trials"), F.count_if(~OK).alias("errors"), F.sum("cost_usd").alias("cost_usd"))
+    return records.rollup("model_id").agg(F.count("*").alias("trials"), F.count_if(~ok()).alias("errors"), F.sum("cost_usd").alias("cost_usd"))
 
 
 def notes(records: DataFrame, most_errors: float = 0.05) -> DataFrame:
     """By model, what a reader should know: whether there are errors, and more of them than a share."""
-    rate = F.count_if(~OK) / F.count("*")
+    rate = F.count_if(~ok()) / F.count("*")
     return records.groupBy("model_id").agg(F.when(rate > most_errors, "many_errors").when(rate > 0, "errors").otherwise("none").alias("note"))
 
 
@@ -93,7 +95,7 @@ def best_models(board: DataFrame, of: str = "score") -> DataFrame:
 
 def failures(records: DataFrame, errors_only: bool = False) -> Column:
     """The condition of the rows to show."""
-    return ~OK if errors_only else ~OK | ~F.coalesce("passed", F.lit(False))
+    return ~ok() if errors_only else ~ok() | ~F.coalesce("passed", F.lit(False))
 
 
 def latest(records: DataFrame, order: str) -> DataFrame:
