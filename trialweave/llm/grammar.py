@@ -40,7 +40,7 @@ from .tokens import slices, tokenizer
 #: Ids in a block, about; a longer document is a block by itself.
 BLOCK_TOKENS = 1 << 18
 #: A pair that occurs so often is replaced; so many pairs a round at most.
-FREQUENT, A_ROUND = 6, 2048
+FREQUENT, A_ROUND = 8, 8192
 #: Runs of neighbouring doc_id for each shuffle partition.
 RUNS = 2
 

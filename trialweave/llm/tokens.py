@@ -3,7 +3,7 @@
 Vocabularies split a text before they merge anything, so the ids of a text are those of
 its pieces in turn, if it is cut only where the split has a bound whatever stands around:
 
-* between an ASCII letter and ASCII punctuation other than an apostrophe;
+* between a Latin letter and ASCII punctuation other than an apostrophe;
 * before a space between two characters that aren't white (byte-level vocabularies, where
   the space belongs to what follows), or before any space (those that drop white space).
 
@@ -28,6 +28,11 @@ _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _POINT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _POINT[ord("'")] = False
 _WHITE[[*range(9, 14), *range(28, 33)]] = True
+#: Two-byte letters in UTF-8: U+00C0 to U+017F but for the signs U+00D7 and U+00F7, which end as two others do.
+_LATIN = np.array([0xC3, 0xC4, 0xC5], np.uint8)
+_LATIN_END = np.zeros(256, bool)
+_LATIN_END[0x80:0xC0] = True
+_LATIN_END[[0x97, 0xB7]] = False
 #: How white characters beyond ASCII begin in UTF-8 (U+0085, U+00A0, U+1680, U+2000.., U+205F, U+3000).
 _FAR_WHITE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 
@@ -36,7 +41,10 @@ def cuts(raw: bytes, spaced: bool) -> np.ndarray:
     """Where raw can be cut (but for its start and end). spaced: a space belongs to what follows."""
     b = np.frombuffer(raw, np.uint8)
     before, after = b[:-1], b[1:]
-    cut = _LETTER[before] & _POINT[after]
+    letter = _LETTER[before]
+    latin = np.isin(b[:-2], _LATIN) & _LATIN_END[b[1:-1]]
+    letter[1:] |= latin
+    cut = letter & _POINT[after]
     if not spaced:
         return np.flatnonzero(cut | (after == 32) | (after == 10)) + 1
     unsure = _WHITE.copy()
@@ -62,7 +70,9 @@ def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 def flat_ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """start[0], start[0]+1, ... (length[0] numbers), start[1], ..."""
     end = np.cumsum(length)
-    return np.repeat(start - end + length, length) + np.arange(end[-1] if len(end) else 0)
+    n = int(end[-1]) if len(end) else 0
+    kind = np.int32 if n < 2**31 and (not len(start) or start.max() < 2**30) else np.int64
+    return np.repeat((start - end + length).astype(kind), length) + np.arange(n, dtype=kind)
 
 
 class PieceEncoder:
@@ -99,7 +109,11 @@ class PieceEncoder:
             return np.empty(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
         if self.lower:
             raw = raw.lower()
-        offsets = np.unique(np.concatenate(([0], cuts(raw, self.spaced), text_ends))).astype(np.int32)
+        edge = np.zeros(len(raw) + 1, bool)
+        edge[0] = True
+        edge[cuts(raw, self.spaced)] = True
+        edge[text_ends] = True
+        offsets = np.flatnonzero(edge).astype(np.int32)
         pieces = pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
         distinct = pieces.dictionary.to_pylist()
         if len(self.known) + len(distinct) > MOST_PIECES and len(self.known) > MOST_PIECES // 2:
