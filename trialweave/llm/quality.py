@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .shingles import chunks, word_hashes
+from .shingles import chunks, distinct, word_hashes
 
 MOST_POSITIVE, MOST_UNLABELLED = 20_000, 40_000
 COSINES = 64
@@ -63,7 +63,7 @@ def features(texts: list[str | None]) -> np.ndarray:
                 row += [len(count) / n, len(count) / n**0.8, top[-1] / n, top.sum() / n, np.sum(w[1:] == w[:-1]) / n, np.sum(w[2:] == w[:-2]) / n, np.sum(count == 1) / n]
             else:
                 row += [0.0] * 7
-            row.append(len(np.unique(follow[lo : hi - 2])) / (n - 2) if n > 4 else 1.0)
+            row.append(len(distinct(follow[lo : hi - 2])) / (n - 2) if n > 4 else 1.0)
             lines = [x for x in _LINES.split(raw) if x]
             row += [len(set(lines)) / max(1, len(lines)), np.log1p(size / max(1, len(lines))) / 10]
             turns = np.count_nonzero(kind[1:] != kind[:-1]) if size > 1 else 0
