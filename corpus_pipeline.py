@@ -15,7 +15,7 @@ from trialweave.llm.common import crc_mod, documents, written
 from trialweave.llm.jaccard_join import linked_classes
 
 #: A document goes if its language's cosine is below this, or it has no letter.
-LEAST_COSINE = 0.1
+LEAST_COSINE = 0.02
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
