@@ -370,7 +370,7 @@ def test_neighbours(spark, sf_dir):
 
 
 def test_neighbours_on_edges(spark, monkeypatch):
-    monkeypatch.setattr(ann, "LIST_ROWS", 16)
+    monkeypatch.setattr(ann, "GROUP_ROWS", 16)
     rng = np.random.default_rng(0)
     same = [1.0, 0.0, 0.5, 0.25]
     rows = [(i, same) for i in range(60)] + [(i, rng.normal(size=4).tolist()) for i in range(60, 90)]
