@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Pieces that a Python worker keeps, and bytes of text that are cut together.
-MOST_PIECES, CHUNK_BYTES = 1_200_000, 3 << 20
+MOST_PIECES, CHUNK_BYTES = 1_200_000, 8 << 20
 
 _LETTER, _POINT, _WHITE = (np.zeros(256, bool) for _ in range(3))
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -29,9 +29,8 @@ _POINT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = Tru
 _POINT[ord("'")] = False
 _WHITE[[*range(9, 14), *range(28, 33)]] = True
 #: Two-byte letters in UTF-8: U+00C0 to U+017F but for the signs U+00D7 and U+00F7, which end as two others do.
-_LATIN = np.array([0xC3, 0xC4, 0xC5], np.uint8)
-_LATIN_END = np.zeros(256, bool)
-_LATIN_END[0x80:0xC0] = True
+_LATIN, _LATIN_END = np.zeros(256, bool), np.zeros(256, bool)
+_LATIN[0xC3:0xC6] = _LATIN_END[0x80:0xC0] = True
 _LATIN_END[[0x97, 0xB7]] = False
 #: How white characters beyond ASCII begin in UTF-8 (U+0085, U+00A0, U+1680, U+2000.., U+205F, U+3000).
 _FAR_WHITE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
@@ -42,8 +41,7 @@ def cuts(raw: bytes, spaced: bool) -> np.ndarray:
     b = np.frombuffer(raw, np.uint8)
     before, after = b[:-1], b[1:]
     letter = _LETTER[before]
-    latin = np.isin(b[:-2], _LATIN) & _LATIN_END[b[1:-1]]
-    letter[1:] |= latin
+    letter[1:] |= _LATIN[b[:-2]] & _LATIN_END[b[1:-1]]
     cut = letter & _POINT[after]
     if not spaced:
         return np.flatnonzero(cut | (after == 32) | (after == 10)) + 1
@@ -75,6 +73,14 @@ def flat_ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat((start - end + length).astype(kind), length) + np.arange(n, dtype=kind)
 
 
+def _bytes_of(values: pa.BinaryArray) -> list[bytes]:
+    """values.to_pylist(), without a scalar for each value."""
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, np.int32)[values.offset : values.offset + len(values) + 1].tolist()
+    data = data.to_pybytes() if data else b""
+    return [data[a:b] for a, b in zip(at, at[1:])]
+
+
 class PieceEncoder:
     """encode_many gives the ids of some pieces of text (UTF-8)."""
 
@@ -115,7 +121,7 @@ class PieceEncoder:
         edge[text_ends] = True
         offsets = np.flatnonzero(edge).astype(np.int32)
         pieces = pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
-        distinct = pieces.dictionary.to_pylist()
+        distinct = _bytes_of(pieces.dictionary)
         if len(self.known) + len(distinct) > MOST_PIECES and len(self.known) > MOST_PIECES // 2:
             self._clear()
         new = [p for p in distinct if p not in self.known]
