@@ -181,7 +181,7 @@ def test_judge(spark):
 
 
 def test_poll_replies(spark):
-    replies = ['{"a": 3}', '{"a": true}', '{"a": "4"}', "nonsense", None]
+    replies = ['{"scores": {"a": 3}, "rationale": "x"}', '{"scores": {"a": true}}', '{"scores": {"a": "4"}}', "nonsense", None]
     polls = spark.createDataFrame([(r, "a") for r in replies], "reply string, criterion string")
     assert [r["score"] for r in judge.poll_scores(polls).collect()] == [3.0, None, None, None, None]
 

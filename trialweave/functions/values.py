@@ -104,7 +104,7 @@ def draw(k: Column, *parts: Column | str) -> Column:
     return F.floor(bits / F.lit(float(2**48)) * k).cast("long")
 
 
-def judge_prompt(response: Column, rubric: Sequence[tuple[str, str]], scale: int, question: Column | None = None, reference: Column | None = None) -> Column:
+def judge_prompt(response: Column, rubric: Sequence[tuple[str, str]], scale: int, question: Column | None = None, reference: Column | None = None, instructions: str | None = None) -> Column:
     """The text that asks a judge to score a response by the rubric's criteria (name, description)."""
     parts = []
     if question is not None:
@@ -112,6 +112,8 @@ def judge_prompt(response: Column, rubric: Sequence[tuple[str, str]], scale: int
     parts.append(F.concat(F.lit("RESPONSE\n"), response))
     if reference is not None:
         parts.append(F.concat(F.lit("REFERENCE\n"), reference))
+    if instructions:
+        parts.append(F.lit("INSTRUCTIONS\n" + instructions))
     parts.append(F.lit("RUBRIC\n" + "\n".join(f"- {name}: {text}" for name, text in rubric)))
     parts.append(F.lit(f"SCALE\nInteger scores from 0 to {scale}."))
     parts.append(F.lit("FORMAT\n" + canonical_json({name: "score" for name, _ in rubric})))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def poll_scores(polls: DataFrame, reply: str = "reply") -> DataFrame:
-    """polls with ``score`` read from a JSON reply {criterion: number}; null if it isn't a number."""
-    value = F.try_variant_get(F.try_parse_json(reply), "$", "map<string,variant>")[F.col("criterion")]
+def poll_scores(polls: DataFrame, reply: str = "reply", path: str = "$.scores") -> DataFrame:
+    """polls with ``score`` read from a JSON reply that has {criterion: number} at path; null if it isn't a number."""
+    value = F.try_variant_get(F.try_parse_json(reply), path, "map<string,variant>")[F.col("criterion")]
     numeric = F.schema_of_variant(value).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
     return polls.withColumn("score", F.when(numeric, value.cast("string").try_cast("double")))
 

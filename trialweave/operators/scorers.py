@@ -157,7 +157,8 @@ def json_match(response: Column, target: str | dict, mode: str = "subset", parti
 
 
 SCORERS: dict[str, Callable[..., Column]] = {"exact_match": exact_match, "contains": contains, "not_contains": not_contains, "regex": regex, "numeric": numeric, "choice": choice, "json_match": json_match}
-ALIASES = {"exact": "exact_match", "equals": "exact_match", "includes": "contains", "excludes": "not_contains", "number": "numeric", "math": "numeric", "multiple_choice": "choice", "json": "json_match"}
+# The other names that these scorers go by.
+ALIASES = {"exact": "exact_match", "match": "exact_match", "includes": "contains", "substring": "contains", "number": "numeric", "mcq": "choice", "multiple_choice": "choice", "json": "json_match"}
 
 
 def register(name: str, scorer: Callable[..., Column]) -> None:

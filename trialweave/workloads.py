@@ -829,4 +829,4 @@ def judge_cost(spark, sf_dir):
 @query("SELECT event_id, criterion, CASE WHEN criterion = 'k' THEN k END AS score FROM (SELECT event_id, CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS DOUBLE) AS k FROM events), (SELECT unnest(['k', 'z']) AS criterion) c")
 def judge_poll_parse(spark, sf_dir):
     polls = _table(spark, sf_dir, "events").select("event_id", F.col("props").alias("reply"), F.explode(F.array(F.lit("k"), F.lit("z"))).alias("criterion"))
-    return judge.poll_scores(polls).select("event_id", "criterion", "score")
+    return judge.poll_scores(polls, path="$").select("event_id", "criterion", "score")
