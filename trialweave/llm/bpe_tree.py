@@ -146,9 +146,9 @@ def _encode(path, pattern):
     def run(batches):
         encoder = piece_encoder(path, pattern)
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            docs, texts = batch.column(0).to_pylist(), batch.column(1)
             for lo, hi in slices(texts):
-                ids, bounds = encoder.encode(texts[lo:hi])
+                ids, bounds = encoder.encode(texts[lo:hi].to_pylist())
                 back, back_bounds = decoded(ids.astype(np.int64), bounds, path)
                 raw, back = memoryview(ids.tobytes()), memoryview(back)
                 digest = lambda m, at: [hashlib.sha256(m[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
@@ -166,9 +166,9 @@ def _ids(path, pattern):
     def run(batches):
         encoder = piece_encoder(path, pattern)
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            docs, texts = batch.column(0).to_pylist(), batch.column(1)
             for lo, hi in slices(texts):
-                ids, bounds = encoder.encode(texts[lo:hi])
+                ids, bounds = encoder.encode(texts[lo:hi].to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(docs[lo:hi], pa.int64()), lists], names=["doc_id", "ids"])
 

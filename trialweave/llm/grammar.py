@@ -148,9 +148,9 @@ def _encode(path, end, base):
             return pa.RecordBatch.from_pylist([dict(zip(_ARROW.names, _block(at, number, docs, held, base)))], _ARROW)
 
         for batch in batches:
-            runs, ids, texts = (batch.column(k).to_pylist() for k in range(3))
+            runs, ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
             for lo, hi in slices(texts):
-                got, bounds = encoder.encode(texts[lo:hi])
+                got, bounds = encoder.encode(texts[lo:hi].to_pylist())
                 for r, doc, a, b in zip(runs[lo:hi], ids[lo:hi], bounds[:-1].tolist(), bounds[1:].tolist()):
                     if held and (r != at or size + b - a > BLOCK_TOKENS):
                         yield out()

@@ -41,9 +41,9 @@ def _pieces(path, size, end):
     def run(batches):
         encoder = tokenizer(path, True)
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            docs, texts = batch.column(0).to_pylist(), batch.column(1)
             for lo, hi in slices(texts):
-                ids, bounds = encoder.encode(texts[lo:hi])
+                ids, bounds = encoder.encode(texts[lo:hi].to_pylist())
                 raw, rows = memoryview(ids.tobytes()), []
                 for doc, a, b in zip(docs[lo:hi], bounds[:-1].tolist(), bounds[1:].tolist()):
                     n = b - a + 1

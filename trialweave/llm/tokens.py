@@ -16,12 +16,16 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces that a Python worker keeps, and bytes of text that are cut together.
-MOST_PIECES, CHUNK_BYTES = 1_200_000, 8 << 20
+MOST_PIECES, CHUNK_BYTES = 600_000, 4 << 20
+#: Pieces that an encoder is given at a time.
+LEARNED_TOGETHER = 8192
 
 _LETTER, _POINT, _WHITE = (np.zeros(256, bool) for _ in range(3))
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -53,16 +57,15 @@ def cuts(raw: bytes, spaced: bool) -> np.ndarray:
     return np.flatnonzero(cut) + 1
 
 
-def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """(start, stop) of runs of texts of about CHUNK_BYTES."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= CHUNK_BYTES:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(size):
+        before = size[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(size, before + CHUNK_BYTES, "right")))
+        yield start, stop
+        start = stop
 
 
 def flat_ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -94,17 +97,19 @@ class PieceEncoder:
         self.start = np.zeros(1 << 14, np.int64)
 
     def _learn(self, pieces: list[bytes]) -> None:
-        got = [np.asarray(x, "<u4") for x in self.encode_many(pieces)]
-        ids = np.concatenate(got)
-        n, known = len(ids), len(self.known)
-        while self.used + n > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
-        while known + len(pieces) + 1 > len(self.start):
-            self.start = np.concatenate((self.start, np.empty_like(self.start)))
-        self.flat[self.used : self.used + n] = ids
-        self.start[known + 1 : known + 1 + len(pieces)] = self.used + np.cumsum([len(x) for x in got])
-        self.used += n
-        self.known.update(zip(pieces, range(known, known + len(pieces))))
+        for lo in range(0, len(pieces), LEARNED_TOGETHER):
+            some = pieces[lo : lo + LEARNED_TOGETHER]
+            got = list(self.encode_many(some))
+            length = np.fromiter(map(len, got), np.int64, len(got))
+            n, known = int(length.sum()), len(self.known)
+            while self.used + n > len(self.flat):
+                self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
+            while known + len(some) + 1 > len(self.start):
+                self.start = np.concatenate((self.start, np.empty_like(self.start)))
+            self.flat[self.used : self.used + n] = np.fromiter(chain.from_iterable(got), "<u4", n)
+            self.start[known + 1 : known + 1 + len(some)] = self.used + np.cumsum(length)
+            self.used += n
+            self.known.update(zip(some, range(known, known + len(some))))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, bounds): text k has ids[bounds[k]:bounds[k+1]]. A null text counts as empty."""
