@@ -209,8 +209,9 @@ _PAIR_TYPES = {"a": np.int64, "b": np.int64, "na": np.uint32, "nb": np.uint32, "
 def _scan_lists(num, den, tasks):
     def run(table: pa.Table) -> pa.Table:
         tok, dig, n, place = (_joined(table, c, t) for c, t in (("token", np.uint32), ("digest", np.int64), ("n", np.uint32), ("place", np.uint16)))
-        by = np.lexsort((dig, n, tok))
-        keep = np.concatenate(([True], (tok[by][1:] != tok[by][:-1]) | (dig[by][1:] != dig[by][:-1])))
+        by = np.lexsort((place, dig, n, tok))
+        # copies of a set from several tasks; a set's entries at two places are two shingles
+        keep = np.concatenate(([True], (tok[by][1:] != tok[by][:-1]) | (dig[by][1:] != dig[by][:-1]) | (place[by][1:] != place[by][:-1])))
         by = by[keep]
         tok, dig, n, place = tok[by], dig[by], n[by].astype(np.int64), place[by].astype(np.int64)
         # A list of one size run: sizes that leave a gap too wide for any link start a new one.
