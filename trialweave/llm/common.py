@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +46,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def crc_mod(key: str, n: int) -> Column:
     """crc32 of the key as text, modulo n: the split of the contracts. A null key counts as ''."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % n
+
+
+def released(run):
+    """A function of mapInArrow after whose partition the worker gives back the memory that it doesn't use.
+
+    Python workers live as long as their executor and go from stage to stage; what the
+    allocators keep of one stage's arrays would otherwise count against the next one's.
+    """
+
+    @wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim is not None:
+                trim(0)
+
+    return wrapped

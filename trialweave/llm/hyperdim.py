@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
+
 #: Signs in a vector, letters in an n-gram.
 DIM, N = 512, 3
 #: Letters of their own; code points from there on share 128 vectors by their lowest bits. 0 is the gap.
@@ -98,6 +100,7 @@ def _slices(texts):
         yield start, len(texts)
 
 
+@released
 def _sums(batches):
     held: dict[str, list] = {}
 
@@ -137,6 +140,7 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
 
 
 def _predict(names, prototypes):
+    @released
     def run(batches):
         for batch in batches:
             texts = batch.column(0).to_pylist()

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, written
+from .common import released, shuffle_partitions, written
 from .graph import components
 from .shingles import digest, mix, shingle_sets
 
@@ -85,6 +85,7 @@ def _from_gaps(blob: bytes) -> np.ndarray:
 
 
 def _count_cells(buckets, width):
+    @released
     def run(batches):
         seen, held, size = _Distinct(), [], 0
 
@@ -170,6 +171,7 @@ def _prefix(s, order, num, den):
 
 
 def _list_entries(buckets, width, num, den, sent):
+    @released
     def run(batches):
         order, seen, held, size = sent.value, _Distinct(), [], 0
 
@@ -271,6 +273,7 @@ def _meet(num, den):
 
 
 def _ship(width, sent):
+    @released
     def run(batches):
         words, seen = sent.value, _Distinct()
         for batch in batches:
@@ -345,6 +348,7 @@ def _answer(num, den):
 
 
 def _info(width):
+    @released
     def run(batches):
         for batch in batches:
             rows = [(len(s), digest(s) if len(s) else None) for s in shingle_sets(_texts(batch), width)]

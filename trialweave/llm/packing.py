@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, written
 from .tokens import slices, tokenizer
 
 #: Short pieces of a shard, about.
@@ -35,9 +35,10 @@ FAN_IN = 16
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _pieces(path, size, end):
+def _pieces(path, size, end, keep):
     tail = np.array([end], "<u4").tobytes()
 
+    @released
     def run(batches):
         encoder = tokenizer(path, True)
         for batch in batches:
@@ -55,13 +56,18 @@ def _pieces(path, size, end):
                         rows.append((doc, k, at, stop - at, crc))
                         at, stop, k = stop, stop + size, k + 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        if not keep:
+            encoder.clear()
 
     return run
 
 
-def pieces(docs: DataFrame, path: str, size: int = 1024, end: int = 2) -> DataFrame:
-    """The pieces of all documents: doc_id, piece, start, length, ids_crc32."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(path, size, end), _PIECE)
+def pieces(docs: DataFrame, path: str, size: int = 1024, end: int = 2, keep: bool = True) -> DataFrame:
+    """The pieces of all documents: doc_id, piece, start, length, ids_crc32.
+
+    keep: workers remember pieces of text from one task to the next, which is faster; without, a task's memory ends with it.
+    """
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(path, size, end, keep), _PIECE)
 
 
 def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, written
 from .shingles import chunks, distinct, word_hashes
 
 MOST_POSITIVE, MOST_UNLABELLED = 20_000, 40_000
@@ -74,6 +74,7 @@ def features(texts: list[str | None]) -> np.ndarray:
     return np.array(out, np.float64).reshape(len(texts), FEATURES)
 
 
+@released
 def _features(batches):
     for batch in batches:
         x = features(batch.column(0).to_pylist())
@@ -165,6 +166,7 @@ def scored(features: DataFrame, model: PUModel) -> DataFrame:
 def kept(docs: DataFrame, model: PUModel, threshold: float = 0.5) -> DataFrame:
     """The rows of docs (with a column text) whose score reaches the threshold."""
 
+    @released
     def run(batches):
         for batch in batches:
             s = model.score(features(batch.column("text").to_pylist()))

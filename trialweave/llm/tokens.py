@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a Python worker keeps, and bytes of text that are cut together.
-MOST_PIECES, CHUNK_BYTES = 600_000, 4 << 20
+MOST_PIECES, CHUNK_BYTES = 1_000_000, 4 << 20
 #: Pieces that an encoder is given at a time.
 LEARNED_TOGETHER = 8192
 
@@ -89,9 +89,10 @@ class PieceEncoder:
 
     def __init__(self, encode_many: Callable[[list[bytes]], Iterable[list[int]]], spaced: bool, lower: bool):
         self.encode_many, self.spaced, self.lower = encode_many, spaced, lower
-        self._clear()
+        self.clear()
 
-    def _clear(self):
+    def clear(self) -> None:
+        """Forgets all pieces."""
         self.known: dict[bytes, int] = {}
         self.flat, self.used = np.empty(1 << 16, "<u4"), 0
         self.start = np.zeros(1 << 14, np.int64)
@@ -128,7 +129,7 @@ class PieceEncoder:
         pieces = pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
         distinct = _bytes_of(pieces.dictionary)
         if len(self.known) + len(distinct) > MOST_PIECES and len(self.known) > MOST_PIECES // 2:
-            self._clear()
+            self.clear()
         new = [p for p in distinct if p not in self.known]
         if new:
             self._learn(new)
