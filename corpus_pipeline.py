@@ -48,7 +48,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces in sequences of 1024 tokens."""
-    return packing.packed(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return packing.packed(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=False))
 
 
 STAGES = [
