@@ -271,6 +271,24 @@ def test_packing_search_never_gets_worse_and_empty_table(edges):
     assert packing.packed(packing.pieces(edges.limit(0), BYTE)).count() == 0
 
 
+@pytest.mark.parametrize("lengths, bins", [(lambda i: 600 + i % 400, 4000), (lambda i: 700 if i % 3 else 1 + i * 37 % 1000, None)])
+def test_packing_without_short_pieces_keeps_shards_small(spark, lengths, bins):
+    made = [(None if i % 5 == 0 else i, 0, 0, lengths(i), 7) for i in range(4000)]
+    parts = spark.createDataFrame(made, packing._PIECE).repartition(40)
+    rows = packing.packed(parts, shard_pieces=128).collect()
+    assert bag((r["doc_id"], r["length"]) for r in rows) == bag((d, n) for d, _, _, n, _ in made)
+    shards, sequences = collections.Counter(), collections.defaultdict(list)
+    for r in rows:
+        shards[r["sequence_id"] >> 18] += 1
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert max(shards.values()) <= 2 * 128
+    for places in sequences.values():
+        places.sort()
+        assert [o for o, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))] and sum(n for _, n in places) <= 1024
+    alone = packing.best_fit(np.array(sorted((n for *_, n, _ in made), reverse=True)), 1024)
+    assert len(sequences) == bins if bins else len(sequences) <= 1.02 * len(alone)
+
+
 # --- op1 ---
 
 

@@ -4,9 +4,11 @@ Documents become pieces: those longer than a sequence are cut, with the short pi
 Short pieces are dealt over shards. A shard places them best-fit, longest first, and then
 improves the bins that aren't full: starting at the emptiest it moves a piece to another
 bin, exchanges one piece for a shorter one there, or two for one, always so that the sum of
-squared fills grows, until a bin is empty or nothing helps. Bins that stay underfull go on,
-unpacked, to a next level with fewer shards, until one shard holds the rest; it is small,
-for each shard leaves few. Full pieces are sequences by themselves.
+squared fills grows, until a bin is empty or nothing helps. The pieces of bins that stay
+underfull are dealt anew to a next level, over as many shards as they fill, while levels fill
+bins; when one fills few (short pieces are scarce, say), its underfull bins are sequences as
+they are. No shard of any level holds more than about ``SHARD_PIECES``. Full pieces are
+sequences by themselves.
 
 Defined cases: a null or empty text is its end id alone. Repeated rows are packed each for
 itself. A null doc_id is kept. Other columns of the input are not read; an empty table
@@ -29,8 +31,8 @@ from .tokens import slices, tokenizer
 
 #: Short pieces of a shard, about.
 SHARD_PIECES = 16_384
-#: A level has so many times fewer shards than the one before, at least.
-FAN_IN = 16
+#: A level whose full bins hold a smaller share of its pieces is the last one.
+LEAST_FILLED = 0.125
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -180,14 +182,18 @@ def packed(parts: DataFrame, size: int = 1024, shard_pieces: int = SHARD_PIECES)
     full = parts.where(F.col("length") == size).withColumn("sequence_id", F.monotonically_increasing_id() * 2).withColumn("offset", F.lit(0).cast("long"))
     rest = parts.where(F.col("length") < size)
     left = rest.count()
-    shards, level, levels = -(-left // shard_pieces), 0, [full]
+    level, levels = 0, [full]
     schema = f"{_PIECE}, sequence_id long, offset long, done boolean"
     while left:
-        shard = F.pmod(F.monotonically_increasing_id(), F.lit(shards)) + F.lit(level << 20)
+        shards = -(-left // shard_pieces)
+        # By a hash of the row's place: neither short partitions nor repeated pieces pile up in one shard.
+        shard = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)) + F.lit(level << 20)
         done = written(rest.withColumn("shard", shard).groupBy("shard").applyInPandas(_pack(size, shards == 1), schema), "packed")
+        open_pieces = done.where("not done")
+        more = open_pieces.count()
+        if left - more < LEAST_FILLED * left:
+            levels.append(done.drop("done"))
+            break
         levels.append(done.where("done").drop("done"))
-        rest = done.where("not done").select(*parts.columns)
-        left = rest.count()
-        level += 1
-        shards = min(-(-left // shard_pieces), -(-shards // FAN_IN))
+        rest, left, level = open_pieces.select(*parts.columns), more, level + 1
     return reduce(DataFrame.unionByName, levels)
