@@ -310,6 +310,21 @@ def test_language_model(edges, docs):
     assert maxent.scores(edges.limit(0), crc_mod("doc_id", 7) == 2).count() == 0
 
 
+def test_language_model_learns_from_every_position(spark, docs):
+    want = collections.Counter()
+    texts = [r["text"] for r in docs.select("text").collect()]
+    h, bounds = maxent.tokens_of([(t or "").encode() for t in texts])
+    hashes, counts = np.unique(h, return_counts=True)
+    model = maxent.Model(hashes, counts, len(h), len(hashes))
+    rank, _ = model.look_up(h)
+    want.update(zip(rank.tolist(), *(x.tolist() for x in maxent.histories(rank, bounds))))
+    rows = docs.select("text").mapInArrow(maxent._examples(spark.sparkContext.broadcast(model)), "part int, rank binary, before binary, skip binary").collect()
+    got = collections.Counter()
+    for row in rows:
+        got.update(zip(*(x.tolist() for x in maxent._read_examples(row))))
+    assert got == want
+
+
 def test_untrained_model_is_the_base_and_sums_to_one():
     rng = np.random.default_rng(2)
     hashes, counts = rng.integers(1, 2**62, 6000).astype(np.uint64), rng.integers(1, 900, 6000)

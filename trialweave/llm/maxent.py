@@ -17,7 +17,7 @@ table of all tokens stays distributed. Texts look up the ``HEAD`` most frequent
 place (bounded: 12 bytes each); other tokens go to their bucket and come back as a sum.
 Training is by rounds: each task makes gradient updates over its own examples from the same
 weights, the updates of a round are averaged, slice by slice, and form the next weights.
-Examples are every ``EXAMPLE_EVERY``-th position of all training documents.
+Every position of all training documents is an example of one round.
 
 Defined cases: a null or empty text is its end alone. Without training documents all counts
 are 0. Rows with a null doc_id are training rows (the crc32 of '' is 0). Repeated rows count
@@ -42,7 +42,7 @@ WORDS = CLASSES * PER_CLASS
 HEAD = 1 << 18
 #: Rows of the tables that features are hashed into: for classes, and for words within a class.
 CLASS_ROWS, WORD_ROWS = 4096, 256
-EXAMPLE_EVERY, ROUNDS, BATCH, RATE = 8, 3, 4096, 0.15
+ROUNDS, BATCH, RATE = 3, 4096, 0.15
 #: Columns of the count of what precedes a word, from which classes are made.
 CONTEXTS = 64
 #: Slices that updates are summed in.
@@ -230,15 +230,13 @@ _EXAMPLES = pa.schema([("part", pa.int32()), ("rank", pa.binary()), ("before", p
 def _examples(sent):
     def run(batches):
         model, part = sent.value, 0
-        seed = TaskContext.get().partitionId()
         for batch in batches:
             rows = []
             for _, texts in chunks(batch.column(0).to_pylist()):
                 h, bounds = tokens_of(texts)
                 rank, _ = model.look_up(h)
                 before, skip = histories(rank, bounds)
-                at = np.arange((seed + 5 * part) % EXAMPLE_EVERY, len(h), EXAMPLE_EVERY)
-                rows.append((part % ROUNDS, *(x[at].astype("<i2").tobytes() for x in (rank, before, skip))))
+                rows.append((part % ROUNDS, *(x.astype("<i2").tobytes() for x in (rank, before, skip))))
                 part += 1
             yield _blobs(rows, _EXAMPLES)
 
