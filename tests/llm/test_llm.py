@@ -190,6 +190,20 @@ def test_blocks_round_trip(spark, edges, docs, monkeypatch):
     assert grammar.round_trip(edges.limit(0), WORD).count() == 0
 
 
+def test_repair_leaves_no_frequent_pair():
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 49408, 200_000).astype(np.uint32)
+    passages = rng.integers(0, 49408, (60, 8))
+    for k, at in enumerate(rng.permutation(20_000)[:480]):
+        ids[10 * at : 10 * at + 8] = passages[k % 60]
+    last = np.zeros(len(ids), bool)
+    last[99::100] = True
+    symbols, ends, rules = grammar.compress(ids, last, 49408)
+    assert np.array_equal(grammar.expand(symbols, rules, 49408), ids)
+    pairs = collections.Counter(zip(symbols[:-1][~ends[:-1]].tolist(), symbols[1:][~ends[:-1]].tolist()))
+    assert max(pairs.values()) < 6 and 49408 + len(rules) < 65536
+
+
 def test_random_access_and_grammar(docs):
     rng = np.random.default_rng(1)
     ids = rng.choice(50, 20000, p=np.arange(50, 0, -1) / 1275).astype("<u4")

@@ -2,7 +2,7 @@
 
 The ids of all documents, in ascending order of doc_id, are stored in blocks. Within a
 block, frequent pairs of neighbouring ids are replaced by nonterminals, round after round,
-until few pairs are frequent or 16-bit symbols run out. A pair never spans two documents, so
+until no pair is frequent or 16-bit symbols run out. A pair never spans two documents, so
 any document can be decoded alone: a block stores its rules, the length each rule expands
 to, and for each document its number of symbols and of ids.
 
@@ -39,10 +39,8 @@ from .tokens import slices, tokenizer
 
 #: Ids in a block, about; a longer document is a block by itself.
 BLOCK_TOKENS = 1 << 18
-#: A pair that occurs so often is replaced; so many pairs a round at most.
-FREQUENT, A_ROUND = 8, 8192
-#: Rounds end when frequent pairs are a smaller share of the symbols.
-WORTHWHILE = 0.03
+#: A pair that occurs so often is replaced (a rule takes 8 bytes and saves 2 each time); so many pairs a round at most.
+FREQUENT, A_ROUND = 5, 2048
 #: Runs of neighbouring doc_id for each shuffle partition.
 RUNS = 2
 
@@ -66,7 +64,7 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray,
         most = min(A_ROUND, 65536 - top)
         if len(often) > most:
             often = often[np.argpartition(-count[often], most - 1)[:most]]
-        if count[often].sum() <= WORTHWHILE * len(seq):
+        if not len(often):
             break
         # Chosen pairs by a small table of cells: of two in one cell, the more frequent one is replaced in this round.
         often = often[np.argsort(count[often], kind="stable")]
