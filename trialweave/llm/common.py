@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import json
 import tempfile
 import uuid
+from collections.abc import Sequence
 from functools import wraps
 
 import pyarrow as pa
@@ -21,24 +23,76 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a temporary one is made.
+    Only a session whose driver is its one executor (tests) may have none: a temporary one is made. On a cluster that raises.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir isn't set: driver and executors need a folder that they share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="trialweave-"))
     return _own_folder[0]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: computed once, and a lost executor costs nothing."""
+    """df as a table in the shared folder: computed once, and a lost executor costs nothing.
+
+    Results are read from these tables, so they stay until remove_tables() or whoever owns the folder removes them.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/trialweave/{name}-{uuid.uuid4().hex}"
+    path = f"{tables_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables_folder(spark: SparkSession) -> str:
+    """The folder of this application's tables in the shared folder."""
+    return f"{shared_folder(spark)}/trialweave/{spark.sparkContext.applicationId}"
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Removes what written() has written in this application; DataFrames that read it fail afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tables_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def least_hashed(rows: DataFrame, key: Column, most: int) -> DataFrame:
+    """The ``most`` rows with the least values of key, a 64-bit hash that spreads evenly.
+
+    Rows are filtered by a threshold first, which some two times as many pass, so that what meets
+    in one task is bounded by ``most`` and not by ``most`` for each partition.
+    """
+    rows = rows.withColumn("__h", key)
+    share = 2.0 * most / max(1, rows.count())
+    some = rows
+    while share < 1:
+        some = rows.where(F.col("__h") <= int(share * 2**64) - 2**63)
+        if some.count() >= most:
+            break
+        some, share = rows, 4 * share
+    return some.orderBy("__h").limit(most).drop("__h")
+
+
+def array_literal(values: Sequence, kind: str) -> Column:
+    """values as one array literal: a plan that holds it has one node for it, however long it is."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def places_in(bounds: Sequence, kind: str, key: Column) -> Column:
+    """How many of the ascending bounds are below key, by halving; kind: an array type."""
+    held = array_literal(bounds, kind)
+    steps = max(1, len(bounds).bit_length())
+
+    def halve(at, _):
+        mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        below = F.get(held, mid) < key
+        done = at["lo"] >= at["hi"]
+        return F.struct(F.when(~done & below, mid + 1).otherwise(at["lo"]).alias("lo"), F.when(~done & ~below, mid).otherwise(at["hi"]).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), halve, lambda at: at["lo"])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
