@@ -4,12 +4,13 @@ The ids of all documents, in ascending order of doc_id, are stored in blocks. Wi
 block, frequent pairs of neighbouring ids are replaced by nonterminals, round after round,
 until no pair is frequent or 16-bit symbols run out. A pair never spans two documents, so
 any document can be decoded alone: a block stores its rules, the length each rule expands
-to, and for each document its number of symbols and of ids.
+to, and for each document its number of symbols and of ids. By the lengths, any span of a
+document's ids is found and decoded without expanding the symbols before it.
 
 The file format is a table of blocks that Spark writes (Parquet):
 
 =============  ===========================================================
-run, block     place in the order: runs of doc_id, blocks within a run
+run, block     place in the order: runs of documents, blocks within a run
 doc_ids        array<bigint>, ascending, nulls first
 n_tokens       number of ids of each document, 32-bit little-endian
 n_symbols      number of symbols of each document, 32-bit
@@ -20,7 +21,9 @@ base, tokens   first nonterminal; ids in the block
 =============  ===========================================================
 
 Defined cases: a null or empty text is its end id alone. Rows of one doc_id follow each
-other in order of text; null doc_ids come first. Other columns of the input are not read.
+other in order of their texts' first 32 characters, then of the texts' hashes; null doc_ids
+come first. No id or text, however often it occurs, is bound to one run. Other columns of
+the input are not read.
 An empty table gives a table without blocks.
 """
 
@@ -31,17 +34,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder, shuffle_partitions
+from .common import shuffle_partitions, tables_folder
 from .tokens import slices, tokenizer
 
 #: Ids in a block, about; a longer document is a block by itself.
 BLOCK_TOKENS = 1 << 18
 #: A pair that occurs so often is replaced (a rule takes 8 bytes and saves 2 each time); so many pairs a round at most.
 FREQUENT, A_ROUND = 5, 2048
-#: Runs of neighbouring doc_id for each shuffle partition.
+#: Runs of neighbouring documents for each shuffle partition.
 RUNS = 2
 
 BLOCKS = "run int, block int, doc_ids array<bigint>, n_tokens binary, n_symbols binary, symbols binary, rules binary, expansions binary, base int, tokens long"
@@ -122,6 +126,36 @@ def decode_document(block, k: int) -> np.ndarray:
     return expand(symbols, np.frombuffer(block["rules"], "<u2").reshape(-1, 2), block["base"])
 
 
+def decode_span(block, k: int, start: int, stop: int) -> np.ndarray:
+    """The ids start:stop of document k of a block; only symbols that reach into the span are expanded."""
+    counts = np.frombuffer(block["n_symbols"], "<u4")
+    lo = int(counts[:k].sum())
+    symbols = np.frombuffer(block["symbols"], "<u2")[lo : lo + int(counts[k])]
+    length = np.append(np.ones(block["base"], np.int64), np.frombuffer(block["expansions"], "<u4"))[symbols]
+    ends = np.cumsum(length)
+    start, stop = max(0, start), min(stop, int(ends[-1]))
+    if start >= stop:
+        return np.empty(0, "<u4")
+    first, last = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left")
+    skipped = int(ends[first] - length[first])
+    return expand(symbols[first : last + 1], np.frombuffer(block["rules"], "<u2").reshape(-1, 2), block["base"])[start - skipped : stop - skipped]
+
+
+def _spans(batches):
+    for batch in batches:
+        for row in batch.to_pylist():
+            ids = decode_span(row, row["k"], row["start"], row["stop"])
+            yield pa.RecordBatch.from_arrays([pa.array([row["doc_id"]], pa.int64()), pa.array([row["start"]], pa.int64()), pa.array([ids.tolist()], pa.list_(pa.int64()))], names=["doc_id", "start", "ids"])
+
+
+def read_spans(blocks: DataFrame, spans: DataFrame) -> DataFrame:
+    """(doc_id, start, ids array<bigint>) of spans (doc_id, start, stop: places among a document's ids, cut to what there is)."""
+    at = blocks.select("run", "block", F.posexplode("doc_ids").alias("k", "doc_id"))
+    wanted = spans.select("doc_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop")).join(at, "doc_id")
+    held = wanted.join(blocks.select("run", "block", "n_symbols", "symbols", "rules", "expansions", "base"), ["run", "block"])
+    return held.mapInArrow(_spans, "doc_id long, start long, ids array<bigint>")
+
+
 def _block(run, number, docs, held, base):
     ids = np.concatenate(held)
     n = np.array([len(h) + 1 for h in held[::2]], "<u4")
@@ -139,21 +173,20 @@ def _encode(path, end, base):
     tail = np.array([end], "<u4")
 
     def run(batches):
-        encoder = tokenizer(path, False)
-        at, number, docs, held, size = None, 0, [], [], 0
+        encoder, at = tokenizer(path, False), TaskContext.get().partitionId()
+        number, docs, held, size = 0, [], [], 0
 
         def out():
             return pa.RecordBatch.from_pylist([dict(zip(_ARROW.names, _block(at, number, docs, held, base)))], _ARROW)
 
         for batch in batches:
-            runs, ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for lo, hi in slices(texts):
                 got, bounds = encoder.encode(texts[lo:hi].to_pylist())
-                for r, doc, a, b in zip(runs[lo:hi], ids[lo:hi], bounds[:-1].tolist(), bounds[1:].tolist()):
-                    if held and (r != at or size + b - a > BLOCK_TOKENS):
+                for doc, a, b in zip(ids[lo:hi], bounds[:-1].tolist(), bounds[1:].tolist()):
+                    if held and size + b - a > BLOCK_TOKENS:
                         yield out()
-                        number, docs, held, size = number + 1 if r == at else 0, [], [], 0
-                    at = r
+                        number, docs, held, size = number + 1, [], [], 0
                     docs.append(doc)
                     held += (got[a:b], tail)
                     size += b - a + 1
@@ -164,14 +197,15 @@ def _encode(path, end, base):
 
 
 def blocks_of(docs: DataFrame, path: str, end: int = 2, base: int = 49_408) -> DataFrame:
-    """The blocks of all documents (doc_id, text); path: a file of the tokenizers library with ids below base."""
-    spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bounds = docs.agg(F.percentile_approx("doc_id", [i / (RUNS * parts) for i in range(1, RUNS * parts)], 20 * parts)).first()[0] or []
-    run = F.size(F.filter(F.lit(sorted(set(bounds))).cast("array<bigint>"), lambda b: b < F.col("doc_id")))
-    dealt = docs.select(F.when(F.col("doc_id").isNull(), -1).otherwise(run).alias("run"), "doc_id", "text").repartition(parts, "run").sortWithinPartitions("run", F.asc_nulls_first("doc_id"), "text")
-    return dealt.mapInArrow(_encode(path, end, base), BLOCKS)
+    """The blocks of all documents (doc_id, text); path: a file of the tokenizers library with ids below base.
+
+    A run is a partition by ranges of (doc_id, start of the text, its hash, a number of the row), so equal rows may part.
+    Runs are numbered as they are computed: write the blocks once and read those.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.substring("text", 1, 32).alias("head"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    order = (F.asc_nulls_first("doc_id"), F.asc_nulls_first("head"), "hash", "row")
+    dealt = docs.repartitionByRange(RUNS * shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return dealt.select("doc_id", "text").mapInArrow(_encode(path, end, base), BLOCKS)
 
 
 def write_blocks(docs: DataFrame, folder: str, path: str, end: int = 2, base: int = 49_408) -> None:
@@ -207,6 +241,6 @@ def read_documents(blocks: DataFrame) -> DataFrame:
 def round_trip(docs: DataFrame, path: str, end: int = 2, base: int = 49_408, folder: str | None = None) -> DataFrame:
     """Writes the blocks of docs to folder (one of its own in the shared folder by default) and reads the documents back."""
     spark = docs.sparkSession
-    folder = folder or f"{shared_folder(spark)}/trialweave/blocks-{uuid.uuid4().hex}"
+    folder = folder or f"{tables_folder(spark)}/blocks-{uuid.uuid4().hex}"
     write_blocks(docs, folder, path, end, base)
     return read_documents(read_blocks(spark, folder))
