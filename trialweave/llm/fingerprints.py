@@ -8,7 +8,8 @@ fewer than k shingles all three are exact.
 Defined cases: words are runs between spaces and 09-0D, in lower case. A text of fewer
 words than the width has one shingle, its whole sequence; a null or empty text, or one
 without words, has the empty sketch and the fingerprint ''. Two empty sketches have the
-resemblance 1, an empty and another one 0. Equal texts have equal sketches.
+resemblance 1, an empty and another one 0. Equal texts have equal sketches. Other columns of
+the input are not read; repeated rows are kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,13 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import array_literal, places_in, shuffle_partitions
 
 #: Hashes in a sketch: the standard error of a resemblance of 0.5 is 0.044.
 K = 128
 WIDTH = 5
-#: Rows of neighbouring doc_id are dealt out in so many runs for each shuffle partition.
-RUNS = 4
+#: Rows that follow one another are dealt out in so many runs for each shuffle partition, whose bounds come from so many sampled rows each.
+RUNS, SAMPLED = 4, 16
+_ORDER = "nameless: int, place: bigint, head: string, hash: bigint, row: bigint"
 
 
 def with_sketch(df: DataFrame, text: str, name: str, k: int = K, width: int = WIDTH) -> DataFrame:
@@ -67,28 +69,41 @@ def as_text(a: Column) -> Column:
 def with_next(docs: DataFrame, k: int = K) -> DataFrame:
     """(doc_id, text, sketch, next_text, next_sketch): each row with the next one by descending doc_id, the last with the first.
 
-    Rows of one doc_id follow in order of text; null doc_ids come last. Neighbours are
-    dealt out in runs of ids, with boundaries from quantiles over all rows; the first id
-    of a run goes along with the run before it too, so no row passes a single task.
+    Rows of one doc_id follow in order of their texts' first 32 characters, then of the texts'
+    hashes; null doc_ids come last. Rows are dealt out in runs of that order, with bounds from
+    a sample, so that no id or text, however often it occurs, is bound to one run. The first
+    row of a run goes along with the run before it too. What comes to the driver are
+    ``SAMPLED`` keys and one head for each run.
     """
     spark = docs.sparkSession
     runs = RUNS * shuffle_partitions(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds = docs.agg(F.percentile_approx("doc_id", [i / runs for i in range(1, runs)], 10 * runs)).first()[0] or []
-    run = F.coalesce(F.size(F.filter(F.lit(sorted(set(bounds))).cast("array<bigint>"), lambda b: b < F.col("doc_id"))), F.lit(-1))
-    docs = docs.withColumn("run", F.when(F.col("doc_id").isNull(), -1).otherwise(run))
-    heads = [tuple(r) for r in docs.groupBy("run").agg(F.max("doc_id")).orderBy(F.desc("run")).collect()]
-    before = {r: (heads[i - 1][0], head) for i, (r, head) in enumerate(heads)}
-    to = F.lit(None).cast("int")
-    if before:
-        to = F.create_map(*(F.lit(x) for r, (p, _) in before.items() for x in (r, p)))[F.col("run")]
-        is_head = F.col("doc_id").eqNullSafe(F.create_map(*(F.lit(x).cast("long") for r, (_, h) in before.items() for x in (r, h)))[F.col("run").cast("long")])
-        to = F.when(is_head, to)
+    text = F.coalesce("text", F.lit(""))
+    key = F.struct(
+        F.col("doc_id").isNull().cast("int").alias("nameless"),
+        F.bitwise_not(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))).alias("place"),  # descends as doc_id ascends
+        F.hex(F.encode(F.substring(text, 1, 32), "UTF-8")).alias("head"),
+        F.xxhash64(text).alias("hash"),
+        F.monotonically_increasing_id().alias("row"),  # of equal rows, any may come first
+    )
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), key.alias("key"))
+    n = docs.count()
+    share = min(1.0, SAMPLED * runs / max(1, n))
+    some = sorted(tuple(r["key"]) for r in docs.where(F.xxhash64("key.row", "key.hash") <= min(2**63 - 1, int(share * 2**64) - 2**63)).select("key").collect())
+    names = [x.split(":")[0] for x in _ORDER.split(", ")]
+    bounds = [dict(zip(names, b)) for b in some[SAMPLED::SAMPLED]]
+    docs = docs.withColumn("run", places_in(bounds, f"array<struct<{_ORDER}>>", F.col("key")))
+    heads = docs.groupBy("run").agg(F.min("key").alias("head")).orderBy("run").collect()
+    if not heads:
+        return with_sketch(docs, "text", "sketch", k).select("doc_id", "text", "sketch", F.col("text").alias("next_text"), F.col("sketch").alias("next_sketch"))
+    to, row = [None] * (len(bounds) + 1), [None] * (len(bounds) + 1)
+    for i, r in enumerate(heads):
+        to[r["run"]], row[r["run"]] = heads[i - 1]["run"], r["head"]["row"]
+    to = F.when(F.col("key.row") == F.get(array_literal(row, "array<bigint>"), F.col("run")), F.get(array_literal(to, "array<int>"), F.col("run")))
     places = F.array(F.struct(F.col("run").alias("run"), F.lit(False).alias("ahead")), F.struct(to.alias("run"), F.lit(True).alias("ahead")))
-    dealt = docs.select("doc_id", "text", F.explode(F.filter(places, lambda p: p["run"].isNotNull())).alias("p")).select("doc_id", "text", "p.run", "p.ahead").repartition(shuffle_partitions(spark), "run")
-    order = Window.partitionBy("run").orderBy("ahead", F.desc_nulls_last("doc_id"), "text")
+    dealt = docs.select("doc_id", "text", "key", F.explode(F.filter(places, lambda p: p["run"].isNotNull())).alias("p")).select("doc_id", "text", "key", "p.run", "p.ahead").repartition(shuffle_partitions(spark), "run")
+    order = Window.partitionBy("run").orderBy("ahead", "key")
     with_both = with_sketch(dealt, "text", "sketch", k).withColumn("next_text", F.lead("text").over(order)).withColumn("next_sketch", F.lead("sketch").over(order))
-    return with_both.where("not ahead").drop("run", "ahead")
+    return with_both.where("not ahead").drop("run", "ahead", "key")
 
 
 def fingerprints_of_edits(docs: DataFrame, k: int = K) -> DataFrame:
