@@ -29,8 +29,8 @@ DIM, N = 512, 3
 #: Letters of their own; code points from there on share 128 vectors by their lowest bits. 0 is the gap.
 OWN = 0x250
 _LETTERS = OWN + 129
-#: Characters that are taken together.
-CHUNK_CHARS = 200_000
+#: Characters and texts that are taken together; the largest array is CHUNK_TEXTS x 8192 numbers.
+CHUNK_CHARS, CHUNK_TEXTS = 200_000, 512
 
 
 @lru_cache(maxsize=1)
@@ -93,7 +93,7 @@ def _slices(texts):
     start, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t or "") + 2
-        if size >= CHUNK_CHARS:
+        if size >= CHUNK_CHARS or i + 1 - start >= CHUNK_TEXTS:
             yield start, i + 1
             start, size = i + 1, 0
     if start < len(texts):
