@@ -44,6 +44,8 @@ class TreeEncoder:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.leaves: dict[bytes, tuple[int, ...]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
+        if odd := [i for b, i in ranks.items() if self.merged(b) != (i,)]:
+            raise ValueError(f"tokens that don't encode to themselves: {odd[:5]}")
 
     def merged(self, piece: bytes) -> tuple[int, ...]:
         """Ids of a few bytes by merging the pair of lowest rank, leftmost first, as long as there is one."""
