@@ -31,6 +31,8 @@ from .tokens import slices, tokenizer
 
 #: Short pieces of a shard, about.
 SHARD_PIECES = 16_384
+#: Sequence ids that a shard has: more than the pieces that hashing deals to one.
+SHARD_IDS = 1 << 20
 #: A level whose full bins hold a smaller share of its pieces is the last one.
 LEAST_FILLED = 0.125
 
@@ -153,7 +155,9 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[
     return [b for b in bins if b]
 
 
-def _pack(size, last):
+def _pack(size, last, first_shard):
+    """first_shard: the shards of the levels before, so that no two levels share sequence ids."""
+
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], ignore_index=True)
         lengths = pdf["length"].to_numpy()
@@ -168,7 +172,7 @@ def _pack(size, last):
         end = np.cumsum(n)
         first = np.concatenate(([True], number[1:] != number[:-1]))
         out["offset"] = end - n - np.repeat((end - n)[first], np.bincount(number))
-        out["sequence_id"] = (int(key[0]) * (1 << 17) + number) * 2 + 1
+        out["sequence_id"] = ((first_shard + int(key[0])) * SHARD_IDS + number) * 2 + 1
         full = np.bincount(number, n) == size
         out["done"] = last | full[number]
         return out[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "done"]]
@@ -182,18 +186,18 @@ def packed(parts: DataFrame, size: int = 1024, shard_pieces: int = SHARD_PIECES)
     full = parts.where(F.col("length") == size).withColumn("sequence_id", F.monotonically_increasing_id() * 2).withColumn("offset", F.lit(0).cast("long"))
     rest = parts.where(F.col("length") < size)
     left = rest.count()
-    level, levels = 0, [full]
+    first_shard, levels = 0, [full]
     schema = f"{_PIECE}, sequence_id long, offset long, done boolean"
     while left:
         shards = -(-left // shard_pieces)
         # By a hash of the row's place: neither short partitions nor repeated pieces pile up in one shard.
-        shard = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)) + F.lit(level << 20)
-        done = written(rest.withColumn("shard", shard).groupBy("shard").applyInPandas(_pack(size, shards == 1), schema), "packed")
+        shard = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))
+        done = written(rest.withColumn("shard", shard).groupBy("shard").applyInPandas(_pack(size, shards == 1, first_shard), schema), "packed")
         open_pieces = done.where("not done")
         more = open_pieces.count()
         if left - more < LEAST_FILLED * left:
             levels.append(done.drop("done"))
             break
         levels.append(done.where("done").drop("done"))
-        rest, left, level = open_pieces.select(*parts.columns), more, level + 1
+        rest, left, first_shard = open_pieces.select(*parts.columns), more, first_shard + shards
     return reduce(DataFrame.unionByName, levels)
