@@ -398,11 +398,29 @@ def test_quality(spark, edges, docs, sf_dir):
     assert quality.scored(rows.drop("score").limit(0), quality.PUModel(0.5)).count() == 0
 
 
-def test_nonnegative_risk_tells_two_clouds_apart():
+def test_nonnegative_risk_tells_two_clouds_apart(spark):
     rng = np.random.default_rng(1)
     good, bad = rng.normal(0, 1, (3000, quality.FEATURES)), rng.normal(1.5, 1, (1500, quality.FEATURES))
-    model = quality.PUModel(0.5).fit(good[:1000], np.concatenate((good[1000:2500], bad)))
+    rows = [(x.tolist(), k < 1000, k % 2) for k, x in enumerate(np.concatenate((good[:2500], bad)))]
+    model = quality.fit(spark.createDataFrame(rows, "features array<float>, trusted boolean, fold int").repartition(3))
     assert (model.score(good[2500:]) > 0.5).mean() > 0.9 and (model.score(bad) > 0.5).mean() < 0.1
+    assert abs(model.prior - 2500 / 4000) < 0.06
+
+
+def test_risk_descends_along_its_slope():
+    """The summed slopes are those of the risk, by small differences."""
+    rng = np.random.default_rng(2)
+    x, trusted, model = rng.normal(0, 1, (50, quality.FEATURES)), np.arange(50) < 20, quality.PUModel()
+    w = rng.normal(0, 0.1, 2 * quality.FEATURES + quality.COSINES + 1)
+
+    def sums(weight):
+        model.weight = weight
+        return quality._slopes(model)(x, trusted, None)
+
+    got, step = sums(w), 1e-6
+    for i in (0, 30, 60, len(w) - 1):
+        up = sums(w + step * (np.arange(len(w)) == i))
+        assert (up[:2] - got[:2]) / step == pytest.approx([got[2 + i], got[2 + len(w) + i]], abs=1e-3)
 
 
 def test_language(spark, edges, docs, sf_dir):

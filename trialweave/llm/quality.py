@@ -1,22 +1,25 @@
 """Quality classifier by positive-unlabelled learning with non-negative unbiased risk.
 
 Every text becomes a few dozen shares and rates (letters, case, symbols, repeats, lines).
-Trusted positives P and unlabelled texts U train a linear model on these, their squares and
-random cosines of them, by gradient descent on the non-negative risk
+Trusted positives P (label 1) and unlabelled texts U (all of them, whatever their label)
+train a linear model on these, their squares and random cosines of them, by gradient descent
+on the non-negative risk
 
     prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)])
 
 with the sigmoid loss l; where the second term falls below 0, its gradient is reversed.
-The class prior is estimated from the labels: the share of label 1 among them.
+Labels 0 are never read as such. The class prior is estimated from P and U alone: a score
+that ranks by the ratio of their densities is fitted on one half and counted on the other,
+and the share of U beyond a threshold over the share of P beyond it bounds the prior.
 
 Features of all documents are computed once, where the texts are, and written; only they
-are joined with labels. The fit takes a bounded sample, the rows with the least hashes:
-``MOST_POSITIVE`` positives and ``MOST_UNLABELLED`` others.
+are joined with labels. Nothing is sampled: every pass sums over all rows where they are,
+and a vector of sums comes to the driver.
 
 Defined cases: null and empty texts have the features of a text without words and get a
-score. Repeated rows are kept. A document with labels of both kinds counts as unlabelled;
-rows of labels with nulls aren't read. Without positives or without others the score is the
-prior for every text (0.5 without labels). Other columns of docs are not read.
+score. Repeated rows are kept. A document with labels of both kinds isn't trusted; rows of
+labels with nulls aren't read. Without trusted documents the score is 0.5 for every text.
+A null doc_id has no label. Other columns of docs are not read.
 """
 
 from __future__ import annotations
@@ -31,9 +34,8 @@ from pyspark.sql import functions as F
 from .common import released, written
 from .shingles import chunks, distinct, word_hashes
 
-MOST_POSITIVE, MOST_UNLABELLED = 20_000, 40_000
-COSINES = 64
-STEPS, RATE, DECAY = 400, 0.02, 1e-4
+COSINES, BINS = 64, 1024
+STEPS, RATE, DECAY = 40, 0.05, 1e-3
 
 _UPPER, _LOWER, _DIGIT, _POINT, _SYMBOL, _SPACE, _LINE, _OTHER = range(8)
 _CLASS = np.full(256, _OTHER, np.uint8)
@@ -91,62 +93,142 @@ def with_features(docs: DataFrame, *keep: str) -> DataFrame:
 class PUModel:
     """A linear model on standardised features, their squares, and random cosines of them."""
 
-    def __init__(self, prior: float, seed: int = 11):
+    def __init__(self, prior: float = 0.5, seed: int = 11):
         rng = np.random.Generator(np.random.PCG64(seed))
         self.prior = prior
         self.mean, self.scale = np.zeros(FEATURES), np.ones(FEATURES)
         self.angle, self.phase = rng.normal(0, 0.3, (FEATURES, COSINES)), rng.uniform(0, 2 * np.pi, COSINES)
         self.weight = None
 
-    def _expand(self, x: np.ndarray) -> np.ndarray:
+    def expand(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -6, 6)
         return np.concatenate((z, z * z / 3, np.cos(z @ self.angle + self.phase), np.ones((len(z), 1))), 1)
 
-    def fit(self, positive: np.ndarray, unlabelled: np.ndarray) -> PUModel:
-        every = np.concatenate((positive, unlabelled))
-        self.mean, self.scale = every.mean(0), every.std(0) + 1e-6
-        p, u = self._expand(positive), self._expand(unlabelled)
-        w = np.zeros(p.shape[1])
-        first, second = np.zeros_like(w), np.zeros_like(w)
-        for t in range(1, STEPS + 1):
-            sp, su = (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) for x in (p, u))
-            # the sigmoid loss: l(+) = 1-s, l(-) = s; its slope by the margin is s(1-s)
-            dp, du = sp * (1 - sp), su * (1 - su)
-            rest = su.mean() - self.prior * sp.mean()
-            g_rest = du @ u / len(u) - self.prior * (dp @ p) / len(p)
-            g = -self.prior * (dp @ p) / len(p) + g_rest if rest >= 0 else -g_rest
-            g += DECAY * w
-            first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
-            w = w - RATE * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
-        self.weight = w
-        return self
-
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.weight is None:
             return np.full(len(x), self.prior)
-        return 1 / (1 + np.exp(-np.clip(self._expand(x) @ self.weight, -30, 30)))
+        return _sigmoid(self.expand(x) @ self.weight)
+
+
+def _sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def _summed(rows: DataFrame, part) -> np.ndarray:
+    """The sum over all rows (features, trusted, fold) of part(features, trusted, fold), a vector: each task sums its own rows."""
+
+    def run(batches):
+        total = 0.0
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES).astype(np.float64)
+                total = total + part(x, batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy())
+        if isinstance(total, np.ndarray):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["i", "x"])
+
+    got = rows.select("features", "trusted", "fold").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas()
+    return got.sort_values("i")["x"].to_numpy()
+
+
+def _moments(x, trusted, fold):
+    return np.concatenate(([len(x), trusted.sum()], x.sum(0), (x * x).sum(0)))
+
+
+def _products(model):
+    """By fold: sums of the products of all rows' inputs, and of the trusted rows' inputs."""
+
+    def part(x, trusted, fold):
+        phi = model.expand(x)
+        return np.concatenate([y for f in (0, 1) for y in ((phi[fold == f].T @ phi[fold == f]).ravel(), phi[trusted & (fold == f)].sum(0))])
 
+    return part
 
-def _sample(rows: DataFrame, most: int) -> np.ndarray:
-    got = rows.select("features", F.xxhash64("features").alias("h")).orderBy("h").limit(most).select("features").toPandas()["features"]
-    return np.stack(got.to_numpy()).astype(np.float64) if len(got) else np.empty((0, FEATURES))
 
+def _ratio(products: np.ndarray, positive: np.ndarray, more: float = 30.0) -> np.ndarray:
+    """Weights of the ratio of the positives' density to that of all rows, by least squares (closed form)."""
+    ridge = np.full(len(positive), 1 + more / max(1.0, positive[-1]))
+    ridge[-1] = 1e-6
+    return np.linalg.solve(products / max(1.0, products[-1, -1]) + np.diag(ridge), positive / max(1.0, positive[-1]))
 
-def learn(features: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> PUModel:
+
+def _binned(model, weights):
+    """Rows, and trusted ones, by bins of the ratio; a fold's by weights of the other one."""
+
+    def part(x, trusted, fold):
+        r = np.where(fold == 0, *(model.expand(x) @ weights[1 - f] for f in (0, 1)))
+        at = np.clip((r + 1) / 9 * BINS, 0, BINS - 1).astype(int)
+        return np.concatenate((np.bincount(at, minlength=BINS), np.bincount(at[trusted], minlength=BINS))).astype(float)
+
+    return part
+
+
+def estimated_prior(every: np.ndarray, positive: np.ndarray, doubt: float = 0.1) -> float:
+    """The share of positives among all rows, from both's counts by bins of a score, ascending.
+
+    Beyond any threshold, positives of all rows are at most all rows there: the share is at most the
+    quotient of both tails. It is taken where its upper bound (with probability 1 - doubt) is least.
+    """
+    n, m = every.sum(), positive.sum()
+    tails = [np.cumsum(c[::-1]) / c.sum() for c in (every, positive)]
+    spread = np.sqrt(np.log(4 / doubt) / 2 / n) + np.sqrt(np.log(4 / doubt) / 2 / m)
+    bound = np.where(tails[1] > 0, (tails[0] + (1 + doubt) * spread) / np.maximum(tails[1], 1e-12), np.inf)
+    k = int(np.argmin(bound))
+    return float(min(1.0, tails[0][k] / tails[1][k]))
+
+
+def _slopes(model):
+    """Sums of the scores and of their slopes by the weights, of trusted rows and of all."""
+    weight = model.weight
+
+    def part(x, trusted, fold):
+        phi = model.expand(x)
+        s = _sigmoid(phi @ weight)
+        d = s * (1 - s)  # the sigmoid loss: l(+) = 1-s, l(-) = s
+        return np.concatenate(([s[trusted].sum(), s.sum()], d[trusted] @ phi[trusted], d @ phi))
+
+    return part
+
+
+def fit(rows: DataFrame, steps: int = STEPS) -> PUModel:
+    """A model of rows (features, trusted boolean, fold 0 or 1); each step is a pass over all of them."""
+    model, start = PUModel(), _summed(rows, _moments)
+    if not len(start) or not start[1]:
+        return model
+    n, known = start[:2]
+    model.mean = start[2 : 2 + FEATURES] / n
+    model.scale = np.sqrt(np.maximum(0, start[2 + FEATURES :] / n - model.mean**2)) + 1e-6
+    size = 2 * FEATURES + COSINES + 1
+    products, positive = [], []
+    for half in np.split(_summed(rows, _products(model)), 2):
+        products.append(half[: size * size].reshape(size, size))
+        positive.append(half[size * size :])
+    every, trusted = np.split(_summed(rows, _binned(model, [_ratio(p, q) for p, q in zip(products, positive)])), 2)
+    model.prior = prior = estimated_prior(every, trusted)
+    # The squared loss has a closed form, 2 * prior * ratio - 1: where the descent starts.
+    w = 6 * prior * _ratio(sum(products), sum(positive))
+    w[-1] -= 3
+    first, second = np.zeros(size), np.zeros(size)
+    for t in range(1, steps + 1):
+        model.weight = w
+        got = _summed(rows, _slopes(model))
+        up = prior * got[2 : 2 + size] / known
+        down = got[2 + size :] / n - up
+        g = down - up if got[1] / n >= prior * got[0] / known else -down
+        g += DECAY * w
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+        w = w - RATE * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+    model.weight = w
+    return model
+
+
+def learn(features: DataFrame, labels: DataFrame) -> PUModel:
     """A model from features (doc_id, features) and labels (doc_id, quality); neither holds held-out rows."""
     marked = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).dropna().groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
-    share = marked.where("low = high").agg(F.avg(F.col("low").cast("double"))).first()[0]
-    prior = 0.5 if share is None else float(share)
-    joined = written(features.join(marked, "doc_id", "left").select("features", F.coalesce(F.col("low") == 1, F.lit(False)).alias("trusted")), "quality-sample")
-    positive, unlabelled = _sample(joined.where("trusted"), most_positive), _sample(joined.where("not trusted"), most_unlabelled)
-    model = PUModel(prior)
-    # Trusted documents were taken out of the unlabelled ones: they come back in their share.
-    n, known = joined.count(), joined.where("trusted").count()
-    if not known or known == n:
-        return model
-    back = int(len(unlabelled) * known / (n - known))
-    unlabelled = np.concatenate((unlabelled, positive[np.arange(back) % len(positive)]))
-    return model.fit(positive, unlabelled)
+    good = marked.where("low = 1 and high = 1").select("doc_id", F.lit(True).alias("trusted"))
+    rows = features.select("doc_id", "features", F.pmod(F.xxhash64("doc_id", "features"), F.lit(2)).cast("int").alias("fold"))
+    named = rows.where("doc_id is not null").join(good, "doc_id", "left")
+    joined = named.select("features", F.coalesce("trusted", F.lit(False)).alias("trusted"), "fold").union(rows.where("doc_id is null").select("features", F.lit(False), "fold"))
+    return fit(written(joined, "quality-rows"))
 
 
 def scored(features: DataFrame, model: PUModel) -> DataFrame:
