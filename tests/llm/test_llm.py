@@ -508,9 +508,59 @@ def test_secrets(spark, edges, docs):
     assert secrets.scan(edges, labels).count() == 0
 
 
+def planted_texts(rng):
+    """Texts with secrets (by a generator of this test's own) and with look-alikes; the secrets by doc_id."""
+    filler = "the of and in to a is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will no more if out so said what up its about into than them can only other time new some could these two may first then do any like my now over such our man me even most made after also did many off before must well back through years much where your way down should because each just state good".split()
+    hexed = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    mixed = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n - 1)) + "7"
+    prose = lambda n: " ".join(rng.choice(filler) for _ in range(n))
+    rows, secret = [], {}
+    for i in range(600):
+        text = prose(rng.randint(5, 60))
+        if i % 3 == 0:
+            key = [mixed(40), hexed(40), "AKIA" + mixed(16).upper(), "Hunter" + str(rng.randrange(10**4, 10**5)) + "!", mixed(24)][i % 5]
+            text += " " + ["AWS_SECRET_ACCESS_KEY={}", 'token = "{}"', "{}", "password={}", 'client_secret_key = "{}"'][i % 5].format(key)
+            secret[i] = key
+        elif i % 3 == 1:
+            text += " " + ["commit {}", "id {}", "see /usr/lib/{}/index", "number {}", "an internationalisation {}"][i % 5].format([hexed(40), f"{hexed(8)}-{hexed(4)}-{hexed(4)}-{hexed(4)}-{hexed(12)}", "python-" + hexed(2), rng.randrange(10**15, 10**16), "telecommunications"][i % 5])
+        rows.append((i, text + " " + prose(rng.randint(5, 60))))
+    return rows, secret
+
+
+def test_secrets_by_precision_and_recall(spark):
+    rows, secret = planted_texts(random.Random(9))
+    found = collections.defaultdict(set)
+    for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        found[r["doc_id"]].add(r["secret"])
+    right = sum(found.get(d) == {s} for d, s in secret.items())
+    assert right / len(secret) >= 0.95 and len(set(found) - set(secret)) / len(rows) <= 0.01
+
+
+def test_candidates_of_assignments(spark):
+    texts = {1: "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI1K7MDENGbPxRfiCYEXAMPLEKEY", 2: 'client_secret_key = "abcdef123456"', 3: "password=Hunter2! x", 4: "see postgres://user:s3cr3tpw@host/db", 5: "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJVadQssw5c", 6: "short words only", 7: "onelongwordofprose here"}
+    got = {r["doc_id"]: r for r in secrets.candidates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert {d: r["candidate"] for d, r in got.items()} == {1: texts[1].split("=")[1], 2: "abcdef123456", 3: "Hunter2!", 4: "s3cr3tpw", 5: texts[5], 7: "onelongwordofprose"}
+    assert got[1]["before"] == "AWS_SECRET_ACCESS_KEY=" and got[2]["before"] == 'client_secret_key = "' and got[4]["after"] == "@host/db"
+
+
+def test_dictionary_and_transitions_are_counts(spark):
+    rows = [(1, "aba aba cab"), (2, "cab Aba xyz"), (3, None)]
+    counts = secrets.word_counts(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert secrets.dictionary(counts, 1) == ["aba"] and secrets.dictionary(counts) == ["aba", "cab", "xyz"]
+    table = secrets.transitions(counts)
+    assert table[0 * 26 + 1] == pytest.approx(math.log2((5 + 1) / (5 + 26))) and table[1 * 26 + 0] == pytest.approx(math.log2((3 + 1) / (3 + 26)))
+    df = spark.createDataFrame([("Aba9ab",), ("123456",)], "c string")
+    got = [r[0] for r in df.select(secrets._likelihood(F.col("c"), table)).collect()]
+    assert got == pytest.approx([(2 * table[1] + table[26]) / 3, -math.log2(26)])
+    among = secrets._among(["aba", "cab", "xyz"])
+    assert [r[0] for r in spark.createDataFrame([("cab",), ("bac",), ("",)], "w string").select(among(F.col("w"))).collect()] == [True, False, False]
+
+
 def test_redaction_changes_only_secrets(spark, edges):
     held = spark.createDataFrame([(21, 1, "04dbebab91ab85687d33eeaaf9ac699e1188f962")], "doc_id long, ordinal int, secret string")
     got = secrets.redacted(edges, held)
+    odd = spark.createDataFrame([(1, f"a\x01b {SECRET} c\x01d")], "doc_id long, text string")
+    assert secrets.redacted(odd, held.withColumn("doc_id", F.lit(1))).first()["text"] == 'a\x01b token = "[SECRET]" c\x01d'
     assert got.columns == edges.columns
     after = bag((r["doc_id"], r["text"]) for r in got.collect())
     assert after == bag((d, t.replace("04dbebab91ab85687d33eeaaf9ac699e1188f962", "[SECRET]") if d == 21 else t) for d, t in edge_rows())
