@@ -15,17 +15,19 @@ appear. Other columns of the input are not read. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import released
+from .common import array_literal, released
 
 #: Signs in a vector, letters in an n-gram.
-DIM, N = 512, 3
+DIM, N = 1024, 3
 #: Letters of their own; code points from there on share 128 vectors by their lowest bits. 0 is the gap.
 OWN = 0x250
 _LETTERS = OWN + 129
@@ -144,25 +146,49 @@ def _predict(names, prototypes):
     def run(batches):
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            lang, score = ["und"] * len(texts), np.zeros(len(texts))
+            lang, score, n_grams = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
             for lo, hi in _slices(texts) if names else ():
                 owner, gram = ngrams(texts[lo:hi])
                 x = bundles(owner, gram, hi - lo)
                 norm = np.linalg.norm(x, axis=1)
                 cosine = x @ prototypes.T / np.maximum(norm, 1e-9)[:, None]
                 best = np.argmax(cosine, 1)
-                for i in np.flatnonzero(np.bincount(owner, minlength=hi - lo) > 0):
+                n_grams[lo:hi] = np.bincount(owner, minlength=hi - lo)
+                for i in np.flatnonzero(n_grams[lo:hi]):
                     lang[lo + i], score[lo + i] = names[best[i]], min(1.0, max(0.0, float(cosine[i, best[i]])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score)], names=[*batch.schema.names[1:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score), pa.array(n_grams)], names=[*batch.schema.names[1:], "lang_pred", "score", "n_grams"])
 
     return run
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *keep: Column | str) -> DataFrame:
-    """The columns ``keep`` of docs with lang_pred and score (the cosine, from 0 to 1)."""
+    """The columns ``keep`` of docs with lang_pred, score (the cosine, from 0 to 1) and n_grams (0 where lang_pred is und)."""
     names = list(prototypes)
     table = np.array([v / max(np.linalg.norm(v), 1e-9) for v in prototypes.values()], np.float32).reshape(-1, DIM)
     rows = docs.select("text", *keep)
     kept = rows.schema.fields[1:]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double, n_grams long"
     return rows.mapInArrow(_predict(names, table), schema)
+
+
+def least_cosines(docs: DataFrame, prototypes: dict[str, np.ndarray], doubt: float = 0.001) -> list[float]:
+    """By binary logarithm of the number of n-grams, the least cosine of a text in one of the languages.
+
+    It is what all but a share ``doubt`` of docs (text, lang; not learned from) of that length reach, less a tenth, but
+    no more than what a text in none of the languages exceeds with odds of ``doubt``: its cosines are sums of
+    random signs, with deviations of 1 / sqrt(DIM). Lengths without a document have the value of the next shorter ones, 0 without any.
+    """
+    size = F.floor(F.log2("n_grams")).cast("int")
+    known = predict(docs.where("lang is not null"), prototypes, "lang").where("lang = lang_pred and n_grams > 0")
+    low = {r["size"]: r["low"] for r in known.groupBy(size.alias("size")).agg(F.percentile_approx("score", doubt, 10_000).alias("low")).collect()}
+    chance = NormalDist().inv_cdf((1 - doubt) ** (1 / max(1, len(prototypes)))) / math.sqrt(DIM)
+    out, held = [], 0.0
+    for k in range(64):
+        held = low.get(k, held)
+        out.append(max(0.0, min(chance, 0.9 * held)))
+    return out
+
+
+def reaches(least: list[float]) -> Column:
+    """Whether a row of predict() has the cosine that least_cosines() asks for."""
+    return F.col("score") >= F.get(array_literal(least, "array<double>"), F.floor(F.log2(F.greatest("n_grams", F.lit(1)))).cast("int"))

@@ -353,20 +353,14 @@ def _info(width):
         for batch in batches:
             rows = [(len(s), digest(s) if len(s) else None) for s in shingle_sets(_texts(batch), width)]
             n, d = zip(*rows) if rows else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), pa.array(d, pa.int64())], names=["doc_id", "n_shingles", "digest"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n, pa.int64()), pa.array(d, pa.int64())], names=[*batch.schema.names[1:], "n_shingles", "digest"])
 
     return run
 
 
-def linked_classes(docs: DataFrame, num: int = 75, den: int = 100, width: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs (doc_id long, text string).
-
-    Sets A and B link when ``den * |A and B| >= num * |A or B|``; component_id is the
-    smallest doc_id reachable by links, the row's own included.
-    """
-    spark = docs.sparkSession
-    docs = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"))
-    texts = docs.select("text")
+def set_classes(texts: DataFrame, num: int, den: int, width: int) -> DataFrame:
+    """(digest, root) of the sets of texts (column text) that link with another one; sets of a class have one root."""
+    spark = texts.sparkSession
     order = spark.sparkContext.broadcast(_order(texts, width))
     buckets = 2 * shuffle_partitions(spark)
     lists = texts.mapInArrow(_list_entries(buckets, width, num, den, order), "bucket int, token binary, digest binary, n binary, place binary")
@@ -387,7 +381,32 @@ def linked_classes(docs: DataFrame, num: int = 75, den: int = 100, width: int =
     own = F.pmod(F.xxhash64("digest"), F.col("blocks"))
     keyed = shipped.join(member, "digest").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("cluster", "digest", "hashes", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(tasks))).otherwise(F.col("cluster")).alias("task"), "blocks", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     links = keyed.groupBy("task", F.col("blocks") > 1, "i", "j").applyInArrow(_answer(num, den), "a long, b long")
-    classes = components(links).toDF("digest", "root")
+    return components(links).toDF("digest", "root")
+
+
+def representatives(docs: DataFrame, num: int = 75, den: int = 100, width: int = 5) -> DataFrame:
+    """The numbers ``row`` of one row of each class of linked texts, and of all texts without words.
+
+    docs: row long (unique), doc_id and text. Of a class it is the row with the smallest doc_id (one
+    that is null comes last), then the smallest digest of its set, then the smallest number.
+    """
+    docs = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), "row")
+    info = written(docs.mapInArrow(_info(width), "doc_id long, row long, n_shingles long, digest long"), "sets")
+    classes = set_classes(docs.select("text"), num, den, width)
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest", "row")
+    of_sets = info.where("digest is not null").groupBy("digest").agg(F.min(first).alias("first")).join(classes, "digest", "left")
+    best = of_sets.groupBy(F.coalesce("root", "digest").alias("root")).agg(F.min("first").alias("first"))
+    return best.select("first.row").union(info.where("digest is null").select("row"))
+
+
+def linked_classes(docs: DataFrame, num: int = 75, den: int = 100, width: int = 5) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs (doc_id long, text string).
+
+    Sets A and B link when ``den * |A and B| >= num * |A or B|``; component_id is the
+    smallest doc_id reachable by links, the row's own included.
+    """
+    docs = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"))
+    classes = set_classes(docs.select("text"), num, den, width)
     info = written(docs.mapInArrow(_info(width), "doc_id long, n_shingles long, digest long"), "sets")
     least = info.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least")).join(classes, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     named = least.groupBy("root").agg(F.min("least").alias("component_id")).join(least.select("digest", "root"), "root").select("digest", "component_id")
