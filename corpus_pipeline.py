@@ -1,7 +1,9 @@
 """A training-data pipeline over documents: five stages, each an operator of trialweave.llm.
 
 Each stage takes all that its predecessor kept and writes Parquet in the shared folder, from
-where the next one reads it. All but the last return the columns of documents.
+where the next one reads it. All but the last return the columns of documents, whatever these
+are beside doc_id, text, lang and n_chars: while operators add columns, others have names of
+their own. Rows are told apart by number, not by doc_id: several texts may share one, or have none.
 """
 
 from __future__ import annotations
@@ -10,12 +12,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.llm import hyperdim, packing, quality, secrets
+from trialweave.llm import hyperdim, jaccard_join, packing, quality, secrets
 from trialweave.llm.common import crc_mod, documents, written
-from trialweave.llm.jaccard_join import linked_classes
 
-#: A document goes if its language's cosine is below this, or it has no letter.
-LEAST_COSINE = 0.02
+_USED = ("doc_id", "text", "lang", "n_chars")
+
+
+def _renamed(docs: DataFrame) -> DataFrame:
+    """docs with other names for the columns that no stage reads."""
+    return docs.toDF(*(c if c in _USED else f"other{i}" for i, c in enumerate(docs.columns)))
+
+
+def _named(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs from rows of what _renamed() makes of it."""
+    return rows.select(*_renamed(docs.limit(0)).columns).toDF(*docs.columns)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs, renamed, with a number ``row``, written so that it stays the same."""
+    return written(_renamed(docs).withColumn("row", F.monotonically_increasing_id()), "numbered")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,23 +42,29 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; lang is what is predicted where it was null."""
-    prototypes = hyperdim.learn(docs.where(crc_mod("doc_id", 5) != 0))
-    rows = hyperdim.predict(docs.withColumn("__text", F.col("text")), prototypes, *(c for c in docs.columns if c != "text"), "__text")
-    rows = rows.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_COSINE)).withColumn("lang", F.coalesce("lang", "lang_pred"))
-    return rows.withColumnRenamed("__text", "text").select(*docs.columns)
+    """Documents in a language that is learned; lang is what is predicted where it was null.
+
+    Rejected are texts without letters and those whose cosine is below what texts of their length have
+    (by documents that weren't learned from) and within what a text in none of the languages has by chance.
+    """
+    held_out = crc_mod("doc_id", 5) == 0
+    prototypes = hyperdim.learn(docs.where(~held_out))
+    least = hyperdim.least_cosines(docs.where(held_out), prototypes)
+    rows = hyperdim.predict(_renamed(docs).withColumn("kept_text", F.col("text")), prototypes, *(c for c in _renamed(docs).columns if c != "text"), "kept_text")
+    rows = rows.where((F.col("lang_pred") != "und") & hyperdim.reaches(least)).withColumn("lang", F.coalesce("lang", "lang_pred"))
+    return _named(rows.withColumnRenamed("kept_text", "text"), docs)
 
 
-def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies, the document with the smallest doc_id; rows without a doc_id stay."""
-    least = linked_classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(least, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+def jaccard_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies: that with the smallest doc_id (any rather than none). Texts without words stay."""
+    rows = _numbered(docs)
+    return _named(rows.join(jaccard_join.representatives(rows), "row", "left_semi"), docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets that are found taken out of their texts."""
-    return secrets.redacted(docs, secrets.scan(docs.select("doc_id", "text")))
+    rows = _numbered(docs)
+    return _named(secrets.redacted(rows, secrets.scan(rows.select(F.col("row").alias("doc_id"), "text")), key="row"), docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +75,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 STAGES = [
     ("quality classifier", quality_classifier),
     ("language ID", language_id),
-    ("n-gram Jaccard join", jaccard_join),
+    ("n-gram Jaccard join", jaccard_join_stage),
     ("secret scans", secret_scans),
     ("best-fit packing", best_fit_packing),
 ]
