@@ -93,6 +93,7 @@ def test_jaccard_on_documents(docs):
 def test_jaccard_with_long_lists_and_blocks(spark, monkeypatch):
     """A passage in every text, and a large group of near copies that goes through stars and pairs of blocks."""
     monkeypatch.setattr(jaccard_join, "BLOCK_HASHES", 3000)
+    monkeypatch.setattr(jaccard_join, "SHARE_HASHES", 1000)
     monkeypatch.setattr(jaccard_join, "HEAVY", 8)
     rng = random.Random(2)
     passage = [f"p{i}" for i in range(30)]
@@ -110,6 +111,41 @@ def test_jaccard_with_long_lists_and_blocks(spark, monkeypatch):
     assert bag(jaccard_join.linked_classes(df).collect()) == bag(brute_classes(rows))
 
 
+def test_links_outside_the_largest_class(spark, monkeypatch):
+    """A cluster of several groups that a shared passage brings together, with chains of links that no leader has."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_HASHES", 2000)
+    monkeypatch.setattr(jaccard_join, "SHARE_HASHES", 600)
+    rng = random.Random(12)
+    rows, passage = [], [f"p{i}" for i in range(40)]
+    for group in range(6):
+        text = [f"g{group}x{i}" for i in range(50)]
+        for step in range(30 - 4 * group):
+            text = list(text)
+            text[rng.randrange(50)] = f"n{group}y{step}"
+            rows.append((1000 * group + step, " ".join(text + passage)))
+    rows += [(10**5 + i, " ".join(rng.sample(passage, 30))) for i in range(20)] + [(10**6 + i, " ".join(passage[i:])) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert bag(jaccard_join.linked_classes(df).collect()) == bag(brute_classes(rows))
+
+
+def test_blocks_of_lists_skip_no_pair_that_entries_need():
+    rng = np.random.default_rng(4)
+    group = np.sort(rng.integers(0, 40, 900))
+    size = rng.integers(20, 90, 900)
+    place = (size * rng.random(900) * 0.4).astype(int)
+    by = np.lexsort((size, place, group))
+    group, size, place = group[by], size[by], place[by]
+    got = {(int(i), int(j)) for a, b in jaccard_join._skipped(group, size, place, 75, 100) for i, j in zip(a, b)}
+    want = set()
+    for i in range(900):
+        for j in range(i + 1, 900):
+            if group[i] == group[j] and j - i < jaccard_join.LIST_PAIRS:
+                room = min(place[i], place[j]) + min(size[i] - place[i], size[j] - place[j])
+                if min(size[i], size[j]) * 100 >= max(size[i], size[j]) * 75 and room * 175 >= 75 * (size[i] + size[j]):
+                    want.add((i, j))
+    assert want <= got and len(got) < 900 * 12
+
+
 def test_within_answers_links_of_sets():
     rng = np.random.default_rng(3)
     base = np.sort(rng.choice(10**9, 120, replace=False)).astype(np.uint64)

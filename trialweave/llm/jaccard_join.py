@@ -8,16 +8,21 @@ similarity reaches the threshold; the join returns each document's class of link
 2. *Index.* Shingles are ordered rare first. If two sets link, they share a shingle in
    their first ``n - ceil(t*n) + 1`` places, so only those places are listed, and none
    whose cell occurs once.
-3. *Index-level skipping.* Lists are scanned in order of set size and position. Entries too
-   small, or whose positions leave too little room for the overlap that is needed, are
-   skipped; of the pairs that remain, those that meet too seldom within their prefixes.
+3. *Index-level skipping.* Lists are in order of position, in blocks of ``SKIP`` entries
+   that know their largest position, what is left behind it, and their sizes. Pairs of blocks
+   that leave too little room for the overlap that is needed are skipped as a whole, pairs of
+   entries in the others one by one, and then those that meet too seldom within their prefixes.
    A list with more than ``LIST_PAIRS`` entries emits no pairs but one edge an entry.
-4. *Answer-level skipping.* Sets that may link come together once. There, a set's
+4. *Answer-level skipping.* Sets that may link (a cluster) come together. There, a set's
    overlaps with all others are derived from those of a similar set that has been
    answered: minus the lists of what it lacks, plus those of what it adds.
 
-Groups of equal sets count as one set. A cluster beyond ``BLOCK_HASHES`` is dealt out in
-pairs of blocks. No step drops a pair that links; orders and filters only save work.
+Groups of equal sets count as one set. A cluster beyond ``SHARE_HASHES`` is dealt over shares.
+First each of its sets is compared with a few leaders; those that links connect with most
+others are one class, within which nothing is left to compare. What lies outside it comes
+once to each share, in blocks. So a cluster of near copies, however large, is read twice;
+only one whose sets don't link costs more, as many times as its outside has ``BLOCK_HASHES``.
+No step drops a pair that links; orders and filters only save work.
 
 Defined cases: null and empty texts, and those without words, have no shingles and link
 with nothing. Fewer words than the width make one shingle. Repeated rows are kept: each
@@ -43,10 +48,14 @@ SEEN_BITS = 26
 HEAVY, MOST_HEAVY = 64, 1 << 20
 #: A list of more sets gives one edge for each set instead of pairs.
 LIST_PAIRS = 64
+#: Entries of a list that are skipped together.
+SKIP = 8
 #: Words of 64 bits in the map of candidate digests (1 MB).
 MAP_WORDS = 1 << 17
-#: Shingle hashes that a task of the last step holds, twice at most.
-BLOCK_HASHES = 2_000_000
+#: Shingle hashes of a share of a large cluster, and of a block of what is compared with all shares.
+SHARE_HASHES, BLOCK_HASHES = 100_000, 2_000_000
+#: Sets of a large cluster that all others are compared with first.
+LEADERS = 4
 
 
 def _need(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -208,6 +217,40 @@ _PAIR_BLOBS = "task int, a binary, b binary, na binary, nb binary, met binary, s
 _PAIR_TYPES = {"a": np.int64, "b": np.int64, "na": np.uint32, "nb": np.uint32, "met": np.uint32, "star": np.uint8}
 
 
+def _skipped(group, size, place, num, den):
+    """Pairs (i, j) of entries of one group that may link, for entries in order of group and place.
+
+    The room for an overlap is what lies before both entries' places and what is left behind them.
+    Blocks are skipped by the most room and the least sizes that their entries have.
+    """
+    if not len(group):
+        return
+    start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    rank = np.arange(len(group)) - np.repeat(start, np.diff(np.append(start, len(group))))
+    first = np.flatnonzero(rank % SKIP == 0)
+    last = np.append(first[1:], len(group))
+    of, most, left = group[first], np.maximum.reduceat(place, first), np.maximum.reduceat(size - place, first)
+    least, largest = np.minimum.reduceat(size, first), np.maximum.reduceat(size, first)
+    each = np.arange(SKIP)
+    for step in range(LIST_PAIRS // SKIP + 1):
+        i = np.flatnonzero(of[: len(of) - step] == of[step:])
+        if not len(i):
+            return
+        j = i + step
+        room = np.minimum(most[i], most[j]) + np.minimum(left[i], left[j])
+        fits = (largest[i] * den >= least[j] * num) & (largest[j] * den >= least[i] * num)
+        ok = fits & ((room * (num + den) >= num * (least[i] + least[j])) | (np.maximum(most[i], most[j]) == 65535))
+        for lo in range(0, int(ok.sum()), 50_000):
+            a, b = (x[ok][lo : lo + 50_000] for x in (i, j))
+            x, y = first[a][:, None, None] + each[:, None], first[b][:, None, None] + each
+            inside = (x < last[a][:, None, None]) & (y < last[b][:, None, None]) & (x < y)
+            x, y = (np.broadcast_to(v, inside.shape)[inside] for v in (x, y))
+            m, n, p, q = size[x], size[y], place[x], place[y]
+            room = np.minimum(p, q) + np.minimum(m - p, n - q)
+            pair = (np.minimum(m, n) * den >= np.maximum(m, n) * num) & ((room * (num + den) >= num * (m + n)) | (np.maximum(p, q) == 65535))
+            yield x[pair], y[pair]
+
+
 def _scan_lists(num, den, tasks):
     def run(table: pa.Table) -> pa.Table:
         tok, dig, n, place = (_joined(table, c, t) for c, t in (("token", np.uint32), ("digest", np.int64), ("n", np.uint32), ("place", np.uint16)))
@@ -226,16 +269,9 @@ def _scan_lists(num, den, tasks):
         lead = first[group[member]]
         got = [(dig[lead], dig[member], n[lead], n[member], np.ones(len(lead), np.int32))]
         light = np.flatnonzero((length > 1)[group] & ~long[group])
-        g, d, size, at = group[light], dig[light], n[light], place[light]
-        for step in range(1, LIST_PAIRS):
-            i = np.flatnonzero(g[:-step] == g[step:]) if len(g) > step else np.empty(0, int)
-            if not len(i):
-                break
-            j = i + step
-            x, y, px, py = size[i], size[j], at[i], at[j]
-            room = np.minimum(px, py) + 1 + np.minimum(x - px, y - py) - 1
-            ok = (x * den >= y * num) & ((room * (num + den) >= num * (x + y)) | (np.maximum(px, py) == 65535))
-            i, j = i[ok], j[ok]
+        light = light[np.lexsort((n[light], place[light], group[light]))]
+        d, size = dig[light], n[light]
+        for i, j in _skipped(group[light], size, place[light], num, den):
             got.append((d[i], d[j], size[i], size[j], np.zeros(len(i), np.int32)))
         a, b, na, nb, star = (np.concatenate(x) for x in zip(*got))
         flip = a > b
@@ -291,8 +327,8 @@ def _ship(width, sent):
     return run
 
 
-def _within(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """For sets in ascending order of size, the label (an index) of each one's class of links."""
+def _within(sets: list[np.ndarray], num: int, den: int, asked: np.ndarray | None = None) -> np.ndarray:
+    """For sets in ascending order of size, the label (an index) of each one's class of links; with asked, of links that one of these sets has."""
     m = len(sets)
     size = np.array([len(s) for s in sets])
     label = np.arange(m)
@@ -308,28 +344,51 @@ def _within(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
         return np.bincount(lists[at], minlength=m)
 
     overlap, like = None, -1
-    for i in range(m):
+    for i in range(m) if asked is None else np.flatnonzero(asked).tolist():
         if overlap is not None and len(own[i]) + len(own[like]) - 2 * overlap[i] < len(own[i]) // 2:
             overlap = overlap + lists_of(np.setdiff1d(own[i], own[like], True)) - lists_of(np.setdiff1d(own[like], own[i], True))
         else:
             overlap = lists_of(own[i])
         like = i
-        lo = np.searchsorted(size[:i] * den, size[i] * num)
-        o = overlap[lo:i]
-        links = lo + np.flatnonzero(den * o >= num * (size[i] + size[lo:i] - o))
+        lo, hi = np.searchsorted(size[:i] * den, size[i] * num), i if asked is None else m
+        o = overlap[lo:hi]
+        links = lo + np.flatnonzero(den * o >= num * (size[i] + size[lo:hi] - o))
         if len(links):
             old = np.unique(label[np.append(links, i)])
             if len(old) > 1:
-                label[np.isin(label[: i + 1], old).nonzero()[0]] = old[0]
+                label[np.isin(label, old).nonzero()[0]] = old[0]
     return label
 
 
+def _follow(num, den):
+    """Links of a share's sets with the leaders among its rows."""
+
+    def run(table: pa.Table) -> pa.Table:
+        dig, lead, blobs = table.column("digest").to_numpy(), table.column("asked").to_numpy(), table.column("hashes")
+        sets = [np.frombuffer(blobs[k].as_buffer(), np.uint64) for k in range(len(dig))]
+        mine = np.flatnonzero(~lead)
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        if len(mine):
+            every, size = np.concatenate([sets[k] for k in mine]), np.array([len(sets[k]) for k in mine])
+            start = np.concatenate(([0], np.cumsum(size)[:-1]))
+            for k in np.flatnonzero(lead):
+                s = sets[k]
+                met = s[np.minimum(np.searchsorted(s, every), len(s) - 1)] == every
+                both = np.add.reduceat(met.astype(np.int64), start)
+                linked = mine[(den * both >= num * (len(s) + size - both)) & (dig[mine] != dig[k])]
+                a.append(np.full(len(linked), dig[k]))
+                b.append(dig[linked])
+        return pa.table([np.concatenate(a), np.concatenate(b)], names=["a", "b"])
+
+    return run
+
+
 def _answer(num, den):
     def run(table: pa.Table) -> pa.Table:
-        cluster, dig = table.column("cluster").to_numpy(), table.column("digest").to_numpy()
+        cluster, dig, asked = (table.column(c).to_numpy() for c in ("cluster", "digest", "asked"))
         blobs = table.column("hashes")
         size = pc.binary_length(blobs).to_numpy()
-        by = np.lexsort((dig, size, cluster))
+        by = np.lexsort((~asked, dig, size, cluster))
         by = by[np.concatenate(([True], (cluster[by][1:] != cluster[by][:-1]) | (dig[by][1:] != dig[by][:-1])))]
         c = cluster[by]
         cut = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1], [True])))
@@ -337,7 +396,7 @@ def _answer(num, den):
         for lo, hi in zip(cut[:-1], cut[1:]):
             if hi - lo > 1:
                 at = by[lo:hi]
-                label = _within([np.frombuffer(blobs[int(k)].as_buffer(), np.uint64) for k in at], num, den)
+                label = _within([np.frombuffer(blobs[int(k)].as_buffer(), np.uint64) for k in at], num, den, None if asked[at].all() else asked[at])
                 linked = label != np.arange(len(at))
                 a.append(dig[at[linked]])
                 b.append(dig[at[label[linked]]])
@@ -358,6 +417,37 @@ def _info(width):
     return run
 
 
+def _links_of_large(sets: DataFrame, member: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect what links connect in clusters beyond a share.
+
+    sets: cluster, digest, n, hashes, hashes_of_cluster; member: the same without hashes.
+    """
+    from_0 = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), c - 1))
+    schema, names = "a long, b long", ["cluster", "digest", "hashes", "asked"]
+    shares = F.ceil(F.col("hashes_of_cluster") / SHARE_HASHES)
+    chosen = [F.min(F.struct(F.xxhash64("digest", F.lit(k)), "digest"))["digest"] for k in range(LEADERS)]
+    leaders = member.groupBy("cluster").agg(F.array_distinct(F.array(*chosen)).alias("d")).select("cluster", F.explode("d").alias("digest"))
+    ahead = sets.join(leaders, ["cluster", "digest"], "left_semi").withColumn("asked", F.lit(True)).select(*names, from_0(shares).alias("share"))
+    every = sets.withColumn("asked", F.lit(False)).select(*names, F.pmod(F.xxhash64("digest"), shares).alias("share"))
+    first = written(ahead.union(every).groupBy("cluster", "share").applyInArrow(_follow(num, den), schema), "links")
+    # The largest class of each cluster is done; the sets outside it are compared with all.
+    classes = member.join(components(first).toDF("digest", "root"), "digest", "left")
+    sizes = classes.where("root is not null").groupBy("cluster", "root").agg(F.count("*").alias("sets"))
+    main = sizes.groupBy("cluster").agg(F.max(F.struct("sets", "root"))["root"].alias("main"))
+    classes = classes.join(main, "cluster", "left").withColumn("asked", ~F.coalesce(F.col("root") == F.col("main"), F.lit(False)))
+    outside = classes.where("asked").groupBy("cluster").agg(F.sum("n").alias("outside"))
+    # So many shares that what is outside, sent to each, is no more than the cluster, and that none is beyond a block.
+    by_block = F.ceil(F.col("hashes_of_cluster") / BLOCK_HASHES)
+    deal = outside.join(member.select("cluster", "hashes_of_cluster").distinct(), "cluster").select(
+        "cluster", F.greatest(by_block, F.least(shares, F.ceil(F.col("hashes_of_cluster") / F.col("outside")))).alias("shares"), F.ceil(F.col("outside") / BLOCK_HASHES).alias("blocks")
+    )
+    rows = sets.join(classes.select("digest", "asked"), "digest").join(deal, "cluster")
+    share, block = F.pmod(F.xxhash64("digest"), F.col("shares")), F.pmod(F.xxhash64("digest", F.lit(1)), F.col("blocks"))
+    all_of = rows.withColumn("asked", F.lit(False)).select(*names, share.alias("share"), from_0(F.col("blocks")).alias("block"))
+    some = rows.where("asked").select(*names, from_0(F.col("shares")).alias("share"), block.alias("block"))
+    return all_of.union(some).groupBy("cluster", "share", "block").applyInArrow(_answer(num, den), schema).union(first)
+
+
 def set_classes(texts: DataFrame, num: int, den: int, width: int) -> DataFrame:
     """(digest, root) of the sets of texts (column text) that link with another one; sets of a class have one root."""
     spark = texts.sparkSession
@@ -368,19 +458,21 @@ def set_classes(texts: DataFrame, num: int, den: int, width: int) -> DataFrame:
     pairs = written(pairs, "pairs")
     sizes = pairs.select("a", "na").union(pairs.select("b", "nb")).toDF("digest", "n").distinct()
     member = components(pairs).toDF("digest", "cluster").join(sizes, "digest")
-    blocks = member.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_HASHES).alias("blocks"))
-    member = written(member.join(blocks, "cluster"), "members")
+    whole = member.groupBy("cluster").agg(F.sum("n").alias("hashes_of_cluster"))
+    member = written(member.join(whole, "cluster"), "members")
     word = F.pmod(F.shiftrightunsigned("digest", 6), F.lit(MAP_WORDS))
     words = np.zeros(MAP_WORDS, np.uint64)
     got = member.groupBy(word.alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(digest & 63 as int)))").alias("bits")).toPandas()
     words[got["w"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
     shipped = texts.mapInArrow(_ship(width, spark.sparkContext.broadcast(words)), "digest long, hashes binary")
-    total = member.agg(F.sum("n")).first()[0] or 0
-    tasks = int(max(1, total // BLOCK_HASHES * 2, min(shuffle_partitions(spark), total // 50_000)))
-    # Small clusters share tasks; a large one is dealt out: each pair of its blocks meets once.
-    own = F.pmod(F.xxhash64("digest"), F.col("blocks"))
-    keyed = shipped.join(member, "digest").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("cluster", "digest", "hashes", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(tasks))).otherwise(F.col("cluster")).alias("task"), "blocks", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    links = keyed.groupBy("task", F.col("blocks") > 1, "i", "j").applyInArrow(_answer(num, den), "a long, b long")
+    sets = written(shipped.join(member, "digest"), "candidates")
+    large = F.col("hashes_of_cluster") > 2 * SHARE_HASHES
+    total = member.where(~large).agg(F.sum("n")).first()[0] or 0
+    tasks = int(max(1, total // SHARE_HASHES, min(shuffle_partitions(spark), total // 50_000)))
+    together = sets.where(~large).select(F.pmod(F.xxhash64("cluster"), F.lit(tasks)).alias("task"), "cluster", "digest", "hashes", F.lit(True).alias("asked"))
+    links = together.groupBy("task").applyInArrow(_answer(num, den), "a long, b long")
+    if member.where(large).limit(1).count():
+        links = links.union(_links_of_large(sets.where(large), member.where(large), num, den))
     return components(links).toDF("digest", "root")
 
 
