@@ -13,21 +13,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The patterns that define these normalizers.
-NUMBER = r"[-+]?\d{1,3}(?:,\d{3})+(?:\.\d+)?|[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?"
-LEADING_PUNCTUATION = r"(?U)^[\s\"'`(\[{<.,;:!?*_-]+"
-TRAILING_PUNCTUATION = r"(?U)[\s\"'`)\]}>.,;:!?*_-]+$"
+NUMBER = r"(?U)[-+]?\d{1,3}(?:,\d{3})+(?:\.\d+)?|[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?"
+EDGE_PUNCTUATION = r"(?U)^[\s\"'`(\[{<.,;:!?*_-]+|[\s\"'`)\]}>.,;:!?*_-]+$"
 ARTICLE = r"(?iU)\b(a|an|the)\b"
-FENCE = r"(?s)^\s*```[a-zA-Z0-9_+-]*\s*\n?(.*?)\n?\s*```\s*$"
-THINKING = r"(?is)<(think|thinking|scratchpad|reasoning)>.*?</\1>"
+FENCE = r"(?sU)^\s*```[a-zA-Z0-9_+-]*\s*\n?(.*?)\n?\s*```\s*$"
+THINKING = r"(?isU)<(think|thinking|scratchpad|reasoning)>.*?</\1>"
 BOXED = r"\\boxed\{([^{}]*)\}"
 ANSWER = r"(?iU)^(?:the\s+)?(?:final\s+)?answer\s*(?:is|:)\s*"
 CHOICE = r"(?U)\b([A-Ja-j])\b(?=[).:,\s]|$)"
 EMPHASIS = r"(?s)(\*{1,3}|_{1,3})(.+?)\1"
 LINE_END = r"\r\n|[\n\r\u000B\u000C\u001C\u001D\u001E\u0085\u2028\u2029]"
-QUOTES = ('""', "''", "“”", "‘’")
-
-#: How deep nested emphasis is unwrapped.
-EMPHASIS_DEPTH = 6
+QUOTES = (('"', '"'), ("'", "'"), ("“", "”"), ("‘", "’"))
 
 
 def strip(x: Column) -> Column:
@@ -39,7 +35,7 @@ def collapse_whitespace(x: Column) -> Column:
 
 
 def strip_punctuation(x: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(x, LEADING_PUNCTUATION, ""), TRAILING_PUNCTUATION, "")
+    return F.regexp_replace(x, EDGE_PUNCTUATION, "")
 
 
 def strip_articles(x: Column) -> Column:
@@ -55,9 +51,15 @@ def strip_thinking(x: Column) -> Column:
 
 
 def strip_markdown(x: Column) -> Column:
-    for _ in range(EMPHASIS_DEPTH):
-        x = F.regexp_replace(x, EMPHASIS, "$2")
-    return x
+    """Emphasis unwrapped until there is none: each pass that changes a text takes two of its marks at least."""
+    marks = F.length(x) - F.length(F.translate(x, "*_", ""))
+
+    def once(held, _):
+        less = F.regexp_replace(held["text"], EMPHASIS, "$2")
+        return F.when(held["done"], held).otherwise(F.struct(less.alias("text"), (less == held["text"]).alias("done")))
+
+    start = F.struct(x.alias("text"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(0), F.floor(marks / 2).cast("int")), start, once, lambda held: held["text"])
 
 
 def strip_quotes(x: Column) -> Column:
@@ -65,8 +67,8 @@ def strip_quotes(x: Column) -> Column:
     x = strip(x)
     inner = strip(F.substring(x, F.lit(2), F.length(x) - 2))
     paired = F.lit(False)
-    for pair in QUOTES:
-        paired = paired | (x.startswith(pair[0]) & x.endswith(pair[1]))
+    for opening, closing in QUOTES:
+        paired = paired | (x.startswith(opening) & x.endswith(closing))
     return F.when((F.length(x) >= 2) & paired, inner).otherwise(x)
 
 
@@ -125,6 +127,7 @@ def normalize_unicode(x: Column) -> Column:
     return nfkc(x)
 
 
+# The names that specs call normalizers by, and the chain that they have by default.
 NORMALIZERS: dict[str, Callable[[Column], Column]] = {
     "strip": strip,
     "collapse_whitespace": collapse_whitespace,
@@ -168,6 +171,12 @@ def slug(x: Column, length: int = 32) -> Column:
     return dashes(F.left(dashes(F.regexp_replace(F.lower(strip(x)), "[^a-z0-9]+", "-")), F.lit(length)))
 
 
+def run_id(name: Column, at: Column, salt: Column) -> Column:
+    """``YYYYmmdd-HHMMSS-slug-6hex`` of a run's name and its start (a UTC timestamp); ids sort by time."""
+    stamp, named = F.date_format(at, "yyyyMMdd-HHmmss"), F.coalesce(F.nullif(slug(name), F.lit("")), F.lit("run"))
+    return F.concat_ws("-", stamp, named, F.left(F.sha2(F.concat(stamp, named, salt.cast("string")), 256), F.lit(6)))
+
+
 def truncate(x: Column, length: int) -> Column:
     return F.when(F.length(x) > length, F.concat(F.left(x, F.lit(length)), F.lit(" ...[+"), (F.length(x) - length).cast("string"), F.lit(" chars]"))).otherwise(x)
 

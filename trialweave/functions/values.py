@@ -6,7 +6,7 @@ import json
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -104,8 +104,70 @@ def draw(k: Column, *parts: Column | str) -> Column:
     return F.floor(bits / F.lit(float(2**48)) * k).cast("long")
 
 
-def judge_prompt(response: Column, rubric: Sequence[tuple[str, str]], scale: int, question: Column | None = None, reference: Column | None = None, instructions: str | None = None) -> Column:
-    """The text that asks a judge to score a response by the rubric's criteria (name, description)."""
+def retry_after(headers: Column) -> Column:
+    """Seconds to wait by a map of headers (names in lower case): the first of three that is a number."""
+    # The headers, in order of precedence.
+    names = ("retry-after", "x-ratelimit-reset-requests", "x-ratelimit-reset-tokens")
+    return F.coalesce(*(retry_after_seconds(F.lower(F.try_element_at(headers, F.lit(name)))) for name in names))
+
+
+def split_params(params: Column) -> Column:
+    """A map of parameters as struct<common, extra>: those that all providers know, and the rest."""
+    # The parameters that all providers know.
+    common = ["temperature", "max_tokens", "top_p", "stop", "seed"]
+    return F.struct(F.map_filter(params, lambda k, _: k.isin(common)).alias("common"), F.map_filter(params, lambda k, _: ~k.isin(common)).alias("extra"))
+
+
+def as_text(value: Column, kind: str) -> Column:
+    """A scalar as specs write it: true and false, whole numbers without a point. kind: the column's type."""
+    if kind in ("float", "double"):
+        whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
+        return F.when(whole, value.cast("bigint").cast("string")).otherwise(value.cast("string"))
+    return value.cast("string")
+
+
+def rounded(rows: DataFrame, digits: int = 6, **others: int) -> DataFrame:
+    """rows for output: doubles rounded to ``digits`` places; others: places of single columns."""
+    doubles = [f.name for f in rows.schema.fields if f.dataType.simpleString() == "double"]
+    return rows.withColumns({c: F.round(c, others.get(c, digits)) for c in doubles})
+
+
+def percent(value: Column, digits: int = 1) -> Column:
+    return F.format_string(f"%.{digits}f%%", F.bround(value * 100, digits))
+
+
+def interval_cell(low: Column, high: Column, method: Column, digits: int = 1) -> Column:
+    """Half the interval's width in points, or n/a where there is none."""
+    return F.when(method.isin("empty", "degenerate"), "n/a").otherwise(F.format_string(f"±%.{digits}f", F.bround((high - low) / 2 * 100, digits)))
+
+
+def money(value: Column) -> Column:
+    return F.when(value == 0, "$0").when(value < 0.01, F.format_string("$%.4f", F.bround(value, 4))).otherwise(F.format_string("$%.2f", F.bround(value, 2)))
+
+
+def duration_text(seconds: Column) -> Column:
+    whole = F.floor(seconds).cast("bigint")
+    minutes, hours = F.floor(whole / 60).cast("bigint"), F.floor(whole / 3600).cast("bigint")
+    return F.when(seconds < 60, F.format_string("%.1fs", F.bround(seconds, 1))).when(minutes < 60, F.format_string("%dm%02ds", minutes, whole % 60)).otherwise(F.format_string("%dh%02dm", hours, minutes % 60))
+
+
+#: What the scores of a scale of 4 stand for, where a caller says nothing else.
+ANCHORS = {0: "not met at all", 1: "mostly not met", 2: "met in part", 3: "met with small flaws", 4: "met in full"}
+
+
+def judge_prompt(
+    response: Column,
+    rubric: Sequence[tuple[str, str] | tuple[str, str, float]],
+    scale: int,
+    question: Column | None = None,
+    reference: Column | None = None,
+    instructions: str | None = None,
+    anchors: Mapping[int, str] | None = None,
+) -> Column:
+    """The text that asks a judge to score a response by the rubric's criteria (name, description, perhaps weight).
+
+    anchors: what scores stand for; by default ANCHORS, as far as they go and for the top of the scale.
+    """
     parts = []
     if question is not None:
         parts.append(F.concat(F.lit("QUESTION\n"), question))
@@ -114,7 +176,10 @@ def judge_prompt(response: Column, rubric: Sequence[tuple[str, str]], scale: int
         parts.append(F.concat(F.lit("REFERENCE\n"), reference))
     if instructions:
         parts.append(F.lit("INSTRUCTIONS\n" + instructions))
-    parts.append(F.lit("RUBRIC\n" + "\n".join(f"- {name}: {text}" for name, text in rubric)))
-    parts.append(F.lit(f"SCALE\nInteger scores from 0 to {scale}."))
-    parts.append(F.lit("FORMAT\n" + canonical_json({name: "score" for name, _ in rubric})))
+    weight = lambda c: f" (weight {c[2]:g})" if len(c) > 2 else ""
+    parts.append(F.lit("RUBRIC\n" + "\n".join(f"- {c[0]}{weight(c)}: {c[1]}" for c in rubric)))
+    known = ANCHORS if anchors is None else anchors
+    stands = ", ".join(f"{n} = {known.get(n, 'in between')}" for n in range(scale + 1) if n in known or n == scale)
+    parts.append(F.lit(f"SCALE\nInteger scores from 0 to {scale}: {stands}."))
+    parts.append(F.lit("FORMAT\n" + canonical_json({"scores": {c[0]: "score" for c in rubric}, "rationale": "one sentence"})))
     return F.concat_ws("\n\n", *parts)
