@@ -43,12 +43,28 @@ def clusters(observations: DataFrame, *keys: str) -> DataFrame:
     return sums.withColumn("i", F.row_number().over(group.orderBy("cluster")).cast("long") - 1).withColumn("k", F.count("*").over(group))
 
 
-def replicates(sums: DataFrame, resamples: int, seed: int, *keys: str) -> DataFrame:
-    """The mean of each replicate of each group. sums: as of clusters()."""
-    sizes = sums.groupBy(*keys).agg(F.first("k").alias("k"))
-    grid = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long")))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+#: Clusters of a group that one row holds (24 bytes each) while its replicates are drawn; more are joined draw by draw.
+HELD_CLUSTERS = 2000
+
+
+def replicates(sums: DataFrame, resamples: int, seed: int, *keys: str, held_clusters: int = HELD_CLUSTERS) -> DataFrame:
+    """The mean of each replicate of each group. sums: as of clusters(). Both ways draw the same."""
+    reps = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("rep")
+    # A group's clusters in one array: a replicate is a loop over it, without a join or a shuffle.
+    few = sums.where(F.col("k") <= held_clusters).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "total", "n"))).alias("c")).where("size(c) > 0").select(*keys, "c", reps)
+
+    def add(acc, j):
+        one = F.get("c", draw(F.size("c").cast("long"), F.lit(str(seed)), F.col("rep"), j).cast("int"))
+        return F.struct((acc["total"] + one["total"]).alias("total"), (acc["n"] + one["n"]).alias("n"))
+
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("n"))
+    mean = F.aggregate(F.sequence(F.lit(0).cast("long"), F.size("c").cast("long") - 1), start, add, lambda acc: acc["total"] / acc["n"])
+    looped = few.select(*keys, "rep", mean.alias("mean"))
+    many = sums.where(F.col("k") > held_clusters)
+    grid = many.groupBy(*keys).agg(F.first("k").alias("k")).where("k > 0").select(*keys, "k", reps).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     drawn = grid.withColumn("i", draw(F.col("k"), F.lit(str(seed)), F.col("rep"), F.col("j"))).drop("k")
-    return drawn.join(sums.select(*keys, "i", "total", "n"), [*keys, "i"]).groupBy(*keys, "rep").agg((F.sum("total") / F.sum("n")).alias("mean"))
+    joined = drawn.join(many.select(*keys, "i", "total", "n"), [*keys, "i"]).groupBy(*keys, "rep").agg((F.sum("total") / F.sum("n")).alias("mean"))
+    return looped.unionByName(joined)
 
 
 def jackknife(sums: DataFrame, *keys: str) -> DataFrame:
@@ -59,14 +75,55 @@ def jackknife(sums: DataFrame, *keys: str) -> DataFrame:
 
 
 def percentile_intervals(sums: DataFrame, resamples: int = RESAMPLES, seed: int = SEED, level: float = LEVEL, keys: Sequence[str] = ("model_id",)) -> DataFrame:
-    """Point, percentile interval and standard error of each group; degenerate with fewer than two clusters."""
+    return intervals(sums, resamples, seed, level, keys, "percentile")
+
+
+def _bca_levels(*columns: Column) -> Column:
+    """bca_levels() of a row for each group."""
+
+    @F.pandas_udf("low double, high double")
+    def levels(below: pd.Series, squares: pd.Series, cubes: pd.Series, level: pd.Series) -> pd.DataFrame:
+        got = [bca_levels(*row) or (None, None) for row in zip(below, squares, cubes, level)]
+        return pd.DataFrame(got, columns=["low", "high"], dtype="float64")
+
+    return levels(*columns)
+
+
+def intervals(sums: DataFrame, resamples: int = RESAMPLES, seed: int = SEED, level: float = LEVEL, keys: Sequence[str] = ("model_id",), method: str = "bca") -> DataFrame:
+    """Point, interval and standard error of each group (of all rows, without keys); degenerate with fewer than two clusters.
+
+    method: percentile, or bca with percentiles where it isn't defined. A group's means, ``resamples`` of them, are one array.
+    """
+    if method not in ("bca", "percentile"):
+        raise ValueError(f"method is {method!r}, not bca or percentile")
+    by = list(keys) or ["__all"]
+    sums = sums if keys else sums.withColumn("__all", F.lit(0))
     tail = (1 - level) / 2
-    point = sums.groupBy(*keys).agg((F.sum("total") / F.sum("n")).alias("point"), F.sum("n").alias("n_units"), F.count("*").alias("n_clusters"))
-    spread = replicates(sums.where("k > 1"), resamples, seed, *keys).groupBy(*keys).agg(F.percentile("mean", [tail, 1 - tail]).alias("q"), F.stddev_pop("mean").alias("std_error"))
-    joined = point.join(spread, list(keys), "left")
-    return joined.select(
-        *keys, "point", F.coalesce(F.col("q")[0], "point").alias("low"), F.coalesce(F.col("q")[1], "point").alias("high"),
-        F.coalesce("std_error", F.lit(0.0)).alias("std_error"), "n_units", "n_clusters", F.when(F.col("q").isNull(), "degenerate").otherwise("percentile").alias("method"),
+    point = sums.groupBy(*by).agg((F.sum("total") / F.sum("n")).alias("point"), F.sum("n").alias("n_units"), F.count("*").alias("n_clusters"))
+    spread = replicates(sums.where("k > 1"), resamples, seed, *by).groupBy(*by).agg(F.sort_array(F.collect_list("mean")).alias("means"), F.stddev_pop("mean").alias("std_error"))
+    rows = point.join(spread, by, "left")
+    low, high, used = F.lit(tail), F.lit(1 - tail), F.lit("percentile")
+    if method == "bca":
+        # Sums of the jackknife's deviations by moments about the point, which is near them.
+        near = jackknife(sums, *by).join(point.select(*by, "point"), by).withColumn("u", F.col("without") - F.col("point"))
+        m = [F.avg(F.pow("u", F.lit(float(p)))) for p in (1, 2, 3)]
+        n = F.count("*").cast("double")
+        sums_of = near.groupBy(*by).agg((n * (m[1] - m[0] * m[0])).alias("squares"), (-n * (m[2] - 3 * m[0] * m[1] + 2 * m[0] * m[0] * m[0])).alias("cubes"))
+        below = F.size(F.filter("means", lambda x: x < F.col("point"))) / F.size("means")
+        rows = rows.join(sums_of, by, "left").withColumn("levels", _bca_levels(below, F.col("squares"), F.col("cubes"), F.lit(level)))
+        used = F.when(F.col("levels.low").isNull(), "percentile").otherwise("bca")
+        low, high = F.coalesce("levels.low", low), F.coalesce("levels.high", high)
+
+    def at(q):
+        place = q * (F.size("means") - 1)
+        lo = F.floor(place).cast("int")
+        one = F.get("means", lo)
+        return one + (F.get("means", F.least(lo + 1, F.size("means") - 1)) - one) * (place - lo)
+
+    none = F.col("means").isNull()
+    return rows.select(
+        *keys, "point", F.coalesce(at(low), "point").alias("low"), F.coalesce(at(high), "point").alias("high"),
+        F.coalesce("std_error", F.lit(0.0)).alias("std_error"), "n_units", "n_clusters", F.when(F.col("n_clusters") == 0, "empty").when(none, "degenerate").otherwise(used).alias("method"),
     )
 
 
@@ -77,15 +134,14 @@ def quantile(values: Sequence[float], q: float) -> float:
     return values[lo] + (values[min(lo + 1, len(values) - 1)] - values[lo]) * (at - lo)
 
 
-def bca_quantiles(means: Sequence[float], point: float, without: Sequence[float], level: float) -> tuple[float, float] | None:
-    """The two quantiles of the bias-corrected, accelerated interval, or None where it isn't defined."""
-    below = sum(m < point for m in means) / len(means)
-    centre = fmean(without)
-    d = [centre - w for w in without]
-    squares = sum(x * x for x in d)
-    if not 0 < below < 1 or squares <= 0:
+def bca_levels(below: float | None, squares: float | None, cubes: float | None, level: float) -> tuple[float, float] | None:
+    """The two levels of the bias-corrected, accelerated interval, or None where it isn't defined.
+
+    below: the share of replicates under the point; squares and cubes: sums of the jackknife's deviations from its mean.
+    """
+    if below is None or squares is None or not 0 < below < 1 or not squares > 1e-24:
         return None
-    z, a = normal_ppf(below), sum(x**3 for x in d) / (6 * squares**1.5)
+    z, a = normal_ppf(below), cubes / (6 * squares**1.5)
     out = []
     for p in ((1 - level) / 2, (1 + level) / 2):
         x = z + normal_ppf(p)
@@ -95,6 +151,13 @@ def bca_quantiles(means: Sequence[float], point: float, without: Sequence[float]
     return (out[0], out[1]) if 0 < out[0] < out[1] < 1 else None
 
 
+def bca_quantiles(means: Sequence[float], point: float, without: Sequence[float], level: float) -> tuple[float, float] | None:
+    """bca_levels() of a group's replicates and jackknife."""
+    centre = fmean(without)
+    d = [centre - w for w in without]
+    return bca_levels(sum(m < point for m in means) / len(means), sum(x * x for x in d), sum(x**3 for x in d), level)
+
+
 def exact_bootstrap(observations: DataFrame, resamples: int = RESAMPLES, seed: int = SEED, level: float = LEVEL, method: str = "bca", keys: Sequence[str] = ("model_id",)) -> DataFrame:
     """The interval of each group by draws of Python's generator; BCa where it is defined, else percentiles.
 

@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from .bootstrap import clusters, replicates
+from ..functions.values import side_label, unit_id
+from ..sources.runs import model_in_run, parse_selector, resolve
+from . import outcomes
+from .bootstrap import LEVEL, RESAMPLES, SEED, clusters, intervals, mde, replicates
+
+
+def last_units(observations: DataFrame) -> DataFrame:
+    """unit, cluster and value, one row a unit: the last by ``ordinal`` (with none, or at ties, the largest)."""
+    kept = F.struct("cluster", "value")
+    order = F.struct("ordinal", kept) if "ordinal" in observations.columns else kept
+    return observations.groupBy("unit").agg(F.max_by(kept, order).alias("one")).select("unit", "one.*")
+
+
+def _sides(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+    right = last_units(b).select("unit", F.col("cluster").alias("cluster_b"), F.col("value").alias("value_b"), F.lit(True).alias("in_b"))
+    left = last_units(a).select("unit", "cluster", F.col("value").alias("value_a"), F.lit(True).alias("in_a"))
+    return left.join(right, "unit", how).withColumn("delta", F.col("value_a") - F.col("value_b"))
 
 
 def paired(a: DataFrame, b: DataFrame) -> DataFrame:
-    """unit, cluster, value_a, value_b, delta = a - b of the units that both observation tables have."""
-    right = b.select("unit", F.col("value").alias("value_b"))
-    return a.select("unit", "cluster", F.col("value").alias("value_a")).join(right, "unit").withColumn("delta", F.col("value_a") - F.col("value_b"))
+    """unit, cluster, cluster_b, value_a, value_b, delta = a - b of the units that both observation tables have, each once."""
+    return _sides(a, b, "inner").select("unit", "cluster", "cluster_b", "value_a", "value_b", "delta")
 
 
 def only_in(a: DataFrame, b: DataFrame) -> DataFrame:
     """unit and side of the units that one side has alone."""
-    return a.join(b, "unit", "left_anti").select("unit", F.lit("a").alias("side")).union(b.join(a, "unit", "left_anti").select("unit", F.lit("b").alias("side")))
+    a, b = a.select("unit").distinct(), b.select("unit").distinct()
+    return a.join(b, "unit", "left_anti").withColumn("side", F.lit("a")).union(b.join(a, "unit", "left_anti").withColumn("side", F.lit("b")))
 
 
 def sign_counts(pairs: DataFrame) -> DataFrame:
@@ -53,11 +71,67 @@ def paired_replicates(pairs: DataFrame, resamples: int, seed: int) -> DataFrame:
     return replicates(clusters(pairs.select("cluster", F.col("delta").alias("value"))), resamples, seed)
 
 
-def unpaired_replicates(a: DataFrame, b: DataFrame, resamples: int, seed: int) -> DataFrame:
-    """The difference of independent replicates of both sides (seeds ``seed`` and ``seed`` + 1 of the grid)."""
-    left = replicates(clusters(a), resamples, seed).withColumnRenamed("mean", "a")
-    right = replicates(clusters(b), resamples, seed + 1).withColumnRenamed("mean", "b")
-    return left.join(right, "rep").select("rep", (F.col("a") - F.col("b")).alias("mean"))
+def sides_of(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The observations of both sides of pairs: those of the units that they share."""
+    return pairs.select("unit", "cluster", F.col("value_a").alias("value")), pairs.select("unit", F.col("cluster_b").alias("cluster"), F.col("value_b").alias("value"))
+
+
+def unpaired_replicates(pairs: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """The difference of independent replicates of both sides (seeds ``seed`` and ``seed`` + 1 of the grid), over shared units; none if a side has one cluster."""
+    left, right = (clusters(side).where("k > 1") for side in sides_of(pairs))
+    a, b = replicates(left, resamples, seed).withColumnRenamed("mean", "a"), replicates(right, resamples, seed + 1).withColumnRenamed("mean", "b")
+    return a.join(b, "rep").select("rep", (F.col("a") - F.col("b")).alias("mean"))
+
+
+def paired_diff(a: DataFrame, b: DataFrame, resamples: int = RESAMPLES, seed: int = SEED, level: float = LEVEL, binary: bool = False, method: str = "bca") -> DataFrame:
+    """One row that compares a (the candidate) with b on the units that both have.
+
+    n_paired, n_clusters; mean_a, mean_b, delta; low, high, std_error and method of the paired interval;
+    unpaired_low, unpaired_high, unpaired_method (each side drawn by itself: what pairing is worth);
+    wins, losses, ties; only_a, only_b and p_value (McNemar's) if binary; mde, significant, verdict;
+    only_in_a, only_in_b (numbers of units) and notes. Without shared units: means of all of each side, method ``empty``.
+    """
+    every = _sides(a, b, "full_outer")
+    pairs = every.where("in_a and in_b")
+    tail, shared = (1 - level) / 2, F.col("in_a") & F.col("in_b")
+    counts = every.agg(
+        F.count_if(shared).alias("n_paired"), F.avg(F.when(shared, F.col("value_a"))).alias("mean_a"), F.avg(F.when(shared, F.col("value_b"))).alias("mean_b"),
+        F.count_if(F.col("delta") > 0).alias("wins"), F.count_if(F.col("delta") < 0).alias("losses"), F.count_if(F.col("delta") == 0).alias("ties"),
+        F.count_if(F.col("in_b").isNull()).alias("only_in_a"), F.count_if(F.col("in_a").isNull()).alias("only_in_b"), F.avg("value_a").alias("all_a"), F.avg("value_b").alias("all_b"),
+    )
+    both = intervals(clusters(pairs.select("cluster", F.col("delta").alias("value"))), resamples, seed, level, [], method)
+    apart = unpaired_replicates(pairs, resamples, seed + 1).agg(F.percentile("mean", [tail, 1 - tail]).alias("q"))
+    # Three tables of one row each.
+    one = lambda df: df.withColumn("__one", F.lit(1))
+    rows = one(counts).join(one(both), "__one", "left").join(one(apart), "__one", "left")
+    none = F.col("n_paired") == 0
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    kind = F.coalesce("method", F.lit("empty"))
+    low, high = zero(F.col("low")), zero(F.col("high"))
+    decided = verdict(low, high, kind)
+    gone = F.col("only_in_a") + F.col("only_in_b")
+    notes = F.filter(
+        F.array(
+            F.when(gone > 0, F.format_string("%d cases are in one run alone and aren't compared", gone)),
+            F.when(none, F.lit("no case is in both runs: there is nothing to compare")),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    return rows.select(
+        "n_paired", F.coalesce("n_clusters", F.lit(0).cast("long")).alias("n_clusters"),
+        F.when(none, zero(F.col("all_a"))).otherwise(F.col("mean_a")).alias("mean_a"), F.when(none, zero(F.col("all_b"))).otherwise(F.col("mean_b")).alias("mean_b"),
+        zero(F.col("mean_a") - F.col("mean_b")).alias("delta"), low.alias("low"), high.alias("high"), zero(F.col("std_error")).alias("std_error"), kind.alias("method"),
+        F.coalesce(F.col("q")[0], zero(F.col("delta"))).alias("unpaired_low"), F.coalesce(F.col("q")[1], zero(F.col("delta"))).alias("unpaired_high"),
+        F.when(none, "empty").when(F.col("q").isNull(), "degenerate").otherwise("percentile").alias("unpaired_method"),
+        "wins", "losses", "ties",
+        *((F.col("wins").alias("only_a"), F.col("losses").alias("only_b"), F.when(~none, mcnemar(F.col("wins"), F.col("losses"))).alias("p_value")) if binary else (F.lit(0).cast("long").alias("only_a"), F.lit(0).cast("long").alias("only_b"), F.lit(None).cast("double").alias("p_value"))),
+        mde(zero(F.col("std_error")), level).alias("mde"), decided.isin("improvement", "regression").alias("significant"), decided.alias("verdict"), "only_in_a", "only_in_b", notes.alias("notes"),
+    )
+
+
+def regression_gate(diff: DataFrame) -> DataFrame:
+    """diff (as of paired_diff) with ``fails``: whether it is a significant regression."""
+    return diff.withColumn("fails", F.col("significant") & (F.col("delta") < 0))
 
 
 def verdict(low: Column, high: Column, method: Column) -> Column:
@@ -76,15 +150,92 @@ def changed_tasks(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.select("task_id", change.alias("change")).where("change is not null")
 
 
-def error_policy(policies: DataFrame) -> DataFrame:
-    """The policy that all sides share, else zero. policies: column errors."""
+def error_policy(policies: DataFrame | GroupedData) -> DataFrame:
+    """The policy that all sides which have one share, else zero. policies: column errors, perhaps grouped."""
     kinds = F.collect_set("errors")
     return policies.agg(F.when(F.size(kinds) == 1, kinds[0]).otherwise("zero").alias("errors"))
 
 
-def warnings(a: DataFrame, b: DataFrame, most_errors: float = 0.05) -> DataFrame:
-    """side and warning of two tables of records: error rates beyond a share, and no unit in common."""
-    rate = lambda df, side: df.agg((F.count_if(F.col("status") != "ok") / F.count("*")).alias("rate")).where(F.col("rate") > most_errors).select(F.lit(side).alias("side"), F.lit("many errors").alias("warning"))
+def model_entry(manifests: DataFrame, run_id: str, model_id: str) -> DataFrame:
+    """id, model and params of a model in a run's manifest: the first entry of that id; no row without one."""
+    entry = F.get(F.filter("models", lambda m: m["id"] == model_id), 0)
+    return manifests.where(F.col("run_id") == run_id).select(entry.alias("m")).where("m is not null").select("m.*")
+
+
+def warnings(a: DataFrame, b: DataFrame, manifests: DataFrame | None = None, side_a: tuple[str, str] | None = None, side_b: tuple[str, str] | None = None, most_errors: float = 0.05) -> DataFrame:
+    """side, warning and detail: what makes a comparison of two tables of records less trustworthy than it looks.
+
+    Of records: error rates beyond a share, no unit in common. Of manifests (run_id, suite struct<fingerprint, errors>,
+    version, tasks array<struct<id, fingerprint>>, models array<struct<id, model, params>>; sides are (run_id, model_id)):
+    other contents of the suite and the tasks that changed, at most eight; other error policies; other parameters of one
+    model; one side twice; other versions. What a manifest doesn't say raises no warning.
+    """
+    out = []
+    for name, df in (("a", a), ("b", b)):
+        rate = F.count_if(F.col("status") != "ok") / F.count("*")
+        out.append(df.agg(rate.alias("rate")).where(F.col("rate") > most_errors).select(F.lit(name).alias("side"), F.lit("many errors").alias("warning"), F.format_string("%.0f%%", F.col("rate") * 100).alias("detail")))
     keys = ["task_id", "case_id"]
-    shared = a.select(*keys).join(b.select(*keys).distinct(), keys, "left_semi").agg(F.count("*").alias("n")).where("n = 0").select(F.lit("both").alias("side"), F.lit("no unit in common").alias("warning"))
-    return rate(a, "a").union(rate(b, "b")).union(shared)
+    shared = a.select(*keys).join(b.select(*keys).distinct(), keys, "left_semi").agg(F.count("*").alias("n"))
+    both = lambda rows, warning, detail: rows.select(F.lit("both").alias("side"), F.lit(warning).alias("warning"), detail.alias("detail"))
+    out.append(both(shared.where("n = 0"), "no unit in common", F.lit("")))
+    if manifests is not None:
+        named = lambda x, s: F.struct(*(F.col(c) for c in manifests.columns)).alias(x)
+        sides = [manifests.where(F.col("run_id") == run).limit(1).select(F.lit(1).alias("__one"), named(x, run)) for x, (run, _) in (("x", side_a), ("y", side_b))]
+        pair = sides[0].join(sides[1], "__one")
+        model = lambda x, s: F.get(F.filter(f"{x}.models", lambda m: m["id"] == s[1]), 0)
+        pair = pair.withColumns({"mx": model("x", side_a), "my": model("y", side_b)})
+        differs = lambda c: F.col(f"x.{c}") != F.col(f"y.{c}")
+        versus = lambda c: F.concat_ws(" / ", f"x.{c}", f"y.{c}")
+        out.append(both(pair.where(differs("suite.fingerprint")), "other contents", F.concat_ws(" / ", F.left("x.suite.fingerprint", F.lit(12)), F.left("y.suite.fingerprint", F.lit(12)))))
+        tasks = lambda x: pair.where(differs("suite.fingerprint")).select(F.explode(f"{x}.tasks").alias("t")).select(F.col("t.id").alias("task_id"), F.col("t.fingerprint").alias("fingerprint"))
+        changed = changed_tasks(tasks("x"), tasks("y")).orderBy("task_id").limit(8).agg(F.array_sort(F.collect_list(F.concat_ws(" ", "task_id", "change"))).alias("tasks"))
+        out.append(both(changed.where("size(tasks) > 0"), "changed tasks", F.array_join("tasks", ", ")))
+        out.append(both(pair.where(differs("suite.errors")), "other error policies", versus("suite.errors")))
+        out.append(both(pair.where((F.col("mx.model") == F.col("my.model")) & ~F.col("mx.params").eqNullSafe(F.col("my.params"))), "other parameters of one model", F.concat_ws(" / ", "mx.params", "my.params")))
+        if side_a == side_b:
+            out.append(both(pair.where("mx is not null"), "one side twice", F.lit(":".join(side_a))))
+        out.append(both(pair.where(differs("version")), "other versions", versus("version")))
+    rows = out[0]
+    for more in out[1:]:
+        rows = rows.union(more)
+    return rows
+
+
+@dataclass(frozen=True)
+class DiffOfRuns:
+    """What diff_runs() returns: ``result`` (one row, as of paired_diff, with the sides' labels), ``warnings`` and ``deltas`` (units that differ, largest first)."""
+
+    result: DataFrame
+    warnings: DataFrame
+    deltas: DataFrame
+
+
+def diff_runs(
+    records: DataFrame, manifests: DataFrame, selector_a: str, selector_b: str, metric: str = "score", errors: str | None = None,
+    cluster_by: str = "task", resamples: int = RESAMPLES, seed: int = SEED, level: float = LEVEL,
+) -> DiffOfRuns:
+    """Compares two sides of records, ``run`` or ``run:model``; a positive delta means that a is better.
+
+    A run may be named as resolve() takes it; without a model it must have one. Unless errors says
+    otherwise, the error policy is what the manifests agree on, else zero.
+    """
+    sides = []
+    for selector in (selector_a, selector_b):
+        run, model = parse_selector(selector)
+        run = resolve(records, run)
+        sides.append((run, model_in_run(records, run, model)))
+    if errors is None:
+        mine = manifests.where(F.col("run_id").isin([run for run, _ in sides])).select("suite.errors").where("errors is not null")
+        errors = error_policy(mine).first()["errors"]
+    rows = [records.where((F.col("run_id") == run) & (F.col("model_id") == model)) for run, model in sides]
+    obs = [outcomes.observations(outcomes.collapse_cases(r, errors), metric, cluster_by) for r in rows]
+    result = paired_diff(*obs, resamples, seed, level, binary=metric == "pass")
+    labels = {f"side_{x}": side_label(F.lit(run), F.lit(model)) for x, (run, model) in zip("ab", sides)}
+    deltas = paired(*obs).where("delta <> 0").select("unit", "value_a", "value_b", "delta").orderBy(F.desc(F.abs("delta")), "unit")
+    return DiffOfRuns(result.withColumns(labels), warnings(*rows, manifests, *sides), deltas)
+
+
+def observations_from_scores(scores: DataFrame) -> DataFrame:
+    """unit, cluster and value of scores (task_id, scores map<case_id, number>)."""
+    rows = scores.select("task_id", F.explode("scores").alias("case_id", "value"))
+    return rows.select(unit_id(F.col("task_id"), F.col("case_id")).alias("unit"), F.col("task_id").alias("cluster"), F.col("value").cast("double").alias("value"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip_code_fence, strip_thinking
+
 
 def poll_scores(polls: DataFrame, reply: str = "reply", path: str = "$.scores") -> DataFrame:
     """polls with ``score`` read from a JSON reply that has {criterion: number} at path; null if it isn't a number."""
@@ -13,6 +17,53 @@ def poll_scores(polls: DataFrame, reply: str = "reply", path: str = "$.scores")
     return polls.withColumn("score", F.when(numeric, value.cast("string").try_cast("double")))
 
 
+def parsed(reply: Column) -> Column:
+    """The JSON value (a variant) of a reply: of all of it, of what is in its fence, or of its widest braces; null without any."""
+    inner = strip_code_fence(strip_thinking(reply))
+    return F.coalesce(F.try_parse_json(reply), F.try_parse_json(inner), F.try_parse_json(F.regexp_extract(inner, r"(?s)\{.*\}", 0)))
+
+
+def read_replies(replies: DataFrame, rubric: Sequence[tuple[str, float]], scale: int = 4, reply: str = "reply") -> DataFrame:
+    """replies with ``poll``, struct<scores array<struct<criterion, weight, score>>, rationale>, and ``parse_error``, one of them null.
+
+    A reply counts as a whole: it needs an object ``scores`` with a number for every criterion (name, weight) of the rubric.
+    Scores are clamped to the scale; a rationale (or reason) is cut to 600 characters.
+    """
+    rows = replies.withColumn("__v", parsed(F.col(reply)))
+    rows = rows.withColumn("__s", F.try_variant_get("__v", "$.scores", "map<string,variant>"))
+    value = lambda name: F.col("__s")[name]
+    numeric = lambda name: F.coalesce(F.schema_of_variant(value(name)).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False))
+    clamp = lambda x: F.least(F.lit(float(scale)), F.greatest(F.lit(0.0), x))
+    scores = F.array(*(F.struct(F.lit(c).alias("criterion"), F.lit(float(w)).alias("weight"), clamp(value(c).cast("string").try_cast("double")).alias("score")) for c, w in rubric))
+    error = F.when(F.col("__v").isNull(), "no JSON").when(F.col("__s").isNull(), "no object scores")
+    for c, _ in rubric:
+        error = error.when(value(c).isNull(), f"no criterion {c}").when(~numeric(c), f"no number for {c}")
+    said = F.coalesce(F.nullif(F.try_variant_get("__v", "$.rationale", "string"), F.lit("")), F.try_variant_get("__v", "$.reason", "string"), F.lit(""))
+    rows = rows.withColumn("parse_error", error)
+    return rows.withColumn("poll", F.when(F.col("parse_error").isNull(), F.struct(scores.alias("scores"), F.left(said, F.lit(600)).alias("rationale")))).drop("__v", "__s")
+
+
+def judgements(replies: DataFrame, rubric: Sequence[tuple[str, float]], *keys: str, scale: int = 4, threshold: float = 0.6, order: str = "sample_index") -> DataFrame:
+    """One row for each key: status, score, passed, samples, samples_requested, disagreement, rationale, error.
+
+    status is error, and the score null, where no reply could be read: a broken judge is no score of 0.
+    """
+    read = read_replies(replies, rubric, scale)
+    usable = F.col("poll").isNotNull()
+    whole = read.groupBy(*keys).agg(
+        F.count_if(usable).alias("samples"), F.count("*").alias("samples_requested"),
+        F.coalesce(F.min_by(F.nullif("poll.rationale", F.lit("")), F.when(F.col("poll.rationale") != "", F.col(order))), F.lit("")).alias("rationale"),
+        F.max_by("parse_error", F.when(~usable, F.col(order))).alias("last_error"),
+    )
+    polls = read.where(usable).select(*keys, F.explode("poll.scores").alias("s")).select(*keys, "s.*", F.lit(scale).alias("scale"))
+    scored = scores(criteria(polls, *keys), *keys, threshold=threshold)
+    none = F.col("samples") == 0
+    return whole.join(scored, list(keys), "left").select(
+        *keys, F.when(none, "error").otherwise("ok").alias("status"), "score", "passed", "samples", "samples_requested", "disagreement", "rationale",
+        F.when(none, F.concat(F.lit("no reply of the judge could be read; the last: "), "last_error")).alias("error"),
+    )
+
+
 def clamped(polls: DataFrame) -> DataFrame:
     return polls.withColumn("score", F.least(F.col("scale").cast("double"), F.greatest(F.lit(0.0), F.col("score").cast("double"))))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +53,7 @@ def tag_stats(records: DataFrame, errors: str = "zero") -> DataFrame:
     return cases.groupBy("model_id", "tag").agg(F.count("*").alias("cases"), F.avg("score").alias("score"))
 
 
-def trial_stats(records: DataFrame, *keys: str) -> DataFrame:
+def trial_stats(records: DataFrame, *keys: str, percentiles: bool = True) -> DataFrame:
     """What is summed over trials: counts, tokens, cost, cache hits, retries, latency of answers not cached."""
     live = F.when(ok() & ~F.col("cached"), F.col("latency_ms"))
     n = F.count("*")
@@ -62,18 +64,48 @@ def trial_stats(records: DataFrame, *keys: str) -> DataFrame:
         F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"),
         F.count_if("cached").alias("cache_hits"),
-        F.coalesce(F.percentile(live, 0.5), F.lit(0.0)).alias("latency_p50_ms"),
-        F.coalesce(F.percentile(live, 0.95), F.lit(0.0)).alias("latency_p95_ms"),
+        *((F.coalesce(F.percentile(live, p), F.lit(0.0)).alias(f"latency_{name}_ms") for p, name in ((0.5, "p50"), (0.95, "p95"))) if percentiles else ()),
         F.sum(F.greatest(F.lit(0), F.col("attempts") - 1)).alias("retries"),
         (F.count_if(~ok()) / n).alias("error_rate"),
         (F.count_if("cached") / n).alias("cache_hit_rate"),
     )
 
 
-def leaderboard(records: DataFrame, errors: str = "zero") -> DataFrame:
-    """One row for each model: its outcomes and its trials."""
+def ranked_percentiles(rows: DataFrame, value: str, shares: Sequence[float], *keys: str) -> DataFrame:
+    """Exact percentiles (type 7) p0, p1 .. of each group's values without holding a group's values in one place.
+
+    Values are counted by bins of about 1 % of their size; only the bins that hold a wanted rank, and the next value after
+    it, are counted by distinct value and ranked. The result is that of percentile(); nulls don't count.
+    """
+    x = F.col(value).cast("double")
+    size = F.floor(F.log2(F.abs(x) + 1) * 64).cast("int")
+    rows = rows.where(x.isNotNull()).select(*keys, x.alias("__x"), F.when(x < 0, -1 - size).otherwise(size).alias("__bin"))
+    bins = rows.groupBy(*keys, "__bin").agg(F.count("*").alias("__n"))
+    by = Window.partitionBy(*keys)
+    bins = bins.withColumn("__before", F.sum("__n").over(by.orderBy("__bin")) - F.col("__n")).withColumn("__all", F.sum("__n").over(by))
+    places = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(s) * (F.col("__all") - 1)).alias("at")) for i, s in enumerate(shares))))
+    wanted = bins.select("*", places.alias("w")).select(*keys, "__bin", "__before", "__n", "w.*", F.explode(F.array(F.floor("w.at"), F.ceil("w.at"))).alias("rank")).where("rank >= __before and rank < __before + __n")
+    held = rows.join(wanted.select(*keys, "__bin", "__before").distinct(), [*keys, "__bin"]).groupBy(*keys, "__bin", "__before", "__x").agg(F.count("*").alias("m"))
+    run = Window.partitionBy(*keys, "__bin").orderBy("__x")
+    ranked = held.withColumn("first", F.col("__before") + F.sum("m").over(run) - F.col("m"))
+    found = wanted.select(*keys, "__bin", "i", "at", "rank").join(ranked.select(*keys, "__bin", "__x", "first", "m"), [*keys, "__bin"]).where("rank >= first and rank < first + m")
+    ends = found.groupBy(*keys, "i", "at").agg(F.min("__x").alias("low"), F.max("__x").alias("high"))
+    part = F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))
+    return ends.groupBy(*keys).agg(*(F.max(F.when(F.col("i") == i, part)).alias(f"p{i}") for i in range(len(shares))))
+
+
+def leaderboard(records: DataFrame, errors: str = "zero", by_ranks: bool = False) -> DataFrame:
+    """One row for each model: its outcomes and its trials.
+
+    by_ranks: latencies' percentiles come from ranked_percentiles(), for models with more distinct latencies than one task holds.
+    """
     cases = collapse_cases(records, errors).groupBy("model_id").agg(F.count("*").alias("cases"), F.avg("score").alias("score"), F.avg("passed").alias("pass_rate"))
-    return trial_stats(records, "model_id").join(cases, "model_id", "left")
+    trials = trial_stats(records, "model_id", percentiles=not by_ranks)
+    if by_ranks:
+        live = records.where(ok() & ~F.col("cached"))
+        ranks = ranked_percentiles(live, "latency_ms", [0.5, 0.95], "model_id")
+        trials = trials.join(ranks, "model_id", "left").withColumns({f"latency_{p}_ms": F.coalesce(c, F.lit(0.0)) for p, c in (("p50", "p0"), ("p95", "p1"))}).drop("p0", "p1")
+    return trials.join(cases, "model_id", "left")
 
 
 def run_totals(records: DataFrame) -> DataFrame:
@@ -81,6 +113,27 @@ def run_totals(records: DataFrame) -> DataFrame:
     return records.rollup("model_id").agg(F.count("*").alias("trials"), F.count_if(~ok()).alias("errors"), F.sum("cost_usd").alias("cost_usd"))
 
 
+def run_notes(records: DataFrame, intervals: DataFrame, errors: str = "zero", most_errors: float = 0.05) -> DataFrame:
+    """note and detail of a run: failed trials and how they count, more of them than a share, models without an interval.
+
+    intervals: model_id and method, as of bootstrap.intervals().
+    """
+    share = F.col("failed") / F.col("n")
+    counts = records.agg(F.count_if(~ok()).alias("failed"), F.count("*").alias("n")).where("failed > 0")
+    how = "count as 0" if errors == "zero" else "are left out"
+    lone = intervals.where(F.col("method").isin("empty", "degenerate")).agg(F.array_sort(F.collect_list("model_id")).alias("models")).where("size(models) > 0")
+    return (
+        counts.select(F.lit("errors").alias("note"), F.format_string(f"%d trials failed (%.1f%%); they {how}", "failed", share * 100).alias("detail"))
+        .union(counts.where(share > most_errors).select(F.lit("many errors"), F.lit("scores are provisional: resume the run first")))
+        .union(lone.select(F.lit("no interval"), F.concat(F.array_join("models", ", "), F.lit(": two clusters are needed at least"))))
+    )
+
+
+def below(board: DataFrame, least: float, of: str = "score") -> DataFrame:
+    """The models of a leaderboard that a gate on their point score stops."""
+    return board.where(F.col(of) < least)
+
+
 def notes(records: DataFrame, most_errors: float = 0.05) -> DataFrame:
     """By model, what a reader should know: whether there are errors, and more of them than a share."""
     rate = F.count_if(~ok()) / F.count("*")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import inspect
 import json
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 import pandas as pd
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.templates import TemplateError, render_deep
 
 
 class ScoringError(ValueError):
@@ -21,37 +24,52 @@ def score(value: Column, passed: Column) -> Column:
     return F.struct(value.cast("double").alias("value"), passed.alias("passed"))
 
 
-def _as_columns(texts: Sequence[str | Column]) -> list[Column]:
-    return [F.lit(t) if isinstance(t, str) else t for t in texts]
+Texts = Sequence[str | int | float | Column] | Column
 
 
-def exact_match(response: Column, target: str | Column | None = None, any_of: Sequence[str | Column] = (), case_sensitive: bool = True, normalize: Sequence[str] = T.DEFAULT_CHAIN) -> Column:
+def _as_column(text: Any) -> Column:
+    """A text, number or truth value of a spec as text; a Column as it is."""
+    if isinstance(text, Column):
+        return text
+    if isinstance(text, float) and text.is_integer():
+        text = int(text)
+    return F.lit(str(text).lower() if isinstance(text, bool) else str(text))
+
+
+def _as_array(texts: Texts, target: Any = None, to: Callable[[Column], Column] = lambda c: c) -> Column | None:
+    """What ``to`` makes of texts (literals and columns, or one column of arrays) and target, as an array; None if there are none."""
+    one = [] if target is None else [to(_as_column(target))]
+    if isinstance(texts, Column):
+        many = F.transform(texts, to)
+        return F.concat(F.array(*one), many) if one else many
+    every = one + [to(_as_column(t)) for t in texts]
+    return F.array(*every) if every else None
+
+
+def exact_match(response: Column, target: Any = None, any_of: Texts = (), case_sensitive: bool = True, normalize: Sequence[str] = T.DEFAULT_CHAIN) -> Column:
     """1 if the normalized response is one of the normalized targets."""
-    targets = _as_columns(([] if target is None else [target]) + list(any_of))
-    if not targets:
-        raise ScoringError("exact_match needs target or any_of")
     fold = (lambda x: x) if case_sensitive else F.lower
-    hit = F.array_contains(F.array(*(fold(T.normalize(t, normalize)) for t in targets)), fold(T.normalize(response, normalize)))
+    targets = _as_array(any_of, target, lambda t: fold(T.normalize(t, normalize)))
+    if targets is None:
+        raise ScoringError("exact_match needs target or any_of")
+    hit = F.array_contains(targets, fold(T.normalize(response, normalize)))
     return score(hit.cast("int"), hit)
 
 
-def contains(response: Column, target: str | Column | None = None, any_of: Sequence[str | Column] = (), all_of: Sequence[str | Column] = (), case_sensitive: bool = False, normalize: Sequence[str] = ()) -> Column:
+def contains(response: Column, target: Any = None, any_of: Texts = (), all_of: Texts = (), case_sensitive: bool = False, normalize: Sequence[str] = ()) -> Column:
     """0 if none of any_of occurs; else the share of all_of that occurs (1 without any)."""
-    any_of = _as_columns(([] if target is None else [target]) + list(any_of))
-    all_of = _as_columns(all_of)
-    if not any_of and not all_of:
+    some_of, each_of = _as_array(any_of, target), _as_array(all_of)
+    if some_of is None and each_of is None:
         raise ScoringError("contains needs target, any_of or all_of")
     fold = (lambda x: x) if case_sensitive else F.lower
     text = fold(T.normalize(response, normalize))
     found = lambda needle: F.contains(text, fold(needle))
     share, ok = F.lit(1.0), F.lit(True)
-    if all_of:
-        share = sum((found(n).cast("int") for n in all_of), F.lit(0)) / F.lit(float(len(all_of)))
+    if each_of is not None:
+        share = F.coalesce(F.size(F.filter(each_of, found)) / F.nullif(F.size(each_of), F.lit(0)), F.lit(1.0))
         ok = share == 1.0
-    if any_of:
-        some = F.lit(False)
-        for n in any_of:
-            some = some | found(n)
+    if some_of is not None:
+        some = F.exists(some_of, found)
         share, ok = F.when(some, share).otherwise(0.0), some & ok
     return score(share, ok)
 
@@ -62,21 +80,29 @@ def not_contains(response: Column, **options: Any) -> Column:
     return score(F.lit(1.0) - got["value"], ~got["passed"])
 
 
+# The names of flags.
 _FLAGS = {"i": "i", "ignorecase": "i", "m": "m", "multiline": "m", "s": "s", "dotall": "s", "x": "x", "verbose": "x"}
 
 
-def regex(response: Column, pattern: str, flags: Sequence[str] = (), group: int | None = None, target: str | Column | None = None, expect: bool = True, normalize: Sequence[str] = ("strip_thinking",)) -> Column:
-    """Whether the pattern is found (or isn't, with expect=False); with group and target, whether the group is the target."""
+def regex(response: Column, pattern: str, flags: Sequence[str] = (), group: int | str | None = None, target: Any = None, expect: bool = True, normalize: Sequence[str] = ("strip_thinking",)) -> Column:
+    """Whether the pattern is found (or isn't, with expect=False); with a target, whether the group (a number or name; all by default) is it."""
     unknown = [f for f in flags if f.lower() not in _FLAGS]
     if unknown:
         raise ScoringError(f"unknown regex flag {unknown[0]!r}")
     java = "".join(sorted({_FLAGS[f.lower()] for f in flags}))
+    try:
+        groups = re.compile(pattern)
+    except re.error as e:
+        raise ScoringError(f"invalid pattern {pattern!r}: {e}") from e
+    at = 0 if group is None else groups.groupindex.get(group, -1) if isinstance(group, str) else group
+    if not 0 <= at <= groups.groups:
+        raise ScoringError(f"the pattern {pattern!r} has no group {group!r}")
     pattern = (f"(?{java})" if java else "") + pattern.replace("(?P<", "(?<")
     text = T.normalize(response, normalize)
     found = text.rlike(pattern)
-    if target is not None:
-        got = T.strip(F.regexp_extract(text, pattern, 0 if group is None else group))
-        found = found & (got == T.strip(_as_columns([target])[0]))
+    if target is not None and expect:
+        got = T.strip(F.regexp_extract(text, pattern, at))
+        found = found & (got == T.normalize(_as_column(target), normalize))
     ok = found if expect else ~found
     return score(ok.cast("int"), ok)
 
@@ -96,14 +122,14 @@ def numeric(response: Column, target: float | Column, tolerance: float = 0.0, re
     return score(ok.cast("int"), ok)
 
 
-def choice(response: Column, target: str | Column, options: Sequence[str] = ("A", "B", "C", "D")) -> Column:
+def choice(response: Column, target: Any, options: Sequence[str] = ("A", "B", "C", "D")) -> Column:
     """Whether the letter chosen in the response is the target."""
     options = [o.upper() for o in options]
     if isinstance(target, str) and target.upper() not in options:
         raise ScoringError(f"target {target!r} is not among {options}")
     got = T.extract_choice(response)
     got = F.when(got.isin(options), got).otherwise(F.when(F.left(F.upper(got), F.lit(1)).isin(options), F.left(F.upper(got), F.lit(1))).otherwise(got))
-    ok = got == F.upper(_as_columns([target])[0])
+    ok = got == F.upper(_as_column(target))
     return score(ok.cast("int"), ok)
 
 
@@ -133,14 +159,19 @@ def _wrong(want: Any, got: Any) -> int:
     return int(want != got)
 
 
-def json_match(response: Column, target: str | dict, mode: str = "subset", partial_credit: bool = True) -> Column:
-    """How much of the JSON target the response's JSON has; exact: without further keys at the top."""
-    want = json.loads(target) if isinstance(target, str) else target
+def json_match(response: Column, target: str | dict | list | Column, mode: str = "subset", partial_credit: bool = True) -> Column:
+    """How much of the JSON target the response's JSON has; exact: without further keys at the top. A target that is a column is JSON."""
+    if mode not in ("subset", "exact"):
+        raise ScoringError(f"mode is {mode!r}, not subset or exact")
+    wanted = target if isinstance(target, Column) else F.lit(target if isinstance(target, str) else json.dumps(target))
 
     @F.pandas_udf("value double, passed boolean")
-    def compare(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
+    def compare(texts: pd.Series, targets: pd.Series) -> pd.DataFrame:
+        rows, read = [], {}
+        for text, target in zip(texts, targets):
+            if target not in read:
+                read[target] = json.loads(target)
+            want = read[target]
             try:
                 got = _parsed(text or "")
             except ValueError:
@@ -153,7 +184,7 @@ def json_match(response: Column, target: str | dict, mode: str = "subset", parti
             rows.append((1.0 if not wrong else max(0.0, (n - wrong) / n) if partial_credit else 0.0, not wrong))
         return pd.DataFrame(rows, columns=["value", "passed"])
 
-    return compare(T.strip_code_fence(T.strip_thinking(response)))
+    return compare(T.strip_code_fence(T.strip_thinking(response)), wanted)
 
 
 SCORERS: dict[str, Callable[..., Column]] = {"exact_match": exact_match, "contains": contains, "not_contains": not_contains, "regex": regex, "numeric": numeric, "choice": choice, "json_match": json_match}
@@ -171,9 +202,69 @@ def build(kind: str, response: Column, **options: Any) -> Column:
     name = ALIASES.get(name, name)
     if name not in SCORERS:
         raise ScoringError(f"unknown scorer {kind!r}; there are {', '.join(sorted(SCORERS))}")
+    allowed = [p.name for p in inspect.signature(SCORERS[name]).parameters.values() if p.kind is not p.VAR_KEYWORD][1:]
+    allowed += [p for p in inspect.signature(contains).parameters if name == "not_contains" and p != "response"]
+    if unknown := sorted(set(options) - set(allowed)):
+        raise ScoringError(f"unknown option {unknown[0]!r} of {name}; there are {', '.join(sorted(allowed))}")
     return SCORERS[name](response, **options)
 
 
+#: What every scorer's mapping may have beside its options.
+COMMON = ("type", "name", "weight", "required")
+
+
+def stack(scoring: Sequence[Mapping[str, Any]], response: Column, values: Mapping[str, Column], where: str, kinds: Mapping[str, str] = {}) -> Column:
+    """Components of a response, array<struct<name, type, value, passed, weight, required>>, by a spec's list of scorers.
+
+    Options that hold tags are rendered by values (columns by variable). Whatever is wrong with a scorer is said with its place.
+    """
+    made = []
+    for i, spec in enumerate(scoring):
+        at = f"{where} scoring[{i}]"
+        try:
+            if not isinstance(spec, Mapping) or not isinstance(spec.get("type"), str):
+                raise ScoringError("a mapping with a type is needed")
+            weight, required = spec.get("weight", 1.0), spec.get("required", True)
+            if isinstance(weight, bool) or not isinstance(weight, int | float) or weight < 0 or not isinstance(required, bool):
+                raise ScoringError("weight is a number from 0, required true or false")
+            got = build(spec["type"], response, **render_deep({k: v for k, v in spec.items() if k not in COMMON}, values, kinds))
+        except (ScoringError, TemplateError, TypeError, ValueError) as e:
+            raise ScoringError(f"{at}: {e}") from e
+        made.append(F.struct(F.lit(spec.get("name") or spec["type"]).alias("name"), F.lit(spec["type"]).alias("type"), got["value"].alias("value"), got["passed"].alias("passed"), F.lit(float(weight)).alias("weight"), F.lit(required).alias("required")))
+    return F.array(*made)
+
+
+def score_cases(responses: DataFrame, cases: DataFrame, task_scorers: DataFrame, response: str = "response_text") -> DataFrame:
+    """responses (task_id, case_id) with ``components``, by their cases' scorers: a case's own (case_scoring) or its task's (task_scoring), JSON lists.
+
+    Variables are those of the case (vars, a JSON object). Each list of scorers becomes one expression; how many there
+    are is bounded by the suite (specs are files), not by responses. A response without a case has no components.
+    """
+    own = cases.join(task_scorers, "task_id", "left").withColumn("scoring", F.coalesce("case_scoring", "task_scoring"))
+    lists = own.groupBy("scoring").agg(F.min(F.struct("task_id", "case_id")).alias("first"), F.array_distinct(F.flatten(F.collect_set(F.json_object_keys("vars")))).alias("names")).where("scoring is not null").collect()
+    rows = responses.join(own.select("task_id", "case_id", "vars", "scoring"), ["task_id", "case_id"], "left")
+    chosen = None
+    for r in lists:
+        tags = set(re.findall(r"\{\{\s*([^{}|]*?)\s*[|}]", r["scoring"]))
+        lists_of = {n for n in tags if re.search(rf'"(?:any_of|all_of)":\s*"\{{\{{\s*{re.escape(n)}\s*\}}\}}"', r["scoring"])}
+        values = {n: F.get_json_object("vars", f"$['{n}']") for n in r["names"]}
+        values |= {n: F.from_json(values[n], "array<string>") for n in lists_of & set(values)}
+        made = stack(json.loads(r["scoring"]), F.col(response), values, f"{r['first']['task_id']}/{r['first']['case_id']}", {n: "array<string>" for n in lists_of})
+        chosen = F.when(F.col("scoring") == r["scoring"], made) if chosen is None else chosen.when(F.col("scoring") == r["scoring"], made)
+    none = F.lit(None).cast("array<struct<name: string, type: string, value: double, passed: boolean, weight: double, required: boolean>>")
+    return rows.withColumn("components", none if chosen is None else chosen).drop("vars", "scoring")
+
+
+def verdict_of(components: Column, threshold: Column | float = 0.0) -> Column:
+    """verdicts() of a row's own array of components, without a shuffle: struct<score, passed>; null of an empty one."""
+    total = lambda f: F.aggregate(components, F.lit(0.0), lambda acc, c: acc + f(c))
+    weight = total(lambda c: c["weight"])
+    mean = F.when(weight > 0, total(lambda c: c["value"] * c["weight"]) / weight).otherwise(total(lambda c: c["value"]) / F.size(components))
+    ok = F.forall(components, lambda c: ~c["required"] | c["passed"]) & (mean >= threshold)
+    made = F.struct(F.least(F.lit(1.0), F.greatest(F.lit(0.0), mean)).alias("score"), ok.alias("passed"))
+    return F.when(F.size(components) > 0, made)
+
+
 def verdicts(components: DataFrame, keys: Sequence[str], threshold: float = 0.0) -> DataFrame:
     """A score and a pass for each key, from components (value, passed, weight, required).
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import glob_pattern
@@ -29,6 +29,19 @@ def match_globs(rows: DataFrame, column: str, globs: Sequence[str]) -> DataFrame
     return rows.where(F.col(column).rlike("|".join(f"(?:{glob_pattern(g)})" for g in globs)))
 
 
+class NothingMatched(LookupError):
+    """Patterns that match no row, and what there is."""
+
+
+def filter_suite(rows: DataFrame, column: str, globs: Sequence[str]) -> DataFrame:
+    """match_globs() that fails, with the values there are (twenty at most), if nothing matches."""
+    found = match_globs(rows, column, globs)
+    if globs and not found.limit(1).count():
+        there = [r[0] for r in rows.select(column).distinct().orderBy(column).limit(20).collect()]
+        raise NothingMatched(f"no {column} matches {', '.join(globs)}; there are {', '.join(there)}")
+    return found
+
+
 def with_tags(cases: DataFrame, tags: Sequence[str]) -> DataFrame:
     """All cases of the tasks that have one of the tags, on the task or on any of its cases."""
     if not tags:
@@ -59,6 +72,40 @@ def scoring_of(cases: DataFrame, task_scorers: DataFrame) -> DataFrame:
     return cases.join(task_scorers, "task_id", "left").withColumn("scoring", F.coalesce("case_scoring", "task_scoring"))
 
 
+def threshold_of(task: Column, suite: Column | float = 0.0) -> Column:
+    """The score that a trial passes from: its task's, else the suite's."""
+    return F.coalesce(task, suite if isinstance(suite, Column) else F.lit(suite))
+
+
+# The names of the scorer that asks a judge.
+JUDGES = ("llm_judge", "judge", "rubric")
+
+
+def uses_judge(cases: DataFrame, task_scorers: DataFrame, types: Sequence[str] = JUDGES) -> DataFrame:
+    """task_id and uses_judge: whether a scorer of any of its cases (their own, or the task's) is one of types. Scorers are JSON lists of mappings."""
+    rows = scoring_of(cases, task_scorers)
+    kinds = F.transform(F.from_json("scoring", "array<struct<type: string>>"), lambda s: F.lower(F.trim(s["type"])))
+    return rows.groupBy("task_id").agg(F.bool_or(F.coalesce(F.arrays_overlap(kinds, F.array(*map(F.lit, types))), F.lit(False))).alias("uses_judge"))
+
+
+def expected_answers(cases: DataFrame) -> DataFrame:
+    """cases (scoring, vars: JSON) with ``expected``: target or reference of the first scorer that has one, rendered by the case's variables.
+
+    A text with an unknown variable or a filter stays as it is; numbers are written as JSON writes them.
+    """
+    fields = F.transform(F.from_json("scoring", "array<string>"), lambda s: F.coalesce(F.get_json_object(s, "$.target"), F.get_json_object(s, "$.reference")))
+    raw = F.get(F.filter(fields, lambda v: v.isNotNull()), 0)
+    values = F.from_json("vars", "map<string,string>")
+    tag = r"(?<!\\)\{\{\s*([^{}|]*?)\s*\}\}"
+    names = F.array_distinct(F.regexp_extract_all(raw, F.lit(tag), 1))
+    plain = F.size(F.regexp_extract_all(raw, F.lit(r"(?<!\\)\{\{"), 0)) == F.size(F.regexp_extract_all(raw, F.lit(tag), 0))
+    known = F.forall(names, lambda n: F.map_contains_key(values, n))
+    # Each part of the text between tags, and after each the value of its tag.
+    texts, tags = F.split(raw, tag), F.regexp_extract_all(raw, F.lit(tag), 1)
+    filled = F.array_join(F.transform(texts, lambda t, i: F.concat(t, F.coalesce(F.try_element_at(values, F.get(tags, i)), F.lit("")))), "")
+    return cases.withColumn("expected", F.when(plain & known, F.replace(filled, F.lit("\\{{"), F.lit("{{"))).otherwise(raw))
+
+
 def estimate(requests: DataFrame, cache: DataFrame, default_max_tokens: int = 512) -> DataFrame:
     """By model: trials, those cached, tokens in and out, and the cost of those not cached.
 
@@ -80,16 +127,18 @@ def duplicates(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def advisories(tasks: DataFrame, models: DataFrame, few_cases: int = 3) -> DataFrame:
-    """subject and advice: models without a price (but mocks), tasks with few cases, fewer than two tasks.
+def advisories(tasks: DataFrame, models: DataFrame, few_cases: int = 3, judge_samples: int | None = None) -> DataFrame:
+    """subject and advice: models without a price (but mocks), tasks with few cases, fewer than two tasks, a judge that is asked once.
 
-    tasks: task_id and cases; models: model_id, provider and priced.
+    tasks: task_id and cases; models: model_id, provider and priced; judge_samples: None without a judge.
     """
-    return (
+    found = (
         models.where("provider <> 'mock' and not priced").select(F.col("model_id").alias("subject"), F.lit("no price").alias("advice"))
         .union(tasks.where(F.col("cases") < few_cases).select("task_id", F.lit("few cases")))
         .union(tasks.agg(F.count("*").alias("n")).where("n < 2").select(F.lit("suite"), F.lit("fewer than two tasks")))
     )
+    once = tasks.agg(F.count("*").alias("n")).select(F.lit("judge"), F.lit("asked once: its noise can't be seen"))
+    return found.union(once) if judge_samples == 1 else found
 
 
 def totals(trials: DataFrame) -> DataFrame:

@@ -55,3 +55,15 @@ def run_stats(looked_up: DataFrame) -> DataFrame:
     """Hits, misses and hit rate of a lookup."""
     hits, n = F.count_if("cached"), F.count("*")
     return looked_up.agg(hits.alias("hits"), (n - hits).alias("misses"), F.coalesce(F.try_divide(hits, n), F.lit(0.0)).alias("hit_rate"))
+
+
+def traffic(requests: DataFrame, cache: DataFrame, answered: DataFrame, now: float, ttl: float | None = None, version: int = VERSION) -> DataFrame:
+    """A run's use of a cache: hits, misses, stale_drops (misses whose row is too old or of another version), writes (answered keys that were misses) and hit rate."""
+    fresh = valid(cache, now, ttl, version).select(F.col("key").alias("cache_key"), F.lit(True).alias("fresh"))
+    there = cache.select(F.col("key").alias("cache_key"), F.lit(True).alias("there")).distinct()
+    done = answered.select("cache_key", F.lit(True).alias("answered")).distinct()
+    rows = requests.select("cache_key").join(fresh, "cache_key", "left").join(there, "cache_key", "left").join(done, "cache_key", "left")
+    hit, n = F.col("fresh").isNotNull(), F.count("*")
+    written = F.count_distinct(F.when(~hit & F.col("answered").isNotNull(), F.col("cache_key")))
+    counts = (F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses"), F.count_if(~hit & F.col("there").isNotNull()).alias("stale_drops"), written.alias("writes"))
+    return rows.agg(*counts, F.coalesce(F.try_divide(F.count_if(hit), n), F.lit(0.0)).alias("hit_rate"))
