@@ -17,7 +17,8 @@ from .functions import text as T
 from .functions import values as V
 from .operators import bootstrap, compare, judge, outcomes, scorers
 from .plans import trials
-from .sources import cache
+from .sources import cache, runs
+from .streaming import live
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -113,6 +114,19 @@ def _documents(spark, sf_dir):
     return _table(spark, sf_dir, "documents")
 
 
+def _manifests(spark, sf_dir):
+    """Manifests of three runs: of events, of the same with other contents, and of nothing. A task's fingerprint is of its trials."""
+    own = records(spark, sf_dir).groupBy("task_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    tasks = lambda of: F.sort_array(F.collect_list(F.struct(F.col("task_id").alias("id"), F.sha2(of.cast("string"), 256).alias("fingerprint"), F.col("n").alias("cases"))))
+    other = F.when(F.col("last") % 3 == 0, -F.col("last")).otherwise(F.col("last"))
+    both = own.agg(tasks(F.col("last")).alias("a"), tasks(other).alias("b"))
+    params = lambda t: F.array(*(F.struct(F.lit(m).alias("id"), F.lit("m-1").alias("model"), F.lit(f'{{"temperature":{t}}}').alias("params")) for m in ("baseline", "candidate")))
+    none = F.array().cast("array<struct<id: string, fingerprint: string, cases: long>>")
+    runs_of = F.explode(F.array(*(F.struct(F.lit(r).alias("run_id"), F.lit(v).alias("version"), t.alias("tasks"), F.lit(e).alias("errors"), params(p).alias("models")) for r, v, t, e, p in (("run-events", "1.0", F.col("a"), "exclude", 0), ("run-other", "1.1", F.col("b"), "zero", 1), ("run-empty", "1.0", none, None, 0)))))
+    rows = both.select(runs_of.alias("r")).select("r.*")
+    return rows.select("run_id", "version", F.struct(F.sha2(F.to_json("tasks"), 256).alias("fingerprint"), "errors").alias("suite"), "tasks", "models")
+
+
 def _sides(spark, sf_dir):
     obs = outcomes.observations(outcomes.collapse_cases(records(spark, sf_dir)))
     return obs.where("model_id = 'candidate'"), obs.where("model_id = 'baseline'")
@@ -232,6 +246,24 @@ def run_totals(spark, sf_dir):
     return outcomes.run_totals(records(spark, sf_dir)).withColumns({"model_id": F.coalesce("model_id", F.lit("run")), "cost_usd": F.round("cost_usd", 8)})
 
 
+@query("SELECT model_id, round(quantile_cont(latency_ms, 0.5), 8) AS latency_p50_ms, round(quantile_cont(latency_ms, 0.95), 8) AS latency_p95_ms FROM rec WHERE status = 'ok' AND NOT cached GROUP BY ALL", "rec")
+def latency_by_ranks(spark, sf_dir):
+    board = outcomes.leaderboard(records(spark, sf_dir), by_ranks=True)
+    return board.select("model_id", F.round("latency_p50_ms", 8).alias("latency_p50_ms"), F.round("latency_p95_ms", 8).alias("latency_p95_ms"))
+
+
+@query("SELECT note, detail FROM (SELECT count(*) FILTER (status <> 'ok') AS failed, count(*) AS n FROM rec), (SELECT unnest([1, 2]) AS i), (SELECT CASE i WHEN 1 THEN 'errors' ELSE 'many errors' END AS note) x, (SELECT CASE i WHEN 1 THEN CAST(failed AS VARCHAR) || ' trials failed (' || printf('%.1f', 100.0 * failed / n) || '%); they count as 0' ELSE 'scores are provisional: resume the run first' END AS detail) y", "rec")
+def run_notes(spark, sf_dir):
+    rows = records(spark, sf_dir)
+    return outcomes.run_notes(rows, bootstrap.intervals(_clusters(spark, sf_dir), 50, method="percentile"))
+
+
+@query("SELECT count(*) AS done, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status <> 'ok') AS errors, count(*) FILTER (cached) AS cache_hits, round(sum(cost_usd), 8) AS cost_usd, round(count(*) / CAST(50 AS DOUBLE), 8) AS rate_per_s, round((100000 - count(*)) / (count(*) / CAST(50 AS DOUBLE)), 6) AS eta_s FROM rec", "rec")
+def run_progress(spark, sf_dir):
+    got = live.progress(records(spark, sf_dir), 100_000, 1000.0, F.lit(1050.0))
+    return got.withColumns({"cost_usd": F.round("cost_usd", 8), "rate_per_s": F.round("rate_per_s", 8), "eta_s": F.round("eta_s", 6)})
+
+
 @query("SELECT model_id, task_id, round(coalesce(quantile_cont(latency_ms, 0.5) FILTER (status = 'ok' AND NOT cached), 0), 8) AS latency_p50_ms, round(coalesce(quantile_cont(latency_ms, 0.95) FILTER (status = 'ok' AND NOT cached), 0), 8) AS latency_p95_ms FROM rec GROUP BY ALL", "rec")
 def latency_percentiles(spark, sf_dir):
     return outcomes.trial_stats(records(spark, sf_dir), "model_id", "task_id").select("model_id", "task_id", F.round("latency_p50_ms", 8).alias("latency_p50_ms"), F.round("latency_p95_ms", 8).alias("latency_p95_ms"))
@@ -258,10 +290,10 @@ def show_errors_only(spark, sf_dir):
     return records(spark, sf_dir).where(outcomes.failures(None, errors_only=True)).select("event_id", "model_id", "task_id", "case_id", "sample_index")
 
 
-@query("SELECT 'run-events' AS run_id, round(max(score), 10) AS best_score FROM (SELECT model_id, avg(score) AS score FROM outc GROUP BY ALL)", "rec", "outc")
+@query("SELECT 'run-events' AS run_id, (SELECT count(*) FROM rec) AS records, round(max(score), 10) AS best_score FROM (SELECT model_id, avg(score) AS score FROM outc GROUP BY ALL) UNION ALL SELECT 'run-empty', 0, NULL", "rec", "outc")
 def ls_best_score(spark, sf_dir):
-    board = outcomes.collapse_cases(records(spark, sf_dir), "zero", "run_id", "model_id", "task_id", "case_id").groupBy("run_id", "model_id").agg(F.avg("score").alias("score"))
-    return board.groupBy("run_id").agg(_r(F.max("score")).alias("best_score"))
+    """Of two runs one has a manifest alone."""
+    return runs.list_runs(records(spark, sf_dir), _manifests(spark, sf_dir).where("run_id <> 'run-other'")).withColumn("best_score", _r("best_score"))
 
 
 @query("SELECT DISTINCT model_id FROM rec", "rec")
@@ -271,8 +303,7 @@ def distinct_models(spark, sf_dir):
 
 @query("SELECT model_id, count(*) AS below FROM (SELECT model_id, avg(score) AS score FROM outc GROUP BY ALL) WHERE score < 0.5 GROUP BY ALL", "rec", "outc")
 def gate_fail_under(spark, sf_dir):
-    board = outcomes.collapse_cases(records(spark, sf_dir)).groupBy("model_id").agg(F.avg("score").alias("score"))
-    return board.where("score < 0.5").groupBy("model_id").agg(F.count("*").alias("below"))
+    return outcomes.below(outcomes.leaderboard(records(spark, sf_dir)), 0.5).groupBy("model_id").agg(F.count("*").alias("below"))
 
 
 @query("SELECT model_id, task_id, case_id, samples + coalesce(more, 0) AS samples, round((score * samples) / (samples + coalesce(more, 0)), 10) AS score FROM outc LEFT JOIN (SELECT model_id, task_id, case_id, count(*) AS more FROM rec WHERE status <> 'ok' GROUP BY ALL) USING (model_id, task_id, case_id)", "rec", "outc")
@@ -318,10 +349,10 @@ def plan_limit_per_task(spark, sf_dir):
     return trials.expand(_models(spark, sf_dir), first, 1).select("model_id", "task_id", "case_id")
 
 
-@query(_PLAN_SQL.format(source="plan WHERE (task_id LIKE 'U%' OR task_id LIKE '%IN_A') AND model_id LIKE 'A%A'"), "plan")
+@query(_PLAN_SQL.format(source="plan WHERE (task_id LIKE '%1_' OR task_id LIKE 'N%_3') AND regexp_matches(model_id, '^..R')"), "plan")
 def plan_glob_filter(spark, sf_dir):
-    cases = trials.match_globs(_plan_cases(spark, sf_dir), "task_id", ["U*", "*IN?A"])
-    return _plan_counts(trials.expand(trials.match_globs(_models(spark, sf_dir), "model_id", ["A*A"]), cases, 3))
+    cases = trials.filter_suite(_plan_cases(spark, sf_dir), "task_id", ["*1?", "N*_3"])
+    return _plan_counts(trials.expand(trials.filter_suite(_models(spark, sf_dir), "model_id", ["[!X-Z]?R*"]), cases, 3))
 
 
 @query("SELECT task_id, case_id FROM (SELECT DISTINCT task_id, case_id FROM plan) JOIN (SELECT DISTINCT task_id FROM plan JOIN nation ON n_name = task_id WHERE case_tag = 'Brand#11' OR n_regionkey = 2) USING (task_id)", "plan")
@@ -388,6 +419,12 @@ def cache_run_stats(spark, sf_dir):
     return cache.run_stats(cache.look_up(requests, _cache(spark, sf_dir))).withColumn("hit_rate", _r("hit_rate"))
 
 
+@query(f"SELECT count(*) FILTER (fresh) AS hits, count(*) FILTER (NOT fresh) AS misses, count(*) FILTER (NOT fresh AND o_orderkey IS NOT NULL) AS stale_drops, count(*) FILTER (NOT fresh AND doc_id % 3 = 0) AS writes, round(count(*) FILTER (fresh) / count(*), 10) AS hit_rate FROM (SELECT doc_id, o_orderkey, coalesce(o_orderkey % 50 <> 0 AND {_NOW} - epoch(o_orderdate) <= 86400 * 700, FALSE) AS fresh FROM documents LEFT JOIN orders ON o_orderkey = doc_id)")
+def cache_traffic(spark, sf_dir):
+    requests = _documents(spark, sf_dir).select("doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("cache_key"))
+    return cache.traffic(requests, _cache(spark, sf_dir), requests.where("doc_id % 3 = 0"), _NOW, 86400 * 700).withColumn("hit_rate", _r("hit_rate"))
+
+
 @query(f"SELECT key, created_at FROM cache WHERE schema_version = 1 AND {_NOW} - created_at <= 86400 * 700", "cache")
 def cache_ttl(spark, sf_dir):
     return cache.valid(_cache(spark, sf_dir), _NOW, 86400 * 700).select("key", "created_at")
@@ -466,7 +503,7 @@ def params_merge(spark, sf_dir):
 @query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size / CAST(100 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS threshold FROM part")
 def threshold_resolve(spark, sf_dir):
     own = F.when(F.col("p_size") % 2 == 0, F.col("p_size") / 100)
-    return _table(spark, sf_dir, "part").select("p_partkey", F.coalesce(own, F.lit(0.5)).alias("threshold"))
+    return _table(spark, sf_dir, "part").select("p_partkey", trials.threshold_of(own, F.lit(0.5)).alias("threshold"))
 
 
 @query("SELECT event_id, CASE WHEN s < 400 THEN 'ok' WHEN s = 429 THEN 'rate_limited' WHEN s IN (408, 409, 425, 500, 502, 503, 504, 529) THEN 'transient' ELSE 'fatal' END AS outcome FROM (SELECT event_id, 200 + event_id % 400 AS s FROM events)")
@@ -514,14 +551,60 @@ def text_block_flatten(spark, sf_dir):
     return _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(blocks.alias("b")).select("conv_id", F.md5(V.text_blocks(F.col("b")).cast("binary")).alias("text_md5"))
 
 
-@query("SELECT conv_id, min(text) FILTER (turn = first_turn) AS expected FROM (SELECT *, min(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS first_turn FROM conversations) GROUP BY ALL")
+@query("SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'is ' || md5(text) || '!' WHEN 1 THEN CAST(item_id AS VARCHAR) WHEN 2 THEN 'is {{ other }}' END AS expected FROM benchmark")
 def expected_answer(spark, sf_dir):
-    return _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by(F.when(F.col("role") == "assistant", F.col("text")), F.when(F.col("role") == "assistant", F.col("turn"))).alias("expected"))
+    """The target of the first scorer that has one, rendered; a number; a text whose variable is unknown; none."""
+    kinds = [F.lit('[{"type":"regex","pattern":"x"},{"type":"exact","target":"is {{ sum }}!"}]'), F.format_string('[{"type":"numeric","target":%d}]', "item_id"), F.lit('[{"type":"llm_judge","reference":"is {{ other }}"}]'), F.lit('[{"type":"regex","pattern":"x"}]')]
+    cases = _table(spark, sf_dir, "benchmark").select("item_id", F.get(F.array(*kinds), (F.col("item_id") % 4).cast("int")).alias("scoring"), F.to_json(F.struct(F.md5(F.col("text").cast("binary")).alias("sum"))).alias("vars"))
+    return trials.expected_answers(cases).select("item_id", "expected")
+
+
+@query("SELECT item_id, '[\"' || md5(text) || '\", \"b\"]' AS list, '2' AS n, CAST(item_id AS VARCHAR) || ' of ' || md5(text) AS said FROM benchmark")
+def render_values(spark, sf_dir):
+    """A template that is one tag is the value, a list too; in a text it is text."""
+    values = {"both": F.array(F.md5(F.col("text").cast("binary")), F.lit("b")), "id": F.col("item_id"), "sum": F.md5(F.col("text").cast("binary"))}
+    config = {"list": "{{ both | json }}", "n": "{{ both | len }}", "said": "{{ id }} of {{ sum }}"}
+    made = templates.render_deep(config, values, {"both": "array<string>"})
+    return _table(spark, sf_dir, "benchmark").select("item_id", *(c.alias(k) for k, c in made.items()))
+
+
+@query("SELECT event_id, CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END AS as_text, printf('%.1f%%', round(value, 1)) AS percent, CASE WHEN floor(value) = 0 THEN '$0' ELSE printf('$%.2f', floor(value)) END AS money, CASE WHEN event_id < 60 THEN printf('%.1fs', CAST(event_id AS DOUBLE)) WHEN event_id < 3600 THEN printf('%dm%02ds', event_id // 60, event_id % 60) ELSE printf('%dh%02dm', event_id // 3600, event_id // 60 % 60) END AS spent FROM (SELECT event_id, round(value, 1) AS value FROM events)")
+def formatters(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select("event_id", F.round("value", 1).alias("value"))
+    return e.select("event_id", V.as_text(F.col("value"), "double").alias("as_text"), V.percent(F.col("value") / 100).alias("percent"), V.money(F.floor("value").cast("double")).alias("money"), V.duration_text(F.col("event_id").cast("double")).alias("spent"))
+
 
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(event_id AS DOUBLE) WHEN 1 THEN event_id / CAST(1000 AS DOUBLE) WHEN 2 THEN CAST(7 AS DOUBLE) END AS seconds FROM events")
+def retry_after_headers(spark, sf_dir):
+    """The standard header first; a date there counts as nothing, and the next one is read."""
+    n = F.col("event_id").cast("string")
+    none = F.create_map(F.lit("x"), F.lit("1"))
+    headers = F.when(F.col("event_id") % 4 == 0, F.create_map(F.lit("retry-after"), n, F.lit("x-ratelimit-reset-tokens"), F.lit("5s"))).when(F.col("event_id") % 4 == 1, F.create_map(F.lit("x-ratelimit-reset-requests"), F.concat(n, F.lit("ms"))))
+    headers = headers.when(F.col("event_id") % 4 == 2, F.create_map(F.lit("retry-after"), F.lit("Wed, 21 Oct 2026 07:28:00 GMT"), F.lit("x-ratelimit-reset-tokens"), F.lit("7S"))).otherwise(none)
+    return _table(spark, sf_dir, "events").select("event_id", V.retry_after(headers).alias("seconds"))
 
-@query("""SELECT item_id, md5(concat_ws(E'\\n\\n', E'RESPONSE\\n' || text, E'RUBRIC\\n- accuracy: is right\\n- brevity: is short', E'SCALE\\nInteger scores from 0 to 4.', E'FORMAT\\n{"accuracy":"score","brevity":"score"}')) AS prompt_md5 FROM benchmark""")
+
+@query("SELECT event_id, 'seed' AS common, 'user_' || CAST(user_id AS VARCHAR) AS extra FROM events")
+def params_split(spark, sf_dir):
+    params = F.create_map(F.lit("seed"), F.lit("1"), F.concat(F.lit("user_"), F.col("user_id").cast("string")), F.lit("x"))
+    return _table(spark, sf_dir, "events").select("event_id", V.split_params(params).alias("p")).select("event_id", F.array_join(F.map_keys("p.common"), ",").alias("common"), F.array_join(F.map_keys("p.extra"), ",").alias("extra"))
+
+
+@query("SELECT event_id, stamp || '-' || event_type || '-' || left(sha256(stamp || event_type || CAST(event_id AS VARCHAR)), 6) AS run_id FROM (SELECT event_id, event_type, strftime(ts, '%Y%m%d-%H%M%S') AS stamp FROM events)")
+def run_ids(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", T.run_id(F.upper("event_type"), F.col("ts"), F.col("event_id")).alias("run_id"))
+
+
+@query("SELECT event_id, 'scoring' AS error_type, left(repeat(event_type || ' ', 400), 800) || ' ...[+' || CAST(400 * (length(event_type) + 1) - 800 AS VARCHAR) || ' chars]' AS error, 'group-' || CAST(k % 3 AS VARCHAR) || ',seg-' || CAST(user_id % 4 AS VARCHAR) AS tags, CAST(1 AS BIGINT) AS attempts FROM (SELECT *, CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT) AS k FROM events)")
+def error_records(spark, sf_dir):
+    rows = records(spark, sf_dir).join(_table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
+    made = runs.error_records(rows.withColumns({"case_id": F.col("event_id").cast("string"), "task_tags": F.filter("tags", lambda t: t.startswith("seg")), "case_tags": F.filter("tags", lambda t: ~t.startswith("seg"))}), F.repeat(F.concat("event_type", F.lit(" ")), 400), F.lit("scoring"), F.lit(1))
+    return made.select(F.col("case_id").cast("long").alias("event_id"), "error_type", "error", F.array_join("tags", ",").alias("tags"), "attempts")
+
+
+@query("""SELECT item_id, md5(concat_ws(E'\\n\\n', E'RESPONSE\\n' || text, E'RUBRIC\\n- accuracy (weight 2): is right\\n- brevity: is short', E'SCALE\\nInteger scores from 0 to 4: 0 = not met at all, 1 = mostly not met, 2 = met in part, 3 = met with small flaws, 4 = met in full.', E'FORMAT\\n{"rationale":"one sentence","scores":{"accuracy":"score","brevity":"score"}}')) AS prompt_md5 FROM benchmark""")
 def judge_prompt(spark, sf_dir):
-    prompt = V.judge_prompt(F.col("text"), [("accuracy", "is right"), ("brevity", "is short")], 4)
+    prompt = V.judge_prompt(F.col("text"), [("accuracy", "is right", 2.0), ("brevity", "is short")], 4)
     return _table(spark, sf_dir, "benchmark").select("item_id", F.md5(prompt.cast("binary")).alias("prompt_md5"))
 
 
@@ -561,26 +644,65 @@ _NORMALIZED = {
 }
 
 
+# Texts as models give answers: by doc_id in a fence, after thoughts, in quotes or emphasis, behind a prefix, boxed, or as they are.
+_ANSWERS = r"""(SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN E'```python\n' || text || E'\n```' WHEN 1 THEN '<think>' || left(text, 40) || '</think> ' || text WHEN 2 THEN '"' || text || '"' WHEN 3 THEN '“' || text || '”'
+ WHEN 4 THEN 'The final answer is: ' || text WHEN 5 THEN text || ' \boxed{' || CAST(doc_id AS VARCHAR) || '} so \boxed{ ' || CAST(doc_id + 1 AS VARCHAR) || '}' WHEN 6 THEN '`' || text || '.' ELSE text END AS text FROM documents)"""
+
+
+def _answers(spark, sf_dir):
+    text, doc = F.col("text"), F.col("doc_id")
+    forms = [
+        F.concat(F.lit("```python\n"), text, F.lit("\n```")), F.concat(F.lit("<think>"), F.left(text, F.lit(40)), F.lit("</think> "), text), F.concat(F.lit('"'), text, F.lit('"')), F.concat(F.lit("“"), text, F.lit("”")),
+        F.concat(F.lit("The final answer is: "), text), F.concat(text, F.lit(" \\boxed{"), doc.cast("string"), F.lit("} so \\boxed{ "), (doc + 1).cast("string"), F.lit("}")), F.concat(F.lit("`"), text, F.lit(".")),
+    ]
+    wrapped = F.when(doc % 8 == 0, forms[0])
+    for i, form in enumerate(forms[1:], 1):
+        wrapped = wrapped.when(doc % 8 == i, form)
+    return _documents(spark, sf_dir).select("doc_id", wrapped.otherwise(text).alias("text"))
+
+
 def _normalizer(name):
     def run(spark, sf_dir):
-        return _documents(spark, sf_dir).select("doc_id", F.md5(T.NORMALIZERS[name](F.col("text")).cast("binary")).alias("text_md5"))
+        return _answers(spark, sf_dir).select("doc_id", F.md5(T.NORMALIZERS[name](F.col("text")).cast("binary")).alias("text_md5"))
 
     run.__name__ = f"normalize_{name}"
     return run
 
 
 for _name, _sql in _NORMALIZED.items():
-    query(f"SELECT doc_id, md5({_sql}) AS text_md5 FROM documents")(_normalizer(_name))
+    query(f"SELECT doc_id, md5({_sql}) AS text_md5 FROM {_ANSWERS}")(_normalizer(_name))
 
 
-@query()
+@query("SELECT doc_id, md5(text) AS text_md5 FROM (SELECT doc_id, lower(regexp_replace(text, '[*_]', '', 'g')) AS text FROM documents)")
 def normalize_strip_markdown(spark, sf_dir):
-    return _normalizer("strip_markdown")(spark, sf_dir)
+    """Texts without marks of their own, in emphasis as deep as doc_id says, of stars and underscores in turn: all of it goes."""
+    text, depth = F.lower(F.regexp_replace("text", "[*_]", "")), (F.col("doc_id") % 12).cast("int")
+    marks = F.transform(F.sequence(F.lit(0), depth), lambda i: F.when(i % 2 == 0, "**").otherwise("_"))
+    wrapped = F.concat(F.array_join(marks, ""), text, F.array_join(F.reverse(marks), ""))
+    return _documents(spark, sf_dir).select("doc_id", F.md5(T.strip_markdown(wrapped).cast("binary")).alias("text_md5"))
 
 
-@query("SELECT doc_id, md5(nfc_normalize(text)) AS text_md5 FROM documents")
+@query("SELECT doc_id, md5(nfc_normalize(regexp_replace(text, '[１２３ａｂｃﬁ]', '', 'g'))) AS text_md5 FROM documents")
 def normalize_unicode_nfkc(spark, sf_dir):
-    return _normalizer("normalize_unicode")(spark, sf_dir)
+    """Digits and letters in their wide forms, which NFKC folds and NFC doesn't."""
+    plain = F.regexp_replace("text", "[１２３ａｂｃﬁ]", "")
+    return _documents(spark, sf_dir).select("doc_id", F.md5(T.normalize_unicode(F.translate(plain, "123abc", "１２３ａｂｃ")).cast("binary")).alias("text_md5"))
+
+
+@query(r"SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN t ELSE left(t, length(t) - 1) END) AS text_md5 FROM (SELECT doc_id, 'x' || regexp_replace(text, '[^a-z0-9]', '', 'g') || 'x.' AS t FROM documents)")
+def normalize_default_chain_keeps_points(spark, sf_dir):
+    """A chain of one's own: the trailing period of every other answer goes."""
+    text = F.concat(F.lit("x"), F.regexp_replace("text", "[^a-z0-9]", ""), F.lit("x."))
+    return _documents(spark, sf_dir).select("doc_id", F.md5(F.when(F.col("doc_id") % 2 == 0, T.normalize(text, ())).otherwise(T.normalize(text, ("strip", "strip_trailing_period"))).cast("binary")).alias("text_md5"))
+
+
+@query(r"SELECT doc_id, md5('v' || lower(regexp_replace(text, '[^a-zA-Z0-9]', '', 'g')) || 'v') AS text_md5 FROM documents")
+def normalize_default_chain(spark, sf_dir):
+    """A word behind thoughts, a prefix, quotes, emphasis and a point: the default chain leaves the word."""
+    core = F.concat(F.lit("v"), F.lower(F.regexp_replace("text", "[^a-zA-Z0-9]", "")), F.lit("v"))
+    forms = [F.concat(F.lit("<think>a\nb</think>\n```\n"), core, F.lit("\n```")), F.concat(F.lit("The answer is **"), core, F.lit("**.")), F.concat(F.lit(' "'), core, F.lit('" ')), F.concat(F.lit("***"), core, F.lit("***"))]
+    wrapped = F.get(F.array(*forms), (F.col("doc_id") % 4).cast("int"))
+    return _documents(spark, sf_dir).select("doc_id", F.md5(T.normalize(wrapped).cast("binary")).alias("text_md5"))
 
 
 # --- scorers ---------------------------------------------------------------------------
@@ -637,21 +759,41 @@ SELECT doc_id, CAST(contains(lower(text), 'und') AS INT), CAST(1 AS DOUBLE), FAL
 SELECT doc_id, CAST(regexp_matches(text, '[0-9]') AS INT), CAST(2 AS DOUBLE), FALSE FROM documents) GROUP BY doc_id)"""
 
 
-def _components(spark, sf_dir):
-    x = F.col("text")
-    parts = [(scorers.contains(x, "the"), 3.0, True), (scorers.contains(x, "und"), 1.0, False), (scorers.regex(x, "[0-9]"), 2.0, False)]
-    made = F.array(*(F.struct(s["value"].alias("value"), s["passed"].alias("passed"), F.lit(w).alias("weight"), F.lit(r).alias("required")) for s, w, r in parts))
-    return _documents(spark, sf_dir).select("doc_id", F.explode(made).alias("c")).select("doc_id", "c.*")
+_STACK = [{"type": "contains", "target": "the", "weight": 3}, {"type": "includes", "any_of": ["und"], "required": False}, {"type": "regex", "pattern": "[0-9]", "weight": 2, "required": False}]
 
 
 @query(_COMPONENTS.format(passed="all_required AND mean >= CAST(0.6 AS DOUBLE)"))
 def verdict_weighted(spark, sf_dir):
-    return scorers.verdicts(_components(spark, sf_dir), ["doc_id"], 0.6).select("doc_id", _r("score").alias("score"), "passed")
+    """Components of a row's own scorers: no shuffle."""
+    made = _documents(spark, sf_dir).select("doc_id", scorers.stack(_STACK, F.col("text"), {}, "documents").alias("components"))
+    return made.select("doc_id", scorers.verdict_of(F.col("components"), 0.6).alias("v")).select("doc_id", _r("v.score").alias("score"), "v.passed")
 
 
 @query(_COMPONENTS.format(passed="all_required"))
 def verdict_required(spark, sf_dir):
-    return scorers.verdicts(_components(spark, sf_dir), ["doc_id"]).select("doc_id", _r("score").alias("score"), "passed")
+    """The same from components as rows."""
+    made = _documents(spark, sf_dir).select("doc_id", F.explode(scorers.stack(_STACK, F.col("text"), {}, "documents")).alias("c")).select("doc_id", "c.*")
+    return scorers.verdicts(made, ["doc_id"]).select("doc_id", _r("score").alias("score"), "passed")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 2 END AS scorers, CASE WHEN doc_id % 10 = 0 THEN TRUE ELSE length(text) >= 2 AND contains(lower(text), lower(left(text, 2))) END AS passed FROM documents")
+def score_stack(spark, sf_dir):
+    """Sources as tasks with templates in their scorers; every tenth document has scorers of its own."""
+    docs = _documents(spark, sf_dir).withColumns({"task_id": F.col("source"), "case_id": F.col("doc_id").cast("string")})
+    known = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.left("text", F.lit(2)).alias("start"), F.array(F.left("text", F.lit(2)), F.lit("\x02")).alias("starts")))
+    own = F.when(F.col("doc_id") % 10 == 0, F.lit('[{"type":"numeric","target":"{{ id }}"}]'))
+    cases = docs.select("task_id", "case_id", known.alias("vars"), own.alias("case_scoring"))
+    tasks = docs.select("task_id").distinct().withColumn("task_scoring", F.lit('[{"type":"contains","any_of":"{{ starts }}"},{"type":"contains","target":"{{ start }}","weight":2}]'))
+    answers = docs.select("task_id", "case_id", "doc_id", F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("it is "), F.col("doc_id").cast("string"))).otherwise(F.col("text")).alias("response_text"))
+    got = scorers.score_cases(answers, cases, tasks)
+    return got.select("doc_id", F.size("components").alias("scorers"), scorers.verdict_of(F.col("components")).alias("v")).select("doc_id", "scorers", "v.passed")
+
+
+@query("SELECT source AS task_id, bool_or(doc_id % 90 = 0) AS uses_judge FROM documents GROUP BY ALL")
+def judge_users(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    cases = docs.select(F.col("source").alias("task_id"), F.when(F.col("doc_id") % 90 == 0, '[{"type":"exact"},{"type":" Rubric "}]').alias("case_scoring"))
+    return trials.uses_judge(cases, docs.select(F.col("source").alias("task_id")).distinct().withColumn("task_scoring", F.lit('[{"type":"numeric"}]')))
 
 
 # --- generated answers ------------------------------------------------------------------
@@ -682,7 +824,8 @@ def mock_accuracy(spark, sf_dir):
 
 # --- statistics ------------------------------------------------------------------------
 
-_R, _SEED = 400, 7
+# Means of replicates are sums in another order on either side; a little more than nothing decides those that end on a five.
+_R, _SEED = bootstrap.RESAMPLES, 7
 _DRAW = "CAST(floor(CAST(CAST('0x' || left(sha256('{seed}' || ':' || CAST(rep AS VARCHAR) || ':' || CAST(j AS VARCHAR)), 12) AS UBIGINT) AS DOUBLE) / 281474976710656 * k) AS BIGINT)"
 _REPS = f"reps AS (SELECT g.model_id, g.rep, sum(total) / sum(n) AS mean FROM (SELECT model_id, rep, {_DRAW.format(seed=_SEED)} AS i FROM (SELECT DISTINCT model_id, k FROM clu), (SELECT unnest(range(0, {_R})) AS rep) r, (SELECT unnest(range(0, 40)) AS j) d WHERE j < k) g JOIN clu USING (model_id, i) GROUP BY ALL)"
 _VIEWS["reps"] = _REPS
@@ -694,9 +837,9 @@ def _clusters(spark, sf_dir):
     return bootstrap.clusters(outcomes.observations(outcomes.collapse_cases(records(spark, sf_dir))), "model_id")
 
 
-@query("SELECT model_id, rep, round(mean, 10) AS mean FROM reps", "rec", "outc", "clu", "reps")
+@query("SELECT model_id, rep, round(mean + 1e-12, 9) AS mean FROM reps", "rec", "outc", "clu", "reps")
 def boot_replicates(spark, sf_dir):
-    return bootstrap.replicates(_clusters(spark, sf_dir), _R, _SEED, "model_id").withColumn("mean", _r("mean"))
+    return bootstrap.replicates(_clusters(spark, sf_dir), _R, _SEED, "model_id").withColumn("mean", F.round(F.col("mean") + 1e-12, 9))
 
 
 @query("SELECT model_id, round(point, 10) AS point, round(low, 10) AS low, round(high, 10) AS high, round(std_error, 10) AS std_error, n_clusters FROM (SELECT model_id, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high, stddev_pop(mean) AS std_error FROM reps GROUP BY ALL) JOIN (SELECT model_id, sum(total) / sum(n) AS point, count(*) AS n_clusters FROM clu GROUP BY ALL) USING (model_id)", "rec", "outc", "clu", "reps")
@@ -709,7 +852,7 @@ def boot_ci_percentile(spark, sf_dir):
 def boot_ci_bca_exact(spark, sf_dir):
     """Intervals by the draws of Python's generator: a test holds them against a plain loop."""
     obs = outcomes.observations(outcomes.collapse_cases(records(spark, sf_dir)))
-    return bootstrap.exact_bootstrap(obs.withColumn("ordinal", F.col("unit")), 500, 0)
+    return bootstrap.exact_bootstrap(obs.withColumn("ordinal", F.col("unit")))
 
 
 @query("SELECT model_id, cluster, round((sum(total) OVER w - total) / (sum(n) OVER w - n), 10) AS without FROM clu WINDOW w AS (PARTITION BY model_id)", "rec", "outc", "clu")
@@ -722,17 +865,73 @@ def paired_delta(spark, sf_dir):
     return _pairs(spark, sf_dir).select("unit", "cluster", *(_r(c).alias(c) for c in ("value_a", "value_b", "delta")))
 
 
-@query("SELECT rep, round(mean, 10) AS mean FROM preps", "rec", "outc", "pairs", "pclu", "preps")
+@query("SELECT rep, round(mean + 1e-12, 9) AS mean FROM preps", "rec", "outc", "pairs", "pclu", "preps")
 def paired_boot(spark, sf_dir):
-    return compare.paired_replicates(_pairs(spark, sf_dir), _R, _SEED).withColumn("mean", _r("mean"))
+    return compare.paired_replicates(_pairs(spark, sf_dir), _R, _SEED).withColumn("mean", F.round(F.col("mean") + 1e-12, 9))
 
 
-_UNPAIRED = f"SELECT g.rep, sum(total) / sum(n) AS mean FROM (SELECT rep, {_DRAW} AS i FROM (SELECT DISTINCT k FROM clu WHERE model_id = '{{model}}'), (SELECT unnest(range(0, {_R})) AS rep) r, (SELECT unnest(range(0, 40)) AS j) d WHERE j < k) g JOIN (SELECT * FROM clu WHERE model_id = '{{model}}') USING (i) GROUP BY ALL"
+_VIEWS["sclu"] = "sclu AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY cluster) - 1 AS i, count(*) OVER (PARTITION BY side) AS k FROM (SELECT 'a' AS side, cluster, sum(value_a) AS total, count(*) AS n FROM pairs GROUP BY ALL UNION ALL SELECT 'b', cluster, sum(value_b), count(*) FROM pairs GROUP BY ALL))"
+_UNPAIRED = f"SELECT g.rep, sum(total) / sum(n) AS mean FROM (SELECT rep, {_DRAW} AS i FROM (SELECT DISTINCT k FROM sclu WHERE side = '{{side}}'), (SELECT unnest(range(0, {_R})) AS rep) r, (SELECT unnest(range(0, 40)) AS j) d WHERE j < k) g JOIN (SELECT * FROM sclu WHERE side = '{{side}}') USING (i) GROUP BY ALL"
+_VIEWS["ureps"] = f"ureps AS (SELECT rep, a.mean - b.mean AS mean FROM ({_UNPAIRED.format(seed=_SEED + 1, side='a')}) a JOIN ({_UNPAIRED.format(seed=_SEED + 2, side='b')}) b USING (rep))"
 
 
-@query(f"SELECT rep, round(a.mean - b.mean, 10) AS mean FROM ({_UNPAIRED.format(seed=_SEED, model='candidate')}) a JOIN ({_UNPAIRED.format(seed=_SEED + 1, model='baseline')}) b USING (rep)", "rec", "outc", "clu")
+@query("SELECT rep, round(mean + 1e-12, 9) AS mean FROM ureps", "rec", "outc", "pairs", "sclu", "ureps")
 def unpaired_boot(spark, sf_dir):
-    return compare.unpaired_replicates(*_sides(spark, sf_dir), _R, _SEED).withColumn("mean", _r("mean"))
+    """Each side drawn by itself, over the units that both have."""
+    return compare.unpaired_replicates(_pairs(spark, sf_dir), _R, _SEED + 1).withColumn("mean", F.round(F.col("mean") + 1e-12, 9))
+
+
+@query("SELECT round(quantile_cont(mean, 0.025), 8) AS low, round(quantile_cont(mean, 0.975), 8) AS high FROM ureps", "rec", "outc", "pairs", "sclu", "ureps")
+def unpaired_ci(spark, sf_dir):
+    diff = compare.paired_diff(*_sides(spark, sf_dir), _R, _SEED)
+    return diff.select(F.round("unpaired_low", 8).alias("low"), F.round("unpaired_high", 8).alias("high"))
+
+
+# Each unit comes twice on either side, the later row with another value: the later one counts.
+_TWICE = """twice AS (SELECT a.task_id || '/' || a.case_id AS unit, a.task_id AS cluster, a.score AS value_a, b.score AS value_b, a.score - b.score AS delta
+FROM outc a JOIN outc b ON a.task_id = b.task_id AND a.case_id = b.case_id AND a.model_id = 'candidate' AND b.model_id = 'baseline')"""
+_DIFF = f"""SELECT n_paired, n_clusters, round(mean_a, 10) AS mean_a, round(mean_b, 10) AS mean_b, round(mean_a - mean_b, 10) AS delta, round(low, 8) AS low, round(high, 8) AS high, round(se, 10) AS std_error,
+ round({1.9599639845400545 + 0.8416212335729143!r} * se, 8) AS mde, wins, losses, ties, CASE WHEN low > 0 THEN 'improvement' WHEN high < 0 THEN 'regression' ELSE 'no significant difference' END AS verdict, only_in_a, only_in_b
+FROM (SELECT count(*) AS n_paired, count(DISTINCT cluster) AS n_clusters, avg(value_a) AS mean_a, avg(value_b) AS mean_b, count(*) FILTER (delta > 0) AS wins, count(*) FILTER (delta < 0) AS losses, count(*) FILTER (delta = 0) AS ties FROM pairs),
+ (SELECT quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high, stddev_pop(mean) AS se FROM preps),
+ (SELECT count(*) FILTER (model_id = 'candidate') AS only_in_a, count(*) FILTER (model_id = 'baseline') AS only_in_b FROM (SELECT *, count(*) OVER (PARTITION BY task_id, case_id) AS sides FROM outc) WHERE sides = 1)"""
+
+
+@query(_DIFF, "rec", "outc", "pairs", "pclu", "preps")
+def paired_diff(spark, sf_dir):
+    """Both sides have an older row of each unit too, with another value, which doesn't count."""
+    sides = []
+    for side in _sides(spark, sf_dir):
+        old = side.withColumns({"value": F.lit(1.0) - F.col("value"), "ordinal": F.lit(0)})
+        sides.append(old.unionByName(side.withColumn("ordinal", F.lit(1))))
+    diff = compare.paired_diff(*sides, _R, _SEED, method="percentile")
+    shown = ("n_paired", "n_clusters", "mean_a", "mean_b", "delta", "low", "high", "std_error", "mde", "wins", "losses", "ties", "verdict", "only_in_a", "only_in_b")
+    places = {c: 8 for c in ("low", "high", "mde")} | {c: 10 for c in ("mean_a", "mean_b", "delta", "std_error")}
+    return diff.select(*(F.round(c, places[c]).alias(c) if c in places else F.col(c) for c in shown))
+
+
+@query("SELECT low > 0 OR high < 0 AS significant, high < 0 AND delta < 0 AS fails FROM (SELECT quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM preps), (SELECT avg(delta) AS delta FROM pairs)", "rec", "outc", "pairs", "pclu", "preps")
+def gate_regression(spark, sf_dir):
+    return compare.regression_gate(compare.paired_diff(*_sides(spark, sf_dir), _R, _SEED, method="percentile")).select("significant", "fails")
+
+
+@query()
+def paired_diff_bca(spark, sf_dir):
+    """The default interval of a comparison; a test holds it against a plain loop."""
+    return compare.paired_diff(*_sides(spark, sf_dir))
+
+
+@query()
+def boot_ci_bca(spark, sf_dir):
+    """BCa intervals of hashed draws; a test holds them against a plain loop."""
+    return bootstrap.intervals(_clusters(spark, sf_dir))
+
+
+@query("SELECT 'run-events:candidate' AS side_a, 'run-events:baseline' AS side_b, n, round(delta, 10) AS delta, only_a, only_b, round(CASE WHEN only_a + only_b = 0 THEN CAST(1 AS DOUBLE) ELSE least(1, 2 * (SELECT sum(exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(CAST(2 AS DOUBLE)))) FROM (SELECT unnest(range(0, 1001)) AS i) WHERE i <= least(only_a, only_b))) END, 8) AS p_value FROM (SELECT count(*) AS n, avg(a.passed) - avg(b.passed) AS delta, count(*) FILTER (a.passed > b.passed) AS only_a, count(*) FILTER (a.passed < b.passed) AS only_b FROM outx a JOIN outx b ON a.task_id = b.task_id AND a.case_id = b.case_id AND a.model_id = 'candidate' AND b.model_id = 'baseline')", "rec", "outx")
+def diff_runs(spark, sf_dir):
+    """Two sides by selector, with the policy that their manifest has (exclude)."""
+    result = compare.diff_runs(records(spark, sf_dir), _manifests(spark, sf_dir), "latest:candidate", "run-e:baseline", metric="pass").result
+    return result.select("side_a", "side_b", F.col("n_paired").alias("n"), _r("delta").alias("delta"), "only_a", "only_b", F.round("p_value", 8).alias("p_value"))
 
 
 @query("SELECT unit, side FROM (SELECT DISTINCT task_id || '/' || case_id AS unit, 'a' AS side FROM outc WHERE model_id = 'candidate' AND NOT (task_id = 'task-03') UNION ALL SELECT DISTINCT task_id || '/' || case_id, 'b' FROM outc WHERE model_id = 'baseline' AND NOT (task_id = 'task-05')) GROUP BY unit, side HAVING count(*) > 0 AND unit NOT IN (SELECT a.task_id || '/' || a.case_id FROM outc a JOIN outc b ON a.task_id = b.task_id AND a.case_id = b.case_id AND a.model_id = 'candidate' AND b.model_id = 'baseline' WHERE a.task_id NOT IN ('task-03', 'task-05'))", "rec", "outc")
@@ -781,22 +980,47 @@ def case_deltas_topk(spark, sf_dir):
     return compare.case_deltas(_pairs(spark, sf_dir)).select("unit", _r("delta").alias("delta"))
 
 
-@query("SELECT coalesce(a.n_name, b.n_name) AS task_id, CASE WHEN b.n_name IS NULL THEN 'removed' WHEN a.n_name IS NULL THEN 'added' ELSE 'changed' END AS change FROM (SELECT n_name, n_nationkey FROM nation WHERE n_nationkey % 7 <> 1) a FULL JOIN (SELECT n_name, n_nationkey FROM nation WHERE n_nationkey % 7 <> 2) b ON a.n_name = b.n_name WHERE a.n_name IS NULL OR b.n_name IS NULL OR b.n_nationkey % 5 = 0")
+_PRINTS = "SELECT lang, source, count(*) AS n, max(n_chars) AS longest FROM documents GROUP BY ALL"
+
+
+@query(f"SELECT coalesce(a.source, b.source) AS task_id, CASE WHEN b.source IS NULL THEN 'removed' WHEN a.source IS NULL THEN 'added' ELSE 'changed' END AS change FROM (SELECT * FROM ({_PRINTS}) WHERE lang = 'fr') a FULL JOIN (SELECT * FROM ({_PRINTS}) WHERE lang = 'de') b ON a.source = b.source WHERE a.n IS DISTINCT FROM b.n")
 def changed_tasks(spark, sf_dir):
-    n = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("task_id"), "n_nationkey", F.sha2("n_name", 256).alias("fingerprint"))
-    other = n.where("n_nationkey % 7 <> 2").withColumn("fingerprint", F.when(F.col("n_nationkey") % 5 == 0, F.reverse("fingerprint")).otherwise(F.col("fingerprint")))
-    return compare.changed_tasks(n.where("n_nationkey % 7 <> 1"), other)
+    """Sources as tasks, with the fingerprint of how many documents they have in one language and in another."""
+    prints = _documents(spark, sf_dir).groupBy("lang", F.col("source").alias("task_id")).agg(F.sha2(F.count("*").cast("string"), 256).alias("fingerprint"))
+    return compare.changed_tasks(prints.where("lang = 'fr'"), prints.where("lang = 'de'"))
 
 
-@query("SELECT CASE WHEN count(DISTINCT CASE WHEN r_regionkey > 1 THEN 'exclude' ELSE 'zero' END) = 1 THEN min(CASE WHEN r_regionkey > 1 THEN 'exclude' ELSE 'zero' END) ELSE 'zero' END AS errors FROM region")
+@query("SELECT source, CASE WHEN count(DISTINCT p) = 1 THEN min(p) ELSE 'zero' END AS errors FROM (SELECT source, CASE WHEN quality = 1 THEN 'exclude' ELSE 'zero' END AS p FROM labels JOIN documents USING (doc_id)) GROUP BY source")
 def error_policy(spark, sf_dir):
-    return compare.error_policy(_table(spark, sf_dir, "region").select(F.when(F.col("r_regionkey") > 1, "exclude").otherwise("zero").alias("errors")))
+    """The policy that the labelled documents of each source agree on."""
+    sides = _table(spark, sf_dir, "labels").join(_documents(spark, sf_dir).select("doc_id", "source"), "doc_id").select("source", F.when(F.col("quality") == 1, "exclude").otherwise("zero").alias("errors"))
+    return compare.error_policy(sides.groupBy("source"))
 
 
-@query("SELECT side, warning FROM (SELECT CASE WHEN model_id = 'candidate' THEN 'a' ELSE 'b' END AS side, 'many errors' AS warning FROM rec GROUP BY model_id HAVING count(*) FILTER (status <> 'ok') / count(*) > 0.05)", "rec")
+@query(
+    """SELECT side, warning, detail FROM (SELECT CASE WHEN model_id = 'candidate' THEN 'a' ELSE 'b' END AS side, 'many errors' AS warning, printf('%.0f%%', 100.0 * count(*) FILTER (status <> 'ok') / count(*)) AS detail FROM rec GROUP BY model_id HAVING count(*) FILTER (status <> 'ok') / count(*) > 0.05)
+UNION ALL SELECT 'both', 'other contents', '' UNION ALL SELECT 'both', 'changed tasks', string_agg(task_id || ' changed', ', ' ORDER BY task_id) FROM (SELECT task_id FROM (SELECT task_id, max(event_id) AS last FROM rec GROUP BY ALL) WHERE last % 3 = 0 ORDER BY task_id LIMIT 8)
+UNION ALL SELECT 'both', 'other error policies', 'exclude / zero' UNION ALL SELECT 'both', 'other parameters of one model', '{"temperature":0} / {"temperature":1}' UNION ALL SELECT 'both', 'other versions', '1.0 / 1.1'""",
+    "rec",
+)
 def comparability_warnings(spark, sf_dir):
+    """The candidate of one run and the baseline of another, by records and manifests."""
     rows = records(spark, sf_dir)
-    return compare.warnings(rows.where("model_id = 'candidate'"), rows.where("model_id = 'baseline'"))
+    found = compare.warnings(rows.where("model_id = 'candidate'"), rows.where("model_id = 'baseline'"), _manifests(spark, sf_dir), ("run-events", "candidate"), ("run-other", "baseline"))
+    return found.withColumn("detail", F.when(F.col("warning") == "other contents", "").otherwise(F.col("detail")))
+
+
+@query("SELECT 'm-1' AS model, '{\"temperature\":0}' AS params, count(DISTINCT task_id) AS tasks FROM rec", "rec")
+def model_in_manifest(spark, sf_dir):
+    manifests = _manifests(spark, sf_dir)
+    entry = compare.model_entry(manifests, "run-events", "baseline").select("model", "params").withColumn("run_id", F.lit("run-events"))
+    return entry.join(manifests.select("run_id", F.size("tasks").cast("long").alias("tasks")), "run_id").drop("run_id")
+
+
+@query("SELECT source || '/' || CAST(doc_id AS VARCHAR) AS unit, source AS cluster, CAST(n_chars AS DOUBLE) AS value FROM documents")
+def observations_of_scores(spark, sf_dir):
+    scores = _documents(spark, sf_dir).groupBy(F.col("source").alias("task_id"), F.pmod("doc_id", F.lit(50))).agg(F.map_from_entries(F.collect_list(F.struct(F.col("doc_id").cast("string"), "n_chars"))).alias("scores"))
+    return compare.observations_from_scores(scores)
 
 
 # --- judge -----------------------------------------------------------------------------
@@ -830,3 +1054,28 @@ def judge_cost(spark, sf_dir):
 def judge_poll_parse(spark, sf_dir):
     polls = _table(spark, sf_dir, "events").select("event_id", F.col("props").alias("reply"), F.explode(F.array(F.lit("k"), F.lit("z"))).alias("criterion"))
     return judge.poll_scores(polls, path="$").select("event_id", "criterion", "score")
+
+
+# Replies of a judge to every benchmark item, three times: fenced, in prose, without a criterion, with no number, with neither.
+_REPLIES = """replies AS (SELECT item_id, i AS sample_index, (item_id * 3 + i) % 6 AS form, CAST(item_id % 7 AS DOUBLE) - 1 AS a, CAST(i * 2 AS DOUBLE) AS b FROM benchmark, (SELECT unnest([0, 1, 2]) AS i))"""
+_VIEWS["replies"] = _REPLIES
+
+
+def _replies(spark, sf_dir):
+    rows = _table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("sample_index"))
+    form = (F.col("item_id") * 3 + F.col("sample_index")) % 6
+    good = F.format_string('{"scores": {"accuracy": %d, "brevity": %d}, "rationale": "r%d"}', F.col("item_id") % 7 - 1, F.col("sample_index") * 2, "sample_index")
+    forms = F.array(good, F.concat(F.lit("```json\n"), good, F.lit("\n```")), F.concat(F.lit("Sure: "), good, F.lit(" as asked.")), F.lit('{"scores": {"accuracy": 3}}'), F.lit('{"scores": {"accuracy": true, "brevity": 1}}'), F.lit("no idea"))
+    return rows.withColumn("reply", F.get(forms, form.cast("int")))
+
+
+@query("SELECT item_id, sample_index, CASE form WHEN 3 THEN 'no criterion brevity' WHEN 4 THEN 'no number for accuracy' WHEN 5 THEN 'no JSON' END AS parse_error, CASE WHEN form < 3 THEN least(4, greatest(0, a)) END AS accuracy FROM replies", "replies")
+def judge_replies(spark, sf_dir):
+    got = judge.read_replies(_replies(spark, sf_dir), [("accuracy", 2.0), ("brevity", 1.0)])
+    return got.select("item_id", "sample_index", "parse_error", F.get("poll.scores", 0)["score"].alias("accuracy"))
+
+
+@query("SELECT item_id, CASE WHEN count(*) FILTER (form < 3) = 0 THEN 'error' ELSE 'ok' END AS status, count(*) FILTER (form < 3) AS samples, count(*) AS samples_requested, round((median(least(4, greatest(0, a))) FILTER (form < 3) * 2 + median(least(4, b)) FILTER (form < 3)) / 12, 10) AS score, coalesce(min('r' || CAST(sample_index AS VARCHAR)) FILTER (form < 3), '') AS rationale FROM replies GROUP BY item_id", "replies")
+def judge_judgements(spark, sf_dir):
+    got = judge.judgements(_replies(spark, sf_dir), [("accuracy", 2.0), ("brevity", 1.0)], "item_id")
+    return got.select("item_id", "status", "samples", "samples_requested", _r("score").alias("score"), "rationale")
