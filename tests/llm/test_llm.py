@@ -397,7 +397,7 @@ def test_language_model_learns_from_every_position(spark, docs):
     hashes, counts = np.unique(h, return_counts=True)
     model = maxent.Model(hashes, counts, len(h), len(hashes))
     rank, _ = model.look_up(h)
-    want.update(zip(rank.tolist(), *(x.tolist() for x in maxent.histories(rank, bounds))))
+    want.update(zip(rank.tolist(), *(x.tolist() for x in maxent.histories(h, rank, bounds))))
     rows = docs.select("text").mapInArrow(maxent._examples(spark.sparkContext.broadcast(model)), "part int, rank binary, before binary, skip binary").collect()
     got = collections.Counter()
     for row in rows:
@@ -409,7 +409,8 @@ def test_untrained_model_is_the_base_and_sums_to_one():
     rng = np.random.default_rng(2)
     hashes, counts = rng.integers(1, 2**62, 6000).astype(np.uint64), rng.integers(1, 900, 6000)
     model = maxent.Model(hashes, counts, int(counts.sum()), 6000)
-    rank, before, skip = np.append(np.arange(maxent.WORDS), maxent._RARE), np.zeros(maxent.WORDS + 1, int), np.ones(maxent.WORDS + 1, int)
+    rank = np.arange(maxent.WORDS + maxent.BANDS)
+    before, skip = np.full(len(rank), 40_000), np.ones(len(rank), int)
     p = np.exp(maxent.log_probabilities(model, rank, before, skip))
     assert p.sum() == pytest.approx(1, abs=1e-4) and p[5] == pytest.approx((model.word_counts[5] + 1) / (counts.sum() + 6001), rel=1e-3)
     model.tables["class"] += rng.normal(0, 1, model.tables["class"].shape).astype(np.float32)
@@ -417,6 +418,35 @@ def test_untrained_model_is_the_base_and_sums_to_one():
     assert np.exp(maxent.log_probabilities(model, rank, before, skip)).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_scores_are_those_of_the_softmax_by_hand(docs):
+    held = crc_mod("doc_id", 7) == 2
+    got = {r["doc_id"]: r["score"] for r in maxent.scores(docs, held).collect()}
+    model, vocabulary = maxent.train(docs.where(~held), 4)
+    count = {}
+    for r in vocabulary.collect():
+        count.update(zip(np.frombuffer(r["hashes"], np.uint64).tolist(), np.frombuffer(r["counts"], np.int64).tolist()))
+    place = model.place
+    for r in docs.where("doc_id < 12").collect():
+        h, bounds = maxent.tokens_of([(r["text"] or "").encode()])
+        rank, _ = model.look_up(h)
+        total, events, last = 0.0, rank.tolist(), []
+        for i, event in enumerate(events):
+            code = lambda j: events[j] if events[j] < maxent.WORDS else maxent._OTHERS + (int(h[j]) >> 40) % (65_536 - maxent._OTHERS)
+            before = code(i - 1) if i else maxent._START
+            skip = next((events[j] for j in range(i - 2, -1, -1) if events[j] < maxent.WORDS), maxent._START)
+            own = before if before < maxent._OTHERS else maxent.LEAST_ROWS // 2 + 1024 + before % (model.rows - maxent.LEAST_ROWS // 2 - 1024)
+            mixed = ((before * 65_537 + skip) * 0x9E3779B97F4A7C15 % 2**64 >> 40) % model.rows
+            x = model.class_bias.astype(float) + model.tables["class"][0][own] + model.tables["class"][1][skip] + model.tables["class"][2][mixed]
+            softmax = lambda v: v - math.log(math.fsum(map(math.exp, v.tolist())))
+            if event < maxent.WORDS:
+                c, k = divmod(int(place[event]), maxent.PER_CLASS)
+                y = model.word_bias[c].astype(float) + model.tables["word"][0][before % 256][c] + model.tables["word"][1][skip % 256][c]
+                total += softmax(x)[maxent.BANDS + c] + softmax(y)[k]
+            else:
+                total += softmax(x)[event - maxent.WORDS] + math.log((count.get(int(h[i]), 0) + 1) / model.band_mass[event - maxent.WORDS])
+        assert got[r["doc_id"]] == pytest.approx(total / math.log(10), rel=1e-4)
+
+
 # --- op2, op6 ---
 
 

@@ -74,6 +74,16 @@ def least_hashed(rows: DataFrame, key: Column, most: int) -> DataFrame:
     return some.orderBy("__h").limit(most).drop("__h")
 
 
+def joined_to_few(rows: DataFrame, few: DataFrame, key: str, spread: str, how: str = "inner", salts: int = 32) -> DataFrame:
+    """rows joined to ``few`` (unique by key), where one key may hold much of rows: its rows are dealt over ``salts`` by the column spread.
+
+    few isn't broadcast: its size has no bound of its own.
+    """
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
+    copies = few.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return salted.join(copies, [key, "__salt"], how).drop("__salt")
+
+
 def array_literal(values: Sequence, kind: str) -> Column:
     """values as one array literal: a plan that holds it has one node for it, however long it is."""
     return F.from_json(F.lit(json.dumps(values)), kind)
@@ -97,6 +107,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_buckets(texts: DataFrame, size: int = 32 << 20) -> int:
+    """Buckets for what is gathered from texts (column text): one for each ``size`` bytes of them, and no fewer than shuffle partitions."""
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(shuffle_partitions(texts.sparkSession), -(-total // size))
+
+
 def crc_mod(key: str, n: int) -> Column:
     """crc32 of the key as text, modulo n: the split of the contracts. A null key counts as ''."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % n
