@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, shuffle_partitions, written
+from .common import joined_to_few, released, shuffle_partitions, text_buckets, written
 from .graph import components
 from .shingles import digest, mix, shingle_sets
 
@@ -147,9 +147,8 @@ def _sum_cells(buckets):
     return run
 
 
-def _order(texts: DataFrame, width: int):
+def _order(texts: DataFrame, width: int, buckets: int):
     """(bitmap of cells that occur twice, heavy cells, their counts); sizes bounded by SEEN_BITS and MOST_HEAVY."""
-    buckets = 2 * shuffle_partitions(texts.sparkSession)
     sums = texts.mapInArrow(_count_cells(buckets, width), "bucket int, once binary, cells binary, counts binary").groupBy("bucket").applyInArrow(_sum_cells(buckets), "byte long, bits binary, cells binary, counts binary")
     seen, cells, counts = np.zeros(1 << (SEEN_BITS - 3), np.uint8), [], []
     for row in sums.orderBy("byte").collect():
@@ -434,14 +433,14 @@ def _links_of_large(sets: DataFrame, member: DataFrame, num: int, den: int) -> D
     classes = member.join(components(first).toDF("digest", "root"), "digest", "left")
     sizes = classes.where("root is not null").groupBy("cluster", "root").agg(F.count("*").alias("sets"))
     main = sizes.groupBy("cluster").agg(F.max(F.struct("sets", "root"))["root"].alias("main"))
-    classes = classes.join(main, "cluster", "left").withColumn("asked", ~F.coalesce(F.col("root") == F.col("main"), F.lit(False)))
+    classes = joined_to_few(classes, main, "cluster", "digest", "left").withColumn("asked", ~F.coalesce(F.col("root") == F.col("main"), F.lit(False)))
     outside = classes.where("asked").groupBy("cluster").agg(F.sum("n").alias("outside"))
     # So many shares that what is outside, sent to each, is no more than the cluster, and that none is beyond a block.
     by_block = F.ceil(F.col("hashes_of_cluster") / BLOCK_HASHES)
     deal = outside.join(member.select("cluster", "hashes_of_cluster").distinct(), "cluster").select(
         "cluster", F.greatest(by_block, F.least(shares, F.ceil(F.col("hashes_of_cluster") / F.col("outside")))).alias("shares"), F.ceil(F.col("outside") / BLOCK_HASHES).alias("blocks")
     )
-    rows = sets.join(classes.select("digest", "asked"), "digest").join(deal, "cluster")
+    rows = joined_to_few(sets.join(classes.select("digest", "asked"), "digest"), deal, "cluster", "digest")
     share, block = F.pmod(F.xxhash64("digest"), F.col("shares")), F.pmod(F.xxhash64("digest", F.lit(1)), F.col("blocks"))
     all_of = rows.withColumn("asked", F.lit(False)).select(*names, share.alias("share"), from_0(F.col("blocks")).alias("block"))
     some = rows.where("asked").select(*names, from_0(F.col("shares")).alias("share"), block.alias("block"))
@@ -451,15 +450,15 @@ def _links_of_large(sets: DataFrame, member: DataFrame, num: int, den: int) -> D
 def set_classes(texts: DataFrame, num: int, den: int, width: int) -> DataFrame:
     """(digest, root) of the sets of texts (column text) that link with another one; sets of a class have one root."""
     spark = texts.sparkSession
-    order = spark.sparkContext.broadcast(_order(texts, width))
-    buckets = 2 * shuffle_partitions(spark)
+    buckets = 2 * text_buckets(texts)
+    order = spark.sparkContext.broadcast(_order(texts, width, buckets))
     lists = texts.mapInArrow(_list_entries(buckets, width, num, den, order), "bucket int, token binary, digest binary, n binary, place binary")
     pairs = lists.groupBy("bucket").applyInArrow(_scan_lists(num, den, buckets), _PAIR_BLOBS).groupBy("task").applyInArrow(_meet(num, den), "a long, b long, na long, nb long")
     pairs = written(pairs, "pairs")
     sizes = pairs.select("a", "na").union(pairs.select("b", "nb")).toDF("digest", "n").distinct()
     member = components(pairs).toDF("digest", "cluster").join(sizes, "digest")
     whole = member.groupBy("cluster").agg(F.sum("n").alias("hashes_of_cluster"))
-    member = written(member.join(whole, "cluster"), "members")
+    member = written(joined_to_few(member, whole, "cluster", "digest"), "members")
     word = F.pmod(F.shiftrightunsigned("digest", 6), F.lit(MAP_WORDS))
     words = np.zeros(MAP_WORDS, np.uint64)
     got = member.groupBy(word.alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(digest & 63 as int)))").alias("bits")).toPandas()
