@@ -48,8 +48,10 @@ CONTEXT = 48
 MARK = "[SECRET]"
 
 _NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|key|auth|credentials?|private)"
-_RUN = r"(?<![A-Za-z0-9+/_\-])(?![A-Za-z_\-]++\s{0,2}[=:]\s{0,2}[\"']?[^\s\"']{6})[A-Za-z0-9+/_\-]{12,}+(?:\.[A-Za-z0-9_\-]{12,}+){0,2}(?:={1,2}(?![A-Za-z0-9=]))?"
-_ASSIGNMENT = rf"(?i:{_NAMES})[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?(?=[^\s\"']{{6}})|://[^\s:/@]{{1,64}}:(?=[^\s@/]{{6,64}}@)"
+# A name is a run that something is assigned to and that has no digit near its end. What is looked for is what is rare,
+# so that most places of a text fail at their first character.
+_RUN = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{12,}+(?:(?!\s{0,2}[=:]\s{0,2}[\"']?[^\s\"']{6})|(?<=[0-9][A-Za-z+/_\-]{0,40}))(?:\.[A-Za-z0-9_\-]{12,}+){0,2}(?:={1,2}(?![A-Za-z0-9=]))?"
+_ASSIGNMENT = rf"[=:](?:(?<=(?i:{_NAMES})[\"']?\s{{0,2}}[=:])\s{{0,2}}[\"']?(?=[^\s\"']{{6}})|(?<=://[^\s:/@]{{1,64}}:)(?=[^\s@/]{{6,64}}@))"
 _VALUE = r"[^\s\"'@]{6,}+"
 _CANDIDATE = rf"({_ASSIGNMENT})({_VALUE})|({_RUN})"
 _KEYWORD = rf"(?i){_NAMES}[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?$"
