@@ -8,7 +8,7 @@ from statistics import fmean, pstdev
 import pytest
 from pyspark.sql import functions as F
 
-from trialweave.functions import templates
+from trialweave.functions import mock, templates
 from trialweave.functions import text as T
 from trialweave.functions import values as V
 from trialweave.operators import bootstrap, compare, judge, outcomes, scorers
@@ -258,3 +258,12 @@ def test_percentiles_by_ranks(spark):
 def test_progress_of_nothing(spark):
     none = spark.createDataFrame([], "status string, cached boolean, cost_usd double")
     assert tuple(live.progress(none, 10, 0.0, F.lit(5.0)).first()) == (0, 0, 0, 0, 0.0, 0.0, 0.0)
+
+
+def test_wrong_answers_and_failures(spark):
+    df = spark.createDataFrame([(t, s) for t in ("7", "2.5", "", "one two three", "Bern") for s in (0.0, 0.6)], "t string, s double")
+    got = [tuple(r) for r in df.select("t", "s", mock.wrong_answer(F.col("t"), F.col("s"))).collect()]
+    assert got == [("7", 0.0, "8"), ("7", 0.6, "5"), ("2.5", 0.0, "3.5"), ("2.5", 0.6, "0.5"), ("", 0.0, "unknown"), ("", 0.6, "unknown"), ("one two three", 0.0, "one two"), ("one two three", 0.6, "not enough information"), ("Bern", 0.0, "none of the above"), ("Bern", 0.6, "not enough information")]
+    requests = spark.createDataFrame([("what", "m", i, "candidate", None) for i in range(200)], "prompt string, model string, sample_index int, role string, expected string")
+    rows = mock.answers(requests, error_rate=0.3).collect()
+    assert 30 <= sum(r["failed"] for r in rows) <= 90 and all((r["response_text"] is None) == r["failed"] for r in rows) and {r["response_text"] for r in rows} == {None, "[mock:m] what"}

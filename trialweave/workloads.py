@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import templates
+from .functions import mock, templates
 from .functions import text as T
 from .functions import values as V
 from .operators import bootstrap, compare, judge, outcomes, scorers
@@ -822,6 +822,33 @@ def mock_accuracy(spark, sf_dir):
     return rows.withColumn("right", right).groupBy("model_id").agg(F.count("*").alias("trials"), F.count_if("right").alias("correct"))
 
 
+_KEYED = "'{what}' || chr(31) || text || chr(31) || 'm-1' || chr(31) || CAST(s AS VARCHAR) || chr(31) || '0' || chr(31) || 'candidate'"
+
+
+@query(
+    "SELECT item_id, s AS sample_index, CASE WHEN NOT correct THEN CAST(item_id + list_extract([1, -1, 2, -2, 10, -10], CAST(floor(wrong * 6) AS INT) + 1) AS VARCHAR) WHEN wordy < CAST(0.3 AS DOUBLE) THEN 'The answer is ' || CAST(item_id AS VARCHAR) || '.' ELSE CAST(item_id AS VARCHAR) END AS response_text, correct FROM (SELECT item_id, s, "
+    + _HASH.format(x=_KEYED.format(what="draw"))
+    + " < least(1, greatest(0, CAST(0.6 AS DOUBLE) + CAST(0.7 AS DOUBLE) * (CAST(0.5 AS DOUBLE) - "
+    + _HASH.format(x="'difficulty' || chr(31) || text")
+    + "))) AS correct, "
+    + _HASH.format(x=_KEYED.format(what="verbose"))
+    + " AS wordy, "
+    + _HASH.format(x=_KEYED.format(what="wrong"))
+    + " AS wrong FROM benchmark, (SELECT unnest([0, 1, 2]) AS s))"
+)
+def mock_answers(spark, sf_dir):
+    requests = _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("prompt"), F.lit("m-1").alias("model"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("sample_index"), F.lit("candidate").alias("role"), F.col("item_id").cast("string").alias("expected"))
+    return mock.answers(requests, verbosity=0.3).select("item_id", "sample_index", "response_text", "correct")
+
+
+@query(
+    "SELECT doc_id, CAST(least(4, greatest(0, round_even(CASE WHEN wobble < CAST(0.25 AS DOUBLE) THEN moving ELSE steady END * 4 + CAST(0.5 AS DOUBLE), 0))) AS INT) AS score FROM (SELECT doc_id, "
+    + _HASH.format(x="'wobble' || chr(31) || 'tone' || chr(31) || text") + " AS wobble, " + _HASH.format(x="'judge' || chr(31) || 'tone' || chr(31) || text || chr(31) || '2'") + " AS moving, " + _HASH.format(x="'judge' || chr(31) || 'tone' || chr(31) || text || chr(31) || '0'") + " AS steady FROM documents)"
+)
+def mock_judge(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", mock.judge_score(F.lit("tone"), F.col("text"), F.lit(2)).alias("score"))
+
+
 # --- statistics ------------------------------------------------------------------------
 
 # Means of replicates are sums in another order on either side; a little more than nothing decides those that end on a five.
