@@ -477,7 +477,7 @@ def test_risk_descends_along_its_slope():
     """The summed slopes are those of the risk, by small differences."""
     rng = np.random.default_rng(2)
     x, trusted, model = rng.normal(0, 1, (50, quality.FEATURES)), np.arange(50) < 20, quality.PUModel()
-    w = rng.normal(0, 0.1, 2 * quality.FEATURES + quality.COSINES + 1)
+    w = rng.normal(0, 0.1, quality.WIDTH)
 
     def sums(weight):
         model.weight = weight

@@ -1,9 +1,9 @@
 """Quality classifier by positive-unlabelled learning with non-negative unbiased risk.
 
-Every text becomes a few dozen shares and rates (letters, case, symbols, repeats, lines).
-Trusted positives P (label 1) and unlabelled texts U (all of them, whatever their label)
-train a linear model on these, their squares and random cosines of them, by gradient descent
-on the non-negative risk
+Every text becomes a few dozen shares and rates (letters, case, symbols, repeats, lines) and
+its words' counts, hashed with signs into ``BUCKETS``. Trusted positives P (label 1) and
+unlabelled texts U (all of them, whatever their label) train a linear model on these, and on
+squares and random cosines of the rates, by gradient descent on the non-negative risk
 
     prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)])
 
@@ -44,7 +44,11 @@ _CLASS[65:91], _CLASS[97:123], _CLASS[48:58] = _UPPER, _LOWER, _DIGIT
 _CLASS[[ord(c) for c in ".,;:'\"()-?"]] = _POINT
 _CLASS[[32, 9, 11, 12, 13]], _CLASS[10] = _SPACE, _LINE
 _LINES = re.compile(rb"\n+")
-FEATURES = 24
+#: Rates, buckets of hashed words, and both.
+RATES, BUCKETS = 24, 64
+FEATURES = RATES + BUCKETS
+#: The model's inputs: rates, their squares, cosines, words, one.
+WIDTH = 2 * RATES + COSINES + BUCKETS + 1
 
 
 def features(texts: list[str | None]) -> np.ndarray:
@@ -72,7 +76,8 @@ def features(texts: list[str | None]) -> np.ndarray:
             row += [turns / max(1, size), np.count_nonzero((kind[:-1] == _SYMBOL) & (kind[1:] == _SYMBOL)) / max(1, size) if size > 1 else 0.0, np.count_nonzero((kind[:-1] == _UPPER) & (kind[1:] == _UPPER)) / max(1, size) if size > 1 else 0.0]
             top_byte = np.bincount(np.frombuffer(raw, np.uint8), minlength=1)
             row.append(top_byte.max() / max(1, size) if size else 0.0)
-            out.append(row)
+            sign = np.where((w >> np.uint64(32)) & np.uint64(1), 1.0, -1.0)
+            out.append(row + (np.bincount((w % np.uint64(BUCKETS)).astype(np.int64), sign, BUCKETS) / max(1.0, np.sqrt(n))).tolist())
     return np.array(out, np.float64).reshape(len(texts), FEATURES)
 
 
@@ -91,18 +96,19 @@ def with_features(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 class PUModel:
-    """A linear model on standardised features, their squares, and random cosines of them."""
+    """A linear model on standardised features, squares of the rates among them, and random cosines of these."""
 
     def __init__(self, prior: float = 0.5, seed: int = 11):
         rng = np.random.Generator(np.random.PCG64(seed))
         self.prior = prior
         self.mean, self.scale = np.zeros(FEATURES), np.ones(FEATURES)
-        self.angle, self.phase = rng.normal(0, 0.3, (FEATURES, COSINES)), rng.uniform(0, 2 * np.pi, COSINES)
+        self.angle, self.phase = rng.normal(0, 0.3, (RATES, COSINES)), rng.uniform(0, 2 * np.pi, COSINES)
         self.weight = None
 
     def expand(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -6, 6)
-        return np.concatenate((z, z * z / 3, np.cos(z @ self.angle + self.phase), np.ones((len(z), 1))), 1)
+        rates, words = z[:, :RATES], z[:, RATES:] / 3
+        return np.concatenate((rates, rates * rates / 3, np.cos(rates @ self.angle + self.phase), words, np.ones((len(z), 1))), 1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.weight is None:
@@ -197,22 +203,21 @@ def fit(rows: DataFrame, steps: int = STEPS) -> PUModel:
     n, known = start[:2]
     model.mean = start[2 : 2 + FEATURES] / n
     model.scale = np.sqrt(np.maximum(0, start[2 + FEATURES :] / n - model.mean**2)) + 1e-6
-    size = 2 * FEATURES + COSINES + 1
     products, positive = [], []
     for half in np.split(_summed(rows, _products(model)), 2):
-        products.append(half[: size * size].reshape(size, size))
-        positive.append(half[size * size :])
+        products.append(half[: WIDTH * WIDTH].reshape(WIDTH, WIDTH))
+        positive.append(half[WIDTH * WIDTH :])
     every, trusted = np.split(_summed(rows, _binned(model, [_ratio(p, q) for p, q in zip(products, positive)])), 2)
     model.prior = prior = estimated_prior(every, trusted)
     # The squared loss has a closed form, 2 * prior * ratio - 1: where the descent starts.
     w = 6 * prior * _ratio(sum(products), sum(positive))
     w[-1] -= 3
-    first, second = np.zeros(size), np.zeros(size)
+    first, second = np.zeros(WIDTH), np.zeros(WIDTH)
     for t in range(1, steps + 1):
         model.weight = w
         got = _summed(rows, _slopes(model))
-        up = prior * got[2 : 2 + size] / known
-        down = got[2 + size :] / n - up
+        up = prior * got[2 : 2 + WIDTH] / known
+        down = got[2 + WIDTH :] / n - up
         g = down - up if got[1] / n >= prior * got[0] / known else -down
         g += DECAY * w
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
