@@ -347,7 +347,9 @@ def test_packing_search_never_gets_worse_and_empty_table(edges):
     squares = lambda bs: sum(int(lengths[b].sum()) ** 2 for b in bs)
     assert len(better) <= len(bins) and squares(better) >= squares(bins) and sorted(i for b in better for i in b) == list(range(300)) and max(lengths[b].sum() for b in better) <= 1000
     exchanged = packing.local_search([[0, 1], [2, 3]], np.array([6, 3, 4, 3]), 10)
-    assert sorted(map(len, exchanged)) and sum(len(b) for b in exchanged) == 4
+    assert sorted(sum((6, 3, 4, 3)[i] for i in b) for b in exchanged) == [6, 10] and sorted(i for b in exchanged for i in b) == [0, 1, 2, 3]
+    two = packing.local_search([[0, 1], [2, 3, 4]], np.array([5, 4, 2, 3, 2]), 10)
+    assert sorted(sum((5, 4, 2, 3, 2)[i] for i in b) for b in two) == [6, 10]
     assert packing.packed(packing.pieces(edges.limit(0), BYTE)).count() == 0
 
 
