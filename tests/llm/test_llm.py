@@ -407,6 +407,15 @@ def test_language_model_learns_from_every_position(spark, docs):
     assert got == want
 
 
+def test_updates_of_many_tasks_are_summed_by_tree(spark, docs, monkeypatch):
+    texts = docs.repartition(9)
+    plain = maxent.train(texts, 4)[0]
+    monkeypatch.setattr(maxent, "FAN", 2)
+    tree = maxent.train(texts, 4)[0]
+    for k in plain.tables:
+        assert plain.tables[k].any() and np.allclose(plain.tables[k], tree.tables[k], atol=1e-3)
+
+
 def test_untrained_model_is_the_base_and_sums_to_one():
     rng = np.random.default_rng(2)
     hashes, counts = rng.integers(1, 2**62, 6000).astype(np.uint64), rng.integers(1, 900, 6000)

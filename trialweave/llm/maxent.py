@@ -51,8 +51,8 @@ ROUNDS, BATCH, RATE = 3, 4096, 0.15
 TASK_TOKENS = 8_000_000
 #: Columns of the count of what precedes a word, from which classes are made.
 CONTEXTS = 64
-#: Slices that updates are summed in.
-SLICES = 32
+#: Slices that updates are summed in, and tasks whose slices meet in one group: of more tasks, sums are summed again.
+SLICES, FAN = 32, 64
 
 _END = np.uint64(0x0E4D_0E4D_0E4D_0E4D)
 _TAIL = WORDS + BANDS - 1  # the event of tokens beyond the head
@@ -285,15 +285,16 @@ def _sum_slices(table: pa.Table) -> pa.Table:
     total = 0.0
     for x in table.column("data"):
         total = total + np.frombuffer(x.as_buffer(), kind).astype(np.float64)
-    return pa.table({"slice": pa.array([table.column("slice")[0].as_py()], pa.int32()), "kind": pa.array(["<f4"]), "data": pa.array([total.astype("<f4").tobytes()])})
+    return pa.table([pa.array([table.column(c)[0].as_py()], pa.int32()) for c in ("slice", "part")] + [pa.array(["<f4"]), pa.array([total.astype("<f4").tobytes()])], names=["slice", "part", "kind", "data"])
 
 
 def _slices_of(data: np.ndarray, kind: str):
+    task = TaskContext.get().partitionId()
     for k, part in enumerate(np.array_split(data, SLICES)):
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([kind]), pa.array([part.astype(kind).tobytes()])], names=["slice", "kind", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([task], pa.int32()), pa.array([kind]), pa.array([part.astype(kind).tobytes()])], names=["slice", "part", "kind", "data"])
 
 
-_SLICE = "slice int, kind string, data binary"
+_SLICE = "slice int, part int, kind string, data binary"
 
 
 def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -401,10 +402,15 @@ def train(docs: DataFrame, buckets: int) -> tuple[Model, DataFrame]:
         return model, vocabulary
     examples = written(texts.mapInArrow(_examples(spark.sparkContext.broadcast(model)), "part int, rank binary, before binary, skip binary"), "examples")
     # Tasks that each send a table: no more of them than keep all cores busy or have their share of positions.
-    examples = examples.coalesce(max(2 * spark.sparkContext.defaultParallelism, total // TASK_TOKENS))
+    tasks = max(2 * spark.sparkContext.defaultParallelism, total // TASK_TOKENS)
+    examples = examples.coalesce(tasks)
 
     def gathered(rows, size):
-        got = rows.groupBy("slice").applyInArrow(_sum_slices, _SLICE).collect()
+        left = tasks
+        while left:
+            rows = rows.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("slice", "part").applyInArrow(_sum_slices, _SLICE)
+            left = 0 if left <= FAN else -(-left // FAN)
+        got = rows.collect()
         parts = {r["slice"]: np.frombuffer(r["data"], "<f4") for r in got}
         return np.concatenate([parts[k] for k in sorted(parts)]) if parts else np.zeros(size, np.float32)
 
