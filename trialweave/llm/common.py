@@ -118,6 +118,14 @@ def crc_mod(key: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def release() -> None:
+    """Gives back the memory that this worker's allocators hold and don't use."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def released(run):
     """A function of mapInArrow after whose partition the worker gives back the memory that it doesn't use.
 
@@ -130,9 +138,21 @@ def released(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
-            if trim is not None:
-                trim(0)
+            release()
+
+    return wrapped
+
+
+def released_group(run, least: int = 2 << 20):
+    """The same for a function of applyInArrow, after groups of ``least`` bytes or more."""
+
+    @wraps(run)
+    def wrapped(table):
+        size = table.nbytes
+        out = run(table)
+        del table
+        if size >= least:
+            release()
+        return out
 
     return wrapped

@@ -31,8 +31,8 @@ DIM, N = 1024, 3
 #: Letters of their own; code points from there on share 128 vectors by their lowest bits. 0 is the gap.
 OWN = 0x250
 _LETTERS = OWN + 129
-#: Characters and texts that are taken together; the largest array is CHUNK_TEXTS x 8192 numbers.
-CHUNK_CHARS, CHUNK_TEXTS = 200_000, 512
+#: Characters, texts, and distinct n-grams that are taken together.
+CHUNK_CHARS, CHUNK_TEXTS, CHUNK_GRAMS = 200_000, 512, 2048
 
 
 @lru_cache(maxsize=1)
@@ -67,7 +67,10 @@ def vectors(grams: np.ndarray) -> np.ndarray:
     out = None
     for k in range(N - 1, -1, -1):
         grams, letters = np.divmod(grams, _LETTERS)
-        out = rolled[k][letters] if out is None else out * rolled[k][letters]
+        if out is None:
+            out = rolled[k][letters]
+        else:
+            out *= rolled[k][letters]
     return out
 
 
@@ -83,11 +86,11 @@ def bundles(owner, gram, n: int) -> np.ndarray:
     owner, gram, count = _counts(owner, gram)
     distinct, at = np.unique(gram, return_inverse=True)
     out = np.zeros((n, DIM), np.float32)
-    for lo in range(0, len(distinct), 8192):  # some thousand vectors at a time, however long a text is
-        inside = (at >= lo) & (at < lo + 8192)
-        weight = np.zeros((n, min(8192, len(distinct) - lo)), np.float32)
+    for lo in range(0, len(distinct), CHUNK_GRAMS):  # some thousand vectors at a time, however long a text is
+        inside = (at >= lo) & (at < lo + CHUNK_GRAMS)
+        weight = np.zeros((n, min(CHUNK_GRAMS, len(distinct) - lo)), np.float32)
         weight[owner[inside], at[inside] - lo] = count[inside]
-        out += weight @ vectors(distinct[lo : lo + 8192])
+        out += weight @ vectors(distinct[lo : lo + CHUNK_GRAMS])
     return out
 
 
@@ -127,8 +130,8 @@ def _sums(batches):
     for name, rows in held.items():
         gram, count = merged(rows)
         total = np.zeros(DIM)
-        for lo in range(0, len(gram), 8192):
-            total += count[lo : lo + 8192] @ vectors(gram[lo : lo + 8192]).astype(np.float64)
+        for lo in range(0, len(gram), CHUNK_GRAMS):
+            total += count[lo : lo + CHUNK_GRAMS] @ vectors(gram[lo : lo + CHUNK_GRAMS]).astype(np.float64)
         out.append((name, total))
     if out:
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.list_(pa.float64()))], names=["lang", "total"])

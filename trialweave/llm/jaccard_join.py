@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_to_few, released, shuffle_partitions, text_buckets, written
+from .common import joined_to_few, released, released_group, shuffle_partitions, text_buckets, written
 from .graph import components
 from .shingles import digest, mix, shingle_sets
 
@@ -125,6 +125,7 @@ def _joined(table, name, dtype):
 
 
 def _sum_cells(buckets):
+    @released_group
     def run(table: pa.Table) -> pa.Table:
         k = table.column("bucket")[0].as_py()
         once, cells = (np.concatenate([_from_gaps(x.as_py()) for x in table.column(n)]) for n in ("once", "cells"))
@@ -251,6 +252,7 @@ def _skipped(group, size, place, num, den):
 
 
 def _scan_lists(num, den, tasks):
+    @released_group
     def run(table: pa.Table) -> pa.Table:
         tok, dig, n, place = (_joined(table, c, t) for c, t in (("token", np.uint32), ("digest", np.int64), ("n", np.uint32), ("place", np.uint16)))
         by = np.lexsort((place, dig, n, tok))
@@ -293,6 +295,7 @@ def _scan_lists(num, den, tasks):
 def _meet(num, den):
     """Pairs that meet often enough within their prefixes, or in a long list."""
 
+    @released_group
     def run(table: pa.Table) -> pa.Table:
         a, b, na, nb, met, star = (_joined(table, c, t).astype(np.int64) for c, t in _PAIR_TYPES.items())
         by = np.lexsort((b, a))
@@ -362,6 +365,7 @@ def _within(sets: list[np.ndarray], num: int, den: int, asked: np.ndarray | None
 def _follow(num, den):
     """Links of a share's sets with the leaders among its rows."""
 
+    @released_group
     def run(table: pa.Table) -> pa.Table:
         dig, lead, blobs = table.column("digest").to_numpy(), table.column("asked").to_numpy(), table.column("hashes")
         sets = [np.frombuffer(blobs[k].as_buffer(), np.uint64) for k in range(len(dig))]
@@ -383,6 +387,7 @@ def _follow(num, den):
 
 
 def _answer(num, den):
+    @released_group
     def run(table: pa.Table) -> pa.Table:
         cluster, dig, asked = (table.column(c).to_numpy() for c in ("cluster", "digest", "asked"))
         blobs = table.column("hashes")

@@ -53,8 +53,9 @@ WIDTH = 2 * RATES + COSINES + BUCKETS + 1
 
 def features(texts: list[str | None]) -> np.ndarray:
     """A row of FEATURES numbers for each text."""
-    out = []
+    parts = [np.empty((0, FEATURES), np.float32)]
     for _, run in chunks(texts):
+        out = []
         words, bounds = word_hashes(run)
         follow = words[:-2] * np.uint64(3) + words[1:-1] * np.uint64(5) + words[2:] * np.uint64(7)
         for raw, lo, hi in zip(run, bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -78,14 +79,16 @@ def features(texts: list[str | None]) -> np.ndarray:
             row.append(top_byte.max() / max(1, size) if size else 0.0)
             sign = np.where((w >> np.uint64(32)) & np.uint64(1), 1.0, -1.0)
             out.append(row + (np.bincount((w % np.uint64(BUCKETS)).astype(np.int64), sign, BUCKETS) / max(1.0, np.sqrt(n))).tolist())
-    return np.array(out, np.float64).reshape(len(texts), FEATURES)
+        parts.append(np.array(out, np.float32))
+    return np.concatenate(parts)
 
 
 @released
 def _features(batches):
     for batch in batches:
         x = features(batch.column(0).to_pylist())
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))], names=[*batch.schema.names[1:], "features"])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * FEATURES, pa.int32()), pa.array(x.ravel()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists], names=[*batch.schema.names[1:], "features"])
 
 
 def with_features(docs: DataFrame, *keep: str) -> DataFrame:
@@ -256,7 +259,7 @@ def kept(docs: DataFrame, model: PUModel, threshold: float = 0.5) -> DataFrame:
     @released
     def run(batches):
         for batch in batches:
-            s = model.score(features(batch.column("text").to_pylist()))
+            s = model.score(features(batch.column("text").to_pylist()).astype(np.float64))
             yield batch.filter(pa.array(s >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
