@@ -477,7 +477,8 @@ def set_classes(texts: DataFrame, num: int, den: int, width: int) -> DataFrame:
     links = together.groupBy("task").applyInArrow(_answer(num, den), "a long, b long")
     if member.where(large).limit(1).count():
         links = links.union(_links_of_large(sets.where(large), member.where(large), num, den))
-    return components(links).toDF("digest", "root")
+    # Written first: in one stage with the forests of components() each task would need two Python workers.
+    return components(written(links, "links")).toDF("digest", "root")
 
 
 def representatives(docs: DataFrame, num: int = 75, den: int = 100, width: int = 5) -> DataFrame:
