@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe_tree, grammar, hyperdim, maxent, packing, quality, secrets
+from . import ann, bpe_tree, grammar, hyperdim, maxent, packing, pii, quality, ranked, repair, secrets
 from .common import crc_mod, documents, written
 from .fingerprints import fingerprints_of_edits
 from .jaccard_join import linked_classes
@@ -58,10 +58,22 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(packing.pieces(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op11_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(documents(spark, sf_dir)))
+
+
+def op12_stratified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digests(repair.edited(repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_maxent_lm, op2_pu_quality, op3_repair_token_blocks, op4_ivf_pq_search, op5_secret_scan, op6_hyperdimensional_language, op7_bottom_k_fingerprint, op8_ngram_jaccard_join, op9_tree_bpe, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_maxent_lm, op2_pu_quality, op3_repair_token_blocks, op4_ivf_pq_search, op5_secret_scan, op6_hyperdimensional_language, op7_bottom_k_fingerprint, op8_ngram_jaccard_join, op9_tree_bpe, op10_best_fit_packing, op11_pii_spans, op12_stratified_search, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL has no BPE, regular vectors or iteration to express these; tests hold them against brute force."""
-    return {}
+    """SQL has no BPE, regular vectors or iteration to express the others; tests hold them against brute force."""
+    return {"op11_pii_spans": pii.SQL, "op12_stratified_search": ranked.SQL}
