@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from trialweave.functions import mock, templates
 from trialweave.functions import text as T
 from trialweave.functions import values as V
-from trialweave.operators import bootstrap, compare, judge, outcomes, scorers
+from trialweave.operators import bootstrap, compare, judge, outcomes, scorers, stacks
 from trialweave.plans import specs, trials
 from trialweave.sources import runs
 from trialweave.streaming import live
@@ -228,7 +228,7 @@ def test_stacks_by_case(spark):
     answers = spark.createDataFrame([("t", "c1", "it is 7"), ("t", "c2", "**Bern.**"), ("t", "none", "x")], "task_id string, case_id string, response_text string")
     cases = spark.createDataFrame([("t", "c1", '{"a": 7}', None), ("t", "c2", '{"all": ["Bern", "Berne"]}', '[{"type": "exact", "any_of": "{{ all }}"}]')], "task_id string, case_id string, vars string, case_scoring string")
     tasks = spark.createDataFrame([("t", '[{"type": "numeric", "target": "{{ a }}", "weight": 2}, {"type": "contains", "target": "no", "required": false}]')], "task_id string, task_scoring string")
-    got = {r["case_id"]: r for r in scorers.score_cases(answers, cases, tasks).select("*", scorers.verdict_of(F.col("components")).alias("v")).collect()}
+    got = {r["case_id"]: r for r in stacks.score_cases(answers, cases, tasks).select("*", scorers.verdict_of(F.col("components")).alias("v")).collect()}
     assert [(c["type"], c["value"], c["weight"]) for c in got["c1"]["components"]] == [("numeric", 1.0, 2.0), ("contains", 0.0, 1.0)] and got["c1"]["v"] == (pytest.approx(2 / 3), True)
     assert got["c2"]["v"] == (1.0, True) and got["none"]["components"] is None and got["none"]["v"] is None
 

@@ -107,6 +107,11 @@ def regex(response: Column, pattern: str, flags: Sequence[str] = (), group: int
     return score(ok.cast("int"), ok)
 
 
+def close(v: Column, target: Column, tolerance: Column | float, rel_tolerance: Column | float) -> Column:
+    """Whether v is target, or no further from it than a tolerance."""
+    return ~F.isnan(v) & ((v == target) | (F.abs(v - target) <= tolerance) | ((target != 0) & (F.abs(v - target) <= F.abs(target) * rel_tolerance)))
+
+
 def numeric(response: Column, target: float | Column, tolerance: float = 0.0, rel_tolerance: float = 0.0, extract: str = "last") -> Column:
     """Whether a number of the response is close to target: the last, the first, any (all), or the only one (strict)."""
     target = F.lit(float(target)) if isinstance(target, int | float) else target.cast("double")
@@ -117,8 +122,7 @@ def numeric(response: Column, target: float | Column, tolerance: float = 0.0, re
         raise ScoringError(f"extract is {extract!r}, not one of {', '.join(chosen)}")
     # slice() from the end fails on nothing
     values = F.when(F.size(values) > 0, chosen[extract]).otherwise(F.slice(values, 1, 0))
-    near = lambda v: ~F.isnan(v) & ((v == target) | (F.abs(v - target) <= tolerance) | ((target != 0) & (F.abs(v - target) <= F.abs(target) * rel_tolerance)))
-    ok = F.exists(values, near)
+    ok = F.exists(values, lambda v: close(v, target, tolerance, rel_tolerance))
     return score(ok.cast("int"), ok)
 
 
@@ -159,6 +163,15 @@ def _wrong(want: Any, got: Any) -> int:
     return int(want != got)
 
 
+def json_result(want: Any, got: Any, mode: str, partial_credit: bool) -> tuple[float, bool]:
+    """(value, passed) of a reply's JSON by a target."""
+    wrong = _wrong(want, got)
+    if mode == "exact" and isinstance(want, dict) and isinstance(got, dict):
+        wrong += len(set(got) - set(want))
+    n = _leaves(want)
+    return 1.0 if not wrong else max(0.0, (n - wrong) / n) if partial_credit else 0.0, not wrong
+
+
 def json_match(response: Column, target: str | dict | list | Column, mode: str = "subset", partial_credit: bool = True) -> Column:
     """How much of the JSON target the response's JSON has; exact: without further keys at the top. A target that is a column is JSON."""
     if mode not in ("subset", "exact"):
@@ -177,11 +190,7 @@ def json_match(response: Column, target: str | dict | list | Column, mode: str =
             except ValueError:
                 rows.append((0.0, False))
                 continue
-            wrong = _wrong(want, got)
-            if mode == "exact" and isinstance(want, dict) and isinstance(got, dict):
-                wrong += len(set(got) - set(want))
-            n = _leaves(want)
-            rows.append((1.0 if not wrong else max(0.0, (n - wrong) / n) if partial_credit else 0.0, not wrong))
+            rows.append(json_result(want, got, mode, partial_credit))
         return pd.DataFrame(rows, columns=["value", "passed"])
 
     return compare(T.strip_code_fence(T.strip_thinking(response)), wanted)
@@ -234,27 +243,6 @@ def stack(scoring: Sequence[Mapping[str, Any]], response: Column, values: Mappin
     return F.array(*made)
 
 
-def score_cases(responses: DataFrame, cases: DataFrame, task_scorers: DataFrame, response: str = "response_text") -> DataFrame:
-    """responses (task_id, case_id) with ``components``, by their cases' scorers: a case's own (case_scoring) or its task's (task_scoring), JSON lists.
-
-    Variables are those of the case (vars, a JSON object). Each list of scorers becomes one expression; how many there
-    are is bounded by the suite (specs are files), not by responses. A response without a case has no components.
-    """
-    own = cases.join(task_scorers, "task_id", "left").withColumn("scoring", F.coalesce("case_scoring", "task_scoring"))
-    lists = own.groupBy("scoring").agg(F.min(F.struct("task_id", "case_id")).alias("first"), F.array_distinct(F.flatten(F.collect_set(F.json_object_keys("vars")))).alias("names")).where("scoring is not null").collect()
-    rows = responses.join(own.select("task_id", "case_id", "vars", "scoring"), ["task_id", "case_id"], "left")
-    chosen = None
-    for r in lists:
-        tags = set(re.findall(r"\{\{\s*([^{}|]*?)\s*[|}]", r["scoring"]))
-        lists_of = {n for n in tags if re.search(rf'"(?:any_of|all_of)":\s*"\{{\{{\s*{re.escape(n)}\s*\}}\}}"', r["scoring"])}
-        values = {n: F.get_json_object("vars", f"$['{n}']") for n in r["names"]}
-        values |= {n: F.from_json(values[n], "array<string>") for n in lists_of & set(values)}
-        made = stack(json.loads(r["scoring"]), F.col(response), values, f"{r['first']['task_id']}/{r['first']['case_id']}", {n: "array<string>" for n in lists_of})
-        chosen = F.when(F.col("scoring") == r["scoring"], made) if chosen is None else chosen.when(F.col("scoring") == r["scoring"], made)
-    none = F.lit(None).cast("array<struct<name: string, type: string, value: double, passed: boolean, weight: double, required: boolean>>")
-    return rows.withColumn("components", none if chosen is None else chosen).drop("vars", "scoring")
-
-
 def verdict_of(components: Column, threshold: Column | float = 0.0) -> Column:
     """verdicts() of a row's own array of components, without a shuffle: struct<score, passed>; null of an empty one."""
     total = lambda f: F.aggregate(components, F.lit(0.0), lambda acc, c: acc + f(c))
