@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from ..functions.values import side_label, unit_id
 from ..sources.runs import model_in_run, parse_selector, resolve
 from . import outcomes
-from .bootstrap import LEVEL, RESAMPLES, SEED, clusters, intervals, mde, replicates
+from .bootstrap import LEVEL, RESAMPLES, SEED, clusters, intervals, mde, replicates, summed
 
 
 def last_units(observations: DataFrame) -> DataFrame:
-    """unit, cluster and value, one row a unit: the last by ``ordinal`` (with none, or at ties, the largest)."""
+    """unit, cluster and value, one row a unit: the last by ``ordinal`` (with none, or at ties, the largest). A unit whose last value is null has none."""
     kept = F.struct("cluster", "value")
     order = F.struct("ordinal", kept) if "ordinal" in observations.columns else kept
-    return observations.groupBy("unit").agg(F.max_by(kept, order).alias("one")).select("unit", "one.*")
+    return observations.groupBy("unit").agg(F.max_by(kept, order).alias("one")).select("unit", "one.*").where("value is not null")
 
 
 def _sides(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
@@ -76,13 +76,35 @@ def sides_of(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs.select("unit", "cluster", F.col("value_a").alias("value")), pairs.select("unit", F.col("cluster_b").alias("cluster"), F.col("value_b").alias("value"))
 
 
-def unpaired_replicates(pairs: DataFrame, resamples: int, seed: int) -> DataFrame:
-    """The difference of independent replicates of both sides (seeds ``seed`` and ``seed`` + 1 of the grid), over shared units; none if a side has one cluster."""
-    left, right = (clusters(side).where("k > 1") for side in sides_of(pairs))
-    a, b = replicates(left, resamples, seed).withColumnRenamed("mean", "a"), replicates(right, resamples, seed + 1).withColumnRenamed("mean", "b")
+def _apart(left: DataFrame, right: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """The difference of independent replicates of two tables of sums; none if one has a single cluster."""
+    a, b = (replicates(x.where("k > 1"), resamples, seed + i).withColumnRenamed("mean", c) for i, (x, c) in enumerate(((left, "a"), (right, "b"))))
     return a.join(b, "rep").select("rep", (F.col("a") - F.col("b")).alias("mean"))
 
 
+def unpaired_replicates(pairs: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """The difference of independent replicates of both sides (seeds ``seed`` and ``seed`` + 1), over shared units; none if a side has one cluster."""
+    return _apart(*map(clusters, sides_of(pairs)), resamples, seed)
+
+
+def side_sums(a: DataFrame, b: DataFrame) -> DataFrame:
+    """total, n and k of the clusters of differences (side ``d``) and of both sides' shared units (``a``, ``b``), with wins, losses and ties of ``d``; of all units of a side (``all a``, ``all b``) in one row each.
+
+    One join of both tables and one aggregation, whose rows are clusters.
+    """
+    every, shared = _sides(a, b, "full_outer"), F.col("in_a") & F.col("in_b")
+    row = lambda side, cluster, value: F.struct(F.lit(side).alias("side"), cluster.alias("cluster"), F.col(value).alias("value"))
+    none = F.lit(None).cast(every.schema["cluster"].dataType)
+    rows = F.array(
+        F.when(shared, row("d", F.col("cluster"), "delta")), F.when(shared, row("a", F.col("cluster"), "value_a")), F.when(shared, row("b", F.col("cluster_b").cast(every.schema["cluster"].dataType), "value_b")),
+        F.when(F.col("in_a"), row("all a", none, "value_a")), F.when(F.col("in_b"), row("all b", none, "value_b")),
+    )
+    d = F.col("side") == "d"
+    counts = [F.count_if(d & c).alias(name) for name, c in (("wins", F.col("value") > 0), ("losses", F.col("value") < 0), ("ties", F.col("value") == 0))]
+    long = every.select(F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select("r.*")
+    return summed(long.groupBy("side", "cluster").agg(F.sum("value").alias("total"), F.count("*").alias("n"), *counts), "side")
+
+
 def paired_diff(a: DataFrame, b: DataFrame, resamples: int = RESAMPLES, seed: int = SEED, level: float = LEVEL, binary: bool = False, method: str = "bca") -> DataFrame:
     """One row that compares a (the candidate) with b on the units that both have.
 
@@ -90,19 +112,23 @@ def paired_diff(a: DataFrame, b: DataFrame, resamples: int = RESAMPLES, seed: in
     unpaired_low, unpaired_high, unpaired_method (each side drawn by itself: what pairing is worth);
     wins, losses, ties; only_a, only_b and p_value (McNemar's) if binary; mde, significant, verdict;
     only_in_a, only_in_b (numbers of units) and notes. Without shared units: means of all of each side, method ``empty``.
+    A unit with a null value counts as if that side hadn't it; a null unit as one that each side has alone.
+
+    Both tables are read once: everything comes from the sums of clusters of side_sums(), which are kept.
     """
-    every = _sides(a, b, "full_outer")
-    pairs = every.where("in_a and in_b")
-    tail, shared = (1 - level) / 2, F.col("in_a") & F.col("in_b")
-    counts = every.agg(
-        F.count_if(shared).alias("n_paired"), F.avg(F.when(shared, F.col("value_a"))).alias("mean_a"), F.avg(F.when(shared, F.col("value_b"))).alias("mean_b"),
-        F.count_if(F.col("delta") > 0).alias("wins"), F.count_if(F.col("delta") < 0).alias("losses"), F.count_if(F.col("delta") == 0).alias("ties"),
-        F.count_if(F.col("in_b").isNull()).alias("only_in_a"), F.count_if(F.col("in_a").isNull()).alias("only_in_b"), F.avg("value_a").alias("all_a"), F.avg("value_b").alias("all_b"),
+    tail = (1 - level) / 2
+    sums = side_sums(a, b)
+    total = lambda side, c: F.coalesce(F.sum(F.when(F.col("side") == side, F.col(c))), F.lit(0))
+    mean = lambda side, c: F.sum(F.when(F.col("side") == side, F.col(c))) / F.sum(F.when(F.col("side") == side, F.col("n")))
+    counts = sums.agg(
+        total("d", "n").alias("n_paired"), mean("a", "total").alias("mean_a"), mean("b", "total").alias("mean_b"), *(total("d", c).alias(c) for c in ("wins", "losses", "ties")),
+        (total("all a", "n") - total("d", "n")).alias("only_in_a"), (total("all b", "n") - total("d", "n")).alias("only_in_b"), mean("all a", "total").alias("all_a"), mean("all b", "total").alias("all_b"),
     )
-    both = intervals(clusters(pairs.select("cluster", F.col("delta").alias("value"))), resamples, seed, level, [], method)
-    apart = unpaired_replicates(pairs, resamples, seed + 1).agg(F.percentile("mean", [tail, 1 - tail]).alias("q"))
+    of = lambda side: sums.where(F.col("side") == side)
+    both = intervals(of("d"), resamples, seed, level, [], method)
+    apart = _apart(of("a"), of("b"), resamples, seed + 1).agg(F.percentile("mean", [tail, 1 - tail]).alias("q"))
     # Three tables of one row each.
-    one = lambda df: df.withColumn("__one", F.lit(1))
+    one = lambda df: F.broadcast(df.withColumn("__one", F.lit(1)))
     rows = one(counts).join(one(both), "__one", "left").join(one(apart), "__one", "left")
     none = F.col("n_paired") == 0
     zero = lambda c: F.coalesce(c, F.lit(0.0))
