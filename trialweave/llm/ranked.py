@@ -42,6 +42,8 @@ from .tokens import flat_ranges
 
 #: (item, term) rows and items that are searched together; blocks that an item visits first; documents of a block at least and at most.
 ITEM_TERMS, ITEMS, FIRST, LEAST_DOCS, MOST_DOCS = 1 << 18, 1 << 14, 4, 256, 1 << 14
+#: Strata of several blocks whose numbers of blocks are broadcast (16 bytes each); more are joined.
+HELD_STRATA = 1 << 16
 #: Postings that a task scores at a time.
 TOGETHER = 1 << 21
 SCALE = 1_000_000_000
@@ -180,9 +182,12 @@ def index(docs: DataFrame, vocabulary: list[bytes]) -> Index | None:
     named = forward.where("doc_id is not null and length(terms) > 0").withColumn("m", F.expr(f"25 + (75L * n * {n}L) div {total}L"))
     # A stratum goes to as many blocks as keep each at a share of a task's documents.
     most = min(MOST_DOCS, max(LEAST_DOCS, n // (8 * shuffle_partitions(docs.sparkSession))))
-    strata = named.groupBy("m").agg(F.ceil(F.count("*") / most).alias("shards"))
-    dealt = named.withColumn("place", F.monotonically_increasing_id()).join(strata, "m").withColumn("shard", F.pmod(F.xxhash64("place"), F.col("shards")))
-    blocks = dealt.select("m", "shard", "doc_id", "terms", "tfs").groupBy("m", "shard").applyInArrow(_built, _BLOCK)
+    large = named.groupBy("m").agg(F.ceil(F.count("*") / most).alias("shards")).where("shards > 1")
+    large = F.broadcast(large) if large.count() <= HELD_STRATA else large
+    shard = F.pmod(F.xxhash64("place"), F.coalesce("shards", F.lit(1)))
+    dealt = named.withColumn("place", F.monotonically_increasing_id()).join(large, "m", "left").withColumn("shard", shard)
+    # Dealt by both: a join's partitioning by m alone would do for the grouping, and keep a large stratum together.
+    blocks = dealt.select("m", "shard", "doc_id", "terms", "tfs").repartition("m", "shard").groupBy("m", "shard").applyInArrow(_built, _BLOCK)
     return Index(written(blocks, "strata"), n, total, vocabulary, counts)
 
 
