@@ -95,3 +95,23 @@ def test_null_values_and_units(spark):
     r = compare.paired_diff(a, b, resamples=20).first()
     assert (r["n_paired"], r["wins"] + r["losses"] + r["ties"], r["only_in_a"], r["only_in_b"]) == (2, 2, 1, 2)
     assert (r["mean_a"], r["mean_b"], r["delta"]) == (0.75, 0.25, 0.5)
+
+
+def test_warnings_compare_parameters_of_any_type_and_read_once(spark):
+    records = spark.createDataFrame([("t", "c", "ok"), ("t", "d", "error")], "task_id string, case_id string, status string")
+    suite, tasks = ("f1", "zero"), [("t1", "x"), ("t2", "y"), ("t3", "z")]
+
+    def found(params, params_b, kind, version=("1", ""), sides=(("r1", "m"), ("r2", "m")), other=("f2", "")):
+        rows = [("r1", suite, version[0], tasks, [("m", "gpt", params)]), ("r2", other, version[1], [("t1", "x"), ("t2", "Y"), ("t4", "w")], [("m", "gpt", params_b)])]
+        manifests = spark.createDataFrame(rows, f"run_id string, suite struct<fingerprint: string, errors: string>, version string, tasks array<struct<id: string, fingerprint: string>>, models array<struct<id: string, model: string, params: {kind}>>")
+        df = compare.warnings(records, records, manifests, *sides)
+        assert len(df.columns) == 3 and df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + df._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") <= 3
+        return {(r["side"], r["warning"]): r["detail"] for r in df.collect()}
+
+    always = {("a", "many errors"): "50%", ("b", "many errors"): "50%", ("both", "other contents"): "f1 / f2", ("both", "changed tasks"): "t2 changed, t3 removed, t4 added"}
+    assert found({"a": 1, "b": 2}, {"b": 2, "a": 1}, "map<string,int>") == always
+    assert found('{"a": 1, "b": 2}', '{"b":2,"a":1}', "string") == always
+    assert found('{"a": 1}', '{"a": 2}', "string", ("1", "2"), other=("f2", "exclude")) == always | {("both", "other parameters of one model"): '{"a":1} / {"a":2}', ("both", "other versions"): "1 / 2", ("both", "other error policies"): "zero / exclude"}
+    assert found((1,), (2,), "struct<t: int>") == always | {("both", "other parameters of one model"): '{"t":1} / {"t":2}'}
+    assert found("", "", "string", sides=(("r1", "m"), ("r1", "m"))) == {("a", "many errors"): "50%", ("b", "many errors"): "50%", ("both", "one side twice"): "r1:m"}
+    assert found("", "", "string", sides=(("r1", "m"), ("none", "m"))) == {("a", "many errors"): "50%", ("b", "many errors"): "50%"}

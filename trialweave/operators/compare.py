@@ -196,35 +196,50 @@ def warnings(a: DataFrame, b: DataFrame, manifests: DataFrame | None = None, sid
     other contents of the suite and the tasks that changed, at most eight; other error policies; other parameters of one
     model; one side twice; other versions. What a manifest doesn't say raises no warning.
     """
-    out = []
-    for name, df in (("a", a), ("b", b)):
-        rate = F.count_if(F.col("status") != "ok") / F.count("*")
-        out.append(df.agg(rate.alias("rate")).where(F.col("rate") > most_errors).select(F.lit(name).alias("side"), F.lit("many errors").alias("warning"), F.format_string("%.0f%%", F.col("rate") * 100).alias("detail")))
     keys = ["task_id", "case_id"]
-    shared = a.select(*keys).join(b.select(*keys).distinct(), keys, "left_semi").agg(F.count("*").alias("n"))
-    both = lambda rows, warning, detail: rows.select(F.lit("both").alias("side"), F.lit(warning).alias("warning"), detail.alias("detail"))
-    out.append(both(shared.where("n = 0"), "no unit in common", F.lit("")))
+    side = lambda df, of: df.select(*keys, (F.col("status") != "ok").alias("failed"), F.lit(of).alias("of_a"))
+    cases = side(a, True).union(side(b, False)).groupBy(*keys).agg(
+        F.count_if("of_a").alias("a"), F.count_if(~F.col("of_a")).alias("b"), F.count_if(F.col("of_a") & F.col("failed")).alias("fa"), F.count_if(~F.col("of_a") & F.col("failed")).alias("fb")
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    row = cases.agg(*map(total, ("a", "b", "fa", "fb")), F.count_if((F.col("a") > 0) & (F.col("b") > 0)).alias("shared"))
+    told = lambda of, warning, detail, when: F.when(when, F.struct(F.lit(of).alias("side"), F.lit(warning).alias("warning"), detail.alias("detail")))
+    rate = lambda x: F.col(f"f{x}") / F.nullif(F.col(x), F.lit(0))
+    out = [told(x, "many errors", F.format_string("%.0f%%", rate(x) * 100), rate(x) > most_errors) for x in "ab"]
+    out.append(told("both", "no unit in common", F.lit(""), F.col("shared") == 0))
     if manifests is not None:
-        named = lambda x, s: F.struct(*(F.col(c) for c in manifests.columns)).alias(x)
-        sides = [manifests.where(F.col("run_id") == run).limit(1).select(F.lit(1).alias("__one"), named(x, run)) for x, (run, _) in (("x", side_a), ("y", side_b))]
-        pair = sides[0].join(sides[1], "__one")
+        # Both manifests as one row; what only a run that is both sides would read twice is read once.
+        named = F.struct(*(F.col(c) for c in manifests.columns))
+        of = lambda run: F.first(F.when(F.col("run_id") == run, named), ignorenulls=True)
+        pair = manifests.where(F.col("run_id").isin(side_a[0], side_b[0])).agg(of(side_a[0]).alias("x"), of(side_b[0]).alias("y"))
         model = lambda x, s: F.get(F.filter(f"{x}.models", lambda m: m["id"] == s[1]), 0)
         pair = pair.withColumns({"mx": model("x", side_a), "my": model("y", side_b)})
-        differs = lambda c: F.col(f"x.{c}") != F.col(f"y.{c}")
+        pair = pair.withColumns({"px": params_text(pair, "mx.params"), "py": params_text(pair, "my.params")})
+        row = row.withColumn("__one", F.lit(0)).join(F.broadcast(pair.withColumn("__one", F.lit(0))), "__one")
+        said = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+        differs = lambda c: said(f"x.{c}") & said(f"y.{c}") & (F.col(f"x.{c}") != F.col(f"y.{c}"))
         versus = lambda c: F.concat_ws(" / ", f"x.{c}", f"y.{c}")
-        out.append(both(pair.where(differs("suite.fingerprint")), "other contents", F.concat_ws(" / ", F.left("x.suite.fingerprint", F.lit(12)), F.left("y.suite.fingerprint", F.lit(12)))))
-        tasks = lambda x: pair.where(differs("suite.fingerprint")).select(F.explode(f"{x}.tasks").alias("t")).select(F.col("t.id").alias("task_id"), F.col("t.fingerprint").alias("fingerprint"))
-        changed = changed_tasks(tasks("x"), tasks("y")).orderBy("task_id").limit(8).agg(F.array_sort(F.collect_list(F.concat_ws(" ", "task_id", "change"))).alias("tasks"))
-        out.append(both(changed.where("size(tasks) > 0"), "changed tasks", F.array_join("tasks", ", ")))
-        out.append(both(pair.where(differs("suite.errors")), "other error policies", versus("suite.errors")))
-        out.append(both(pair.where((F.col("mx.model") == F.col("my.model")) & ~F.col("mx.params").eqNullSafe(F.col("my.params"))), "other parameters of one model", F.concat_ws(" / ", "mx.params", "my.params")))
-        if side_a == side_b:
-            out.append(both(pair.where("mx is not null"), "one side twice", F.lit(":".join(side_a))))
-        out.append(both(pair.where(differs("version")), "other versions", versus("version")))
-    rows = out[0]
-    for more in out[1:]:
-        rows = rows.union(more)
-    return rows
+        short = lambda x: F.left(f"{x}.suite.fingerprint", F.lit(12))
+        prints = lambda x: F.map_from_entries(F.transform(f"{x}.tasks", lambda t: F.struct(t["id"], t["fingerprint"])))
+        change = lambda k, va, vb: F.when(vb.isNull(), "removed").when(va.isNull(), "added").when(va != vb, "changed")
+        tasks = F.map_filter(F.map_zip_with(prints("x"), prints("y"), change), lambda k, v: v.isNotNull())
+        listed = F.slice(F.array_sort(F.transform(F.map_entries(tasks), lambda e: F.concat_ws(" ", e["key"], e["value"]))), 1, 8)
+        out += [
+            told("both", "other contents", F.concat_ws(" / ", short("x"), short("y")), differs("suite.fingerprint")),
+            told("both", "changed tasks", F.array_join(listed, ", "), differs("suite.fingerprint") & (F.size(listed) > 0)),
+            told("both", "other error policies", versus("suite.errors"), differs("suite.errors")),
+            told("both", "other parameters of one model", F.concat_ws(" / ", "px", "py"), (F.col("mx.model") == F.col("my.model")) & ~F.col("px").eqNullSafe(F.col("py"))),
+            told("both", "one side twice", F.lit(":".join(side_a)), F.col("mx").isNotNull() & F.lit(side_a == side_b)),
+            told("both", "other versions", versus("version"), differs("version")),
+        ]
+    return row.select(F.explode(F.filter(F.array(*out), lambda w: w.isNotNull())).alias("w")).select("w.*")
+
+
+def params_text(rows: DataFrame, name: str) -> Column:
+    """Parameters (JSON text, a map or a struct) as JSON in one order of keys, so that equal ones are equal texts."""
+    kind = rows.select(name).schema[0].dataType.simpleString()
+    text = F.col(name) if kind == "string" else F.to_json(name)
+    return F.coalesce(F.to_json(F.try_parse_json(text)), text)
 
 
 @dataclass(frozen=True)
