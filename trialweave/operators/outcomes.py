@@ -97,7 +97,8 @@ def ranked_percentiles(rows: DataFrame, value: str, shares: Sequence[float], *ke
 def leaderboard(records: DataFrame, errors: str = "zero", by_ranks: bool = False) -> DataFrame:
     """One row for each model: its outcomes and its trials.
 
-    by_ranks: latencies' percentiles come from ranked_percentiles(), for models with more distinct latencies than one task holds.
+    by_ranks: latencies' percentiles come from ranked_percentiles(), for models with more distinct latencies than one task
+    holds; partial.leaderboard() takes them from sketches, which merge.
     """
     cases = collapse_cases(records, errors).groupBy("model_id").agg(F.count("*").alias("cases"), F.avg("score").alias("score"), F.avg("passed").alias("pass_rate"))
     trials = trial_stats(records, "model_id", percentiles=not by_ranks)

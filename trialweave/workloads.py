@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import mock, templates
 from .functions import text as T
 from .functions import values as V
-from .operators import bootstrap, compare, judge, outcomes, scorers, stacks
+from .operators import bootstrap, compare, judge, outcomes, partial, scorers, stacks
 from .plans import trials
 from .sources import cache, runs
 from .streaming import live
@@ -252,6 +252,39 @@ def latency_by_ranks(spark, sf_dir):
     return board.select("model_id", F.round("latency_p50_ms", 8).alias("latency_p50_ms"), F.round("latency_p95_ms", 8).alias("latency_p95_ms"))
 
 
+_STATE_BOARD = "SELECT o.model_id, cases, round(score, 10) AS score, round(pass_rate, 10) AS pass_rate, trials, errors, round(cost_usd, 8) AS cost_usd, retries, cache_hits FROM (SELECT model_id, count(*) AS cases, avg(score) AS score, avg(passed) AS pass_rate FROM {view} GROUP BY ALL) o JOIN (SELECT model_id, count(*) AS trials, count(*) FILTER (status <> 'ok') AS errors, sum(cost_usd) AS cost_usd, CAST(sum(attempts - 1) AS BIGINT) AS retries, count(*) FILTER (cached) AS cache_hits FROM rec GROUP BY ALL) t USING (model_id)"
+
+
+def _merged_states(spark, sf_dir):
+    """States of cases and models of six parts of the records, merged."""
+    rows = records(spark, sf_dir).withColumn("part", F.col("event_id") % 6)
+    return partial.merge_cases(partial.case_state(rows, "part", *partial.CASE)), partial.merge_models(partial.model_state(rows, "part", *partial.MODEL))
+
+
+@query(_STATE_BOARD.format(view="outc"), "rec", "outc")
+def leaderboard_from_states(spark, sf_dir):
+    """The leaderboard of parts of the records that are summed apart and merged."""
+    board = partial.leaderboard(*_merged_states(spark, sf_dir))
+    return board.select("model_id", "cases", _r("score").alias("score"), _r("pass_rate").alias("pass_rate"), "trials", "errors", F.round("cost_usd", 8).alias("cost_usd"), "retries", "cache_hits")
+
+
+@query(_STATE_BOARD.format(view="outx"), "rec", "outx")
+def leaderboard_from_states_exclude(spark, sf_dir):
+    board = partial.leaderboard(*_merged_states(spark, sf_dir), errors="exclude")
+    return board.select("model_id", "cases", _r("score").alias("score"), _r("pass_rate").alias("pass_rate"), "trials", "errors", F.round("cost_usd", 8).alias("cost_usd"), "retries", "cache_hits")
+
+
+@query("SELECT model_id, share, count(*) AS measured, TRUE AS within FROM rec, (SELECT unnest([CAST(0.1 AS DOUBLE), CAST(0.5 AS DOUBLE), CAST(0.95 AS DOUBLE)]) AS share) WHERE status = 'ok' AND NOT cached GROUP BY ALL", "rec")
+def latency_sketch(spark, sf_dir):
+    """Percentiles from merged sketches, and whether their ranks among all latencies are within twice the error of a rank."""
+    shares, rows = (0.1, 0.5, 0.95), records(spark, sf_dir).where("status = 'ok' and not cached")
+    found = partial.latencies(_merged_states(spark, sf_dir)[1], shares)
+    long = found.select("model_id", "measured", "rank_error", F.explode(F.array(*(F.struct(F.lit(s).alias("share"), F.col(f"p{i}").alias("estimate")) for i, s in enumerate(shares)))).alias("e")).select("model_id", "measured", "rank_error", "e.*")
+    ranks = rows.join(long, "model_id").groupBy("model_id", "share", "measured", "rank_error").agg((F.count_if(F.col("latency_ms") < F.col("estimate")) / F.count("*")).alias("low"), (F.count_if(F.col("latency_ms") <= F.col("estimate")) / F.count("*")).alias("high"))
+    slack = 2 * F.col("rank_error") + 2 / F.col("measured")
+    return ranks.select("model_id", "share", "measured", ((F.col("low") <= F.col("share") + slack) & (F.col("high") >= F.col("share") - slack)).alias("within"))
+
+
 @query("SELECT note, detail FROM (SELECT count(*) FILTER (status <> 'ok') AS failed, count(*) AS n FROM rec), (SELECT unnest([1, 2]) AS i), (SELECT CASE i WHEN 1 THEN 'errors' ELSE 'many errors' END AS note) x, (SELECT CASE i WHEN 1 THEN CAST(failed AS VARCHAR) || ' trials failed (' || printf('%.1f', 100.0 * failed / n) || '%); they count as 0' ELSE 'scores are provisional: resume the run first' END AS detail) y", "rec")
 def run_notes(spark, sf_dir):
     rows = records(spark, sf_dir)
