@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import mock, templates
 from .functions import text as T
 from .functions import values as V
-from .operators import bootstrap, compare, judge, outcomes, partial, scorers, stacks
+from .operators import bootstrap, compare, judge, judge_calls, outcomes, partial, scorers, stacks
 from .plans import trials
 from .sources import cache, runs
 from .streaming import live
@@ -843,6 +843,50 @@ def judge_users(spark, sf_dir):
     return trials.uses_judge(cases, docs.select(F.col("source").alias("task_id")).distinct().withColumn("task_scoring", F.lit('[{"type":"numeric"}]')))
 
 
+_JUDGE = judge_calls.Endpoint("mock", "judge-1", input_per_mtok=3.0, output_per_mtok=15.0)
+
+
+def _asked(rows):
+    """A pretended judge, which fails on some prompts."""
+    reply = F.when(~F.col("prompt").endswith("/13"), F.concat(F.lit('{"scores": {"quality": '), (F.length("prompt") % 5).cast("string"), F.lit("}}")))
+    return rows.withColumns({"reply": reply, "input_tokens": F.length("prompt").cast("long"), "output_tokens": F.when(reply.isNull(), 0).otherwise(7).cast("long")})
+
+
+def _judged(spark, sf_dir):
+    prompts = _documents(spark, sf_dir).select("doc_id", F.concat_ws("/", "source", (F.col("doc_id") % 50).cast("string")).alias("prompt"), (F.col("doc_id") % 3).alias("sample_index"))
+    before = judge_calls.call(prompts.where("doc_id % 5 = 0"), cache.empty(spark), _asked, _JUDGE, ["doc_id"], now=100.0)
+    return judge_calls.call(prompts, before.cache, _asked, _JUDGE, ["doc_id"], now=200.0)
+
+
+_JUDGED = """asked AS (SELECT doc_id, source || '/' || CAST(doc_id % 50 AS VARCHAR) AS p, doc_id % 3 AS s FROM documents),
+known AS (SELECT DISTINCT p, s FROM asked WHERE doc_id % 5 = 0 AND NOT ends_with(p, '/13')),
+looked AS (SELECT a.*, k.p IS NOT NULL AS known, row_number() OVER (PARTITION BY a.p, a.s ORDER BY doc_id) AS nth FROM asked a LEFT JOIN known k ON a.p = k.p AND a.s = k.s),
+called AS (SELECT *, known OR nth > 1 AS hit, ends_with(p, '/13') AS failed FROM looked)"""
+_VIEWS["called"] = _JUDGED
+
+
+@query("SELECT count(*) AS calls, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, count(*) FILTER (failed) AS failed, CAST(coalesce(sum(CASE WHEN NOT hit THEN length(p) + CASE WHEN failed THEN 0 ELSE 7 END END), 0) AS BIGINT) AS tokens, round(coalesce(sum(CASE WHEN hit THEN 0 ELSE length(p) * 3 + CASE WHEN failed THEN 0 ELSE 105 END END), 0) / CAST(1000000 AS DOUBLE), 8) AS cost_usd FROM called", "called")
+def judge_calls_cached(spark, sf_dir):
+    """Calls, hits, tokens and cost of a judge that a run asks through the cache of an earlier one."""
+    return _judged(spark, sf_dir).stats().withColumn("cost_usd", F.round("cost_usd", 8))
+
+
+@query("SELECT doc_id, hit AS cached, NOT failed AS answered, CASE WHEN NOT failed THEN CAST(length(p) % 5 AS DOUBLE) END AS score FROM called", "called")
+def judge_replies_cached(spark, sf_dir):
+    """Every prompt's reply, from the cache, from this run's own calls, or none."""
+    replies = judge.read_replies(_judged(spark, sf_dir).replies, [("quality", 1.0)])
+    return replies.select("doc_id", "cached", F.col("reply").isNotNull().alias("answered"), F.col("poll.scores")[0]["score"].alias("score"))
+
+
+@query("SELECT sum(n) AS hits, count(*) AS entries FROM (SELECT p, s, count(*) FILTER (hit) AS n FROM called WHERE NOT failed GROUP BY ALL)", "called")
+def judge_cache_after(spark, sf_dir):
+    """The cache after both runs; hits of the second."""
+    table = _judged(spark, sf_dir).cache
+    first = _documents(spark, sf_dir).where("doc_id % 5 = 0").select(F.concat_ws("/", "source", (F.col("doc_id") % 50).cast("string")).alias("p"), (F.col("doc_id") % 3).alias("s")).where("p not like '%/13'").groupBy("p", "s").agg((F.count("*") - 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("before"))
+    both = table.agg(F.sum("hits").alias("all"), F.count("*").alias("entries")).withColumn("__one", F.lit(0)).join(first.withColumn("__one", F.lit(0)), "__one")
+    return both.select((F.col("all") - F.col("before")).alias("hits"), "entries")
+
+
 # --- generated answers ------------------------------------------------------------------
 
 _HASH = "CAST(CAST('0x' || left(sha256({x}), 16) AS UBIGINT) AS DOUBLE) / 18446744073709551616"
