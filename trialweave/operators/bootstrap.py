@@ -75,7 +75,7 @@ TOGETHER = 1 << 22
 
 
 def replicates(sums: DataFrame, resamples: int, seed: int, *keys: str, held_clusters: int = HELD_CLUSTERS) -> DataFrame:
-    """The mean of each replicate of each group. sums: as of clusters()."""
+    """The mean of each replicate of each group. sums: as of clusters(), of which some are looked at when this is called."""
     reps = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("rep")
     # A group's clusters in one array: a replicate is a loop over it, without a join or a shuffle.
     few = sums.where(F.col("k") <= held_clusters).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cluster", "total", "n"))).alias("c")).where("size(c) > 0").select(*keys, "c", reps)
@@ -87,7 +87,9 @@ def replicates(sums: DataFrame, resamples: int, seed: int, *keys: str, held_clus
     start = F.struct(F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("n"))
     mean = F.aggregate(F.sequence(F.lit(0).cast("long"), F.size("c").cast("long") - 1), start, add, lambda acc: acc["total"] / acc["n"])
     looped = few.select(*keys, "rep", mean.alias("mean"))
-    return looped.unionByName(_split(sums.where(F.col("k") > held_clusters), resamples, seed, keys))
+    many = sums.where(F.col("k") > held_clusters)
+    # Whether any group is large is asked of the sums, which are kept: without one the plan is the loop alone.
+    return looped if many.isEmpty() else looped.unionByName(_split(many, resamples, seed, keys))
 
 
 def _generator(*key) -> np.random.Generator:

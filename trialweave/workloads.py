@@ -822,16 +822,16 @@ def score_stack(spark, sf_dir):
     return got.select("doc_id", F.size("components").alias("scorers"), scorers.verdict_of(F.col("components")).alias("v")).select("doc_id", "scorers", "v.passed")
 
 
-@query("SELECT doc_id, round(coalesce(CAST(e AS INT) + 2 * CAST(n AS INT) + 3 * c, 0) / 6.0, 10) AS score, e AND n AS passed FROM (SELECT doc_id, trim(left(text, 6)) = trim(left(text, 6)) AS e, doc_id % 3 <> 1 AS n, (CAST(contains(lower(text), lower(left(text, 3))) AS INT) + CAST(contains(lower(text), 'q' || doc_id || 'q') AS INT)) / 2.0 AS c FROM documents)")
+@query("SELECT doc_id, round(coalesce(CAST(e AS INT) + 2 * CAST(n AS INT) + 3 * c, 0) / 6.0, 10) AS score, e AND n AS passed FROM (SELECT doc_id, TRUE AS e, doc_id % 3 <> 1 AS n, (CAST(contains(lower(text), lower(left(text, 3))) AS INT) + CAST(contains(lower(text), 'q' || doc_id || 'q') AS INT)) / 2.0 AS c FROM (SELECT doc_id, text || chr(10) || (doc_id + 1) AS text FROM documents))")
 def score_stack_by_case(spark, sf_dir):
     """Every document has three scorers of its own, with its own targets: as many lists as documents, one plan."""
-    docs = _documents(spark, sf_dir).withColumns({"task_id": F.lit("own"), "case_id": F.col("doc_id").cast("string")})
-    head = lambda n: F.regexp_replace(F.to_json(F.array(F.left("text", F.lit(n)))), r"^\[|\]$", "")
+    docs = _documents(spark, sf_dir).withColumns({"task_id": F.lit("own"), "case_id": F.col("doc_id").cast("string"), "said": F.concat("text", F.lit("\n"), (F.col("doc_id") + 1).cast("string"))})
+    head = lambda n: F.regexp_replace(F.to_json(F.array(F.left("said", F.lit(n)))), r"^\[|\]$", "")
     numeric = F.format_string('{"type":"numeric","target":%s,"tolerance":%s,"weight":2}', F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 1, "0.5").otherwise("2"))
     exact = F.concat(F.lit('{"type":"regex","pattern":"(?s)^.{0,6}","target":'), head(6), F.lit(',"normalize":["strip"]}'))
     contains = F.concat(F.lit('{"type":"contains","required":false,"weight":3,"all_of":['), head(3), F.lit(',"q'), "case_id", F.lit('q"]}'))
     cases = docs.select("task_id", "case_id", F.lit("{}").alias("vars"), F.concat(F.lit("["), exact, F.lit(","), numeric, F.lit(","), contains, F.lit("]")).alias("case_scoring"))
-    answers = docs.select("task_id", "case_id", "doc_id", F.concat("text", F.lit("\n"), (F.col("doc_id") + 1).cast("string")).alias("response_text"))
+    answers = docs.select("task_id", "case_id", "doc_id", F.col("said").alias("response_text"))
     got = stacks.score_cases(answers, cases, spark.createDataFrame([], "task_id string, task_scoring string"))
     return got.select("doc_id", scorers.verdict_of(F.col("components")).alias("v")).select("doc_id", _r("v.score").alias("score"), "v.passed")
 
