@@ -273,13 +273,7 @@ def _json_matches(texts: pd.Series, specs: pd.Series) -> pd.Series:
     """For each response the results of its JSON scorers (structs of target, mode, partial), null for others."""
 
     def one(text, specs):
-        if specs is None:
-            return None
-        try:
-            got = S._parsed(text or "")
-        except ValueError:
-            return [None if s is None else (0.0, False) for s in specs]
-        return [None if s is None else S.json_result(json.loads(s["target"]), got, s["mode"], s["partial"]) for s in specs]
+        return None if specs is None else [None if s is None else S.json_text_result(text, s["target"], s["mode"], s["partial"]) for s in specs]
 
     return pd.Series([one(t, s) for t, s in zip(texts, specs)], index=texts.index, dtype=object)
 
@@ -385,7 +379,8 @@ def score_cases(responses: DataFrame, cases: DataFrame, task_scorers: DataFrame,
     composed = F.pandas_udf(_nfkc, "array<array<string>>")(F.when(F.exists("__specs", unicode), F.zip_with("__specs", "__texts", lambda s, t: F.when(unicode(s), t))))
     targeted = lambda s: F.struct(F.coalesce(_one(s["options"], "target"), F.lit("null")).alias("target"), F.coalesce(_one(s["options"], "mode"), F.lit("subset")).alias("mode"), _flag(s["options"], "partial_credit", True).alias("partial"))
     wanted = F.when(of("json_match"), F.transform("__specs", lambda s: F.when(s["kind"] == "json_match", targeted(s))))
-    rows = rows.withColumns({"__composed": composed, "__matched": F.pandas_udf(_json_matches, "array<struct<value: double, passed: boolean>>")(F.when(of("json_match"), T.strip_code_fence(T.strip_thinking(F.col(response)))), wanted)})
+    said = F.when(of("json_match"), F.coalesce(T.strip_code_fence(T.strip_thinking(F.col(response))), F.lit("")))
+    rows = rows.withColumns({"__composed": composed, "__matched": F.pandas_udf(_json_matches, "array<struct<value: double, passed: boolean>>")(said, wanted)})
     numbers = F.filter(F.transform(T.numbers(T.extract_boxed(T.strip_thinking(F.col(response)))), lambda x: x.try_cast("double")), lambda v: v.isNotNull())
     rows = rows.withColumns({"__numbers": F.when(of("numeric"), numbers), "__letter": F.when(of("choice"), T.extract_choice(F.col(response)))})
     ready = F.zip_with("__specs", "__texts", lambda s, t: F.struct(s.alias("s"), t.alias("t")))

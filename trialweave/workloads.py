@@ -785,6 +785,20 @@ def score_json(spark, sf_dir):
     return e.select("event_id", scorers.json_match(F.concat(F.lit("Sure! "), "props", F.lit(" as asked")), {"k": 7}).alias("s")).select("event_id", "s.value", "s.passed")
 
 
+@query("""SELECT event_id, round((5 - wrong) / 5, 10) AS value, FALSE AS passed FROM (
+SELECT event_id, 1 + (k <> 7)::INT + CASE WHEN event_id % 4 = 0 THEN 2 ELSE (user_id % 3 <> 1)::INT + (k % 2 <> 0)::INT END AS wrong
+FROM (SELECT event_id, user_id, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS k FROM events))""")
+def score_json_nested(spark, sf_dir):
+    """Nested targets that are columns: five leaves each, one of which no reply has; every fourth reply's list has another length."""
+    e = _table(spark, sf_dir, "events")
+    k = F.regexp_extract("props", '"k": *([0-9]+)', 1).cast("long")
+    listed = F.concat_ws(", ", F.col("user_id") % 3, k % 2, F.when(F.col("event_id") % 4 == 0, F.lit("null")))
+    reply = F.concat(F.lit('Sure: {"deep": {"list": ['), listed, F.lit('], "type": '), F.to_json(F.array("event_type")), F.lit('}, "k": '), k.cast("string"), F.lit(".0} as asked"))
+    target = F.concat(F.lit('{"k": 7, "deep": {"list": [1, 0], "type": '), F.to_json(F.array("event_type")), F.lit('}, "none": {}}'))
+    s = scorers.json_match_variant(reply, target)
+    return e.select("event_id", s.alias("s")).select("event_id", _r("s.value").alias("value"), "s.passed")
+
+
 _COMPONENTS = """SELECT doc_id, round(least(1, greatest(0, mean)), 10) AS score, {passed} AS passed FROM (
 SELECT doc_id, sum(v * w) / sum(w) AS mean, bool_and(v > 0) FILTER (req) AS all_required FROM (
 SELECT doc_id, CAST(contains(lower(text), 'the') AS INT) AS v, CAST(3 AS DOUBLE) AS w, TRUE AS req FROM documents UNION ALL
