@@ -7,6 +7,8 @@ rows are judge polls, orders are a response cache, and region, nation and part a
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +20,7 @@ from .functions import values as V
 from .operators import bootstrap, compare, judge, judge_calls, outcomes, partial, scorers, stacks
 from .plans import trials
 from .sources import cache, runs
+from .sources.cache_table import CacheTable
 from .streaming import live
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -486,6 +489,32 @@ def cache_upsert(spark, sf_dir):
     return cache.upsert(old, new).select("key", "payload", "created_at", "hits")
 
 
+def _shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder where the cluster shares its files; a temporary one where driver and executor are one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        base = tempfile.mkdtemp(prefix="trialweave-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN fresh AND doc_id % 3 = 0 THEN o_orderkey::VARCHAR || '-new' WHEN fresh THEN o_orderkey::VARCHAR END AS payload, fresh AS cached
+FROM (SELECT doc_id, o_orderkey, coalesce(o_orderkey % 50 <> 0 AND {_NOW} - epoch(o_orderdate) - CASE WHEN doc_id % 3 = 0 THEN 60 ELSE 0 END <= 86400 * 700, FALSE) AS fresh FROM documents LEFT JOIN orders ON o_orderkey = doc_id)"""
+)
+def cache_table_lookup(spark, sf_dir):
+    """The cache written in shards, every third row written again a minute later, then looked up with a time to live."""
+    old = _cache(spark, sf_dir)
+    new = old.where(F.col("payload").cast("long") % 3 == 0).withColumns({"payload": F.concat("payload", F.lit("-new")), "created_at": F.col("created_at") + 60})
+    table = CacheTable(spark, _shared_folder(spark, "cache"), 64)
+    table.upsert(old)
+    table.upsert(new)
+    requests = _documents(spark, sf_dir).select("doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("cache_key"))
+    return table.look_up(requests, _NOW, 86400 * 700).select("doc_id", "payload", "cached")
+
+
 # --- templates and values ---------------------------------------------------------------
 
 
