@@ -572,6 +572,28 @@ def test_neighbours_of_wide_numbers_are_exact(spark):
         assert [r["vec_id"] for r in mine] == [i for _, i in best] and [r["score"] for r in mine] == pytest.approx([-s for s, _ in best], rel=1e-12)
 
 
+@pytest.mark.parametrize("kind", ["other queries", "one long vector"])
+def test_neighbours_of_rows_unlike_the_others(spark, kind):
+    """Queries that are nothing like the other vectors, and lengths that single precision can't hold beside each other."""
+    rng = np.random.default_rng(2)
+    x = (rng.normal(size=(40, 16))[rng.integers(0, 40, 4000)] + 0.1 * rng.normal(size=(4000, 16)) if kind == "other queries" else rng.normal(size=(4000, 16))).astype(np.float32)
+    if kind == "other queries":
+        x[::20] = rng.normal(size=(200, 16))
+    else:
+        x[7] *= 1e25
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    got = collections.defaultdict(set)
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q in range(0, 4000, 20):
+        score = x.astype(float) @ x[q].astype(float)
+        score[q] = -np.inf
+        assert len(got[q]) == 20
+        hits += len(got[q] & set(np.argsort(-score, kind="stable")[:20].tolist()))
+    assert hits >= 0.9 * 20 * 200
+
+
 # --- op5 and the pipeline ---
 
 
