@@ -48,6 +48,17 @@ def test_markdown_and_unicode_over_documents(spark, sf_dir):
     assert all(r["m"] == unwrapped(r["text"]) and r["u"] == unicodedata.normalize("NFKC", r["text"]) for r in rows)
 
 
+def test_unicode_in_slices():
+    import pyarrow as pa
+
+    texts = ["ﬁ①" * 9, None, "plain", "", "e\u0301", "x" * 50, "１"]
+    want = [None if t is None else unicodedata.normalize("NFKC", t) for t in texts]
+    for size in (1, 8, 1 << 20):
+        assert T._nfkc(pa.array(texts), size).to_pylist() == want
+        assert T._nfkc(pa.array(texts).slice(2, 4), size).to_pylist() == want[2:6]
+    assert T._nfkc(pa.array([], "string")).to_pylist() == []
+
+
 def test_unknown_normalizer():
     with pytest.raises(ValueError, match="unknown normalizer"):
         T.normalize(None, ["nope"])

@@ -8,7 +8,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -117,12 +119,30 @@ def extract_choice(x: Column) -> Column:
     return F.coalesce(F.upper(last(line)), F.upper(last(x)), strip(x))
 
 
+def _nfkc(texts: pa.Array, size: int = 1 << 20) -> pa.Array:
+    """NFKC of texts, about ``size`` bytes of them at a time as Python strings; a slice in ASCII stays as it is."""
+    import unicodedata
+
+    done, start = [], 0
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, "right")))
+        some = texts.slice(start, stop - start)
+        if not pc.all(pc.string_is_ascii(some), min_count=0).as_py():
+            some = pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in some.to_pylist()], texts.type)
+        done.append(some)
+        start = stop
+    return pa.concat_arrays(done) if done else texts
+
+
 def normalize_unicode(x: Column) -> Column:
     """NFKC, which Spark has no function for."""
 
-    @F.pandas_udf("string")
-    def nfkc(texts: pd.Series) -> pd.Series:
-        return texts.str.normalize("NFKC")
+    @F.arrow_udf("string")
+    def nfkc(texts: pa.Array) -> pa.Array:
+        out = _nfkc(texts)
+        pa.default_memory_pool().release_unused()
+        return out
 
     return nfkc(x)
 
