@@ -48,6 +48,21 @@ def test_markdown_and_unicode_over_documents(spark, sf_dir):
     assert all(r["m"] == unwrapped(r["text"]) and r["u"] == unicodedata.normalize("NFKC", r["text"]) for r in rows)
 
 
+def test_white_space_is_that_of_regular_expressions(spark):
+    around = spark.range(1, 0x10000).where("id < 55296 or id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    rows = around.select(F.concat("c", F.lit("\n"), "c", F.lit("x"), "c", F.lit("y"), "c", F.lit("\n"), "c").alias("x"), F.concat("c", "c").alias("z"))
+    edge = r"(?U)^[\s\"'`(\[{<.,;:!?*_-]+|[\s\"'`)\]}>.,;:!?*_-]+$"
+    for c in ("x", "z"):
+        odd = rows.where((T.strip(F.col(c)) != F.regexp_replace(c, r"(?U)^\s+|\s+$", "")) | (T.strip_punctuation(F.col(c)) != F.regexp_replace(c, edge, "")))
+        assert rows.count() == 0xFFFF - 2048 and odd.count() == 0
+
+
+def test_a_chain_computes_each_step_once(spark):
+    """Steps read their text several times; written into each other, the plan of the default chain doubles with every step."""
+    plan = spark.range(1).select(T.normalize(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("<(think|") == 1
+
+
 def test_unicode_in_slices():
     import pyarrow as pa
 

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 # The patterns that define these normalizers.
 NUMBER = r"(?U)[-+]?\d{1,3}(?:,\d{3})+(?:\.\d+)?|[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?"
-EDGE_PUNCTUATION = r"(?U)^[\s\"'`(\[{<.,;:!?*_-]+|[\s\"'`)\]}>.,;:!?*_-]+$"
+#: The white space of a regular expression with (?U), as trims take it.
+WHITE = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+BEFORE, BEHIND = WHITE + "\"'`([{<.,;:!?*_-", WHITE + "\"'`)]}>.,;:!?*_-"
 ARTICLE = r"(?iU)\b(a|an|the)\b"
 FENCE = r"(?sU)^\s*```[a-zA-Z0-9_+-]*\s*\n?(.*?)\n?\s*```\s*$"
 THINKING = r"(?isU)<(think|thinking|scratchpad|reasoning)>.*?</\1>"
@@ -28,8 +30,13 @@ LINE_END = r"\r\n|[\n\r\u000B\u000C\u001C\u001D\u001E\u0085\u2028\u2029]"
 QUOTES = (('"', '"'), ("'", "'"), ("“", "”"), ("‘", "’"))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once however often f reads it."""
+    return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))
+
+
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.btrim(x, F.lit(WHITE))
 
 
 def collapse_whitespace(x: Column) -> Column:
@@ -37,7 +44,7 @@ def collapse_whitespace(x: Column) -> Column:
 
 
 def strip_punctuation(x: Column) -> Column:
-    return F.regexp_replace(x, EDGE_PUNCTUATION, "")
+    return F.rtrim(F.ltrim(x, F.lit(BEFORE)), F.lit(BEHIND))
 
 
 def strip_articles(x: Column) -> Column:
@@ -170,6 +177,7 @@ NORMALIZERS: dict[str, Callable[[Column], Column]] = {
     "normalize_unicode": normalize_unicode,
 }
 
+_IN_SQL = frozenset(NORMALIZERS.values()) - {normalize_unicode}
 DEFAULT_CHAIN = ("strip_thinking", "strip_code_fence", "strip_markdown", "strip_answer_prefix", "strip_quotes", "collapse_whitespace", "strip_punctuation")
 
 
@@ -178,11 +186,16 @@ def register(name: str, normalizer: Callable[[Column], Column]) -> None:
 
 
 def normalize(x: Column, chain: Sequence[str] = DEFAULT_CHAIN) -> Column:
-    """x through the named normalizers, left to right; an empty chain leaves it as it is."""
+    """x through the named normalizers, left to right; an empty chain leaves it as it is.
+
+    Most of them read their text several times: what a step of Spark's functions reads is computed once. Others, which may
+    be Python and so can't stand in a lambda, read x as it is.
+    """
     for name in chain:
         if name not in NORMALIZERS:
             raise ValueError(f"unknown normalizer {name!r}; there are {', '.join(sorted(NORMALIZERS))}")
-        x = NORMALIZERS[name](x)
+        f = NORMALIZERS[name]
+        x = let(x, f) if f in _IN_SQL else f(x)
     return x
 
 
