@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, written
+from .common import release, released, written
 from .tokens import slices, tokenizer
 
 #: Short pieces of a shard, about.
 SHARD_PIECES = 16_384
 #: Sequence ids that a shard has: more than the pieces that hashing deals to one.
 SHARD_IDS = 1 << 20
+#: What a task that keeps nothing (keep=False) cuts at a time, in bytes of text, and the pieces of text that it remembers meanwhile.
+SMALL_CHUNK, FEW_PIECES = 1 << 19, 100_000
 #: A level whose full bins hold a smaller share of its pieces is the last one.
 LEAST_FILLED = 0.125
 
@@ -45,9 +47,12 @@ def _pieces(path, size, end, keep):
     @released
     def run(batches):
         encoder = tokenizer(path, True)
+        release()  # what reading the vocabulary took
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts) if keep else slices(texts, SMALL_CHUNK):
+                if not keep and len(encoder.known) > FEW_PIECES:
+                    encoder.clear()
                 ids, bounds = encoder.encode(texts[lo:hi].to_pylist())
                 raw, rows = memoryview(ids.tobytes()), []
                 for doc, a, b in zip(docs[lo:hi], bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -60,6 +65,9 @@ def _pieces(path, size, end, keep):
                         rows.append((doc, k, at, stop - at, crc))
                         at, stop, k = stop, stop + size, k + 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            del docs, texts, batch
+            if not keep:
+                release()
         if not keep:
             encoder.clear()
 
@@ -69,7 +77,8 @@ def _pieces(path, size, end, keep):
 def pieces(docs: DataFrame, path: str, size: int = 1024, end: int = 2, keep: bool = True) -> DataFrame:
     """The pieces of all documents: doc_id, piece, start, length, ids_crc32.
 
-    keep: workers remember pieces of text from one task to the next, which is faster; without, a task's memory ends with it.
+    keep: workers remember pieces of text from one task to the next, which is faster; without, a task's memory ends with it,
+    and it cuts less text at a time and remembers fewer pieces.
     """
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(path, size, end, keep), _PIECE)
 

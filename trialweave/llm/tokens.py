@@ -57,13 +57,13 @@ def cuts(raw: bytes, spaced: bool) -> np.ndarray:
     return np.flatnonzero(cut) + 1
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """(start, stop) of runs of texts of about CHUNK_BYTES."""
+def slices(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, stop) of runs of texts of about ``most`` bytes."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < len(size):
         before = size[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(size, before + CHUNK_BYTES, "right")))
+        stop = max(start + 1, int(np.searchsorted(size, before + most, "right")))
         yield start, stop
         start = stop
 
