@@ -48,9 +48,7 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
-def _let(value: Column, f) -> Column:
-    """f of a value that is computed once however often f reads it."""
-    return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))
+_let = T.let
 
 
 def _is(v: Column, *kinds: str) -> Column:
@@ -296,11 +294,22 @@ def _result(kind: Column, options: Column, texts: Column, numbers: Column, lette
     exact = F.array_contains(F.transform(targets, case), case(said))
 
     loose = fold(_flag(options, "case_sensitive", False))
-    found = lambda needle: F.contains(loose(said), loose(needle))
     some, every = _many(options, "target", "any_of"), _many(options, "all_of")
-    share = F.coalesce(F.size(F.filter(every, found)) / F.nullif(F.size(every), F.lit(0)), F.lit(1.0))
-    any_there = (F.size(some) == 0) | F.exists(some, found)
-    value, ok = F.when(any_there, share).otherwise(0.0), any_there & (share == 1.0)
+
+    def there(said):
+        """struct<share, any> of what is in a text."""
+        found = lambda needle: F.contains(said, loose(needle))
+        share = F.coalesce(F.size(F.filter(every, found)) / F.nullif(F.size(every), F.lit(0)), F.lit(1.0))
+        return F.struct(share.alias("share"), ((F.size(some) == 0) | F.exists(some, found)).alias("any"))
+
+    def contains(kind):
+        """The text is folded and searched once."""
+
+        def scored(t):
+            value, ok = F.when(t["any"], t["share"]).otherwise(0.0), t["any"] & (t["share"] == 1.0)
+            return F.when(kind == "contains", S.score(value, ok)).otherwise(S.score(F.lit(1.0) - value, ~ok))
+
+        return _let(_let(loose(said), there), scored)
 
     flags = F.array_join(F.array_sort(F.array_distinct(F.transform(_many(options, "flags"), lambda f: F.try_element_at(F.create_map(*(F.lit(x) for kv in S._FLAGS.items() for x in kv)), F.lower(f))))), "")
     plain = F.replace(_one(options, "pattern"), F.lit("(?P<"), F.lit("(?<"))
@@ -320,8 +329,8 @@ def _result(kind: Column, options: Column, texts: Column, numbers: Column, lette
     initial = F.left(F.upper(letter), F.lit(1))
     picked = F.when(F.array_contains(letters, letter), letter).when(F.array_contains(letters, initial), initial).otherwise(letter) == F.upper(_one(options, "target"))
 
-    plain_score = lambda passed: S.score(passed.cast("int"), passed)
-    out = F.when(kind == "exact_match", plain_score(exact)).when(kind == "contains", S.score(value, ok)).when(kind == "not_contains", S.score(F.lit(1.0) - value, ~ok))
+    plain_score = lambda passed: _let(passed, lambda p: S.score(p.cast("int"), p))
+    out = F.when(kind == "exact_match", plain_score(exact)).when(kind.isin("contains", "not_contains"), contains(kind))
     out = out.when(kind == "regex", plain_score(aimed)).when(kind == "numeric", plain_score(close)).when(kind == "choice", plain_score(picked)).when(kind == "json_match", matched)
     for name, scorer in S.SCORERS.items():
         if name not in _BUILT_IN:
@@ -381,7 +390,7 @@ def score_cases(responses: DataFrame, cases: DataFrame, task_scorers: DataFrame,
     wanted = F.when(of("json_match"), F.transform("__specs", lambda s: F.when(s["kind"] == "json_match", targeted(s))))
     said = F.when(of("json_match"), F.coalesce(T.strip_code_fence(T.strip_thinking(F.col(response))), F.lit("")))
     rows = rows.withColumns({"__composed": composed, "__matched": F.pandas_udf(_json_matches, "array<struct<value: double, passed: boolean>>")(said, wanted)})
-    numbers = F.filter(F.transform(T.numbers(T.extract_boxed(T.strip_thinking(F.col(response)))), lambda x: x.try_cast("double")), lambda v: v.isNotNull())
+    numbers = F.filter(F.transform(T.numbers(_let(T.strip_thinking(F.col(response)), T.extract_boxed)), lambda x: x.try_cast("double")), lambda v: v.isNotNull())
     rows = rows.withColumns({"__numbers": F.when(of("numeric"), numbers), "__letter": F.when(of("choice"), T.extract_choice(F.col(response)))})
     ready = F.zip_with("__specs", "__texts", lambda s, t: F.struct(s.alias("s"), t.alias("t")))
     rows = rows.withColumn("__ready", F.transform(ready, lambda r, i: F.struct(r["s"].alias("s"), F.when(unicode(r["s"]), _normalized(F.get("__composed", i), after(r["s"]))).otherwise(r["t"]).alias("t"))))
