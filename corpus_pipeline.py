@@ -8,12 +8,14 @@ their own. Rows are told apart by number, not by doc_id: several texts may share
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialweave.llm import hyperdim, jaccard_join, packing, quality, secrets
-from trialweave.llm.common import crc_mod, documents, written
+from trialweave.llm.common import crc_mod, documents, small_batches, written
 
 _USED = ("doc_id", "text", "lang", "n_chars")
 
@@ -33,6 +35,18 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return written(_renamed(docs).withColumn("row", F.monotonically_increasing_id()), "numbered")
 
 
+def _frugal(stage):
+    """A stage whose Arrow batches, and those of all that follows in the session, are small."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@_frugal
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled model predicts to be of quality; it learns as op2 does."""
     learned = docs.where(crc_mod("doc_id", 3) != 1)
@@ -41,6 +55,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality.kept(docs, model)
 
 
+@_frugal
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is learned; lang is what is predicted where it was null.
 
@@ -50,23 +65,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     held_out = crc_mod("doc_id", 5) == 0
     prototypes = hyperdim.learn(docs.where(~held_out))
     least = hyperdim.least_cosines(docs.where(held_out), prototypes)
-    rows = hyperdim.predict(_renamed(docs).withColumn("kept_text", F.col("text")), prototypes, *(c for c in _renamed(docs).columns if c != "text"), "kept_text")
+    rows = hyperdim.predict(_renamed(docs), prototypes, *(c for c in _renamed(docs).columns if c != "text"), with_text=True)
     rows = rows.where((F.col("lang_pred") != "und") & hyperdim.reaches(least)).withColumn("lang", F.coalesce("lang", "lang_pred"))
-    return _named(rows.withColumnRenamed("kept_text", "text"), docs)
+    return _named(rows, docs)
 
 
+@_frugal
 def jaccard_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: that with the smallest doc_id (any rather than none). Texts without words stay."""
     rows = _numbered(docs)
     return _named(rows.join(jaccard_join.representatives(rows), "row", "left_semi"), docs)
 
 
+@_frugal
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets that are found taken out of their texts."""
     rows = _numbered(docs)
     return _named(secrets.redacted(rows, secrets.scan(rows.select(F.col("row").alias("doc_id"), "text")), key="row"), docs)
 
 
+@_frugal
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces in sequences of 1024 tokens."""
     return packing.packed(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=False))

@@ -9,13 +9,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from trialweave.llm import ann, bpe_tree, fingerprints, grammar, graph, hyperdim, jaccard_join, maxent, packing, quality, queries, secrets, shingles
+from trialweave.llm import ann, bpe_tree, fingerprints, grammar, graph, hyperdim, jaccard_join, maxent, packing, quality, queries, secrets, shingles, tokens
 from trialweave.llm.common import crc_mod
 
 WORD, BYTE, RANKS = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
@@ -698,6 +699,28 @@ def test_language_stage_rejects_what_is_in_none_of_the_languages(spark, docs, sf
     assert got.where("lang is null").count() == 0
 
 
+def test_pipeline_takes_little_memory_beside_the_heap(spark, sf_dir):
+    """Batches of long texts are small, the text goes to the workers once, and no vocabulary stays in them."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    try:
+        long = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 500).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(5500).cast("long").alias("n_chars"))
+        got = dict(corpus_pipeline.STAGES)["language ID"](spark, long, sf_dir)
+        assert got.columns == long.columns
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("AS kept_text") == 0
+
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["size"])
+
+        assert long.select("text").mapInArrow(sizes, "size long").agg(F.max("size")).first()[0] < 6 << 20
+    finally:
+        spark.conf.unset(key)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words"])], names=["doc_id", "text"])
+    assert len(list(packing._pieces(BYTE, 1024, 2, False)([batch]))) == 1 and tokens.tokenizer.cache_info().currsize == 0
+
+
 def test_pipeline_stages_on_edges(spark, edges, sf_dir):
     some = edges.withColumns({c: F.lit("clash") for c in ("lang_pred", "kept_text", "other0", "digest", "hash", "features", "secret", "ordinal", "__parts", "first")})
     for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -144,7 +144,7 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
     return {r["lang"]: np.array([p["x"] for p in r["total"]]) for r in sorted(rows, key=lambda r: r["lang"])}
 
 
-def _predict(names, prototypes):
+def _predict(names, prototypes, first):
     @released
     def run(batches):
         for batch in batches:
@@ -159,19 +159,23 @@ def _predict(names, prototypes):
                 n_grams[lo:hi] = np.bincount(owner, minlength=hi - lo)
                 for i in np.flatnonzero(n_grams[lo:hi]):
                     lang[lo + i], score[lo + i] = names[best[i]], min(1.0, max(0.0, float(cosine[i, best[i]])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score), pa.array(n_grams)], names=[*batch.schema.names[1:], "lang_pred", "score", "n_grams"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[first:], pa.array(lang, pa.string()), pa.array(score), pa.array(n_grams)], names=[*batch.schema.names[first:], "lang_pred", "score", "n_grams"])
 
     return run
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *keep: Column | str) -> DataFrame:
-    """The columns ``keep`` of docs with lang_pred, score (the cosine, from 0 to 1) and n_grams (0 where lang_pred is und)."""
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *keep: Column | str, with_text: bool = False) -> DataFrame:
+    """The columns ``keep`` of docs with lang_pred, score (the cosine, from 0 to 1) and n_grams (0 where lang_pred is und).
+
+    with_text: text comes first; as one of ``keep`` it would go to the workers twice.
+    """
     names = list(prototypes)
     table = np.array([v / max(np.linalg.norm(v), 1e-9) for v in prototypes.values()], np.float32).reshape(-1, DIM)
     rows = docs.select("text", *keep)
-    kept = rows.schema.fields[1:]
+    first = 0 if with_text else 1
+    kept = rows.schema.fields[first:]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double, n_grams long"
-    return rows.mapInArrow(_predict(names, table), schema)
+    return rows.mapInArrow(_predict(names, table, first), schema)
 
 
 def least_cosines(docs: DataFrame, prototypes: dict[str, np.ndarray], doubt: float = 0.001) -> list[float]:

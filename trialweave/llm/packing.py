@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import release, released, written
-from .tokens import slices, tokenizer
+from .tokens import forget_tokenizers, slices, tokenizer
 
 #: Short pieces of a shard, about.
 SHARD_PIECES = 16_384
@@ -69,7 +69,8 @@ def _pieces(path, size, end, keep):
             if not keep:
                 release()
         if not keep:
-            encoder.clear()
+            del encoder
+            forget_tokenizers()
 
     return run
 
@@ -78,7 +79,7 @@ def pieces(docs: DataFrame, path: str, size: int = 1024, end: int = 2, keep: boo
     """The pieces of all documents: doc_id, piece, start, length, ids_crc32.
 
     keep: workers remember pieces of text from one task to the next, which is faster; without, a task's memory ends with it,
-    and it cuts less text at a time and remembers fewer pieces.
+    the vocabulary's too, and it cuts less text at a time and remembers fewer pieces.
     """
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(path, size, end, keep), _PIECE)
 

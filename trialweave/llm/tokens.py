@@ -155,3 +155,8 @@ def tokenizer(path: str, spaced: bool) -> PieceEncoder:
         return [e.ids for e in library.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)]
 
     return PieceEncoder(encode_many, spaced, not spaced)
+
+
+def forget_tokenizers() -> None:
+    """Gives up the encoders that this worker keeps, and their vocabularies."""
+    tokenizer.cache_clear()
