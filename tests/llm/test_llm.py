@@ -112,6 +112,45 @@ def test_jaccard_with_long_lists_and_blocks(spark, monkeypatch):
     assert bag(jaccard_join.linked_classes(df).collect()) == bag(brute_classes(rows))
 
 
+def test_jaccard_sends_hashes_of_candidates_in_one_shuffle(spark, monkeypatch):
+    """Few candidates are sent to their tasks by a table that all executors have, more are joined with their clusters; links are the same."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(400):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join([*text[:200], f"n{i}", *text[201:]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(jaccard_join, "SHARE_HASHES", 20_000)
+    plans = []
+    real = jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", lambda rows, name: (plans.append((name, rows._jdf.queryExecution().executedPlan().toString())), real(rows, name))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        expected = bag((2 * (i // 2) + j, 396, 2 * (i // 2)) for i in range(0, 800, 2) for j in (0, 1))
+        assert bag(jaccard_join.linked_classes(df).collect()) == expected
+        assert [n for n, p in plans if "hashes#" in p and "Join" in p] == [] and "candidates" not in dict(plans)
+        monkeypatch.setattr(jaccard_join, "MOST_ROUTED", 0)
+        assert bag(jaccard_join.linked_classes(df).collect()) == expected
+        monkeypatch.setattr(jaccard_join, "SHARE_HASHES", 150)  # every cluster is a large one
+        assert bag(jaccard_join.linked_classes(df).collect()) == expected
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_jaccard_leaves_sets_that_share_half_a_digest():
+    """Half a digest may be that of several candidates, or of none: each goes to its task, others are left there."""
+    texts = ["a b c d e f g", "h i j k l m n", "o p q r s t u"]
+    digests = [shingles.digest(s) for s in shingles.shingle_sets(texts)]
+    half = lambda d: d & ~0xFFFFFFFF
+    routes = np.sort(np.array([half(digests[0]) | 3, half(digests[0]) | 7, half(digests[0]) | 3, half(digests[1]) | 0x7FFFFFFF], np.int64))
+    sent = type("Sent", (), {"value": routes})
+    got = pa.Table.from_batches(jaccard_join._ship_to_tasks(5, sent)([pa.RecordBatch.from_arrays([pa.array([*texts, texts[0], None])], names=["text"])]))
+    assert bag(zip(*(got.column(c).to_pylist() for c in ("task", "digest")))) == bag([(3, digests[0]), (7, digests[0]), (0x7FFFFFFF, digests[1])])
+    member = pa.table({"task": pa.array([7], pa.int32()), "digest": [digests[2]], "cluster": [1]})
+    assert jaccard_join._answer_task(75, 100)(got, member).num_rows == 0 and jaccard_join._answer_task(75, 100)(got, member.slice(0, 0)).num_rows == 0
+    assert jaccard_join._answer_task(75, 100)(got.slice(0, 0), member).num_rows == 0
+
+
 def test_links_outside_the_largest_class(spark, monkeypatch):
     """A cluster of several groups that a shared passage brings together, with chains of links that no leader has."""
     monkeypatch.setattr(jaccard_join, "BLOCK_HASHES", 2000)

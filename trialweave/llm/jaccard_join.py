@@ -24,6 +24,11 @@ once to each share, in blocks. So a cluster of near copies, however large, is re
 only one whose sets don't link costs more, as many times as its outside has ``BLOCK_HASHES``.
 No step drops a pair that links; orders and filters only save work.
 
+Hashes go from where a text lies to the task that answers its cluster in one shuffle: all
+executors are sent a half digest and the task of each candidate. A text whose half digest
+is another's is sent too, and left there. Candidates beyond ``MOST_ROUTED`` are joined by
+shuffle with their clusters first, filtered by a bitmap of their digests.
+
 Defined cases: null and empty texts, and those without words, have no shingles and link
 with nothing. Fewer words than the width make one shingle. Repeated rows are kept: each
 gets its row. A null doc_id takes part but never names a component. Other columns of the
@@ -50,8 +55,10 @@ HEAVY, MOST_HEAVY = 64, 1 << 20
 LIST_PAIRS = 64
 #: Entries of a list that are skipped together.
 SKIP = 8
-#: Words of 64 bits in the map of candidate digests (1 MB).
-MAP_WORDS = 1 << 17
+#: Candidates of which all executors get the task that answers them (8 bytes each: 32 MB).
+MOST_ROUTED = 1 << 22
+#: Words of 64 bits in the map of candidate digests, where these are more (8 MB).
+MAP_WORDS = 1 << 20
 #: Shingle hashes of a share of a large cluster, and of a block of what is compared with all shares.
 SHARE_HASHES, BLOCK_HASHES = 100_000, 2_000_000
 #: Sets of a large cluster that all others are compared with first.
@@ -329,6 +336,28 @@ def _ship(width, sent):
     return run
 
 
+def _ship_to_tasks(width, sent):
+    """Sets with the tasks of the candidates that have the same upper half of a digest."""
+
+    @released
+    def run(batches):
+        routes, seen = sent.value, _Distinct()
+        for batch in batches:
+            got = []
+            for s in shingle_sets(_texts(batch), width):
+                if len(s):
+                    d = digest(s)
+                    half = d & ~0xFFFFFFFF
+                    lo, hi = np.searchsorted(routes, np.array([half, half + 0x80000000], np.int64))
+                    if hi > lo and seen.new(d):
+                        got += [(int(k), d, s.tobytes()) for k in np.unique(routes[lo:hi] & 0x7FFFFFFF)]
+            if got:
+                k, d, s = zip(*got)
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(d, pa.int64()), pa.array(s, pa.binary())], names=["task", "digest", "hashes"])
+
+    return run
+
+
 def _within(sets: list[np.ndarray], num: int, den: int, asked: np.ndarray | None = None) -> np.ndarray:
     """For sets in ascending order of size, the label (an index) of each one's class of links; with asked, of links that one of these sets has."""
     m = len(sets)
@@ -410,6 +439,23 @@ def _answer(num, den):
     return run
 
 
+def _answer_task(num, den):
+    """The same for a task's sets (digest, hashes) and its candidates (digest, cluster); sets that are no candidates are left."""
+    answer = _answer(num, den)
+
+    def run(sets: pa.Table, member: pa.Table) -> pa.Table:
+        dig, known = (t.column("digest").to_numpy() for t in (sets, member))
+        by = np.argsort(known)
+        at = by[np.minimum(np.searchsorted(known[by], dig), len(known) - 1)] if len(known) else np.zeros(len(dig), int)
+        mine = known[at] == dig if len(known) else np.zeros(len(dig), bool)
+        if not mine.any():
+            return pa.table([np.empty(0, np.int64)] * 2, names=["a", "b"])
+        table = pa.table([dig[mine], sets.column("hashes").filter(pa.array(mine)), member.column("cluster").to_numpy()[at[mine]], np.ones(mine.sum(), bool)], names=["digest", "hashes", "cluster", "asked"])
+        return answer(table)
+
+    return run
+
+
 def _info(width):
     @released
     def run(batches):
@@ -464,19 +510,28 @@ def set_classes(texts: DataFrame, num: int, den: int, width: int) -> DataFrame:
     member = components(pairs).toDF("digest", "cluster").join(sizes, "digest")
     whole = member.groupBy("cluster").agg(F.sum("n").alias("hashes_of_cluster"))
     member = written(joined_to_few(member, whole, "cluster", "digest"), "members")
-    word = F.pmod(F.shiftrightunsigned("digest", 6), F.lit(MAP_WORDS))
-    words = np.zeros(MAP_WORDS, np.uint64)
-    got = member.groupBy(word.alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(digest & 63 as int)))").alias("bits")).toPandas()
-    words[got["w"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
-    shipped = texts.mapInArrow(_ship(width, spark.sparkContext.broadcast(words)), "digest long, hashes binary")
-    sets = written(shipped.join(member, "digest"), "candidates")
     large = F.col("hashes_of_cluster") > 2 * SHARE_HASHES
-    total = member.where(~large).agg(F.sum("n")).first()[0] or 0
+    candidates, total, beyond = member.agg(F.count("*"), F.coalesce(F.sum(F.when(~large, F.col("n"))), F.lit(0)), F.count_if(large)).first()
     tasks = int(max(1, total // SHARE_HASHES, min(shuffle_partitions(spark), total // 50_000)))
-    together = sets.where(~large).select(F.pmod(F.xxhash64("cluster"), F.lit(tasks)).alias("task"), "cluster", "digest", "hashes", F.lit(True).alias("asked"))
-    links = together.groupBy("task").applyInArrow(_answer(num, den), "a long, b long")
-    if member.where(large).limit(1).count():
-        links = links.union(_links_of_large(sets.where(large), member.where(large), num, den))
+    task = F.when(large, tasks).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(tasks))).cast("int").alias("task")
+    if candidates <= MOST_ROUTED:
+        routes = member.select(F.col("digest").bitwiseAND(F.lit(~0xFFFFFFFF)).bitwiseOR(task.cast("long")).alias("route")).toArrow()
+        routes = spark.sparkContext.broadcast(np.sort(routes.column("route").to_numpy()))
+        shipped = texts.mapInArrow(_ship_to_tasks(width, routes), "task int, digest long, hashes binary")
+    else:
+        word = F.pmod(F.shiftrightunsigned("digest", 6), F.lit(MAP_WORDS))
+        words = np.zeros(MAP_WORDS, np.uint64)
+        got = member.groupBy(word.alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(digest & 63 as int)))").alias("bits")).toArrow()
+        words[got.column("w").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+        shipped = texts.mapInArrow(_ship(width, spark.sparkContext.broadcast(words)), "digest long, hashes binary")
+        shipped = shipped.join(member.select("digest", task), "digest").select("task", "digest", "hashes")
+    if beyond:
+        shipped = written(shipped, "candidates")
+    small = member.where(~large).select(task, "digest", "cluster").groupBy("task")
+    links = shipped.where(F.col("task") < tasks).groupBy("task").cogroup(small).applyInArrow(_answer_task(num, den), "a long, b long")
+    if beyond:
+        sets = written(shipped.where(F.col("task") == tasks).drop("task").join(member.where(large), "digest"), "large")
+        links = links.union(_links_of_large(sets, member.where(large), num, den))
     # Written first: in one stage with the forests of components() each task would need two Python workers.
     return components(written(links, "links")).toDF("digest", "root")
 
